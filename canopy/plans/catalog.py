@@ -1,0 +1,93 @@
+"""Registered queries: name -> (Spark job, DuckDB oracle SQL or None).
+
+Each Spark job reads the given tables (through ``canopy.sources.fixtures``)
+so its work grows with them; column names match the oracle statement.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from canopy.functions import dims
+from canopy.operators import canonical as C
+from canopy.plans import oracle_sql as O
+from canopy.sources import fixtures as FX
+from canopy.sources.ingest import ingest_requests
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def register(name: str, sql: str | None = None):
+    def deco(fn):
+        QUERIES[name] = fn
+        if sql is not None:
+            ORACLE[name] = sql
+        return fn
+    return deco
+
+
+def _classified(spark, sf_dir, src=FX.requests):
+    return C.classify_requests(src(spark, sf_dir))
+
+
+# ------------------------------------------------------------ requests ----
+register("ingest_requests", f"""WITH {O.requests_cte()}, {O.ingested_cte()}
+SELECT req_id, language, source, status FROM ingested""")(
+    lambda spark, d: ingest_requests(FX.requests(spark, d))
+    .select("req_id", "language", "source", "status"))
+
+register("canonicalise", f"""WITH {O.requests_cte()}, {O.ingested_cte()}, {O.canonical_cte()}
+SELECT req_id, verb, noun FROM canonical""")(
+    lambda spark, d: _classified(spark, d).select("req_id", "verb", "noun"))
+
+register("canonicalise_documents", f"""WITH {O.documents_cte()}, {O.ingested_cte()},
+{O.canonical_cte()}
+SELECT req_id, verb, noun FROM canonical""")(
+    lambda spark, d: _classified(spark, d, FX.document_requests).select("req_id", "verb", "noun"))
+
+_CLASSIFY_COLS = ["req_id", "language", "intent_type", "confidence", "intent_key"]
+register("classify", f"""WITH {O.pipeline(O.requests_cte())}
+SELECT req_id, language, intent_type, confidence, intent_key,
+       array_to_string(matches, ',') AS matches FROM classified""")(
+    lambda spark, d: _classified(spark, d).select(
+        *_CLASSIFY_COLS, F.array_join("matches", ",").alias("matches")))
+
+register("classify_documents", f"""WITH {O.pipeline(O.documents_cte())}
+SELECT req_id, language, intent_type, confidence, intent_key,
+       array_to_string(matches, ',') AS matches FROM classified""")(
+    lambda spark, d: _classified(spark, d, FX.document_requests).select(
+        *_CLASSIFY_COLS, F.array_join("matches", ",").alias("matches")))
+
+
+def _gate_sql(src_cte: str) -> str:
+    t, v = "intent_type", "verb"
+    return f"""WITH {O.pipeline(src_cte)}
+SELECT req_id, CASE WHEN confidence = 'HIGH' THEN 'passed' ELSE 'quarantine' END AS route,
+  CASE confidence WHEN 'MEDIUM' THEN 'Multiple intent types match for verb ''' || {v} ||
+       ''': could be ' || {t} || ' or another type'
+    WHEN 'LOW' THEN 'Unrecognised verb or no matching intent type for: ''' || text || '''' END
+    AS unclear_dimension,
+  CASE confidence WHEN 'MEDIUM' THEN 'Is ''' || text || ''' intended as a ' || {t} || '? (yes/no)'
+    WHEN 'LOW' THEN {O.q(dims.LOW_QUESTION)} END AS clarifying_question,
+  CASE confidence WHEN 'MEDIUM' THEN 'Assuming ' || {t} || ' based on highest priority match'
+    WHEN 'LOW' THEN 'Assuming PURE_FUNCTION as default for ''' || text || '''' END
+    AS assumed_interpretation
+FROM classified"""
+
+
+_GATE_COLS = ["req_id", "route", "unclear_dimension", "clarifying_question",
+              "assumed_interpretation"]
+register("gate", _gate_sql(O.requests_cte()))(
+    lambda spark, d: C.gate(_classified(spark, d)).select(*_GATE_COLS))
+register("gate_documents", _gate_sql(O.documents_cte()))(
+    lambda spark, d: C.gate(_classified(spark, d, FX.document_requests)).select(*_GATE_COLS))
+
+register("intent_rollup", f"""WITH {O.pipeline(O.requests_cte())}
+SELECT language, intent_type, verb, confidence,
+       GROUPING(language, intent_type, verb, confidence) AS gid, count(*) AS n
+FROM classified GROUP BY CUBE (language, intent_type, verb, confidence)""")(
+    lambda spark, d: C.intent_rollup(_classified(spark, d)))

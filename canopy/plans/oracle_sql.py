@@ -1,0 +1,145 @@
+"""DuckDB SQL for the correctness check.
+
+Each query in ``canopy.plans.catalog`` has an independent statement here that
+DuckDB runs on the same parquet views.  The statements re-derive the fixtures
+from the base tables with the same rules and re-state every audit rule in
+plain SQL (list functions instead of regex look-arounds, which RE2 lacks).
+"""
+
+from __future__ import annotations
+
+import unicodedata
+
+from canopy.functions import dims
+from canopy.sources import fixtures as FX
+
+WS = dims.PY_WHITESPACE
+
+
+def q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def sql_list(vals: list[str]) -> str:
+    return "[" + ", ".join(q(v) for v in vals) + "]"
+
+
+def strip_sql(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '^{WS}+', ''), '{WS}+$', '')"
+
+
+def requests_cte() -> str:
+    n, a = len(FX.PHRASES), len(FX.ALIASES)
+    # NFKC of the stripped literal is a constant of the fixture
+    norm = [unicodedata.normalize("NFKC", p.strip()) for p in FX.PHRASES]
+    return f"""requests AS (
+  SELECT o_orderkey AS req_id, o_custkey AS session_id, o_orderdate AS ts,
+         {sql_list(FX.PHRASES)}[(o_orderkey % {n}) + 1] AS text,
+         {sql_list(norm)}[(o_orderkey % {n}) + 1] AS norm_src,
+         {sql_list(FX.ALIASES)}[((o_orderkey // {n}) % {a}) + 1] AS alias
+  FROM orders)"""
+
+
+def documents_cte() -> str:
+    # NFKC leaves every document text unchanged (checked on the test data)
+    return """requests AS (
+  SELECT doc_id AS req_id, source AS session_id, NULL::TIMESTAMP AS ts, text,
+         text AS norm_src, 'javascript' AS alias
+  FROM documents)"""
+
+
+def language_case(x: str) -> str:
+    whens = " ".join(f"WHEN {q(a)} THEN {q(l)}" for a, l in dims.LANGUAGE_ALIASES)
+    return f"CASE lower({strip_sql(x)}) {whens} END"
+
+
+def ingested_cte(src: str = "requests") -> str:
+    marks = " OR ".join(f"contains(lower(norm_text), {q(m)})" for m in dims.SPEC_MARKERS)
+    return f"""ing0 AS (
+  SELECT *, {language_case('alias')} AS language, {strip_sql('norm_src')} AS norm_text
+  FROM {src}),
+ingested AS (
+  SELECT *, CASE WHEN {marks} THEN 'yaml_spec' ELSE 'freetext' END AS source,
+         CASE WHEN language IS NULL THEN 'Unsupported language: ' || alias
+              WHEN length(norm_text) < 3 THEN 'Intent too short' ELSE 'ok' END AS status
+  FROM ing0)"""
+
+
+def verb_case(l: str, table=dims.VERB_SYNONYMS) -> str:
+    parts = []
+    for v, syns in table:
+        cond = " OR ".join(f"contains({l}, {q(s)})" for s in syns)
+        parts.append(f"WHEN {cond} THEN {q(v)}")
+    return "CASE " + " ".join(parts) + " ELSE 'unknown' END"
+
+
+def noun_expr(l: str, verb: str, table=dims.VERB_SYNONYMS) -> str:
+    syn = " ".join(f"WHEN {q(v)} THEN {sql_list(s)}" for v, s in table)
+    excl = f"list_concat({sql_list(dims.FILLER_WORDS)}, CASE {verb} {syn} ELSE []::VARCHAR[] END)"
+    tok = (f"list_filter(regexp_extract_all({l}, '[a-z]+'), "
+           f"lambda w: length(w) > 2 AND NOT list_contains({excl}, w))[1]")
+    dflt = " ".join(f"WHEN {q(v)} THEN {q(dims.DEFAULT_NOUNS.get(v, 'Unknown'))}" for v, _ in table)
+    return (f"CASE WHEN {tok} IS NOT NULL THEN upper(substr({tok}, 1, 1)) || substr({tok}, 2) "
+            f"ELSE CASE {verb} {dflt} ELSE 'Unknown' END END")
+
+
+def canonical_cte(src: str = "ingested", table=dims.VERB_SYNONYMS, name="canonical") -> str:
+    return f"""{name}_0 AS (
+  SELECT *, lower(norm_text) AS l FROM {src} WHERE status = 'ok' AND source = 'freetext'),
+{name}_1 AS (SELECT *, {verb_case('l', table)} AS verb FROM {name}_0),
+{name} AS (SELECT * EXCLUDE (l), {noun_expr('l', 'verb', table)} AS noun FROM {name}_1)"""
+
+
+def matches_expr(raw: str, verb: str) -> str:
+    d = dims
+    words = f"string_split_regex(lower({raw}), '{WS}+')"
+
+    def any_word(vals):
+        return f"list_has_any({words}, {sql_list(vals)})"
+
+    def vin(vals):
+        return f"{verb} IN ({', '.join(q(v) for v in vals)})"
+
+    cls = " OR ".join(f"contains(lower({raw}), {q(k)})" for k in d.CLASS_KEYWORDS)
+    rules = [
+        ("PURE_FUNCTION", vin([v for v in d.PURE_VERBS if v not in d.IO_VERBS])),
+        ("PREDICATE", f"{any_word(d.PREDICATE_KEYWORDS)} OR {verb} = 'validate'"),
+        ("TRANSFORMER", f"{verb} = 'transform'"),
+        ("AGGREGATOR", f"({any_word(d.COLLECTION_NOUNS)} AND {any_word(d.AGGREGATOR_KEYWORDS)}) "
+                       f"OR ({vin(['add', 'calculate'])} AND {any_word(d.COLLECTION_NOUNS)})"),
+        ("SIDE_EFFECT_OP", vin(d.SIDE_EFFECT_VERBS)),
+        ("CLASS_METHOD", cls),
+        ("ASYNC_OPERATION", f"{verb} = 'fetch' OR {any_word(d.ASYNC_KEYWORDS)}"),
+        ("DATA_CONTRACT", f"{verb} = 'define' OR ({any_word(d.DATA_CONTRACT_KEYWORDS)} AND NOT "
+                          f"{vin(d.PURE_VERBS + d.SIDE_EFFECT_VERBS + ['fetch', 'validate', 'transform'])})"),
+    ]
+    arr = ", ".join(f"CASE WHEN {c} THEN {q(t)} END" for t, c in rules)
+    return f"list_filter([{arr}], lambda x: x IS NOT NULL)"
+
+
+def classified_cte(src: str = "canonical", name: str = "classified") -> str:
+    return f"""{name}_0 AS (SELECT *, {matches_expr('text', 'verb')} AS matches FROM {src}),
+{name} AS (
+  SELECT *, coalesce(matches[1], 'PURE_FUNCTION') AS intent_type,
+         CASE len(matches) WHEN 0 THEN 'LOW' WHEN 1 THEN 'HIGH' ELSE 'MEDIUM' END AS confidence,
+         md5(verb || ':' || noun || ':' || language || ':' || coalesce(matches[1], 'PURE_FUNCTION'))
+           AS intent_key
+  FROM {name}_0)"""
+
+
+def snake_sql(x: str) -> str:
+    s = f"lower(regexp_replace({x}, '([A-Z])', '_\\1', 'g'))"
+    return f"regexp_replace(regexp_replace({s}, '^_+', ''), '__+', '_', 'g')"
+
+
+def function_name_sql(t="intent_type", v="verb", n="noun", lang="language") -> str:
+    base = (f"CASE {t} WHEN 'PURE_FUNCTION' THEN CASE WHEN coalesce({n}, '') <> '' THEN "
+            f"lower(substr({n}, 1, 1)) || substr({n}, 2) ELSE 'result' END "
+            f"WHEN 'PREDICATE' THEN 'is' || {n} WHEN 'TRANSFORMER' THEN 'to' || {n} "
+            f"WHEN 'AGGREGATOR' THEN 'reduce' || {n} ELSE {v} || {n} END")
+    return (f"CASE WHEN {t} = 'DATA_CONTRACT' THEN CASE WHEN coalesce({n}, '') <> '' THEN {n} "
+            f"ELSE 'Unknown' END WHEN {lang} = 'python' THEN {snake_sql(base)} ELSE {base} END")
+
+
+def pipeline(src_cte: str) -> str:
+    return ",\n".join([src_cte, ingested_cte(), canonical_cte(), classified_cte()])

@@ -1,0 +1,146 @@
+"""Audit inputs derived from the given tables.
+
+The driver's tables are TPC-H-like; the audited system works on requests,
+replies and call logs.  Each fixture here is a pure projection (no shuffle) of a
+given table that assigns one of a small set of literal phrases / replies to
+every row by a rule on the row key, so its size grows with the table.  The
+same rules are written in DuckDB SQL in ``canopy.plans.oracle``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from canopy.session import table
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES: test phrases and reply templates (taken from the audited
+# system's own test cases); order is the assignment rule, do not reorder
+# ---------------------------------------------------------------------------
+PHRASES: list[str] = [
+    "write add function",
+    "make a sum method",
+    "create a function to add two numbers",
+    "combine two numbers",
+    "I need addition",
+    "subtract two numbers",
+    "remove from list",
+    "check if even",
+    "is it a valid email",
+    "convert user to DTO",
+    "transform and save data",
+    "count active users",
+    "sum all order totals",
+    "filter items by status",
+    "save user to database",
+    "delete the record",
+    "fetch user profile",
+    "stream events from queue",
+    "define a User type",
+    "schema for AuthToken",
+    "frobnicate the data",
+    "the target address",
+    "is the data fetch complete",
+    "calculate the total amount",
+    "ａｄｄ two numbers",
+    "ab",
+    "intent: pure_function verb: add",
+    "add orders together",
+]
+ALIASES: list[str] = [
+    "js", "javascript", "ts", "typescript", "py", "python", "python3", "go", "golang", "rust",
+]
+MULTI_PHRASES: list[str] = [
+    "write add function",
+    "make a calculator",
+    "build a crud module",
+    "check if even number",
+    "write add and subtract functions",
+    "create add function and validate input",
+    "write add function, create subtract function",
+    "1. add two numbers 2. check if even",
+]
+# reply template pieces; "~" stands for a newline
+_FENCE = "```"
+_IMPL_OK = "const total = (firstNumber, secondNumber) => firstNumber + secondNumber;"
+_IMPL_DRIFT = "const total = (x, y) => x + y;"
+_BASE = (
+    "~---INTENT_CLASSIFICATION---~type: PURE_FUNCTION~confidence: HIGH~~---SIGNATURE---~"
+    "javascript: const total = (firstNumber, secondNumber) => firstNumber + secondNumber~~"
+    "---IMPLEMENTATION---~" + _FENCE + "javascript~{impl}~" + _FENCE + "~~---{inv}---~"
+    "preconditions:~  - finite~~---TEST_ORACLE---~" + _FENCE + "javascript~"
+    "assert(total(1, 2) === 3);~assert(total(0, 0) === 0);~assert(total(-1, 1) === 0);~"
+    + _FENCE + "~---~"
+)
+REPLY_TEMPLATES: list[str] = [
+    _BASE.format(impl=_IMPL_OK, inv="INVARIANTS"),
+    _BASE.format(impl=_IMPL_DRIFT, inv="INVARIANTS"),
+    _BASE.format(impl=_IMPL_OK, inv="invariants"),
+    "~---AMBIGUITY---~unclear_dimension: verb~---~",
+    "just some random text",
+    _BASE.format(impl=_IMPL_OK + "~" + _FENCE + "~" + _FENCE + "javascript~const b = 1;",
+                 inv="INVARIANTS"),
+    _BASE.format(impl="import math~" + _IMPL_OK, inv="INVARIANTS"),
+    _BASE.format(impl=_IMPL_OK, inv="INVARIANTS") + "~---DEPENDENCIES---~- axios~numpy as np~",
+]
+# ---------------------------------------------------------------------------
+
+
+def pick(values: list[str], idx) -> F.Column:
+    """``values[idx]`` as a literal-array lookup (projection, no join)."""
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (idx + 1).cast("int"))
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """requests(req_id, session_id, ts, text, alias): one request per order."""
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(
+        k.alias("req_id"),
+        F.col("o_custkey").alias("session_id"),
+        F.col("o_orderdate").alias("ts"),
+        pick(PHRASES, k % len(PHRASES)).alias("text"),
+        pick(ALIASES, F.floor(k / len(PHRASES)) % len(ALIASES)).alias("alias"),
+    )
+
+
+def document_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a free-text request (whole text, JavaScript target)."""
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("req_id"),
+        F.col("source").alias("session_id"),
+        F.lit(None).cast("timestamp").alias("ts"),
+        F.col("text"),
+        F.lit("javascript").alias("alias"),
+    )
+
+
+def conversation_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user turn of a conversation as a request."""
+    return (table(spark, sf_dir, "conversations")
+            .where(F.col("role") == "user")
+            .select((F.col("conv_id") * 1000 + F.col("turn")).alias("req_id"),
+                    F.col("conv_id").alias("session_id"),
+                    F.lit(None).cast("timestamp").alias("ts"),
+                    F.col("text"),
+                    F.lit("javascript").alias("alias")))
+
+
+def multi_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(
+        k.alias("req_id"), pick(MULTI_PHRASES, k % len(MULTI_PHRASES)).alias("text"))
+
+
+def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """attempts(req_id, session_id, ts, attempt, tpl_id, raw): three replies per order."""
+    k = F.col("o_orderkey")
+    a = F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("attempt")
+    base = table(spark, sf_dir, "orders").select(
+        k.alias("req_id"), F.col("o_custkey").alias("session_id"),
+        F.col("o_orderdate").alias("ts"), a)
+    tpl = ((F.col("req_id") * 7 + F.col("attempt") * 3) % len(REPLY_TEMPLATES)).cast("int")
+    return base.select(
+        "req_id", "session_id", "ts", F.col("attempt").cast("int").alias("attempt"),
+        tpl.alias("tpl_id"),
+        F.regexp_replace(pick(REPLY_TEMPLATES, tpl), "~", "\n").alias("raw"))
