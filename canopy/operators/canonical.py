@@ -7,11 +7,14 @@ intent keys hold most rows) never concentrate in one task.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canopy.functions import dims
 from canopy.functions import text as T
+from canopy.functions.frames import settle
 from canopy.sources.ingest import ingest_requests, split_ingested
 
 
@@ -36,7 +39,8 @@ def classify(canonical: DataFrame) -> DataFrame:
             .withColumn("confidence", F.when(n == 1, "HIGH").when(n >= 2, "MEDIUM")
                         .otherwise("LOW"))
             .withColumn("intent_key", T.intent_key(F.col("verb"), F.col("noun"),
-                                                   F.col("language"), F.col("intent_type"))))
+                                                   F.col("language"), F.col("intent_type")))
+            .transform(settle))
 
 
 def classify_requests(raw: DataFrame, table=dims.VERB_SYNONYMS) -> DataFrame:
@@ -178,28 +182,25 @@ VERB_SYNONYMS_V2 = dims.VERB_SYNONYMS + [
 
 
 def taxonomy_diff(raw: DataFrame, old=dims.VERB_SYNONYMS, new=VERB_SYNONYMS_V2) -> DataFrame:
-    """Classify with two table versions in one pass; rows whose result changed."""
-    ok, _ = split_ingested(ingest_requests(raw))
-    ok = ok.where(F.col("source") == "freetext").withColumn("_l", F.lower("norm_text"))
-    raw_l = F.lower(F.col("text"))
-    out = ok
-    for tag, tbl in (("old", old), ("new", new)):
-        v = T.canonical_verb(F.col("_l"), tbl)
-        out = out.withColumn(f"{tag}_verb", v)
-        out = out.withColumn(f"{tag}_noun", T.canonical_noun(F.col("_l"), F.col(f"{tag}_verb"), tbl))
-        m = T.classifier_matches(raw_l, F.col(f"{tag}_verb"))
-        out = (out.withColumn(f"_{tag}_m", m)
-               .withColumn(f"{tag}_type", F.coalesce(F.try_element_at(f"_{tag}_m", F.lit(1)),
-                                                     F.lit("PURE_FUNCTION")))
-               .withColumn(f"{tag}_confidence",
-                           F.when(F.size(f"_{tag}_m") == 1, "HIGH")
-                           .when(F.size(f"_{tag}_m") >= 2, "MEDIUM").otherwise("LOW")))
-    changed = ((F.col("old_verb") != F.col("new_verb")) | (F.col("old_noun") != F.col("new_noun"))
-               | (F.col("old_type") != F.col("new_type"))
-               | (F.col("old_confidence") != F.col("new_confidence")))
-    return out.where(changed).select(
+    """Classify with two table versions; rows whose verb, noun, type or confidence changed.
+
+    Each version is its own narrow classification job; only the narrow results
+    (no text) are shuffled for the join on ``req_id``.  The comparison runs
+    after the join, so it is never inlined into the text-heavy projections.
+    """
+    cols = ["verb", "noun", "intent_type", "confidence"]
+
+    def version(tbl, tag):
+        c = classify_requests(raw, tbl)
+        return c.select("req_id", *(["language"] if tag == "old" else []),
+                        *[F.col(x).alias(f"{tag}_{x}") for x in cols])
+
+    j = version(old, "old").join(version(new, "new"), "req_id")
+    changed = reduce(lambda a, b: a | b, [F.col(f"old_{x}") != F.col(f"new_{x}") for x in cols])
+    return j.where(changed).select(
         "req_id", "language", "old_verb", "new_verb", "old_noun", "new_noun",
-        "old_type", "new_type", "old_confidence", "new_confidence")
+        F.col("old_intent_type").alias("old_type"), F.col("new_intent_type").alias("new_type"),
+        "old_confidence", "new_confidence")
 
 
 def taxonomy_transitions(changed: DataFrame) -> DataFrame:

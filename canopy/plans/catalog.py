@@ -91,3 +91,245 @@ SELECT language, intent_type, verb, confidence,
        GROUPING(language, intent_type, verb, confidence) AS gid, count(*) AS n
 FROM classified GROUP BY CUBE (language, intent_type, verb, confidence)""")(
     lambda spark, d: C.intent_rollup(_classified(spark, d)))
+
+
+def _passed(spark, d, src=FX.requests):
+    return _classified(spark, d, src).where(F.col("confidence") == "HIGH")
+
+
+register("quarantine_rate", f"""WITH {O.pipeline(O.requests_cte())}
+SELECT confidence, language, count(*) AS n,
+       sum(CASE WHEN confidence <> 'HIGH' THEN 1 ELSE 0 END)::BIGINT AS quarantined
+FROM classified GROUP BY confidence, language""")(
+    lambda spark, d: C.quarantine_rate(C.gate(_classified(spark, d))))
+
+register("collapse_phrasings", f"""WITH {O.pipeline(O.requests_cte())}
+SELECT intent_key, verb, noun, language, intent_type, count(*) AS phrasings,
+       count(DISTINCT text) AS distinct_texts, arg_min(text, (ts, req_id)) AS representative,
+       count(DISTINCT {O.function_name_sql()}) AS prompts
+FROM classified WHERE confidence = 'HIGH'
+GROUP BY intent_key, verb, noun, language, intent_type""")(
+    lambda spark, d: C.collapse_phrasings(_passed(spark, d)))
+
+
+def _user_message_sql() -> str:
+    fn = O.function_name_sql()
+    return (f"CASE WHEN intent_type = 'DATA_CONTRACT' THEN 'Language target: ' || language || "
+            f"chr(10) || 'Intent type: ' || intent_type || chr(10) || 'Canonical noun: ' || noun || "
+            f"chr(10) || 'Type name: ' || {fn} || chr(10) || "
+            f"'Generate the data contract following the exact template for DATA_CONTRACT.' || "
+            f"chr(10) || 'Define all fields with explicit types. Make the type immutable by default.' "
+            f"ELSE 'Language target: ' || language || chr(10) || 'Intent type: ' || intent_type || "
+            f"chr(10) || 'Canonical verb: ' || verb || chr(10) || 'Canonical noun: ' || noun || "
+            f"chr(10) || 'Function name: ' || {fn} || chr(10) || "
+            f"'Generate the function following the exact template for ' || intent_type || '.' END")
+
+
+register("prompt_work", f"""WITH {O.pipeline(O.requests_cte())},
+bound AS (SELECT *, {O.function_name_sql()} AS function_name, {_user_message_sql()} AS user_message
+          FROM classified WHERE confidence = 'HIGH')
+SELECT substr(sha256(user_message), 1, 16) AS prompt_id, intent_key, language, intent_type,
+       function_name, user_message, count(*) AS n_requests
+FROM bound GROUP BY ALL""")(
+    lambda spark, d: C.build_prompt_work(_passed(spark, d))[0])
+
+register("name_collisions", f"""WITH {O.pipeline(O.requests_cte())},
+named AS (SELECT DISTINCT language, intent_key, {O.function_name_sql()} AS function_name
+          FROM classified WHERE confidence = 'HIGH')
+SELECT language, function_name, count(*) AS n_keys,
+       string_agg(intent_key, ',' ORDER BY intent_key) AS intent_keys
+FROM named GROUP BY language, function_name HAVING count(*) > 1""")(
+    lambda spark, d: C.name_collisions(_passed(spark, d)))
+
+_PAIRS = ", ".join(f"({O.q(a)}, {O.q(b)})" for i, a in enumerate(dims.TYPES)
+                   for b in dims.TYPES[i + 1:])
+register("rule_overlap", f"""WITH {O.pipeline(O.requests_cte())},
+pairs AS (SELECT * FROM (VALUES {_PAIRS}) AS p(rule_1, rule_2))
+SELECT rule_1, rule_2, count(*) AS n
+FROM classified JOIN pairs ON list_contains(matches, rule_1) AND list_contains(matches, rule_2)
+GROUP BY rule_1, rule_2""")(
+    lambda spark, d: C.rule_overlap(_classified(spark, d)))
+
+register("verb_gap_topk", f"""WITH {O.pipeline(O.documents_cte())}
+SELECT regexp_extract(lower(norm_text), '[a-z]+') AS word, count(*) AS n
+FROM canonical WHERE verb = 'unknown' AND regexp_extract(lower(norm_text), '[a-z]+') <> ''
+GROUP BY 1 ORDER BY n DESC, word LIMIT 20""")(
+    lambda spark, d: C.verb_gap_topk(C.canonicalise(
+        ingest_requests(FX.document_requests(spark, d)).where(
+            (F.col("status") == "ok") & (F.col("source") == "freetext")))))
+
+
+def _taxonomy_sql(src_cte: str) -> str:
+    return f"""WITH {src_cte}, {O.ingested_cte()},
+{O.canonical_cte(name='can_old')}, {O.classified_cte('can_old', 'cls_old')},
+{O.canonical_cte(table=C.VERB_SYNONYMS_V2, name='can_new')}, {O.classified_cte('can_new', 'cls_new')}
+SELECT o.req_id, o.language, o.verb AS old_verb, n.verb AS new_verb, o.noun AS old_noun,
+       n.noun AS new_noun, o.intent_type AS old_type, n.intent_type AS new_type,
+       o.confidence AS old_confidence, n.confidence AS new_confidence
+FROM cls_old o JOIN cls_new n USING (req_id)
+WHERE o.verb <> n.verb OR o.noun <> n.noun OR o.intent_type <> n.intent_type
+   OR o.confidence <> n.confidence"""
+
+
+register("taxonomy_diff", _taxonomy_sql(O.requests_cte()))(
+    lambda spark, d: C.taxonomy_diff(FX.requests(spark, d)))
+register("taxonomy_diff_documents", _taxonomy_sql(O.documents_cte()))(
+    lambda spark, d: C.taxonomy_diff(FX.document_requests(spark, d)))
+
+
+def _split_sql() -> str:
+    syns = dims.all_synonyms() + [v for v in dims.EXTRA_INTENT_VERBS if v not in dims.all_synonyms()]
+    vc = " + ".join(f"CASE WHEN contains(' ' || l || ' ', {O.q(' ' + s + ' ')}) THEN 1 ELSE 0 END"
+                    for s in syns)
+    single = " OR ".join(f"contains(l, {O.q(p)})" for p in dims.SINGLE_INTENT_PHRASES)
+    st = O.strip_sql("x")
+
+    def clean(arr):
+        return f"list_filter(list_transform({arr}, lambda x: {st}), lambda x: x <> '')"
+
+    n = len(FX.MULTI_PHRASES)
+    return f"""WITH mr AS (SELECT o_orderkey AS req_id,
+    {O.sql_list(FX.MULTI_PHRASES)}[(o_orderkey % {n}) + 1] AS text FROM orders),
+s0 AS (SELECT req_id, {O.strip_sql('text')} AS t FROM mr),
+s1 AS (SELECT *, lower(t) AS l, regexp_split_to_array(t, '\\d+\\.') AS num,
+              regexp_split_to_array(t, '(?i)\\band\\b(?:\\s+also\\b)?') AS ands FROM s0),
+s2 AS (SELECT req_id, CASE
+    WHEN {single} THEN [t]
+    WHEN len(num) - 1 >= 2 THEN {clean('num[2:]')}
+    WHEN contains(t, ',') AND ({vc}) >= 2 AND len({clean("string_split(t, ',')")}) >= 2
+      THEN {clean("string_split(t, ',')")}
+    WHEN len(ands) >= 2 AND ({vc}) >= 2 AND len({clean('ands')}) >= 2 THEN {clean('ands')}
+    ELSE [t] END AS parts FROM s1)
+SELECT req_id, generate_subscripts(parts, 1) - 1 AS pos, unnest(parts) AS sub_text FROM s2"""
+
+
+register("split_requests", _split_sql())(
+    lambda spark, d: C.split_requests(FX.multi_requests(spark, d)))
+
+
+# ------------------------------------------------------------- replies ----
+from canopy.operators import attempts as A  # noqa: E402
+from canopy.operators import registry as G  # noqa: E402
+from canopy.operators import replies as R  # noqa: E402
+
+
+def _validated(spark, d):
+    return R.validate_replies(FX.attempts(spark, d))
+
+
+def _sections(spark, d):
+    return R.pivot_sections(_validated(spark, d))
+
+
+def _results(spark, d):
+    return A.resolve_attempts(_validated(spark, d))
+
+
+_V = f"WITH {O.attempts_cte()}, {O.validated_cte()}"
+
+register("extract_sections", f"""{_V}
+SELECT req_id, attempt, s.pos AS pos, s.section AS section, s.body AS body
+FROM (SELECT req_id, attempt, unnest(secs) AS s FROM sec3)""")(
+    lambda spark, d: R.extract_sections(FX.attempts(spark, d)))
+
+register("validate_replies", f"""{_V}
+SELECT req_id, attempt, status, CASE WHEN status = 'missing_section' THEN detail END AS detail,
+       content_hash FROM hashed""")(
+    lambda spark, d: _validated(spark, d).select("req_id", "attempt", "status", "detail",
+                                                 "content_hash"))
+
+register("reply_failure_rates", f"""{_V}
+SELECT status, tpl_id, count(*) AS n FROM hashed GROUP BY status, tpl_id""")(
+    lambda spark, d: R.failure_rates(_validated(spark, d), "tpl_id"))
+
+_SEC_COLS = ["req_id", "attempt", "content_hash", "intent_classification", "signature",
+             "implementation", "invariants", "test_oracle", "dependencies"]
+register("pivot_sections", f"""{_V}
+SELECT {', '.join(_SEC_COLS)} FROM sections""")(
+    lambda spark, d: _sections(spark, d).select(*_SEC_COLS))
+
+register("reply_hash_groups", f"""{_V}
+SELECT content_hash, count(*) AS n_replies, count(DISTINCT req_id) AS n_requests,
+       min(req_id) AS first_req_id FROM sections GROUP BY content_hash""")(
+    lambda spark, d: R.hash_groups(_sections(spark, d)))
+
+register("declared_vs_inferred", f"""WITH {O.pipeline(O.requests_cte())}, {O.attempts_cte()},
+{O.validated_cte()},
+declared AS (SELECT req_id,
+    nullif(regexp_extract(intent_classification, '(?m)^\\s*type\\s*:\\s*(\\S+)', 1), '') AS declared_type,
+    nullif(regexp_extract(intent_classification, '(?m)^\\s*confidence\\s*:\\s*(\\S+)', 1), '')
+      AS declared_confidence FROM sections)
+SELECT declared_type, intent_type AS inferred_type, declared_confidence,
+       confidence AS inferred_confidence, count(*) AS n,
+       sum(CASE WHEN declared_type <> intent_type THEN 1 ELSE 0 END)::BIGINT AS n_type_mismatch
+FROM declared JOIN classified USING (req_id) GROUP BY ALL""")(
+    lambda spark, d: R.declared_vs_inferred(_sections(spark, d), _classified(spark, d)))
+
+register("audit_sections", f"""{_V},
+v AS (SELECT * FROM sections, (VALUES
+  ('missing_preconditions'), ('missing_postconditions'), ('missing_edge_cases'),
+  ('no_numeric_edge_case'), ('see_implementation'), ('few_asserts'), ('test_wrapper'),
+  ('mock_stub_spy')) AS r(rule)
+  WHERE CASE rule
+    WHEN 'missing_preconditions' THEN NOT regexp_matches(invariants, '(?i)preconditions')
+    WHEN 'missing_postconditions' THEN NOT regexp_matches(invariants, '(?i)postconditions')
+    WHEN 'missing_edge_cases' THEN NOT regexp_matches(invariants, '(?i)edge[_ ]cases')
+    WHEN 'no_numeric_edge_case' THEN NOT regexp_matches(invariants, '[0-9]')
+    WHEN 'see_implementation' THEN regexp_matches(invariants, '(?i)see implementation')
+    WHEN 'few_asserts' THEN (length(test_oracle) - length(replace(test_oracle, 'assert', ''))) // 6 < 3
+    WHEN 'test_wrapper' THEN regexp_matches(test_oracle, '(?:^|[^A-Za-z0-9_])(?:describe|it|test)\\s*\\(')
+    WHEN 'mock_stub_spy' THEN regexp_matches(test_oracle, '(?i)(?:mock|stub|spy|spies)') END)
+SELECT rule, count(*) AS n_violations FROM v GROUP BY rule""")(
+    lambda spark, d: R.audit_rates(_sections(spark, d)))
+
+register("naming_audit", f"""{_V},
+params AS (
+  SELECT 'signature' AS place, unnest(string_split(regexp_extract(signature, '\\(([^)]*)\\)', 1), ','))
+         AS p FROM sections
+  UNION ALL
+  SELECT 'implementation', unnest(string_split(regexp_extract(implementation, '\\(([^)]*)\\)', 1), ','))
+  FROM sections),
+names AS (SELECT place, regexp_extract(p, '^\\s*\\.{{0,3}}([A-Za-z_$][A-Za-z0-9_$]*)', 1) AS param
+          FROM params)
+SELECT place, param, count(*) AS n FROM names
+WHERE param IN ({', '.join(O.q(b) for b in dims.BANNED_PARAMETER_NAMES)})
+GROUP BY place, param""")(
+    lambda spark, d: R.naming_audit(_sections(spark, d)).groupBy("place", "param")
+    .agg(F.count("*").alias("n")))
+
+# ------------------------------------------------------------ attempts ----
+register("resolve_attempts", f"""{_V}
+SELECT req_id, status, attempt, attempts_used, content_hash, error FROM results""")(
+    lambda spark, d: _results(spark, d))
+
+register("retry_stats", f"""{_V},
+h AS (SELECT attempts_used, status, count(*) AS n FROM results GROUP BY ALL)
+SELECT attempts_used, status, n,
+       sum(n) OVER (PARTITION BY status ORDER BY attempts_used
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS cumulative
+FROM h""")(
+    lambda spark, d: A.retry_stats(None, _results(spark, d)))
+
+register("exhausted_reasons", f"""{_V}
+SELECT attempt, status, count(*) AS n FROM hashed
+WHERE req_id IN (SELECT req_id FROM results WHERE status = 'failed') GROUP BY ALL""")(
+    lambda spark, d: A.exhausted_reasons(_validated(spark, d), _results(spark, d)))
+
+
+def _prompts(spark, d):
+    return C.bind_prompts(_passed(spark, d)).select("req_id", "user_message")
+
+
+register("expand_retry_prompts", f"""WITH {O.pipeline(O.requests_cte())}, {O.attempts_cte()},
+{O.validated_cte()},
+bound AS (SELECT req_id, {_user_message_sql()} AS user_message FROM classified
+          WHERE confidence = 'HIGH'),
+p AS (SELECT req_id, user_message, unnest(range(1, attempts_used + 1)) AS attempt
+      FROM bound JOIN results USING (req_id))
+SELECT req_id, attempt, substr(sha256(user_message || repeat({O.q(dims.RETRY_SUFFIX)}, attempt - 1)),
+       1, 16) AS prompt_hash,
+       length(user_message || repeat({O.q(dims.RETRY_SUFFIX)}, attempt - 1)) AS prompt_length
+FROM p""")(
+    lambda spark, d: A.expand_retry_prompts(_prompts(spark, d), _results(spark, d)).select(
+        "req_id", "attempt", A.prompt_hash(F.col("prompt")).alias("prompt_hash"),
+        F.length("prompt").alias("prompt_length")))

@@ -143,3 +143,68 @@ def function_name_sql(t="intent_type", v="verb", n="noun", lang="language") -> s
 
 def pipeline(src_cte: str) -> str:
     return ",\n".join([src_cte, ingested_cte(), canonical_cte(), classified_cte()])
+
+
+def attempts_cte() -> str:
+    n = len(FX.REPLY_TEMPLATES)
+    tpl = "((o_orderkey * 7 + a.attempt * 3 * (o_orderkey % 3)) % {n})".format(n=n)
+    return f"""attempts AS (
+  SELECT o_orderkey AS req_id, o_custkey AS session_id, o_orderdate AS ts, a.attempt,
+         {tpl}::INTEGER AS tpl_id,
+         replace({sql_list(FX.REPLY_TEMPLATES)}[{tpl} + 1], '~', chr(10)) AS raw
+  FROM orders, (VALUES (1), (2), (3)) AS a(attempt))"""
+
+
+def validated_cte(src: str = "attempts") -> str:
+    req = sql_list(dims.REQUIRED_SECTIONS)
+    st = strip_sql("p[i + 1]")
+    imports = " OR ".join(f"regexp_matches(code0, '{r}')" for r in (
+        "(?m)^\\s*import\\s+", "(?m)^\\s*from\\s+\\S+\\s+import\\s+", "(?m)^\\s*require\\s*\\("))
+    return f"""sec0 AS (SELECT *, string_split(raw, '---') AS p FROM {src}),
+sec1 AS (SELECT *, list_filter(list_transform(range(2, len(p)),
+            lambda i: {{'section': p[i], 'body': {st}}}),
+            lambda s: regexp_full_match(s.section, '\\w+')) AS found FROM sec0),
+sec2 AS (SELECT *, list_transform(found, lambda s, k: {{'pos': k - 1, 'section': s.section,
+            'body': s.body}}) AS numbered FROM sec1),
+sec3 AS (SELECT * EXCLUDE (p, found), list_filter(numbered, lambda s, k: NOT list_contains(
+            list_transform(numbered[k + 1:], lambda o: o.section), s.section)) AS secs
+         FROM sec2),
+v0 AS (SELECT *, list_transform(secs, lambda s: s.section) AS names,
+              list_filter(secs, lambda s: s.section = 'IMPLEMENTATION')[1].body AS impl FROM sec3),
+v1 AS (SELECT *, (length(impl) - length(replace(impl, '```', ''))) // 3 AS fences,
+              {strip_sql("regexp_replace(impl, '```\\w*\\n?', '', 'g')")} AS code0 FROM v0),
+validated AS (SELECT *, CASE
+    WHEN contains(raw, '---AMBIGUITY---') THEN 'ambiguity'
+    WHEN len(secs) = 0 THEN 'no_sections'
+    WHEN NOT list_has_all(names, {req}) THEN 'missing_section'
+    WHEN fences < 2 THEN 'fence_missing'
+    WHEN fences > 2 THEN 'fence_multiple'
+    WHEN code0 = '' THEN 'empty_code'
+    WHEN {imports} THEN 'import'
+    ELSE 'ok' END AS status,
+  CASE WHEN NOT contains(raw, '---AMBIGUITY---') AND len(secs) > 0
+       THEN list_filter({req}, lambda n: NOT list_contains(names, n))[1] END AS detail,
+  CASE WHEN fences = 2 THEN code0 END AS code
+  FROM v1),
+hashed AS (SELECT *, CASE status WHEN 'ok' THEN substr(sha256(code), 1, 16)
+                                 WHEN 'ambiguity' THEN '' END AS content_hash FROM validated),
+sections AS (SELECT req_id, attempt, session_id, ts, content_hash,
+    list_filter(secs, lambda s: s.section = 'INTENT_CLASSIFICATION')[1].body AS intent_classification,
+    list_filter(secs, lambda s: s.section = 'SIGNATURE')[1].body AS signature,
+    code AS implementation,
+    list_filter(secs, lambda s: s.section = 'INVARIANTS')[1].body AS invariants,
+    list_filter(secs, lambda s: s.section = 'TEST_ORACLE')[1].body AS test_oracle,
+    list_filter(secs, lambda s: s.section = 'DEPENDENCIES')[1].body AS dependencies
+  FROM hashed WHERE status = 'ok'),
+results AS (
+  SELECT req_id,
+    coalesce(arg_min(status, attempt) FILTER (WHERE status IN ('ok', 'ambiguity') AND attempt <= 3),
+             'failed') AS status,
+    min(attempt) FILTER (WHERE status IN ('ok', 'ambiguity') AND attempt <= 3) AS attempt,
+    coalesce(min(attempt) FILTER (WHERE status IN ('ok', 'ambiguity') AND attempt <= 3),
+             least(max(attempt) FILTER (WHERE attempt <= 3), 3)) AS attempts_used,
+    coalesce(arg_min(content_hash, attempt) FILTER (WHERE status IN ('ok', 'ambiguity')
+             AND attempt <= 3), '') AS content_hash,
+    CASE WHEN count(*) FILTER (WHERE status IN ('ok', 'ambiguity') AND attempt <= 3) = 0
+         THEN 'Schema validation failed after 3 attempts' END AS error
+  FROM hashed GROUP BY req_id)"""

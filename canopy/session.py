@@ -60,4 +60,5 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    from canopy.functions.frames import spread
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))

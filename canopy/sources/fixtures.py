@@ -139,7 +139,9 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = table(spark, sf_dir, "orders").select(
         k.alias("req_id"), F.col("o_custkey").alias("session_id"),
         F.col("o_orderdate").alias("ts"), a)
-    tpl = ((F.col("req_id") * 7 + F.col("attempt") * 3) % len(REPLY_TEMPLATES)).cast("int")
+    # every third request repeats one template on all attempts, so some exhaust the budget
+    tpl = ((F.col("req_id") * 7 + F.col("attempt") * 3 * (F.col("req_id") % 3))
+           % len(REPLY_TEMPLATES)).cast("int")
     return base.select(
         "req_id", "session_id", "ts", F.col("attempt").cast("int").alias("attempt"),
         tpl.alias("tpl_id"),
