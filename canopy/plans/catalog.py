@@ -299,8 +299,8 @@ GROUP BY place, param""")(
 
 # ------------------------------------------------------------ attempts ----
 register("resolve_attempts", f"""{_V}
-SELECT req_id, status, attempt, attempts_used, content_hash, error FROM results""")(
-    lambda spark, d: _results(spark, d))
+SELECT req_id, status, attempts_used, content_hash, error FROM results""")(
+    lambda spark, d: _results(spark, d).drop("attempt"))
 
 register("retry_stats", f"""{_V},
 h AS (SELECT attempts_used, status, count(*) AS n FROM results GROUP BY ALL)
