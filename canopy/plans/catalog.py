@@ -333,3 +333,151 @@ FROM p""")(
     lambda spark, d: A.expand_retry_prompts(_prompts(spark, d), _results(spark, d)).select(
         "req_id", "attempt", A.prompt_hash(F.col("prompt")).alias("prompt_hash"),
         F.length("prompt").alias("prompt_length")))
+
+# ------------------------------------------------------------ registry ----
+_REC = ["content_hash", "intent_classification", "signature", "implementation", "invariants",
+        "test_oracle", "dependencies"]
+
+
+def _registry_input(spark, d):
+    res = _results(spark, d).select("req_id", "attempt", "status")
+    sec = _sections(spark, d)
+    return res.join(sec, ["req_id", "attempt"], "left")
+
+
+def _registry(spark, d):
+    return G.registry_upsert(None, _registry_input(spark, d))
+
+
+_RESULTS_SEC = f"""{_V},
+persisted AS (SELECT r.req_id, r.status, s.* EXCLUDE (req_id)
+              FROM results r LEFT JOIN sections s
+              ON r.req_id = s.req_id AND r.attempt = s.attempt)"""
+
+register("registry_upsert", f"""{_RESULTS_SEC}
+SELECT content_hash, {', '.join(f"arg_max({c}, (ts, req_id, attempt)) AS {c}" for c in _REC[1:])},
+       max(ts) AS ts, arg_max(req_id, (ts, req_id, attempt)) AS req_id,
+       arg_max(attempt, (ts, req_id, attempt)) AS attempt
+FROM persisted WHERE implementation IS NOT NULL GROUP BY content_hash""")(
+    lambda spark, d: _registry(spark, d)[0])
+
+register("registry_rejects", f"""{_RESULTS_SEC}
+SELECT status, count(*) AS n FROM persisted WHERE implementation IS NULL GROUP BY status""")(
+    lambda spark, d: _registry_input(spark, d).where(F.col("implementation").isNull())
+    .groupBy("status").agg(F.count("*").alias("n")))
+
+
+def _lookup(spark, d):
+    keys = (_validated(spark, d).where(F.col("code").isNotNull())
+            .select(R.T.hash16(F.col("code")).alias("content_hash")).distinct())
+    found, missing = G.registry_lookup(_registry(spark, d)[0], keys)
+    return (found.select("content_hash", F.lit(True).alias("found"))
+            .unionByName(missing.select("content_hash", F.lit(False).alias("found"))))
+
+
+register("registry_lookup", f"""{_RESULTS_SEC},
+reg AS (SELECT DISTINCT content_hash FROM persisted WHERE implementation IS NOT NULL),
+keys AS (SELECT DISTINCT substr(sha256(code), 1, 16) AS content_hash FROM hashed
+         WHERE code IS NOT NULL)
+SELECT k.content_hash, r.content_hash IS NOT NULL AS found
+FROM keys k LEFT JOIN reg r USING (content_hash)""")(_lookup)
+
+register("registry_export", f"""{_RESULTS_SEC},
+reg AS (SELECT content_hash,
+    {', '.join(f"arg_max({c}, (ts, req_id, attempt)) AS {c}" for c in _REC[1:])}
+    FROM persisted WHERE implementation IS NOT NULL GROUP BY content_hash)
+SELECT content_hash, json_object({', '.join(f"'{c}', {c}" for c in _REC)})::VARCHAR AS json
+FROM reg""")(
+    lambda spark, d: G.registry_json(_registry(spark, d)[0]))
+
+
+def _report_sql_expr() -> str:
+    def block(title, col, first=False):
+        return f"{'' if first else 'chr(10) || '}'=== {title} ===' || chr(10) || {col}"
+    body = " || chr(10) || ".join([
+        block("Intent Classification", "intent_classification", True),
+        block("Signature", "signature"), block("Implementation", "implementation"),
+        block("Invariants", "invariants"), block("Test Oracle", "test_oracle")])
+    deps = ("CASE WHEN dependencies IS NOT NULL AND dependencies <> '' THEN chr(10) || "
+            + block("Dependencies", "dependencies") + " || chr(10) ELSE chr(10) END")
+    return (f"CASE WHEN implementation IS NULL THEN 'ERROR: No sections available' "
+            f"ELSE {body} || {deps} || chr(10) || '[Hash: ' || content_hash || ']' END")
+
+
+register("report_export", f"""{_RESULTS_SEC}
+SELECT req_id, status, {_report_sql_expr()} AS report FROM persisted""")(
+    lambda spark, d: G.report_text(
+        _registry_input(spark, d)
+        .withColumn("unclear_dimension", F.lit(None).cast("string"))
+        .withColumn("clarifying_question", F.lit(None).cast("string"))
+        .withColumn("assumed_interpretation", F.lit(None).cast("string")))
+    .select("req_id", "status", "report"))
+
+register("report_quarantine", f"""WITH {O.pipeline(O.requests_cte())}
+SELECT req_id, 'AMBIGUITY DETECTED' || chr(10) || '  Unclear: ' ||
+  CASE confidence WHEN 'MEDIUM' THEN 'Multiple intent types match for verb ''' || verb ||
+       ''': could be ' || intent_type || ' or another type'
+    ELSE 'Unrecognised verb or no matching intent type for: ''' || text || '''' END ||
+  chr(10) || '  Question: ' ||
+  CASE confidence WHEN 'MEDIUM' THEN 'Is ''' || text || ''' intended as a ' || intent_type || '? (yes/no)'
+    ELSE {O.q(dims.LOW_QUESTION)} END || chr(10) || '  Assumed: ' ||
+  CASE confidence WHEN 'MEDIUM' THEN 'Assuming ' || intent_type || ' based on highest priority match'
+    ELSE 'Assuming PURE_FUNCTION as default for ''' || text || '''' END AS report
+FROM classified WHERE confidence <> 'HIGH'""")(
+    lambda spark, d: G.report_text(C.gate(_classified(spark, d)).where(
+        F.col("route") == "quarantine").withColumn("implementation", F.lit(None).cast("string"))
+        .withColumn("content_hash", F.lit(""))
+        .withColumn("dependencies", F.lit(None).cast("string"))
+        .withColumn("intent_classification", F.lit(None).cast("string"))
+        .withColumn("signature", F.lit(None).cast("string"))
+        .withColumn("invariants", F.lit(None).cast("string"))
+        .withColumn("test_oracle", F.lit(None).cast("string"))).select("req_id", "report"))
+
+
+# --------------------------------------------------------- sub results ----
+def _sub_results(spark, d):
+    parts = C.split_requests(FX.multi_requests(spark, d))
+    raw = parts.select((F.col("req_id") * 100 + F.col("pos")).alias("req_id"),
+                       F.col("req_id").alias("session_id"),
+                       F.lit(None).cast("timestamp").alias("ts"),
+                       F.col("sub_text").alias("text"), F.lit("javascript").alias("alias"))
+    ing = ingest_requests(raw)
+    cls = C.classify(C.canonicalise(ing.where((F.col("status") == "ok")
+                                              & (F.col("source") == "freetext"))))
+    done = cls.select("req_id", F.when(F.col("confidence") == "HIGH", "passed")
+                      .otherwise("ambiguity").alias("status"),
+                      F.when(F.col("confidence") == "HIGH", F.col("intent_key"))
+                      .otherwise(F.col("confidence")).alias("detail"))
+    failed = ing.where(F.col("status") != "ok").select(
+        "req_id", F.lit("failed").alias("status"), F.col("status").alias("detail"))
+    out = done.unionByName(failed).select(
+        (F.floor(F.col("req_id") / 100)).alias("req_id"), (F.col("req_id") % 100).alias("pos"),
+        "status", "detail")
+    return A.collect_sub_results(out)
+
+
+def _sub_results_sql() -> str:
+    split = _split_sql()[len("WITH "):].replace(
+        "\nSELECT req_id, generate_subscripts(parts, 1) - 1 AS pos, unnest(parts) AS sub_text FROM s2",
+        ",\nsplit AS (SELECT req_id AS orig_id, generate_subscripts(parts, 1) - 1 AS pos, "
+        "unnest(parts) AS sub_text FROM s2)")
+    parts_as_requests = """requests AS (SELECT orig_id * 100 + pos AS req_id, orig_id AS session_id,
+    NULL::TIMESTAMP AS ts, sub_text AS text, sub_text AS norm_src, 'javascript' AS alias FROM split)"""
+    return "WITH " + ",\n".join([split, parts_as_requests, O.ingested_cte(), O.canonical_cte(),
+                                   O.classified_cte()]) + """,
+parts AS (
+  SELECT req_id // 100 AS orig_id, req_id % 100 AS pos,
+         CASE WHEN confidence = 'HIGH' THEN 'passed' ELSE 'ambiguity' END AS status,
+         CASE WHEN confidence = 'HIGH' THEN intent_key ELSE confidence END AS detail
+  FROM classified
+  UNION ALL
+  SELECT req_id // 100, req_id % 100, 'failed', status FROM ingested WHERE status <> 'ok')
+SELECT orig_id AS req_id, count(*) AS n_parts,
+       sum(CASE WHEN status = 'passed' THEN 1 ELSE 0 END)::BIGINT AS n_passed,
+       sum(CASE WHEN status = 'failed' THEN 1 ELSE 0 END)::BIGINT AS n_failed,
+       string_agg(status, ',' ORDER BY pos) AS statuses,
+       string_agg(detail, '|' ORDER BY pos) AS details
+FROM parts GROUP BY orig_id"""
+
+
+register("collect_sub_results", _sub_results_sql())(_sub_results)
