@@ -481,3 +481,71 @@ FROM parts GROUP BY orig_id"""
 
 
 register("collect_sub_results", _sub_results_sql())(_sub_results)
+
+# --------------------------------------------------------------- drift ----
+from canopy.operators import drift as D  # noqa: E402
+
+_DRIFT_MSG = ("'DETERMINISM_VIOLATION' || chr(10) || '  intent_key: ' || intent_key || chr(10) || "
+              "'  expected:   ' || expected || chr(10) || '  received:   ' || content_hash || "
+              "chr(10) || '  Investigate before re-running.'")
+
+register("assign_sessions", f"""WITH {O.results_seq_cte()}
+SELECT req_id, session_id, session_no FROM sessioned""")(
+    lambda spark, d: D.assign_sessions(FX.results_seq(spark, d)).select(
+        "req_id", "session_id", "session_no"))
+
+register("check_drift", f"""WITH {O.results_seq_cte()}
+SELECT req_id, session_id, session_no, intent_key, expected, violation,
+       CASE WHEN violation THEN {_DRIFT_MSG} END AS message FROM checked""")(
+    lambda spark, d: D.check_drift(FX.results_seq(spark, d)).select(
+        "req_id", "session_id", "session_no", "intent_key", "expected", "violation", "message"))
+
+register("drift_report", f"""WITH {O.results_seq_cte()}
+SELECT session_id, session_no, intent_key, count(*) AS n,
+       count(DISTINCT content_hash) AS n_hashes,
+       sum(CASE WHEN violation THEN 1 ELSE 0 END)::BIGINT AS n_violations,
+       min(ts) FILTER (WHERE violation) AS first_violation_ts,
+       arg_min(content_hash, (ts, req_id)) AS expected
+FROM checked GROUP BY ALL HAVING count(DISTINCT content_hash) > 1""")(
+    lambda spark, d: D.drift_report(D.check_drift(FX.results_seq(spark, d))))
+
+register("drift_variants", f"""WITH {O.results_seq_cte()}
+SELECT intent_key, content_hash, count(*) AS n FROM checked GROUP BY ALL""")(
+    lambda spark, d: D.drift_variants(D.check_drift(FX.results_seq(spark, d))))
+
+
+def _cross_session(spark, d):
+    r = FX.results_seq(spark, d)
+    early = F.year("ts") <= 1994
+    return D.cross_session_drift(D.first_hashes(r.where(~early)), D.first_hashes(r.where(early)))
+
+
+register("cross_session_drift", f"""WITH {O.results_seq_cte()},
+b AS (SELECT intent_key, arg_min(content_hash, (ts, req_id)) AS baseline_hash FROM results
+      WHERE year(ts) <= 1994 GROUP BY 1),
+c AS (SELECT intent_key, arg_min(content_hash, (ts, req_id)) AS current_hash FROM results
+      WHERE year(ts) > 1994 GROUP BY 1)
+SELECT coalesce(b.intent_key, c.intent_key) AS intent_key, baseline_hash, current_hash,
+       CASE WHEN baseline_hash IS NULL THEN 'new' WHEN current_hash IS NULL THEN 'gone'
+            WHEN baseline_hash = current_hash THEN 'same' ELSE 'changed' END AS status
+FROM b FULL OUTER JOIN c ON b.intent_key = c.intent_key""")(_cross_session)
+
+_CELLS = ", ".join(f"({O.q(t)}, {O.q(l)})" for t in dims.TYPES for l in dims.LANGUAGES)
+register("regression_matrix", f"""WITH {O.runs_cte()},
+grid AS (SELECT * FROM (VALUES {_CELLS}) AS g(type, language)),
+stats AS (SELECT type, language, count(*) AS calls, count(DISTINCT content_hash) AS n_hashes
+          FROM runs GROUP BY ALL)
+SELECT type, language, coalesce(calls, 0) AS calls, coalesce(n_hashes, 0) AS n_hashes,
+       CASE WHEN calls IS NULL THEN 'missing' WHEN n_hashes > 1 THEN 'drift'
+            WHEN calls < 20 THEN 'short' ELSE 'pass' END AS status
+FROM grid LEFT JOIN stats USING (type, language)""")(
+    lambda spark, d: D.regression_matrix(FX.runs(spark, d)))
+
+register("synonym_stability", f"""WITH {O.runs_cte()},
+per AS (SELECT type, language, phrasing, count(DISTINCT content_hash) AS n_hashes,
+               list_sort(list(DISTINCT content_hash)) AS hs FROM runs GROUP BY ALL)
+SELECT a.type, a.language, a.phrasing AS p1, b.phrasing AS p2, a.n_hashes AS n_hashes_1,
+       b.n_hashes AS n_hashes_2
+FROM per a JOIN per b ON a.type = b.type AND a.language = b.language
+WHERE a.phrasing < b.phrasing AND a.hs <> b.hs""")(
+    lambda spark, d: D.synonym_stability(FX.runs(spark, d)))

@@ -208,3 +208,37 @@ results AS (
     CASE WHEN count(*) FILTER (WHERE status IN ('ok', 'ambiguity') AND attempt <= 3) = 0
          THEN 'Schema validation failed after 3 attempts' END AS error
   FROM hashed GROUP BY req_id)"""
+
+
+def results_seq_cte() -> str:
+    v0, v1 = FX.HASH_VARIANTS
+    return f"""results AS (
+  SELECT o_orderkey AS req_id, o_custkey % {FX.N_SESSIONS} AS session_id, o_orderdate AS ts,
+         md5('add:N' || (o_orderkey % 5)::VARCHAR || ':python:PURE_FUNCTION') AS intent_key,
+         CASE WHEN o_orderkey % 97 = 0 THEN {q(v1)} ELSE {q(v0)} END AS content_hash,
+         CASE WHEN o_orderkey % 50 = 0 THEN 1 ELSE 0 END AS is_reset
+  FROM orders),
+sessioned AS (
+  SELECT *, sum(is_reset) OVER (PARTITION BY session_id ORDER BY ts, req_id
+                                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT
+            AS session_no
+  FROM results),
+firsts AS (SELECT session_id, session_no, intent_key, arg_min(content_hash, (ts, req_id)) AS expected
+           FROM sessioned GROUP BY ALL),
+checked AS (SELECT s.*, f.expected, s.content_hash <> f.expected AS violation
+            FROM sessioned s JOIN firsts f USING (session_id, session_no, intent_key))"""
+
+
+def runs_cte() -> str:
+    t = f"{sql_list(dims.TYPES)}[(l_partkey % {len(dims.TYPES)}) + 1]"
+    l0 = f"{sql_list(dims.LANGUAGES)}[(l_suppkey % {len(dims.LANGUAGES)}) + 1]"
+    return f"""runs0 AS (
+  SELECT l_orderkey * 100 + l_linenumber AS call_id, {t} AS type,
+         CASE WHEN {t} = 'CLASS_METHOD' AND {l0} = 'go' THEN 'typescript' ELSE {l0} END AS language,
+         (l_linenumber % 4)::INTEGER AS phrasing, (l_orderkey % 5)::INTEGER AS run
+  FROM lineitem),
+runs AS (
+  SELECT *, CASE WHEN type = 'PREDICATE' AND language = 'python' AND phrasing = 3
+                 THEN 'drift' || substr(substr(sha256(type || ':' || language), 1, 16), 6, 11)
+                 ELSE substr(sha256(type || ':' || language), 1, 16) END AS content_hash
+  FROM runs0)"""

@@ -146,3 +146,46 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "req_id", "session_id", "ts", F.col("attempt").cast("int").alias("attempt"),
         tpl.alias("tpl_id"),
         F.regexp_replace(pick(REPLY_TEMPLATES, tpl), "~", "\n").alias("raw"))
+
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES: implementation hashes of reply templates 0 and 1
+HASH_VARIANTS: list[str] = ["a2a69ff27caa2bdf", "62e46070ace177cd"]
+N_SESSIONS = 40
+# ---------------------------------------------------------------------------
+
+
+def results_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """results_seq(req_id, session_id, ts, intent_key, content_hash, is_reset)."""
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(
+        k.alias("req_id"),
+        (F.col("o_custkey") % N_SESSIONS).alias("session_id"),
+        F.col("o_orderdate").alias("ts"),
+        F.md5(F.concat(F.lit("add:N"), (k % 5).cast("string"),
+                       F.lit(":python:PURE_FUNCTION"))).alias("intent_key"),
+        F.when(k % 97 == 0, HASH_VARIANTS[1]).otherwise(HASH_VARIANTS[0]).alias("content_hash"),
+        F.when(k % 50 == 0, 1).otherwise(0).alias("is_reset"),
+    )
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """runs(call_id, type, language, phrasing, run, content_hash): one call per line item.
+
+    Cell (go, CLASS_METHOD) never gets calls (they are sent as typescript);
+    cell (python, PREDICATE) drifts on phrasing 3.
+    """
+    from canopy.functions import dims
+    t = pick(dims.TYPES, F.col("l_partkey") % len(dims.TYPES))
+    lang0 = pick(dims.LANGUAGES, F.col("l_suppkey") % len(dims.LANGUAGES))
+    li = table(spark, sf_dir, "lineitem")
+    base = li.select(
+        (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("call_id"),
+        t.alias("type"),
+        F.when((t == "CLASS_METHOD") & (lang0 == "go"), "typescript").otherwise(lang0).alias("language"),
+        (F.col("l_linenumber") % 4).cast("int").alias("phrasing"),
+        (F.col("l_orderkey") % 5).cast("int").alias("run"))
+    h = F.substring(F.sha2(F.concat_ws(":", "type", "language"), 256), 1, 16)
+    drift = (F.col("type") == "PREDICATE") & (F.col("language") == "python") & (F.col("phrasing") == 3)
+    return base.withColumn("content_hash", F.when(drift, F.concat(F.lit("drift"), F.substring(h, 6, 11)))
+                           .otherwise(h))
