@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopy.functions import dims
+from canopy.functions.frames import running_sum
 
 VIOLATION = ("DETERMINISM_VIOLATION\n  intent_key: %s\n  expected:   %s\n  received:   %s\n"
              "  Investigate before re-running.")
@@ -20,24 +21,11 @@ VIOLATION = ("DETERMINISM_VIOLATION\n  intent_key: %s\n  expected:   %s\n  recei
 
 # ---------------------------------------------------------------- #31 ----
 def assign_sessions(results: DataFrame, chunk_seconds: int = 86400 * 30) -> DataFrame:
-    """Add ``session_no``: number of reset rows at or before the row in its session.
-
-    Rows are cut into time chunks per session; a window runs inside each chunk
-    and the resets of earlier chunks come from a small per-chunk aggregate.
-    """
-    chunk = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / chunk_seconds)
-    r = results.withColumn("_chunk", chunk)
-    w = (Window.partitionBy("session_id", "_chunk").orderBy("ts", "req_id")
-         .rowsBetween(Window.unboundedPreceding, 0))
-    within = r.withColumn("_in", F.sum("is_reset").over(w))
-    per_chunk = r.groupBy("session_id", "_chunk").agg(F.sum("is_reset").alias("_n"))
-    w2 = Window.partitionBy("session_id").orderBy("_chunk").rowsBetween(
-        Window.unboundedPreceding, -1)
-    before = per_chunk.select("session_id", "_chunk",
-                              F.coalesce(F.sum("_n").over(w2), F.lit(0)).alias("_before"))
-    return (within.join(before, ["session_id", "_chunk"])
-            .withColumn("session_no", (F.col("_before") + F.col("_in")).cast("long"))
-            .drop("_chunk", "_in", "_before"))
+    """Add ``session_no``: number of reset rows at or before the row in its session
+    (a reset row opens the new session).  Two-level prefix sum, see ``running_sum``."""
+    return (running_sum(results, "session_id", ["ts", "req_id"], "is_reset", "ts",
+                        out="session_no", chunk_seconds=chunk_seconds)
+            .withColumn("session_no", F.col("session_no").cast("long")))
 
 
 # ---------------------------------------------------------------- #32 ----

@@ -549,3 +549,129 @@ SELECT a.type, a.language, a.phrasing AS p1, b.phrasing AS p2, a.n_hashes AS n_h
 FROM per a JOIN per b ON a.type = b.type AND a.language = b.language
 WHERE a.phrasing < b.phrasing AND a.hs <> b.hs""")(
     lambda spark, d: D.synonym_stability(FX.runs(spark, d)))
+
+# ---------------------------------------------------------------- logs ----
+from canopy.operators import logs as L  # noqa: E402
+from canopy.sources.logs import ingest_log  # noqa: E402
+
+
+def _log(spark, d):
+    return ingest_log(FX.log_lines(spark, d))[0]
+
+
+def _calls(spark, d):
+    return L.pair_calls(_log(spark, d))[0]
+
+
+register("ingest_log", f"""WITH {O.log_cte()}
+SELECT event, count(*) AS n, count(DISTINCT trace_id) AS n_traces,
+       coalesce(sum(tokens_in), 0)::BIGINT AS tokens_in,
+       coalesce(sum(tokens_out), 0)::BIGINT AS tokens_out,
+       round(coalesce(sum(latency_ms), 0), 2) AS latency_ms, min(ts) AS first_ts, max(ts) AS last_ts
+FROM log GROUP BY event""")(
+    lambda spark, d: _log(spark, d).groupBy("event").agg(
+        F.count("*").alias("n"), F.count_distinct("trace_id").alias("n_traces"),
+        F.coalesce(F.sum("tokens_in"), F.lit(0)).alias("tokens_in"),
+        F.coalesce(F.sum("tokens_out"), F.lit(0)).alias("tokens_out"),
+        F.round(F.coalesce(F.sum("latency_ms"), F.lit(0.0)), 2).alias("latency_ms"),
+        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")))
+
+register("ingest_log_corrupt", """SELECT count(*) AS n FROM events WHERE event_id % 1000 = 7""")(
+    lambda spark, d: ingest_log(FX.log_lines(spark, d))[1].agg(F.count("*").alias("n")))
+
+register("span_latency", f"""WITH {O.log_cte()}
+SELECT operation, count(*) AS n, round(avg(latency_ms), 4) AS mean_ms,
+       round(quantile_cont(latency_ms, 0.5), 4) AS p50_ms,
+       round(quantile_cont(latency_ms, 0.95), 4) AS p95_ms,
+       round(quantile_cont(latency_ms, 0.99), 4) AS p99_ms, max(latency_ms) AS max_ms
+FROM log WHERE event = 'span_completed' GROUP BY operation""")(
+    lambda spark, d: L.span_latency(_log(spark, d)))
+
+register("pair_calls", f"""WITH {O.log_cte()}
+SELECT trace_id, span_id, start_ts, end_ts, tokens_in, tokens_out, latency_ms, model FROM calls""")(
+    lambda spark, d: _calls(spark, d).select("trace_id", "span_id", "start_ts", "end_ts",
+                                             "tokens_in", "tokens_out", "latency_ms", "model"))
+
+register("call_orphans", f"""WITH {O.log_cte()}
+SELECT coalesce(s.trace_id, d.trace_id) AS trace_id, coalesce(s.span_id, d.span_id) AS span_id,
+       CASE WHEN d.span_id IS NULL THEN 'failed_call' ELSE 'complete_without_start' END AS kind
+FROM starts s FULL OUTER JOIN dones d ON s.trace_id = d.trace_id AND s.span_id = d.span_id
+WHERE s.span_id IS NULL OR d.span_id IS NULL""")(
+    lambda spark, d: L.pair_calls(_log(spark, d))[1].select("trace_id", "span_id", "kind"))
+
+register("usage_rollup", f"""WITH {O.log_cte()}
+SELECT model, session_id, date_trunc('hour', start_ts) AS hour,
+       GROUPING(model, session_id, date_trunc('hour', start_ts)) AS gid, count(*) AS calls,
+       sum(tokens_in)::BIGINT AS tokens_in, sum(tokens_out)::BIGINT AS tokens_out,
+       sum(CASE WHEN attempt > 1 THEN 1 ELSE 0 END)::BIGINT AS retries
+FROM calls GROUP BY ROLLUP (model, session_id, date_trunc('hour', start_ts))""")(
+    lambda spark, d: L.usage_rollup(_calls(spark, d)))
+
+register("context_budget", f"""WITH {O.log_cte()},
+r AS (SELECT *, tokens_in + tokens_out AS tokens,
+             sum(tokens_in + tokens_out) OVER (PARTITION BY session_id ORDER BY start_ts, span_id
+               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running_tokens FROM calls)
+SELECT session_id, span_id, start_ts, running_tokens::BIGINT AS running_tokens,
+       5000 AS window_tokens
+FROM r WHERE running_tokens >= 2000 AND running_tokens - tokens < 2000""")(
+    lambda spark, d: L.context_budget(_calls(spark, d), 5000))
+
+register("config_lock_audit", f"""WITH {O.log_cte()}
+SELECT session_id, span_id, 'temperature' AS kind FROM starts WHERE temperature <> 0
+UNION ALL
+SELECT session_id, span_id, 'model' FROM starts
+WHERE model <> {O.q(dims.PINNED_MODEL)} OR contains(model, 'latest') OR contains(model, 'preview')
+UNION ALL
+SELECT session_id, span_id, 'max_tokens' FROM starts WHERE max_tokens <> {dims.PINNED_MAX_TOKENS}
+UNION ALL
+SELECT session_id, NULL, 'system_prompt' FROM starts GROUP BY session_id
+HAVING count(DISTINCT system_prompt_hash) > 1""")(
+    lambda spark, d: L.config_lock_audit(
+        _log(spark, d).where(F.col("event") == "llm_call_start")))
+
+register("prompt_audit", f"""WITH {O.pipeline(O.requests_cte())},
+r AS (SELECT *, substr(sha256(text), 1, 16) AS prompt_hash FROM requests),
+f AS (SELECT session_id, prompt_hash, arg_min(req_id, (ts, req_id)) AS first_req_id FROM r
+      GROUP BY ALL)
+SELECT r.req_id, r.session_id, r.ts, r.prompt_hash, c.intent_type, c.confidence,
+       r.req_id <> f.first_req_id AS repeated
+FROM r JOIN f USING (session_id, prompt_hash) LEFT JOIN classified c ON c.req_id = r.req_id""")(
+    lambda spark, d: L.prompt_audit(FX.requests(spark, d), _classified(spark, d)))
+
+
+def _funnel(spark, d):
+    reqs = FX.requests(spark, d)
+    ing = ingest_requests(reqs)
+    cls = _classified(spark, d)
+    work, _ = C.build_prompt_work(cls.where(F.col("confidence") == "HIGH"))
+    res = _results(spark, d)
+    reg = _registry(spark, d)[0]
+    n = lambda df: df.agg(F.count("*").alias("n"))
+    return L.pipeline_funnel([
+        (1, "requests", n(reqs)),
+        (2, "ingested", n(ing.where(F.col("status") == "ok"))),
+        (3, "freetext", n(ing.where((F.col("status") == "ok") & (F.col("source") == "freetext")))),
+        (4, "passed_gate", n(cls.where(F.col("confidence") == "HIGH"))),
+        (5, "distinct_prompts", n(work)),
+        (6, "resolved_ok", n(res.where(F.col("status") == "ok"))),
+        (7, "registry_records", n(reg)),
+    ])
+
+
+register("pipeline_funnel", f"""WITH {O.pipeline(O.requests_cte())}, {O.attempts_cte()},
+{O.validated_cte()},
+persisted AS (SELECT r.req_id, r.status, s.* EXCLUDE (req_id)
+              FROM results r LEFT JOIN sections s ON r.req_id = s.req_id AND r.attempt = s.attempt),
+st AS (
+  SELECT 1 AS stage_no, 'requests' AS stage, count(*) AS n FROM requests
+  UNION ALL SELECT 2, 'ingested', count(*) FROM ingested WHERE status = 'ok'
+  UNION ALL SELECT 3, 'freetext', count(*) FROM ingested WHERE status = 'ok' AND source = 'freetext'
+  UNION ALL SELECT 4, 'passed_gate', count(*) FROM classified WHERE confidence = 'HIGH'
+  UNION ALL SELECT 5, 'distinct_prompts', count(*) FROM (SELECT DISTINCT intent_key, language,
+      intent_type, {O.function_name_sql()}, {_user_message_sql()} FROM classified
+      WHERE confidence = 'HIGH')
+  UNION ALL SELECT 6, 'resolved_ok', count(*) FROM results WHERE status = 'ok'
+  UNION ALL SELECT 7, 'registry_records', count(DISTINCT content_hash) FROM persisted
+      WHERE implementation IS NOT NULL)
+SELECT stage_no, stage, n, round(n / lag(n) OVER (ORDER BY stage_no), 4) AS conversion FROM st""")(
+    _funnel)

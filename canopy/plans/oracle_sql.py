@@ -242,3 +242,38 @@ runs AS (
                  THEN 'drift' || substr(substr(sha256(type || ':' || language), 1, 16), 6, 11)
                  ELSE substr(sha256(type || ':' || language), 1, 16) END AS content_hash
   FROM runs0)"""
+
+
+def log_cte() -> str:
+    k = "json_extract_string(props, '$.k')::BIGINT"
+    trace = "'t' || user_id::VARCHAR"
+    span = "lpad(hex(event_id), 8, '0')"
+    ops = sql_list(dims.SPAN_OPERATIONS)
+    n_ops = len(dims.SPAN_OPERATIONS)
+    h0, h1 = FX.SYSTEM_PROMPT_HASHES
+    return f"""log AS (
+  SELECT 'llm_call_start' AS event, {trace} AS trace_id, {span} AS span_id, ts AS ts,
+         {trace} AS session_id,
+         CASE WHEN event_id % 307 = 0 THEN {q(FX.OFF_PIN_MODEL)} ELSE {q(dims.PINNED_MODEL)} END
+           AS model,
+         CASE WHEN event_id % 501 = 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS temperature,
+         {dims.PINNED_MAX_TOKENS}::BIGINT AS max_tokens,
+         CASE WHEN event_id % 997 = 0 THEN {q(h1)} ELSE {q(h0)} END AS system_prompt_hash,
+         (event_id % 3 + 1)::BIGINT AS attempt, NULL::BIGINT AS tokens_in, NULL::BIGINT AS tokens_out,
+         NULL::DOUBLE AS latency_ms, NULL::VARCHAR AS operation, NULL::VARCHAR AS content_hash
+  FROM events WHERE event_id % 1000 <> 7
+  UNION ALL
+  SELECT 'llm_call_complete', {trace}, {span},
+         make_timestamp(epoch_us(ts) + round(value * 10 * 1000)::BIGINT), {trace},
+         NULL, NULL, NULL, NULL, (event_id % 3 + 1)::BIGINT, {k} * 10, {k}, value * 10, NULL,
+         substr(sha256(props), 1, 16)
+  FROM events WHERE event_id % 11 <> 0
+  UNION ALL
+  SELECT 'span_completed', {trace}, lpad(hex(event_id + 1000000000), 8, '0'), ts, {trace},
+         NULL, NULL, NULL, NULL, NULL, NULL, NULL, value, {ops}[(event_id % {n_ops}) + 1], NULL
+  FROM events),
+starts AS (SELECT trace_id, span_id, session_id, ts AS start_ts, model, temperature, max_tokens,
+                  system_prompt_hash, attempt FROM log WHERE event = 'llm_call_start'),
+dones AS (SELECT trace_id, span_id, ts AS end_ts, tokens_in, tokens_out, latency_ms, content_hash
+          FROM log WHERE event = 'llm_call_complete'),
+calls AS (SELECT * FROM starts JOIN dones USING (trace_id, span_id))"""

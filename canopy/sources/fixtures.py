@@ -189,3 +189,57 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     drift = (F.col("type") == "PREDICATE") & (F.col("language") == "python") & (F.col("phrasing") == 3)
     return base.withColumn("content_hash", F.when(drift, F.concat(F.lit("drift"), F.substring(h, 6, 11)))
                            .otherwise(h))
+
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES: call-log fixture settings
+SYSTEM_PROMPT_HASHES: list[str] = ["5f0c6a1b2d3e4f70", "9a8b7c6d5e4f3a21"]
+OFF_PIN_MODEL = "claude-sonnet-latest"
+# ---------------------------------------------------------------------------
+
+
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """line(string): structured JSON log lines derived from ``events``.
+
+    Per event: an ``llm_call_start`` line, an ``llm_call_complete`` line unless
+    event_id % 11 = 0 (failed call), and a ``span_completed`` line.  A few start
+    lines are truncated (corrupt).  Off-pin settings are planted by event id.
+    """
+    from canopy.functions import dims
+    e = table(spark, sf_dir, "events")
+    eid = F.col("event_id")
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    trace = F.concat(F.lit("t"), F.col("user_id").cast("string")).alias("trace_id")
+    span = F.lpad(F.hex(eid), 8, "0").alias("span_id")
+    tokens = F.get_json_object(F.col("props"), "$.k").cast("long")
+    latency = F.col("value") * 10
+    start = F.to_json(F.struct(
+        F.lit("info").alias("level"), iso(F.col("ts")).alias("timestamp"),
+        F.lit("llm_call_start").alias("event"), trace, span,
+        F.when(eid % 307 == 0, F.lit(OFF_PIN_MODEL)).otherwise(F.lit(dims.PINNED_MODEL)).alias("model"),
+        F.when(eid % 501 == 0, F.lit(0.5)).otherwise(F.lit(0.0)).alias("temperature"),
+        F.lit(dims.PINNED_MAX_TOKENS).alias("max_tokens"),
+        F.when(eid % 997 == 0, F.lit(SYSTEM_PROMPT_HASHES[1]))
+        .otherwise(F.lit(SYSTEM_PROMPT_HASHES[0])).alias("system_prompt_hash"),
+        F.concat(F.lit("Language target: javascript\nIntent type: "),
+                 F.upper(F.col("event_type"))).alias("user_prompt"),
+        (eid % 3 + 1).cast("int").alias("attempt")))
+    complete = F.to_json(F.struct(
+        F.lit("info").alias("level"),
+        iso(F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp"))
+                               + F.round(latency * 1000).cast("long"))).alias("timestamp"),
+        F.lit("llm_call_complete").alias("event"), trace, span,
+        F.substring(F.sha2(F.col("props"), 256), 1, 16).alias("content_hash"),
+        F.lit("end_turn").alias("finish_reason"),
+        (tokens * 10).alias("tokens_in"), tokens.alias("tokens_out"),
+        latency.alias("latency_ms"), (eid % 3 + 1).cast("int").alias("attempt")))
+    span_line = F.to_json(F.struct(
+        F.lit("info").alias("level"), iso(F.col("ts")).alias("timestamp"),
+        F.lit("span_completed").alias("event"), trace,
+        F.lpad(F.hex(eid + 1000000000), 8, "0").alias("span_id"),
+        pick(dims.SPAN_OPERATIONS, eid % len(dims.SPAN_OPERATIONS)).alias("operation"),
+        F.col("value").alias("latency_ms")))
+    start = F.when(eid % 1000 == 7, F.substring(start, 1, 40)).otherwise(start)
+    lines = F.filter(F.array(start, F.when(eid % 11 != 0, complete), span_line),
+                     lambda x: x.isNotNull())
+    return e.select(F.explode(lines).alias("line"))
