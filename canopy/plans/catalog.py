@@ -675,3 +675,52 @@ st AS (
       WHERE implementation IS NOT NULL)
 SELECT stage_no, stage, n, round(n / lag(n) OVER (ORDER BY stage_no), 4) AS conversion FROM st""")(
     _funnel)
+
+# ------------------------------------------------------------ projects ----
+from canopy.operators import projects as P  # noqa: E402
+
+
+def _proj(spark, d):
+    return P.ingest_projects(FX.projects(spark, d))
+
+
+def _items_edges(spark, d):
+    out = _proj(spark, d)
+    edges = P.link_contracts(out["functions"], out["contracts"])
+    return P.generation_items(out["contracts"], out["functions"], edges), edges, out
+
+
+_PW = f"WITH {O.projects_cte()}"
+register("project_violations", f"""{_PW}
+SELECT project_id, error FROM pviol""")(
+    lambda spark, d: _proj(spark, d)["violations"])
+
+register("project_functions", f"""{_PW}
+SELECT project_id, project_language, m_pos, module, f_pos, intent, language_override FROM pfun""")(
+    lambda spark, d: _proj(spark, d)["functions"])
+
+register("link_contracts", f"""{_PW}
+SELECT project_id, key, dep FROM pedges""")(
+    lambda spark, d: _items_edges(spark, d)[1])
+
+register("generation_items", f"""{_PW}
+SELECT i.project_id, i.key, i.intent, i.language, i.module,
+       coalesce(string_agg(e.dep, ',' ORDER BY e.dep), '') AS deps, count(e.dep) AS n_deps
+FROM pitems i LEFT JOIN pedges e USING (project_id, key)
+GROUP BY i.project_id, i.key, i.intent, i.language, i.module""")(
+    lambda spark, d: _items_edges(spark, d)[0])
+
+register("build_order", f"""{_PW},
+m AS (SELECT project_id, key, max(dep) AS maxdep FROM pedges GROUP BY ALL),
+j AS (SELECT i.project_id, i.key, greatest(i.key, coalesce(m.maxdep, i.key)) AS eff
+      FROM pitems i LEFT JOIN m USING (project_id, key))
+SELECT project_id, key, row_number() OVER (PARTITION BY project_id ORDER BY eff, eff <> key, key)
+       AS position FROM j""")(
+    lambda spark, d: P.build_order(*_items_edges(spark, d)[:2]))
+
+register("declared_order", f"""{_PW},
+u AS (SELECT project_id, 'contract:' || contract AS key, 0 AS k, c_pos AS a, 0 AS b FROM pcon
+      UNION ALL SELECT project_id, module || ':' || intent, 1, m_pos, f_pos FROM pfun)
+SELECT project_id, key, row_number() OVER (PARTITION BY project_id ORDER BY k, a, b) AS position,
+       count(*) OVER (PARTITION BY project_id) AS total FROM u""")(
+    lambda spark, d: (lambda o: P.declared_order(o["contracts"], o["functions"]))(_proj(spark, d)))

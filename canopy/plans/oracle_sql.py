@@ -277,3 +277,117 @@ starts AS (SELECT trace_id, span_id, session_id, ts AS start_ts, model, temperat
 dones AS (SELECT trace_id, span_id, ts AS end_ts, tokens_in, tokens_out, latency_ms, content_hash
           FROM log WHERE event = 'llm_call_complete'),
 calls AS (SELECT * FROM starts JOIN dones USING (trace_id, span_id))"""
+
+
+def projects_cte() -> str:
+    n = len(FX.PROJECT_SPECS)
+    st = strip_sql
+    supported = "[" + ", ".join(f"''{x}''" for x in sorted(dims.PROJECT_LANGUAGES)) + "]"
+    langs = ", ".join(q(x) for x in dims.PROJECT_LANGUAGES)
+
+    def req(obj, key, ctx_sql):
+        v = f"json_extract({obj}, '$.{key}')"
+        return (f"WHEN {v} IS NULL THEN 'Missing required field ''{key}'' in ' || {ctx_sql} "
+                f"WHEN json_type({v}) <> 'VARCHAR' OR {st(f'json_extract_string({obj}, {q(chr(36) + chr(46) + key)})')} = '' "
+                f"THEN '''{key}'' must be a non-empty string in ' || {ctx_sql} ")
+
+    lang = f"lower({st(chr(106) + 'son_extract_string(proj, ' + q('$.language') + ')')})"
+    return f"""pspec AS (
+  SELECT s_suppkey AS project_id,
+         replace({sql_list(FX.PROJECT_SPECS)}[(s_suppkey % {n}) + 1], '__ID__', s_suppkey::VARCHAR)
+           AS spec FROM supplier),
+pq AS (SELECT project_id, spec, json_extract(spec, '$.project') AS proj FROM pspec),
+ptop AS (SELECT project_id, 0 AS ord, CASE
+    WHEN json_type(spec) <> 'OBJECT' THEN 'Spec must be a YAML mapping'
+    WHEN proj IS NULL THEN 'Missing top-level ''project'' key'
+    WHEN json_type(proj) <> 'OBJECT' THEN '''project'' must be a mapping'
+    {req('proj', 'name', "'project'")}
+    {req('proj', 'language', "'project'")}
+    WHEN {lang} NOT IN ({langs}) THEN 'Unsupported language: ''' || {lang} || '''. Supported: {supported}'
+    WHEN json_extract(proj, '$.data_contracts') IS NOT NULL
+         AND json_type(json_extract(proj, '$.data_contracts')) <> 'ARRAY'
+      THEN '''data_contracts'' must be a list'
+  END AS error FROM pq),
+pok AS (SELECT pq.* FROM pq JOIN ptop USING (project_id) WHERE ptop.error IS NULL),
+ce AS (SELECT project_id, proj, unnest(range(json_array_length(json_extract(proj, '$.data_contracts'))::BIGINT))
+         AS c_pos FROM pok WHERE json_type(json_extract(proj, '$.data_contracts')) = 'ARRAY'),
+ce2 AS (SELECT project_id, c_pos, json_extract(proj, '$.data_contracts[' || c_pos || ']') AS e,
+               list_transform(json_extract(proj, '$.data_contracts[*]'),
+                 lambda x: {st("json_extract_string(x, '$.name')")}) AS names FROM ce),
+cerr AS (SELECT project_id, 1000000 + c_pos AS ord, CASE
+    WHEN json_type(e) <> 'OBJECT' THEN 'data_contracts[' || c_pos || '] must be a mapping'
+    {req('e', 'name', "'data_contracts[' || c_pos || ']'")}
+    WHEN list_position(names, {st("json_extract_string(e, '$.name')")}) < c_pos + 1
+      THEN 'Duplicate data contract name: ''' || {st("json_extract_string(e, '$.name')")} || ''''
+    WHEN json_type(json_extract(e, '$.fields')) IS DISTINCT FROM 'OBJECT'
+         OR len(json_keys(json_extract(e, '$.fields'))) = 0
+      THEN 'data_contracts[' || c_pos || '] ''' || {st("json_extract_string(e, '$.name')")} ||
+           ''' must have non-empty ''fields'' mapping'
+  END AS error FROM ce2),
+merr0 AS (SELECT project_id, 2000000 AS ord, CASE WHEN json_extract(proj, '$.modules') IS NOT NULL
+    AND json_type(json_extract(proj, '$.modules')) <> 'ARRAY' THEN '''modules'' must be a list' END
+    AS error FROM pok),
+me AS (SELECT project_id, proj, unnest(range(json_array_length(json_extract(proj, '$.modules'))::BIGINT))
+         AS m_pos FROM pok WHERE json_type(json_extract(proj, '$.modules')) = 'ARRAY'),
+me2 AS (SELECT project_id, m_pos, json_extract(proj, '$.modules[' || m_pos || ']') AS e,
+               list_transform(json_extract(proj, '$.modules[*]'),
+                 lambda x: {st("json_extract_string(x, '$.name')")}) AS names FROM me),
+merr AS (SELECT project_id, m_pos, e, 3000000 + m_pos * 10000 AS ord, CASE
+    WHEN json_type(e) <> 'OBJECT' THEN 'modules[' || m_pos || '] must be a mapping'
+    {req('e', 'name', "'modules[' || m_pos || ']'")}
+    WHEN list_position(names, {st("json_extract_string(e, '$.name')")}) < m_pos + 1
+      THEN 'Duplicate module name: ''' || {st("json_extract_string(e, '$.name')")} || ''''
+    WHEN json_type(json_extract(e, '$.functions')) IS DISTINCT FROM 'ARRAY'
+         OR json_array_length(json_extract(e, '$.functions')) = 0
+      THEN 'modules[' || m_pos || '] ''' || {st("json_extract_string(e, '$.name')")} ||
+           ''' must have non-empty ''functions'' list'
+  END AS error FROM me2),
+fe AS (SELECT project_id, m_pos, {st("json_extract_string(e, '$.name')")} AS module, e,
+              unnest(range(json_array_length(json_extract(e, '$.functions'))::BIGINT)) AS f_pos
+       FROM merr WHERE error IS NULL),
+fe2 AS (SELECT *, json_extract(e, '$.functions[' || f_pos || ']') AS f FROM fe),
+ferr AS (SELECT project_id, 3000001 + m_pos * 10000 + f_pos AS ord, CASE
+    WHEN json_type(f) = 'OBJECT' THEN CASE
+      {req('f', 'intent', "'modules[' || m_pos || '].functions[' || f_pos || ']'")} END
+    WHEN json_type(f) <> 'VARCHAR' THEN 'modules[' || m_pos || '].functions[' || f_pos ||
+      '] must be a string or mapping' END AS error FROM fe2),
+pempty AS (SELECT project_id, 9000000 AS ord, CASE WHEN
+    coalesce(json_array_length(json_extract(proj, '$.data_contracts')), 0) = 0 AND
+    coalesce(json_array_length(json_extract(proj, '$.modules')), 0) = 0
+    THEN 'Project must have at least one module or data_contract' END AS error FROM pok),
+pcand AS (SELECT project_id, ord, error FROM ptop UNION ALL SELECT project_id, ord, error FROM cerr
+          UNION ALL SELECT * FROM merr0 UNION ALL SELECT project_id, ord, error FROM merr
+          UNION ALL SELECT * FROM ferr UNION ALL SELECT * FROM pempty),
+pviol AS (SELECT project_id, arg_min(error, ord) AS error FROM pcand WHERE error IS NOT NULL
+          GROUP BY project_id),
+pgood AS (SELECT * FROM pq WHERE project_id NOT IN (SELECT project_id FROM pviol)),
+pfun AS (
+  SELECT g.project_id, {lang.replace('proj', 'g.proj')} AS project_language, fe2.m_pos, fe2.module,
+         fe2.f_pos,
+         coalesce({st("json_extract_string(fe2.f, '$.intent')")},
+                  CASE WHEN json_type(fe2.f) = 'VARCHAR' THEN {st("(fe2.f ->> '$')")} END) AS intent,
+         lower({st("json_extract_string(fe2.f, '$.language')")}) AS language_override
+  FROM pgood g JOIN fe2 USING (project_id)),
+pcon AS (
+  SELECT g.project_id, {lang.replace('proj', 'g.proj')} AS language, c.c_pos,
+         {st("json_extract_string(c.e, '$.name')")} AS contract,
+         coalesce(json_extract_string(c.e, '$.description'), '') AS description,
+         array_to_string(list_transform(json_keys(json_extract(c.e, '$.fields')),
+           lambda k: k || ': ' || json_extract_string(json_extract(c.e, '$.fields'), '$."' || k || '"')),
+           ', ') AS field_text
+  FROM pgood g JOIN ce2 c USING (project_id)),
+pedges AS (
+  SELECT DISTINCT f.project_id, f.module || ':' || f.intent AS key, 'contract:' || c.contract AS dep
+  FROM pfun f JOIN pcon c ON f.project_id = c.project_id
+   AND contains(lower(f.intent), lower(c.contract))),
+pitems0 AS (
+  SELECT project_id, 'contract:' || contract AS key,
+         'define ' || contract || ' type with fields ' || field_text ||
+           CASE WHEN description <> '' THEN '. ' || description ELSE '' END AS intent,
+         language, NULL::VARCHAR AS module, 0 AS k, c_pos AS a, 0 AS b FROM pcon
+  UNION ALL
+  SELECT project_id, module || ':' || intent, intent, coalesce(language_override, project_language),
+         module, 1, m_pos, f_pos FROM pfun),
+pitems AS (
+  SELECT project_id, key, arg_max(intent, (k, a, b)) AS intent, arg_max(language, (k, a, b)) AS language,
+         arg_max(module, (k, a, b)) AS module FROM pitems0 GROUP BY project_id, key)"""

@@ -243,3 +243,62 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.filter(F.array(start, F.when(eid % 11 != 0, complete), span_line),
                      lambda x: x.isNotNull())
     return e.select(F.explode(lines).alias("line"))
+
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES: project specs (JSON form of the audited system's test specs);
+# "__ID__" is replaced by the supplier key so that every project is distinct
+PROJECT_SPECS: list[str] = [
+    '{"project": {"name": "user-auth-__ID__", "language": "typescript", "data_contracts": ['
+    '{"name": "User", "fields": {"id": "string", "email": "string"}}, '
+    '{"name": "AuthToken", "fields": {"token": "string", "userId": "string"}}], "modules": ['
+    '{"name": "validation", "functions": ["validate email format", "check if User exists"]}, '
+    '{"name": "auth", "functions": ["hash password", "generate AuthToken for User"]}, '
+    '{"name": "user", "functions": [{"intent": "create User in database", "language": "python"}, '
+    '"fetch User by id"]}]}}',
+    '{"project": {"name": "shared-types-__ID__", "language": "typescript", "data_contracts": ['
+    '{"name": "User", "description": "Core user entity", "fields": {"id": "string", "name": "string"}}]}}',
+    '{"project": {"name": "my-app-__ID__", "language": "ts", "modules": ['
+    '{"name": "auth", "functions": ["hash password"]}]}}',
+    '{"project": {"language": "typescript", "modules": [{"name": "a", "functions": ["f"]}]}}',
+    '{"project": {"name": "bad-lang-__ID__", "language": "rust", "modules": ['
+    '{"name": "a", "functions": ["f"]}]}}',
+    '{"project": {"name": "dup-mod-__ID__", "language": "go", "modules": ['
+    '{"name": "a", "functions": ["f"]}, {"name": "a", "functions": ["g"]}]}}',
+    '{"project": {"name": "no-fields-__ID__", "language": "python", "data_contracts": ['
+    '{"name": "User", "fields": {}}]}}',
+    '{"project": {"name": "empty-fns-__ID__", "language": "python", "modules": ['
+    '{"name": "a", "functions": []}]}}',
+    '{"project": {"name": "bad-fn-__ID__", "language": "python", "modules": ['
+    '{"name": "a", "functions": ["f", 42]}]}}',
+    '{"project": {"name": "empty-__ID__", "language": "python"}}',
+    '{"project": {"name": "dup-contract-__ID__", "language": "python", "data_contracts": ['
+    '{"name": "User", "fields": {"id": "string"}}, {"name": "User", "fields": {"id": "int"}}]}}',
+    '{"name": "no-project-__ID__"}',
+    '{"project": "just a string"}',
+    '["not", "a", "mapping"]',
+    '{"project": {"name": "  ", "language": "go", "modules": [{"name": "a", "functions": ["f"]}]}}',
+    '{"project": {"name": "bad-entry-__ID__", "language": "go", "modules": ["a"]}}',
+]
+# ---------------------------------------------------------------------------
+
+
+def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """projects(project_id, spec_json): one project spec per supplier."""
+    k = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select(
+        k.alias("project_id"),
+        F.replace(pick(PROJECT_SPECS, k % len(PROJECT_SPECS)), F.lit("__ID__"),
+                  k.cast("string")).alias("spec_json"))
+
+
+def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes(node), edges(src, dst)): every part depends on part // 2 (parts 2+),
+    plus a two-node cycle and a dependency on an absent node."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"))
+    tree = p.where(F.col("node") >= 2).select(F.col("node").alias("src"),
+                                              F.floor(F.col("node") / 2).alias("dst"))
+    extra_nodes = spark.createDataFrame([(900001,), (900002,)], "node long")
+    extra = spark.createDataFrame([(900001, 900002), (900002, 900001), (3, 999999999)],
+                                  "src long, dst long")
+    return p.unionByName(extra_nodes), tree.unionByName(extra)
