@@ -724,3 +724,87 @@ u AS (SELECT project_id, 'contract:' || contract AS key, 0 AS k, c_pos AS a, 0 A
 SELECT project_id, key, row_number() OVER (PARTITION BY project_id ORDER BY k, a, b) AS position,
        count(*) OVER (PARTITION BY project_id) AS total FROM u""")(
     lambda spark, d: (lambda o: P.declared_order(o["contracts"], o["functions"]))(_proj(spark, d)))
+
+
+def _levels(spark, d):
+    nodes, edges = FX.graph(spark, d)
+    # cyclic nodes have no level; shown as -1 next to the cyclic flag
+    return P.build_levels(nodes, edges).withColumn("level", F.coalesce("level", F.lit(-1)))
+
+
+register("build_levels", """WITH RECURSIVE
+nodes AS (SELECT p_partkey AS node FROM part UNION ALL SELECT 900001 UNION ALL SELECT 900002),
+edges AS (SELECT p_partkey AS src, p_partkey // 2 AS dst FROM part WHERE p_partkey >= 2
+          UNION ALL SELECT 900001, 900002 UNION ALL SELECT 900002, 900001
+          UNION ALL SELECT 3, 999999999),
+bad0 AS (SELECT DISTINCT e.src AS node FROM edges e WHERE e.dst NOT IN (SELECT node FROM nodes)),
+closure(node, dep) AS (
+  SELECT src, dst FROM edges
+  UNION
+  SELECT c.node, e.dst FROM closure c JOIN edges e ON e.src = c.dep),
+cyc AS (SELECT DISTINCT node FROM closure WHERE node = dep),
+blocked AS (
+  SELECT node FROM bad0 UNION SELECT node FROM cyc
+  UNION SELECT c.node FROM closure c WHERE c.dep IN (SELECT node FROM bad0)
+                                       OR c.dep IN (SELECT node FROM cyc)),
+depth(node, level) AS (
+  SELECT node, 0 FROM nodes WHERE node NOT IN (SELECT src FROM edges)
+  UNION
+  SELECT e.src, d.level + 1 FROM depth d JOIN edges e ON e.dst = d.node),
+lv AS (SELECT node, max(level) AS level FROM depth GROUP BY node)
+SELECT n.node, CASE WHEN n.node IN (SELECT node FROM blocked) THEN -1 ELSE lv.level END AS level,
+       n.node IN (SELECT node FROM blocked) AS cyclic
+FROM nodes n LEFT JOIN lv USING (node)""")(_levels)
+
+
+def _deps(spark, d):
+    return P.extract_dependencies(_sections(spark, d))
+
+
+_DEPS_SQL = f"""{_V},
+dl AS (SELECT req_id, attempt, string_split_regex({O.strip_sql('dependencies')},
+         '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]') AS lines
+       FROM sections WHERE dependencies IS NOT NULL AND {O.strip_sql('dependencies')} <> ''),
+dl2 AS (SELECT req_id, attempt, generate_subscripts(lines, 1) - 1 AS pos, unnest(lines) AS line FROM dl),
+dl3 AS (SELECT req_id, attempt, pos, {O.strip_sql(O.strip_sql('line').replace("'{WS}+$'", "x"))} AS raw_line,
+               {O.strip_sql(f"regexp_replace({O.strip_sql('line')}, ',+$', '')")} AS c FROM dl2),
+deps AS (SELECT req_id, attempt, pos::INTEGER AS pos,
+    CASE WHEN contains(c, ' as ') THEN {O.strip_sql("split_part(c, ' as ', 1)")}
+         WHEN starts_with(c, '- ') THEN {O.strip_sql("substr(c, 3)")} ELSE c END AS module,
+    CASE WHEN contains(c, ' as ') THEN {O.strip_sql("substr(c, strpos(c, ' as ') + 4)")} END AS alias
+  FROM dl3 WHERE raw_line <> '' AND NOT starts_with(raw_line, '#') AND c <> '')"""
+
+register("extract_dependencies", f"""{_DEPS_SQL}
+SELECT req_id, attempt, pos, module, coalesce(alias, '') AS alias FROM deps""")(
+    lambda spark, d: _deps(spark, d).withColumn("alias", F.coalesce("alias", F.lit(""))))
+
+
+def _imports(spark, d):
+    langs = (ingest_requests(FX.requests(spark, d)).where(F.col("language").isNotNull())
+             .select("req_id", "language"))
+    return (P.render_imports(_deps(spark, d), langs)
+            .groupBy("language", "statement").agg(F.count("*").alias("n")))
+
+
+register("render_imports", f"""WITH {O.requests_cte()}, {O.ingested_cte()}, {_DEPS_SQL[5:]},
+st AS (SELECT DISTINCT d.req_id, i.language, CASE
+    WHEN i.language IN ('javascript', 'typescript') THEN CASE WHEN d.alias IS NOT NULL
+      THEN 'import * as ' || d.alias || ' from ''' || d.module || ''';'
+      ELSE 'import ' || d.module || ' from ''' || d.module || ''';' END
+    WHEN i.language = 'python' THEN CASE WHEN d.alias IS NOT NULL
+      THEN 'import ' || d.module || ' as ' || d.alias ELSE 'import ' || d.module END
+    WHEN i.language = 'go' THEN CASE WHEN d.alias IS NOT NULL
+      THEN d.alias || ' "' || d.module || '"' ELSE '"' || d.module || '"' END END AS statement
+  FROM deps d JOIN ingested i ON d.req_id = i.req_id WHERE i.language IS NOT NULL)
+SELECT language, statement, count(*) AS n FROM st GROUP BY ALL""")(_imports)
+
+register("dependency_usage", f"""{_DEPS_SQL}
+SELECT module, count(*) AS n_results FROM (SELECT DISTINCT req_id, attempt, module FROM deps)
+GROUP BY module ORDER BY n_results DESC, module LIMIT 10""")(
+    lambda spark, d: P.dependency_usage(_deps(spark, d)))
+
+register("dependency_cooccurrence", f"""{_DEPS_SQL},
+dd AS (SELECT DISTINCT req_id, attempt, module FROM deps)
+SELECT a.module AS m1, b.module AS m2, count(*) AS n FROM dd a JOIN dd b
+  ON a.req_id = b.req_id AND a.attempt = b.attempt AND a.module < b.module GROUP BY ALL""")(
+    lambda spark, d: P.dependency_cooccurrence(_deps(spark, d)))
