@@ -808,3 +808,33 @@ dd AS (SELECT DISTINCT req_id, attempt, module FROM deps)
 SELECT a.module AS m1, b.module AS m2, count(*) AS n FROM dd a JOIN dd b
   ON a.req_id = b.req_id AND a.attempt = b.attempt AND a.module < b.module GROUP BY ALL""")(
     lambda spark, d: P.dependency_cooccurrence(_deps(spark, d)))
+
+# --------------------------------------------------------------- specs ----
+from canopy.sources.specs import ingest_specs  # noqa: E402
+
+_SPEC_TYPES = " ".join(f"WHEN {O.q(k)} THEN {O.q(v)}" for k, v in dims.SPEC_INTENTS.items())
+register("ingest_specs_json", f"""WITH s AS (
+  SELECT o_orderkey AS spec_id, {O.sql_list(FX.SPEC_TEXTS)}[(o_orderkey % {len(FX.SPEC_TEXTS)}) + 1]
+         AS body FROM orders),
+j AS (SELECT *, json_type(body) AS jt, lower({O.strip_sql("json_extract_string(body, '$.intent')")}) AS it,
+             lower({O.strip_sql("json_extract_string(body, '$.language')")}) AS lg
+      FROM s WHERE starts_with({O.strip_sql('body')}, '{{') OR starts_with({O.strip_sql('body')}, '[')),
+k AS (SELECT *, CASE WHEN jt = 'OBJECT' THEN json_keys(body)
+                     ELSE list_transform(json_extract(body, '$[*]'), lambda x: x ->> '$') END AS ks FROM j),
+e AS (SELECT *, CASE
+    WHEN NOT list_contains(ks, 'intent') THEN 'Missing required field: intent'
+    WHEN NOT list_contains(ks, 'verb') THEN 'Missing required field: verb'
+    WHEN NOT list_contains(ks, 'noun') THEN 'Missing required field: noun'
+    WHEN NOT list_contains(ks, 'language') THEN 'Missing required field: language'
+    WHEN (CASE it {_SPEC_TYPES} END) IS NULL THEN 'Unknown intent type: ' || it
+    WHEN lg NOT IN ('javascript', 'typescript', 'python', 'go') THEN 'Unsupported language: ' || lg
+  END AS error FROM k)
+SELECT spec_id, 'json_spec' AS source,
+       CASE WHEN error IS NULL THEN CASE it {_SPEC_TYPES} END END AS intent_type,
+       CASE WHEN error IS NULL THEN json_extract_string(body, '$.verb') END AS verb,
+       CASE WHEN error IS NULL THEN json_extract_string(body, '$.noun') END AS noun,
+       CASE WHEN error IS NULL THEN lg END AS language,
+       CASE WHEN error IS NULL THEN 'HIGH' END AS confidence, error FROM e""")(
+    lambda spark, d: ingest_specs(FX.specs(spark, d)).where(F.col("source") == "json_spec"))
+
+register("ingest_specs")(lambda spark, d: ingest_specs(FX.specs(spark, d)))

@@ -302,3 +302,29 @@ def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     extra = spark.createDataFrame([(900001, 900002), (900002, 900001), (3, 999999999)],
                                   "src long, dst long")
     return p.unionByName(extra_nodes), tree.unionByName(extra)
+
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES: spec-form requests (YAML and JSON), from the audited system's tests
+SPEC_TEXTS: list[str] = [
+    "intent: pure_function\nverb: add\nnoun: Total\nlanguage: javascript",
+    '{"intent": "predicate", "verb": "validate", "noun": "EvenNumber", "language": "javascript"}',
+    "intent: aggregator\nverb: sum\nnoun: Orders\nlanguage: python",
+    "intent: pure_function\nnoun: Total\nlanguage: javascript",
+    "verb: add\nnoun: Total\nlanguage: javascript",
+    "intent: unknown_type\nverb: add\nnoun: Total\nlanguage: javascript",
+    "intent: pure_function\nverb: add\nnoun: Total\nlanguage: rust",
+    "- just\n- a list",
+    '{"intent": "DATA_CONTRACT", "verb": "define", "noun": "User", "language": " Go "}',
+    '{"verb": "add", "noun": "Total", "language": "go"}',
+    '["intent", "verb"]',
+    '{"intent": "side_effect_op", "verb": "save", "noun": "User", "language": "java"}',
+]
+# ---------------------------------------------------------------------------
+
+
+def specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """spec_text(spec_id, body): one spec-form request per order."""
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(
+        k.alias("spec_id"), pick(SPEC_TEXTS, k % len(SPEC_TEXTS)).alias("body"))
