@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from canopy.functions import dims
 from canopy.functions import text as T
+from canopy.functions.frames import settle
 
 
 def language_of(alias: F.Column, aliases=dims.LANGUAGE_ALIASES) -> F.Column:
@@ -41,6 +42,7 @@ def ingest_requests(raw: DataFrame, aliases=dims.LANGUAGE_ALIASES) -> DataFrame:
                            F.concat(F.lit("Unsupported language: "), F.col("alias")))
                     .when(F.length("norm_text") < 3, "Intent too short")
                     .otherwise("ok"))
+        .transform(settle)
     )
 
 
