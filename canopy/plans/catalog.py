@@ -838,3 +838,44 @@ SELECT spec_id, 'json_spec' AS source,
     lambda spark, d: ingest_specs(FX.specs(spark, d)).where(F.col("source") == "json_spec"))
 
 register("ingest_specs")(lambda spark, d: ingest_specs(FX.specs(spark, d)))
+
+# ----------------------------------------------------------- streaming ----
+from canopy.streaming import streams as S  # noqa: E402
+
+
+def _stream_drift(spark, d):
+    base = S.scratch(spark, "drift")
+    FX.results_seq(spark, d).write.parquet(base + "/src")
+    schema = spark.read.parquet(base + "/src").schema
+    S.run_available(S.stream_drift(S.file_stream(spark, base + "/src", schema)), base + "/out")
+    return spark.read.parquet(base + "/out/data").select(
+        "req_id", "session_id", "session_no", "intent_key", "expected", "violation", "message")
+
+
+register("stream_drift", ORACLE["check_drift"])(_stream_drift)
+
+
+def _stream_metrics(spark, d):
+    base = S.scratch(spark, "metrics")
+    path = f"{d}/events.parquet"
+    ev = S.file_stream(spark, path, spark.read.parquet(path).schema)
+    S.run_available(S.tumbling_metrics(ev), base, mode="complete")
+    return spark.read.parquet(base + "/data")
+
+
+register("stream_call_metrics", """SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start,
+       time_bucket(INTERVAL 5 MINUTE, ts) + INTERVAL 5 MINUTE AS window_end, count(*) AS calls,
+       sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END)::BIGINT AS errors,
+       sum(json_extract_string(props, '$.k')::BIGINT)::BIGINT AS tokens
+FROM events GROUP BY 1, 2""")(_stream_metrics)
+
+
+def _stream_pairs(spark, d):
+    base = S.scratch(spark, "pairs")
+    FX.log_lines(spark, d).write.text(base + "/src")
+    lines = S.file_stream(spark, base + "/src", "line string", fmt="text")
+    S.run_available(S.stream_pair_calls(lines.withColumnRenamed("value", "line")), base + "/out")
+    return spark.read.parquet(base + "/out/data")
+
+
+register("stream_pair_calls", ORACLE["pair_calls"])(_stream_pairs)
