@@ -16,14 +16,18 @@ TERMINAL = ("ok", "ambiguity")
 
 
 # ---------------------------------------------------------------- #27 ----
-def resolve_attempts(validated: DataFrame, max_retries: int = dims.MAX_RETRIES) -> DataFrame:
+def resolve_attempts(validated: DataFrame, max_retries: int = dims.MAX_RETRIES,
+                     carry: list[str] | None = None) -> DataFrame:
     """First terminal attempt (ok / ambiguity) within the budget, else failed.
 
-    results(req_id, status, attempt, attempts_used, content_hash, error)
+    results(req_id, status, attempt, attempts_used, content_hash, error, *carry)
+    ``carry`` names columns of the winning attempt to keep (e.g. its sections),
+    so consumers need no second pass and no join back to the attempts.
     """
+    carry = carry or []
     terminal = F.col("status").isin(*TERMINAL) & (F.col("attempt") <= max_retries)
     first = (validated.groupBy("req_id")
-             .agg(F.min_by(F.struct("attempt", "status", "content_hash"),
+             .agg(F.min_by(F.struct("attempt", "status", "content_hash", *carry),
                            F.when(terminal, F.col("attempt"))).alias("t"),
                   F.max(F.when(F.col("attempt") <= max_retries, F.col("attempt"))).alias("seen")))
     ok = F.col("t").isNotNull() & F.col("t.attempt").isNotNull()
@@ -35,6 +39,7 @@ def resolve_attempts(validated: DataFrame, max_retries: int = dims.MAX_RETRIES)
         .alias("attempts_used"),
         F.when(ok, F.col("t.content_hash")).otherwise(F.lit("")).alias("content_hash"),
         F.when(~ok, F.lit(f"Schema validation failed after {max_retries} attempts")).alias("error"),
+        *[F.when(ok, F.col(f"t.{c}")).alias(c) for c in carry],
     )
 
 

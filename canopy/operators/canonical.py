@@ -172,6 +172,19 @@ def verb_gap_topk(canonical: DataFrame, k: int = 20) -> DataFrame:
     return counts.orderBy(F.desc("n"), F.asc("word")).limit(k)
 
 
+def verb_gap_by_group(canonical: DataFrame, group: str = "lang", k: int = 5) -> DataFrame:
+    """Leading words of unknown-verb requests ranked per group (dense rank <= k).
+
+    The window runs over the aggregated (group, word) counts, one row per word."""
+    from pyspark.sql import Window
+    word = F.regexp_extract(F.lower(F.col("norm_text")), "[a-z]+", 0)
+    counts = (canonical.where(F.col("verb") == "unknown").select(group, word.alias("word"))
+              .where(F.col("word") != "")
+              .groupBy(group, "word").agg(F.count("*").alias("n")))
+    w = Window.partitionBy(group).orderBy(F.desc("n"))
+    return counts.withColumn("rank", F.dense_rank().over(w)).where(F.col("rank") <= k)
+
+
 # ---------------------------------------------------------------- #19 ----
 # second table version used by the taxonomy diff (adds three verbs at the end)
 VERB_SYNONYMS_V2 = dims.VERB_SYNONYMS + [

@@ -20,7 +20,7 @@ VIOLATION = ("DETERMINISM_VIOLATION\n  intent_key: %s\n  expected:   %s\n  recei
 
 
 # ---------------------------------------------------------------- #31 ----
-def assign_sessions(results: DataFrame, chunk_seconds: int = 86400 * 30) -> DataFrame:
+def assign_sessions(results: DataFrame, chunk_seconds: int = 86400) -> DataFrame:
     """Add ``session_no``: number of reset rows at or before the row in its session
     (a reset row opens the new session).  Two-level prefix sum, see ``running_sum``."""
     return (running_sum(results, "session_id", ["ts", "req_id"], "is_reset", "ts",

@@ -69,7 +69,7 @@ def context_budget(calls: DataFrame, window_tokens: int = 5000,
     """First call per session whose running token total crosses share x window."""
     used = calls.withColumn("tokens", F.col("tokens_in") + F.col("tokens_out"))
     run = running_sum(used, "session_id", ["start_ts", "span_id"], "tokens", "start_ts",
-                      out="running_tokens")
+                      out="running_tokens", chunk_seconds=3600)
     limit = window_tokens * share
     crossing = run.where((F.col("running_tokens") >= limit)
                          & (F.col("running_tokens") - F.col("tokens") < limit))

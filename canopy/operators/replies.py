@@ -108,11 +108,23 @@ def pivot_sections(validated: DataFrame) -> DataFrame:
     The pivot happens inside the row (map lookup), so no shuffle is needed;
     ``implementation`` is the code with fences stripped.
     """
-    cols = [F.col("code").alias("implementation") if n == "IMPLEMENTATION"
-            else section_body(n).alias(c) for n, c in SECTION_COLUMNS]
     return validated.where(F.col("status") == "ok").select(
         "req_id", "attempt", *[c for c in ("session_id", "ts") if c in validated.columns],
-        "content_hash", *cols)
+        "content_hash", *section_columns())
+
+
+def section_columns() -> list[F.Column]:
+    """The six section columns of a validated reply (code with fences stripped)."""
+    return [F.col("code").alias("implementation") if n == "IMPLEMENTATION"
+            else section_body(n).alias(c) for n, c in SECTION_COLUMNS]
+
+
+def with_section_columns(validated: DataFrame) -> DataFrame:
+    """All replies with the six section columns, NULL unless the reply is valid."""
+    ok = F.col("status") == "ok"
+    cols = [F.when(ok, F.col("code")).alias("implementation") if n == "IMPLEMENTATION"
+            else F.when(ok, section_body(n)).alias(c) for n, c in SECTION_COLUMNS]
+    return validated.select("*", *cols)
 
 
 # ---------------------------------------------------------------- #23 ----

@@ -340,9 +340,11 @@ _REC = ["content_hash", "intent_classification", "signature", "implementation",
 
 
 def _registry_input(spark, d):
-    res = _results(spark, d).select("req_id", "attempt", "status")
-    sec = _sections(spark, d)
-    return res.join(sec, ["req_id", "attempt"], "left")
+    # one pass: the winning attempt carries its sections out of the aggregation
+    carry = ["ts"] + [c for _, c in R.SECTION_COLUMNS]
+    v = R.with_section_columns(_validated(spark, d))
+    return A.resolve_attempts(v, carry=carry).select("req_id", "attempt", "status", "content_hash",
+                                                      *carry)
 
 
 def _registry(spark, d):
@@ -879,3 +881,58 @@ def _stream_pairs(spark, d):
 
 
 register("stream_pair_calls", ORACLE["pair_calls"])(_stream_pairs)
+
+# -------------------------------------------------------------- extras ----
+register("verb_gap_by_lang", f"""WITH {O.documents_cte().replace("'javascript' AS alias", "'javascript' AS alias, lang")},
+{O.ingested_cte()}, {O.canonical_cte()},
+c AS (SELECT lang, regexp_extract(lower(norm_text), '[a-z]+') AS word, count(*) AS n FROM canonical
+      WHERE verb = 'unknown' AND regexp_extract(lower(norm_text), '[a-z]+') <> '' GROUP BY ALL),
+r AS (SELECT *, dense_rank() OVER (PARTITION BY lang ORDER BY n DESC) AS rank FROM c)
+SELECT lang, word, n, rank FROM r WHERE rank <= 5""")(
+    lambda spark, d: C.verb_gap_by_group(C.canonicalise(
+        ingest_requests(FX.document_requests(spark, d)).where(
+            (F.col("status") == "ok") & (F.col("source") == "freetext")))))
+
+register("regression_pivot", f"""WITH {O.runs_cte()},
+grid AS (SELECT * FROM (VALUES {_CELLS}) AS g(type, language)),
+stats AS (SELECT type, language, count(*) AS calls, count(DISTINCT content_hash) AS n_hashes
+          FROM runs GROUP BY ALL),
+m AS (SELECT type, language, CASE WHEN calls IS NULL THEN 'missing' WHEN n_hashes > 1 THEN 'drift'
+             WHEN calls < 20 THEN 'short' ELSE 'pass' END AS status
+      FROM grid LEFT JOIN stats USING (type, language))
+SELECT type, {', '.join(f"max(CASE WHEN language = {O.q(l)} THEN status END) AS {l}" for l in dims.LANGUAGES)}
+FROM m GROUP BY type""")(
+    lambda spark, d: D.regression_pivot(D.regression_matrix(FX.runs(spark, d))))
+
+
+def _stream_window(kind):
+    def run(spark, d):
+        base = S.scratch(spark, kind)
+        path = f"{d}/events.parquet"
+        ev = S.file_stream(spark, path, spark.read.parquet(path).schema)
+        q = S.sliding_metrics(ev) if kind == "sliding" else S.session_metrics(ev)
+        S.run_available(q, base, mode="complete")
+        return spark.read.parquet(base + "/data")
+    return run
+
+
+register("stream_sliding_metrics", """WITH e AS (
+  SELECT ts, event_type, json_extract_string(props, '$.k')::BIGINT AS tokens,
+         time_bucket(INTERVAL 5 MINUTE, ts) - k * INTERVAL 5 MINUTE AS window_start
+  FROM events, (VALUES (0), (1), (2)) AS w(k))
+SELECT window_start, window_start + INTERVAL 15 MINUTE AS window_end, count(*) AS calls,
+       sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END)::BIGINT AS errors,
+       sum(tokens)::BIGINT AS tokens
+FROM e GROUP BY 1, 2""")(_stream_window("sliding"))
+
+register("stream_session_metrics", """WITH e AS (
+  SELECT user_id, ts, event_type, json_extract_string(props, '$.k')::BIGINT AS tokens,
+         CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE
+              THEN 0 ELSE 1 END AS starts
+  FROM events),
+s AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts
+                                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sno FROM e)
+SELECT user_id, min(ts) AS window_start, max(ts) + INTERVAL 30 MINUTE AS window_end, count(*) AS calls,
+       sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END)::BIGINT AS errors,
+       sum(tokens)::BIGINT AS tokens
+FROM s GROUP BY user_id, sno""")(_stream_window("session"))

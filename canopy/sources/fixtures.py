@@ -112,6 +112,7 @@ def document_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("timestamp").alias("ts"),
         F.col("text"),
         F.lit("javascript").alias("alias"),
+        F.col("lang"),
     )
 
 
