@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from canopy.functions import dims
 from canopy.functions import text as T
+from canopy.functions.frames import settle
 from canopy.session import cut_lineage
 
 _SUPPORTED = "[" + ", ".join(f"'{x}'" for x in sorted(dims.PROJECT_LANGUAGES)) + "]"
@@ -30,16 +31,20 @@ def _kind(v):
             .when(s == "STRING", "STRING").otherwise("OTHER"))
 
 
-def _required_string(v, key, ctx):
-    """Error text of the 'required non-empty string' check, NULL when fine."""
-    val = _get(v, f"$.{key}")
-    return (F.when(val.isNull(), F.lit(f"Missing required field '{key}' in ").cast("string"))
-            .when((_kind(val) != "STRING") | (T.py_strip(_get(val, "$", "string")) == ""),
+def _req_err(val: F.Column, kind: F.Column, key: str) -> F.Column:
+    """Prefix of the 'required non-empty string' error, NULL when the value is fine."""
+    return (F.when(val.isNull(), F.lit(f"Missing required field '{key}' in "))
+            .when((kind != "STRING") | (T.py_strip(_get(val, "$", "string")) == ""),
                   F.lit(f"'{key}' must be a non-empty string in ")))
 
 
-def _err(cond_msg, ctx):
-    return F.when(cond_msg.isNotNull(), F.concat(cond_msg, ctx))
+def _with_parts(df: DataFrame, src: str, keys: list[str], prefix: str) -> DataFrame:
+    """Add ``{prefix}{key}`` (variant) and ``{prefix}{key}_k`` (kind) columns."""
+    for k in keys:
+        df = df.withColumn(f"{prefix}{k}", _get(F.col(src), f"$.{k}"))
+    for k in keys:
+        df = df.withColumn(f"{prefix}{k}_k", _kind(F.col(f"{prefix}{k}")))
+    return df
 
 
 def ingest_projects(projects: DataFrame) -> dict[str, DataFrame]:
@@ -47,94 +52,104 @@ def ingest_projects(projects: DataFrame) -> dict[str, DataFrame]:
 
     Returns dict with ``parsed`` (one row per project: name, language, arrays),
     ``violations`` (project_id, error), ``contracts``, ``modules``, ``functions``
-    (only for projects without a violation).
+    (only for projects without a violation).  Every variant path is extracted
+    once into its own column, so the checks stay small expressions.
     """
-    v = F.try_parse_json("spec_json")
-    p = projects.select("project_id", "spec_json", v.alias("v"))
-    proj = _get(F.col("v"), "$.project")
-    lang_raw = F.lower(T.py_strip(_get(proj, "$.language", "string")))
+    p = (projects.select("project_id", "spec_json", F.try_parse_json("spec_json").alias("v"))
+         .withColumn("v_k", _kind(F.col("v")))
+         .withColumn("proj", _get(F.col("v"), "$.project"))
+         .withColumn("proj_k", _kind(F.col("proj"))))
+    p = _with_parts(p, "proj", ["name", "language", "data_contracts", "modules"], "p_")
+    lang_raw = F.lower(T.py_strip(_get(F.col("p_language"), "$", "string")))
+    name_err = _req_err(F.col("p_name"), F.col("p_name_k"), "name")
+    lang_err = _req_err(F.col("p_language"), F.col("p_language_k"), "language")
     top = (F.when(F.col("v").isNull(), F.lit("Invalid YAML: spec is not valid JSON"))
-           .when(_kind(F.col("v")) != "OBJECT", "Spec must be a YAML mapping")
-           .when(proj.isNull(), "Missing top-level 'project' key")
-           .when(_kind(proj) != "OBJECT", "'project' must be a mapping")
-           .when(_required_string(proj, "name", "").isNotNull(),
-                 F.concat(_required_string(proj, "name", ""), F.lit("project")))
-           .when(_required_string(proj, "language", "").isNotNull(),
-                 F.concat(_required_string(proj, "language", ""), F.lit("project")))
-           .when(~lang_raw.isin(dims.PROJECT_LANGUAGES),
-                 F.concat(F.lit("Unsupported language: '"), lang_raw,
+           .when(F.col("v_k") != "OBJECT", "Spec must be a YAML mapping")
+           .when(F.col("proj").isNull(), "Missing top-level 'project' key")
+           .when(F.col("proj_k") != "OBJECT", "'project' must be a mapping")
+           .when(name_err.isNotNull(), F.concat(name_err, F.lit("project")))
+           .when(lang_err.isNotNull(), F.concat(lang_err, F.lit("project")))
+           .when(~F.col("language").isin(dims.PROJECT_LANGUAGES),
+                 F.concat(F.lit("Unsupported language: '"), F.col("language"),
                           F.lit(f"'. Supported: {_SUPPORTED}")))
-           .when(_get(proj, "$.data_contracts").isNotNull()
-                 & (_kind(_get(proj, "$.data_contracts")) != "ARRAY"), "'data_contracts' must be a list"))
-    parsed = p.select(
-        "project_id", "spec_json",
-        top.alias("top_error"),
-        T.py_strip(_get(proj, "$.name", "string")).alias("name"),
-        lang_raw.alias("language"),
-        F.coalesce(_get(proj, "$.data_contracts", "array<variant>"),
-                   F.array().cast("array<variant>")).alias("dcs"),
-        _get(proj, "$.modules").alias("mods_v"),
-        F.coalesce(_get(proj, "$.modules", "array<variant>"),
-                   F.array().cast("array<variant>")).alias("mods"))
+           .when(F.col("p_data_contracts").isNotNull() & (F.col("p_data_contracts_k") != "ARRAY"),
+                 "'data_contracts' must be a list"))
+    empty_arr = F.array().cast("array<variant>")
+    parsed = (p.withColumn("language", lang_raw)
+              .select("project_id", "spec_json", top.alias("top_error"),
+                      T.py_strip(_get(F.col("p_name"), "$", "string")).alias("name"), "language",
+                      F.coalesce(_get(F.col("p_data_contracts"), "$", "array<variant>"),
+                                 empty_arr).alias("dcs"),
+                      F.col("p_modules").alias("mods_v"), F.col("p_modules_k").alias("mods_k"),
+                      F.coalesce(_get(F.col("p_modules"), "$", "array<variant>"),
+                                 empty_arr).alias("mods"))
+              .transform(settle))
 
     # contract entries ------------------------------------------------------
-    ce = parsed.select("project_id", "dcs", F.posexplode("dcs").alias("c_pos", "e"))
-    cname = T.py_strip(_get(F.col("e"), "$.name", "string"))
-    names = F.transform("dcs", lambda x: T.py_strip(_get(x, "$.name", "string")))
+    ce = (parsed.where(F.col("top_error").isNull())
+          .select("project_id", F.transform("dcs", lambda x: T.py_strip(_get(x, "$.name", "string")))
+                  .alias("names"), F.posexplode("dcs").alias("c_pos", "e"))
+          .withColumn("e_k", _kind(F.col("e"))))
+    ce = _with_parts(ce, "e", ["name", "fields"], "e_")
+    cname = T.py_strip(_get(F.col("e_name"), "$", "string"))
     ctx = F.concat(F.lit("data_contracts["), F.col("c_pos").cast("string"), F.lit("]"))
-    fields = _get(F.col("e"), "$.fields")
-    c_err = (F.when(_kind(F.col("e")) != "OBJECT", F.concat(ctx, F.lit(" must be a mapping")))
-             .when(_required_string(F.col("e"), "name", "").isNotNull(),
-                   F.concat(_required_string(F.col("e"), "name", ""), ctx))
-             .when(F.array_position(names, cname) < F.col("c_pos") + 1,
+    c_name_err = _req_err(F.col("e_name"), F.col("e_name_k"), "name")
+    c_err = (F.when(F.col("e_k") != "OBJECT", F.concat(ctx, F.lit(" must be a mapping")))
+             .when(c_name_err.isNotNull(), F.concat(c_name_err, ctx))
+             .when(F.array_position("names", cname) < F.col("c_pos") + 1,
                    F.concat(F.lit("Duplicate data contract name: '"), cname, F.lit("'")))
-             .when((_kind(fields) != "OBJECT")
-                   | (F.size(_get(fields, "$", "map<string,variant>")) == 0),
+             .when((F.col("e_fields_k") != "OBJECT")
+                   | (F.size(_get(F.col("e_fields"), "$", "map<string,variant>")) == 0),
                    F.concat(ctx, F.lit(" '"), cname, F.lit("' must have non-empty 'fields' mapping"))))
     c_errors = ce.select("project_id", (F.lit(1_000_000) + F.col("c_pos")).alias("ord"),
                          c_err.alias("error"))
 
     # module entries --------------------------------------------------------
-    me = parsed.select("project_id", "mods", F.posexplode("mods").alias("m_pos", "e"))
-    mname = T.py_strip(_get(F.col("e"), "$.name", "string"))
-    mnames = F.transform("mods", lambda x: T.py_strip(_get(x, "$.name", "string")))
+    me = (parsed.where(F.col("top_error").isNull())
+          .select("project_id", F.transform("mods", lambda x: T.py_strip(_get(x, "$.name", "string")))
+                  .alias("names"), F.posexplode("mods").alias("m_pos", "e"))
+          .withColumn("e_k", _kind(F.col("e"))))
+    me = _with_parts(me, "e", ["name", "functions"], "e_")
+    mname = T.py_strip(_get(F.col("e_name"), "$", "string"))
     mctx = F.concat(F.lit("modules["), F.col("m_pos").cast("string"), F.lit("]"))
-    fns = _get(F.col("e"), "$.functions")
-    m_err = (F.when(_kind(F.col("e")) != "OBJECT", F.concat(mctx, F.lit(" must be a mapping")))
-             .when(_required_string(F.col("e"), "name", "").isNotNull(),
-                   F.concat(_required_string(F.col("e"), "name", ""), mctx))
-             .when(F.array_position(mnames, mname) < F.col("m_pos") + 1,
+    m_name_err = _req_err(F.col("e_name"), F.col("e_name_k"), "name")
+    fn_arr = _get(F.col("e_functions"), "$", "array<variant>")
+    m_err = (F.when(F.col("e_k") != "OBJECT", F.concat(mctx, F.lit(" must be a mapping")))
+             .when(m_name_err.isNotNull(), F.concat(m_name_err, mctx))
+             .when(F.array_position("names", mname) < F.col("m_pos") + 1,
                    F.concat(F.lit("Duplicate module name: '"), mname, F.lit("'")))
-             .when((_kind(fns) != "ARRAY") | (F.size(_get(fns, "$", "array<variant>")) == 0),
+             .when((F.col("e_functions_k") != "ARRAY") | (F.size(fn_arr) == 0),
                    F.concat(mctx, F.lit(" '"), mname, F.lit("' must have non-empty 'functions' list"))))
+    me = me.select("project_id", "m_pos", mname.alias("module"), m_err.alias("error"),
+                   fn_arr.alias("fns")).transform(settle)
     m_errors = me.select("project_id", (F.lit(3_000_000) + F.col("m_pos") * 10_000).alias("ord"),
-                         m_err.alias("error"))
-    fe = (me.where(m_err.isNull())
-          .select("project_id", "m_pos", mname.alias("module"),
-                  F.posexplode(_get(fns, "$", "array<variant>")).alias("f_pos", "f")))
+                         "error")
+    fe = (me.where(F.col("error").isNull())
+          .select("project_id", "m_pos", "module", F.posexplode("fns").alias("f_pos", "f"))
+          .withColumn("f_k", _kind(F.col("f"))))
+    fe = _with_parts(fe, "f", ["intent", "language"], "f_")
     fctx = F.concat(F.lit("modules["), F.col("m_pos").cast("string"), F.lit("].functions["),
                     F.col("f_pos").cast("string"), F.lit("]"))
-    fk = _kind(F.col("f"))
-    f_err = (F.when(fk == "OBJECT", F.when(_required_string(F.col("f"), "intent", "").isNotNull(),
-                                           F.concat(_required_string(F.col("f"), "intent", ""), fctx)))
-             .when(fk != "STRING", F.concat(fctx, F.lit(" must be a string or mapping"))))
+    f_intent_err = _req_err(F.col("f_intent"), F.col("f_intent_k"), "intent")
+    f_err = (F.when(F.col("f_k") == "OBJECT",
+                    F.when(f_intent_err.isNotNull(), F.concat(f_intent_err, fctx)))
+             .when(F.col("f_k") != "STRING", F.concat(fctx, F.lit(" must be a string or mapping"))))
+    fe = fe.withColumn("error", f_err).transform(settle)
     f_errors = fe.select("project_id", (F.lit(3_000_001) + F.col("m_pos") * 10_000 + F.col("f_pos"))
-                         .alias("ord"), f_err.alias("error"))
+                         .alias("ord"), "error")
 
-    mods_err = parsed.select(
+    ok_top = parsed.where(F.col("top_error").isNull())
+    mods_err = ok_top.select(
         "project_id", F.lit(2_000_000).alias("ord"),
-        F.when(F.col("mods_v").isNotNull() & (_kind(F.col("mods_v")) != "ARRAY"),
+        F.when(F.col("mods_v").isNotNull() & (F.col("mods_k") != "ARRAY"),
                F.lit("'modules' must be a list")).alias("error"))
-    empty = parsed.select(
+    empty = ok_top.select(
         "project_id", F.lit(9_000_000).alias("ord"),
         F.when((F.size("dcs") == 0) & (F.size("mods") == 0),
                F.lit("Project must have at least one module or data_contract")).alias("error"))
     tops = parsed.select("project_id", F.lit(0).alias("ord"), F.col("top_error").alias("error"))
-    # the entry checks only matter once the top-level checks passed
-    gated = [df.join(parsed.where(F.col("top_error").isNull()).select("project_id"), "project_id",
-                     "left_semi") for df in (c_errors, mods_err, m_errors, f_errors, empty)]
     cand = tops
-    for g in gated:
+    for g in (c_errors, mods_err, m_errors, f_errors, empty):
         cand = cand.unionByName(g)
     violations = (cand.where(F.col("error").isNotNull()).groupBy("project_id")
                   .agg(F.min_by("error", "ord").alias("error")))
@@ -148,18 +163,14 @@ def ingest_projects(projects: DataFrame) -> dict[str, DataFrame]:
                          T.py_strip(F.col("c.name")).alias("contract"),
                          F.coalesce(F.col("c.description"), F.lit("")).alias("description"),
                          F.col("c.fields").alias("fields")))
-    modules = good.select("project_id", F.posexplode("mods").alias("m_pos", "e")).select(
-        "project_id", "m_pos", T.py_strip(_get(F.col("e"), "$.name", "string")).alias("module"))
-    functions = (good.select("project_id", "language", F.posexplode("mods").alias("m_pos", "e"))
-                 .select("project_id", "language", "m_pos",
-                         T.py_strip(_get(F.col("e"), "$.name", "string")).alias("module"),
-                         F.posexplode(_get(F.col("e"), "$.functions", "array<variant>"))
-                         .alias("f_pos", "f"))
-                 .select("project_id", F.col("language").alias("project_language"), "m_pos", "module",
-                         "f_pos",
-                         F.coalesce(T.py_strip(_get(F.col("f"), "$.intent", "string")),
+    modules = me.join(good.select("project_id"), "project_id", "left_semi").select(
+        "project_id", "m_pos", "module")
+    functions = (fe.join(good.select("project_id", "language"), "project_id")
+                 .select("project_id", F.col("language").alias("project_language"), "m_pos",
+                         "module", "f_pos",
+                         F.coalesce(T.py_strip(_get(F.col("f_intent"), "$", "string")),
                                     T.py_strip(_get(F.col("f"), "$", "string"))).alias("intent"),
-                         F.lower(T.py_strip(_get(F.col("f"), "$.language", "string")))
+                         F.lower(T.py_strip(_get(F.col("f_language"), "$", "string")))
                          .alias("language_override")))
     return {"parsed": parsed, "violations": violations, "contracts": contracts,
             "modules": modules, "functions": functions}

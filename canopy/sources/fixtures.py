@@ -146,7 +146,7 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.select(
         "req_id", "session_id", "ts", F.col("attempt").cast("int").alias("attempt"),
         tpl.alias("tpl_id"),
-        F.regexp_replace(pick(REPLY_TEMPLATES, tpl), "~", "\n").alias("raw"))
+        pick([t.replace("~", "\n") for t in REPLY_TEMPLATES], tpl).alias("raw"))
 
 
 # ---------------------------------------------------------------------------
