@@ -27,6 +27,12 @@ LOG_SCHEMA = T.StructType([
 ])
 
 
+def iso_to_ntz(c: F.Column) -> F.Column:
+    """ISO-8601 UTC text ('...Z') -> TIMESTAMP_NTZ in UTC wall time, like the given tables,
+    so results do not depend on the session time zone."""
+    return F.to_timestamp_ntz(F.regexp_replace(c, "Z\\z", ""))
+
+
 def ingest_log(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(log, corrupt).  ``lines`` has one string column ``line``.
 
@@ -36,7 +42,7 @@ def ingest_log(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     parsed = lines.select("line", F.from_json("line", LOG_SCHEMA, {"mode": "PERMISSIVE"}).alias("r"))
     ok = F.col("r").isNotNull() & F.col("r.event").isNotNull()
     log = (parsed.where(ok).select("r.*")
-           .withColumn("ts", F.to_timestamp("timestamp"))
+           .withColumn("ts", iso_to_ntz(F.col("timestamp")))
            .withColumn("session_id", F.col("trace_id")))
     corrupt = parsed.where(~ok).select("line")
     return log, corrupt

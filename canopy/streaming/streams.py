@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from canopy.session import ensure_checkpoint_dir
-from canopy.sources.logs import LOG_SCHEMA
+from canopy.sources.logs import LOG_SCHEMA, iso_to_ntz
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -136,18 +136,21 @@ def stream_pair_calls(lines_stream: DataFrame, bound: str = "10 minutes",
     """Stream-stream join of start and complete lines on (trace_id, span_id)
     with event-time bounds, so join state is dropped once the watermark passes."""
     r = lines_stream.select(F.from_json("line", LOG_SCHEMA).alias("r")).select("r.*")
-    r = r.withColumn("ts", F.to_timestamp("timestamp"))
+    # event time for watermarks must be TIMESTAMP; the output keeps UTC wall time (NTZ)
+    r = (r.withColumn("ts", F.to_timestamp("timestamp"))
+         .withColumn("ts_ntz", iso_to_ntz(F.col("timestamp"))))
     s = (r.where(F.col("event") == "llm_call_start")
          .select(F.col("trace_id").alias("s_trace"), F.col("span_id").alias("s_span"),
-                 F.col("ts").alias("start_ts"), "model")
-         .withWatermark("start_ts", watermark))
+                 F.col("ts").alias("s_ts"), F.col("ts_ntz").alias("start_ts"), "model")
+         .withWatermark("s_ts", watermark))
     c = (r.where(F.col("event") == "llm_call_complete")
          .select(F.col("trace_id").alias("c_trace"), F.col("span_id").alias("c_span"),
-                 F.col("ts").alias("end_ts"), "tokens_in", "tokens_out", "latency_ms")
-         .withWatermark("end_ts", watermark))
+                 F.col("ts").alias("c_ts"), F.col("ts_ntz").alias("end_ts"), "tokens_in",
+                 "tokens_out", "latency_ms")
+         .withWatermark("c_ts", watermark))
     cond = ((F.col("s_trace") == F.col("c_trace")) & (F.col("s_span") == F.col("c_span"))
-            & (F.col("end_ts") >= F.col("start_ts"))
-            & (F.col("end_ts") <= F.col("start_ts") + F.expr(f"INTERVAL {bound}")))
+            & (F.col("c_ts") >= F.col("s_ts"))
+            & (F.col("c_ts") <= F.col("s_ts") + F.expr(f"INTERVAL {bound}")))
     return s.join(c, cond, "inner").select(
         F.col("s_trace").alias("trace_id"), F.col("s_span").alias("span_id"), "start_ts", "end_ts",
         "tokens_in", "tokens_out", "latency_ms", "model")
