@@ -6,17 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Evaluate every derived column once, even if a later filter reads it.
+def settle(df: DataFrame, derived: list[str] | None = None) -> DataFrame:
+    """Evaluate the ``derived`` columns once, even if a later filter reads them.
 
     Catalyst pushes a filter below the projections that define its columns by
     substituting their expressions; for text-heavy columns (regex over whole
     replies / documents) that re-runs the regexes inside the filter, once per
-    reference.  Passing the row through a one-element ``inline`` turns the
-    columns into generator output, which a filter cannot be pushed below, so
-    each expression is computed exactly once per row in generated code.
+    reference.  Passing the derived columns through a one-element ``inline``
+    turns them into generator output, which a filter on them cannot be pushed
+    below, so each expression is computed exactly once per row in generated
+    code.  The other (pass-through) columns stay plain child columns: filters
+    on them still reach the scan and unused ones are still pruned.
     """
-    return df.select(F.inline(F.array(F.struct(*[F.col(c) for c in df.columns]))))
+    derived = list(df.columns) if derived is None else derived
+    rest = [c for c in df.columns if c not in derived]
+    return df.select(*rest, F.inline(F.array(F.struct(*[F.col(c) for c in derived]))))
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -40,7 +40,8 @@ def classify(canonical: DataFrame) -> DataFrame:
                         .otherwise("LOW"))
             .withColumn("intent_key", T.intent_key(F.col("verb"), F.col("noun"),
                                                    F.col("language"), F.col("intent_type")))
-            .transform(settle))
+            .transform(lambda d: settle(d, ["verb", "noun", "matches", "intent_type",
+                                            "confidence", "intent_key"])))
 
 
 def classify_requests(raw: DataFrame, table=dims.VERB_SYNONYMS) -> DataFrame:

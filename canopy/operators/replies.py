@@ -91,7 +91,8 @@ def validate_replies(attempts: DataFrame) -> DataFrame:
             .withColumn("content_hash", F.when(F.col("status") == "ok", T.hash16(F.col("code")))
                         .when(F.col("status") == "ambiguity", F.lit("")))
             .drop("_missing", "_fences", "_impl")
-            .transform(settle))
+            .transform(lambda d: settle(d, ["_names", "_bodies", "code", "status", "detail",
+                                            "content_hash"])))
 
 
 def failure_rates(validated: DataFrame, by: str = "language") -> DataFrame:

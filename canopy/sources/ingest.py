@@ -42,7 +42,7 @@ def ingest_requests(raw: DataFrame, aliases=dims.LANGUAGE_ALIASES) -> DataFrame:
                            F.concat(F.lit("Unsupported language: "), F.col("alias")))
                     .when(F.length("norm_text") < 3, "Intent too short")
                     .otherwise("ok"))
-        .transform(settle)
+        .transform(lambda d: settle(d, ["language", "norm_text", "source", "status"]))
     )
 
 
