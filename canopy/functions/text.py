@@ -26,9 +26,13 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# every code point Python's str.isspace() accepts (what str.strip() removes)
+PY_SPACE_CHARS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+
+
 def py_strip(c: str | Column) -> Column:
-    """Python ``str.strip()``: removes Unicode whitespace at both ends."""
-    return F.regexp_replace(col(c), f"^{WS}+|{WS}+\\z", "")
+    """Python ``str.strip()``: removes Unicode whitespace at both ends (no regex)."""
+    return F.btrim(col(c), F.lit(PY_SPACE_CHARS))
 
 
 def py_split_words(c: str | Column) -> Column:
