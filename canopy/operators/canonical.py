@@ -196,25 +196,33 @@ VERB_SYNONYMS_V2 = dims.VERB_SYNONYMS + [
 
 
 def taxonomy_diff(raw: DataFrame, old=dims.VERB_SYNONYMS, new=VERB_SYNONYMS_V2) -> DataFrame:
-    """Classify with two table versions; rows whose verb, noun, type or confidence changed.
+    """Classify with two table versions in one pass; rows whose verb, noun,
+    type or confidence changed.
 
-    Each version is its own narrow classification job; only the narrow results
-    (no text) are shuffled for the join on ``req_id``.  The comparison runs
-    after the join, so it is never inlined into the text-heavy projections.
+    Both versions are columns of the same projection over one scan (no join,
+    no second pass over the text); ``settle`` keeps the change filter from
+    re-running the text expressions.
     """
-    cols = ["verb", "noun", "intent_type", "confidence"]
-
-    def version(tbl, tag):
-        c = classify_requests(raw, tbl)
-        return c.select("req_id", *(["language"] if tag == "old" else []),
-                        *[F.col(x).alias(f"{tag}_{x}") for x in cols])
-
-    j = version(old, "old").join(version(new, "new"), "req_id")
-    changed = reduce(lambda a, b: a | b, [F.col(f"old_{x}") != F.col(f"new_{x}") for x in cols])
-    return j.where(changed).select(
+    ok, _ = split_ingested(ingest_requests(raw))
+    out = (ok.where(F.col("source") == "freetext")
+           .withColumn("_l", F.lower("norm_text")).withColumn("_raw_l", F.lower("text")))
+    derived = []
+    for tag, tbl in (("old", old), ("new", new)):
+        m = f"_{tag}_m"
+        out = (out.withColumn(f"{tag}_verb", T.canonical_verb(F.col("_l"), tbl))
+               .withColumn(f"{tag}_noun", T.canonical_noun(F.col("_l"), F.col(f"{tag}_verb"), tbl))
+               .withColumn(m, T.classifier_matches(F.col("_raw_l"), F.col(f"{tag}_verb")))
+               .withColumn(f"{tag}_type", F.coalesce(F.try_element_at(m, F.lit(1)),
+                                                     F.lit("PURE_FUNCTION")))
+               .withColumn(f"{tag}_confidence", F.when(F.size(m) == 1, "HIGH")
+                           .when(F.size(m) >= 2, "MEDIUM").otherwise("LOW")))
+        derived += [f"{tag}_verb", f"{tag}_noun", f"{tag}_type", f"{tag}_confidence"]
+    out = settle(out.select("req_id", "language", *derived), derived)
+    changed = reduce(lambda a, b: a | b, [F.col(f"old_{x}") != F.col(f"new_{x}")
+                                          for x in ("verb", "noun", "type", "confidence")])
+    return out.where(changed).select(
         "req_id", "language", "old_verb", "new_verb", "old_noun", "new_noun",
-        F.col("old_intent_type").alias("old_type"), F.col("new_intent_type").alias("new_type"),
-        "old_confidence", "new_confidence")
+        "old_type", "new_type", "old_confidence", "new_confidence")
 
 
 def taxonomy_transitions(changed: DataFrame) -> DataFrame:
