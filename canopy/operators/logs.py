@@ -103,15 +103,24 @@ def config_lock_audit(calls_or_starts: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- #51 ----
-def prompt_audit(requests: DataFrame, classified: DataFrame) -> DataFrame:
-    """One row per request: prompt hash of the raw text, type, and whether the
-    same prompt was already sent earlier in the session (first by (ts, req_id))."""
-    r = requests.withColumn("prompt_hash", T.hash16(F.col("text")))
+def prompt_audit(requests: DataFrame) -> DataFrame:
+    """One row per request: prompt hash of the raw text, session, time, type, and
+    whether the same prompt was already sent earlier in the session.
+
+    One pass: classification columns are computed on every row and kept only
+    for accepted free-text rows (no join back to a second classification);
+    the first request per (session, prompt hash) comes from a partial
+    aggregation joined back on that key."""
+    from canopy.operators.canonical import canonicalise, classify
+    from canopy.sources.ingest import ingest_requests
+    c = classify(canonicalise(ingest_requests(requests)))
+    keep = (F.col("status") == "ok") & (F.col("source") == "freetext")
+    r = c.select("req_id", "session_id", "ts", T.hash16(F.col("text")).alias("prompt_hash"),
+                 F.when(keep, F.col("intent_type")).alias("intent_type"),
+                 F.when(keep, F.col("confidence")).alias("confidence"))
     first = r.groupBy("session_id", "prompt_hash").agg(
         F.min_by("req_id", F.struct("ts", "req_id")).alias("first_req_id"))
-    c = classified.select("req_id", "intent_type", "confidence")
     return (r.join(first, ["session_id", "prompt_hash"])
-            .join(c, "req_id", "left")
             .select("req_id", "session_id", "ts", "prompt_hash", "intent_type", "confidence",
                     (F.col("req_id") != F.col("first_req_id")).alias("repeated")))
 

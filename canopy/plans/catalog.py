@@ -638,7 +638,7 @@ f AS (SELECT session_id, prompt_hash, arg_min(req_id, (ts, req_id)) AS first_req
 SELECT r.req_id, r.session_id, r.ts, r.prompt_hash, c.intent_type, c.confidence,
        r.req_id <> f.first_req_id AS repeated
 FROM r JOIN f USING (session_id, prompt_hash) LEFT JOIN classified c ON c.req_id = r.req_id""")(
-    lambda spark, d: L.prompt_audit(FX.requests(spark, d), _classified(spark, d)))
+    lambda spark, d: L.prompt_audit(FX.requests(spark, d)))
 
 
 def _funnel(spark, d):
