@@ -23,18 +23,25 @@ def settle(df: DataFrame, derived: list[str] | None = None) -> DataFrame:
     return df.select(*rest, F.inline(F.array(F.struct(*[F.col(c) for c in derived]))))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy text work at least one task per core.
+MIN_BYTES_PER_TASK = 512 * 1024
+
+
+def spread(df: DataFrame, min_bytes_per_task: int = MIN_BYTES_PER_TASK) -> DataFrame:
+    """Give CPU-heavy text work enough tasks.
 
     A scan yields one task per file split; a single large file (or row group)
     would run the whole text job in one task.  When the scan has fewer
-    partitions than the cluster has cores the rows are round-robin
-    repartitioned; on a large input (thousands of splits) this is a no-op.
+    partitions than cores, rows are round-robin repartitioned into
+    ``min(cores, input bytes / min_bytes_per_task)`` partitions, so small
+    tables are left alone and a large input (thousands of splits) is a no-op.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    have = df.rdd.getNumPartitions()
+    if have >= cores:
+        return df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    want = min(cores, max(1, -(-size // min_bytes_per_task)))
+    return df.repartition(want) if want > have else df
 
 
 def running_sum(df: DataFrame, key: str, order: list[str], value: str, time_col: str,
