@@ -125,3 +125,17 @@ def test_repartition_invariance(spark):
     a = classify_requests(raw.coalesce(1)).select("req_id", "intent_key", "confidence")
     b = classify_requests(raw.repartition(7)).select("req_id", "intent_key", "confidence")
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_running_sum_chunk_invariance(spark):
+    r = FX.results_seq(spark, "/root/testdata/sf0.001")
+    a = D.assign_sessions(r, chunk_seconds=3600).select("req_id", "session_no")
+    b = D.assign_sessions(r, chunk_seconds=86400 * 3650).select("req_id", "session_no")
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_settle_keeps_scan_pushdown(spark):
+    from canopy.plans import catalog
+    df = catalog._classified(spark, "/root/testdata/sf0.001").where(F.col("session_id") == 5)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(o_custkey,5)" in plan
