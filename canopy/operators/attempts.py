@@ -69,8 +69,10 @@ def retry_stats(validated: DataFrame, results: DataFrame) -> DataFrame:
     h = results.groupBy("attempts_used", "status").agg(F.count("*").alias("n"))
     w = Window.partitionBy("status").orderBy("attempts_used").rowsBetween(
         Window.unboundedPreceding, 0)
-    # the histogram has at most max_retries x 3 rows, so this window is tiny
-    return h.withColumn("cumulative", F.sum("n").over(w))
+    # the histogram has at most max_retries x 3 rows, so these windows are tiny
+    total = Window.partitionBy("status")
+    return (h.withColumn("cumulative", F.sum("n").over(w))
+            .withColumn("cumulative_share", F.round(F.col("cumulative") / F.sum("n").over(total), 4)))
 
 
 def exhausted_reasons(validated: DataFrame, results: DataFrame) -> DataFrame:

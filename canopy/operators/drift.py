@@ -100,6 +100,13 @@ def regression_matrix(runs: DataFrame, calls_per_cell: int = 20) -> DataFrame:
         .when(F.col("calls") < calls_per_cell, "short").otherwise("pass").alias("status"))
 
 
+def regression_cube(runs: DataFrame) -> DataFrame:
+    """Calls and distinct hashes per cell with type / language / grand subtotals."""
+    return runs.cube("type", "language").agg(
+        F.grouping_id().alias("gid"), F.count("*").alias("calls"),
+        F.count_distinct("content_hash").alias("n_hashes"))
+
+
 def regression_pivot(matrix: DataFrame) -> DataFrame:
     return matrix.groupBy("type").pivot("language", dims.LANGUAGES).agg(F.first("status"))
 

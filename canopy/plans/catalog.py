@@ -306,7 +306,10 @@ register("retry_stats", f"""{_V},
 h AS (SELECT attempts_used, status, count(*) AS n FROM results GROUP BY ALL)
 SELECT attempts_used, status, n,
        sum(n) OVER (PARTITION BY status ORDER BY attempts_used
-                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS cumulative
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS cumulative,
+       round(sum(n) OVER (PARTITION BY status ORDER BY attempts_used
+                          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+             / sum(n) OVER (PARTITION BY status), 4) AS cumulative_share
 FROM h""")(
     lambda spark, d: A.retry_stats(None, _results(spark, d)))
 
@@ -942,3 +945,10 @@ SELECT req_id, language, intent_type, confidence, intent_key,
        array_to_string(matches, ',') AS matches FROM classified""")(
     lambda spark, d: _classified(spark, d, FX.conversation_requests).select(
         *_CLASSIFY_COLS, F.array_join("matches", ",").alias("matches")))
+
+
+register("regression_cube", f"""WITH {O.runs_cte()}
+SELECT type, language, GROUPING(type, language) AS gid, count(*) AS calls,
+       count(DISTINCT content_hash) AS n_hashes
+FROM runs GROUP BY CUBE (type, language)""")(
+    lambda spark, d: D.regression_cube(FX.runs(spark, d)))

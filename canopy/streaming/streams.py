@@ -132,9 +132,12 @@ def session_metrics(events_stream: DataFrame, gap: str = "30 minutes",
 
 # ---------------------------------------------------------------- #47 ----
 def stream_pair_calls(lines_stream: DataFrame, bound: str = "10 minutes",
-                      watermark: str = "10 minutes") -> DataFrame:
+                      watermark: str = "10 minutes", how: str = "inner") -> DataFrame:
     """Stream-stream join of start and complete lines on (trace_id, span_id)
-    with event-time bounds, so join state is dropped once the watermark passes."""
+    with event-time bounds, so join state is dropped once the watermark passes.
+
+    ``how="left_outer"`` also emits starts that never completed (failed calls),
+    once the watermark has passed their time bound."""
     r = lines_stream.select(F.from_json("line", LOG_SCHEMA).alias("r")).select("r.*")
     # event time for watermarks must be TIMESTAMP; the output keeps UTC wall time (NTZ)
     r = (r.withColumn("ts", F.to_timestamp("timestamp"))
@@ -151,6 +154,6 @@ def stream_pair_calls(lines_stream: DataFrame, bound: str = "10 minutes",
     cond = ((F.col("s_trace") == F.col("c_trace")) & (F.col("s_span") == F.col("c_span"))
             & (F.col("c_ts") >= F.col("s_ts"))
             & (F.col("c_ts") <= F.col("s_ts") + F.expr(f"INTERVAL {bound}")))
-    return s.join(c, cond, "inner").select(
+    return s.join(c, cond, how).select(
         F.col("s_trace").alias("trace_id"), F.col("s_span").alias("span_id"), "start_ts", "end_ts",
         "tokens_in", "tokens_out", "latency_ms", "model")
