@@ -181,12 +181,23 @@ def link_contracts(functions: DataFrame, contracts: DataFrame) -> DataFrame:
     """edges(project_id, key, dep): a function depends on each contract of its
     project whose lowered name is a substring of the lowered intent.
 
-    Equi-join on project_id (a project has few contracts) + residual contains."""
-    f = functions.select("project_id", F.concat_ws(":", "module", "intent").alias("key"),
-                         F.lower("intent").alias("_li"))
+    Substring containment is turned into an equi-join without pairing every
+    function with every contract: each intent emits its substrings of the
+    lengths that contract names of its project actually have (linear in the
+    intent length), and those are joined on (project_id, text) with the names.
+    """
     c = contracts.select("project_id", "contract", F.lower("contract").alias("_lc"))
-    return (f.join(c, (f.project_id == c.project_id) & F.col("_li").contains(F.col("_lc")))
-            .select(f.project_id, "key", F.concat(F.lit("contract:"), F.col("contract")).alias("dep"))
+    lens = c.groupBy("project_id").agg(F.collect_set(F.length("_lc")).alias("_lens"))
+    f = (functions.select("project_id", F.concat_ws(":", "module", "intent").alias("key"),
+                          F.lower("intent").alias("_li"))
+         .join(lens, "project_id"))
+    fits = F.filter("_lens", lambda m: m <= F.length("_li"))
+    subs = F.flatten(F.transform(fits, lambda m: F.transform(
+        F.sequence(F.lit(1), F.length("_li") - m + 1),
+        lambda i: F.substring(F.col("_li"), i, m))))
+    cand = f.select("project_id", "key", F.explode(F.array_distinct(subs)).alias("_lc"))
+    return (cand.join(c, ["project_id", "_lc"])
+            .select("project_id", "key", F.concat(F.lit("contract:"), F.col("contract")).alias("dep"))
             .distinct())
 
 

@@ -139,3 +139,13 @@ def test_settle_keeps_scan_pushdown(spark):
     df = catalog._classified(spark, "/root/testdata/sf0.001").where(F.col("session_id") == 5)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(o_custkey,5)" in plan
+
+
+def test_link_contracts_substring_semantics(spark):
+    fns = spark.createDataFrame(
+        [(1, "m", 0, 0, "check USERNAME length"), (1, "m", 0, 1, "hash pw"), (2, "x", 0, 0, "user")],
+        "project_id long, module string, m_pos int, f_pos int, intent string")
+    cons = spark.createDataFrame([(1, "User"), (1, "Token"), (2, "Users")],
+                                 "project_id long, contract string")
+    got = sorted((r.project_id, r.key, r.dep) for r in P.link_contracts(fns, cons).collect())
+    assert got == [(1, "m:check USERNAME length", "contract:User")]
