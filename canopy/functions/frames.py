@@ -23,7 +23,7 @@ def settle(df: DataFrame, derived: list[str] | None = None) -> DataFrame:
     return df.select(*rest, F.inline(F.array(F.struct(*[F.col(c) for c in derived]))))
 
 
-MIN_BYTES_PER_TASK = 512 * 1024
+MIN_BYTES_PER_TASK = 64 * 1024  # derived work per input byte is high (exploded text, regex)
 
 
 def spread(df: DataFrame, min_bytes_per_task: int = MIN_BYTES_PER_TASK) -> DataFrame:
