@@ -715,12 +715,21 @@ FROM pitems i LEFT JOIN pedges e USING (project_id, key)
 GROUP BY i.project_id, i.key, i.intent, i.language, i.module""")(
     lambda spark, d: _items_edges(spark, d)[0])
 
-register("build_order", f"""{_PW},
-m AS (SELECT project_id, key, max(dep) AS maxdep FROM pedges GROUP BY ALL),
-j AS (SELECT i.project_id, i.key, greatest(i.key, coalesce(m.maxdep, i.key)) AS eff
-      FROM pitems i LEFT JOIN m USING (project_id, key))
-SELECT project_id, key, row_number() OVER (PARTITION BY project_id ORDER BY eff, eff <> key, key)
-       AS position FROM j""")(
+register("build_order", f"""WITH RECURSIVE {O.projects_cte()},
+-- Kahn's algorithm with a sorted ready queue, step by step: pop the smallest key
+-- whose dependencies are all done (an independent statement of the rule)
+kahn(project_id, step, done) AS (
+  SELECT DISTINCT project_id, 0, []::VARCHAR[] FROM pitems
+  UNION ALL
+  SELECT k.project_id, k.step + 1, list_append(k.done, (
+    SELECT min(i.key) FROM pitems i
+    WHERE i.project_id = k.project_id AND NOT list_contains(k.done, i.key)
+      AND NOT EXISTS (SELECT 1 FROM pedges e WHERE e.project_id = i.project_id
+                      AND e.key = i.key AND NOT list_contains(k.done, e.dep))))
+  FROM kahn k
+  WHERE k.step < (SELECT count(*) FROM pitems i WHERE i.project_id = k.project_id)),
+final AS (SELECT project_id, arg_max(done, step) AS done FROM kahn GROUP BY project_id)
+SELECT project_id, unnest(done) AS key, generate_subscripts(done, 1) AS position FROM final""")(
     lambda spark, d: P.build_order(*_items_edges(spark, d)[:2]))
 
 register("declared_order", f"""{_PW},
