@@ -961,3 +961,22 @@ SELECT type, language, GROUPING(type, language) AS gid, count(*) AS calls,
        count(DISTINCT content_hash) AS n_hashes
 FROM runs GROUP BY CUBE (type, language)""")(
     lambda spark, d: D.regression_cube(FX.runs(spark, d)))
+
+
+def _stream_registry(spark, d):
+    base = S.scratch(spark, "registry")
+    att = FX.attempts(spark, d)
+    for a in (1, 2, 3):  # replies arrive attempt by attempt
+        att.where(F.col("attempt") == a).write.mode("append").parquet(base + "/src")
+    stream = S.file_stream(spark, base + "/src", spark.read.parquet(base + "/src").schema,
+                           max_files=4)
+    sections = R.pivot_sections(R.validate_replies(stream))
+    S.stream_registry_upsert(sections, base + "/registry")
+    return S.latest_registry(spark, base + "/registry")
+
+
+register("stream_registry_upsert", f"""{_V}
+SELECT content_hash, {', '.join(f"arg_max({c}, (ts, req_id, attempt)) AS {c}" for c in _REC[1:])},
+       max(ts) AS ts, arg_max(req_id, (ts, req_id, attempt)) AS req_id,
+       arg_max(attempt, (ts, req_id, attempt)) AS attempt
+FROM sections GROUP BY content_hash""")(_stream_registry)

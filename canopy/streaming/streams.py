@@ -157,3 +157,40 @@ def stream_pair_calls(lines_stream: DataFrame, bound: str = "10 minutes",
     return s.join(c, cond, how).select(
         F.col("s_trace").alias("trace_id"), F.col("s_span").alias("span_id"), "start_ts", "end_ts",
         "tokens_in", "tokens_out", "latency_ms", "model")
+
+
+# ----------------------------------------------------------------- #5 ----
+def stream_registry_upsert(sections_stream: DataFrame, table_path: str) -> None:
+    """Merge every micro-batch of valid replies into a registry table.
+
+    ``foreachBatch`` reads the latest registry version, unions the batch,
+    keeps the latest persist per content hash (``registry_upsert``) and writes
+    the result as a new version folder ``v=<epoch>``; readers take the highest
+    version.  Writing a new version instead of overwriting the one being read
+    keeps every batch restartable after a failure.
+    """
+    from canopy.operators.registry import registry_upsert
+
+    def merge(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        current = latest_registry(spark, table_path)
+        merged, _ = registry_upsert(current, batch)
+        merged.write.mode("overwrite").parquet(f"{table_path}/v={epoch:012d}")
+
+    q = (sections_stream.writeStream.foreachBatch(merge)
+         .option("checkpointLocation", table_path + "/_checkpoint")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
+def latest_registry(spark: SparkSession, table_path: str) -> DataFrame | None:
+    """The newest registry version written by ``stream_registry_upsert``."""
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table_path)
+    fs = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(jvm_path):
+        return None
+    versions = sorted(s.getPath().getName() for s in fs.listStatus(jvm_path)
+                      if s.getPath().getName().startswith("v="))
+    if not versions:
+        return None
+    return spark.read.parquet(f"{table_path}/{versions[-1]}")
