@@ -572,20 +572,24 @@ register("ingest_log", f"""WITH {O.log_cte()}
 SELECT event, count(*) AS n, count(DISTINCT trace_id) AS n_traces,
        coalesce(sum(tokens_in), 0)::BIGINT AS tokens_in,
        coalesce(sum(tokens_out), 0)::BIGINT AS tokens_out,
-       round(coalesce(sum(latency_ms), 0), 2) AS latency_ms, min(ts) AS first_ts, max(ts) AS last_ts
+       coalesce(sum(round(latency_ms * 100)::BIGINT), 0)::BIGINT AS latency_cms,
+       min(ts) AS first_ts, max(ts) AS last_ts
 FROM log GROUP BY event""")(
     lambda spark, d: _log(spark, d).groupBy("event").agg(
         F.count("*").alias("n"), F.count_distinct("trace_id").alias("n_traces"),
         F.coalesce(F.sum("tokens_in"), F.lit(0)).alias("tokens_in"),
         F.coalesce(F.sum("tokens_out"), F.lit(0)).alias("tokens_out"),
-        F.round(F.coalesce(F.sum("latency_ms"), F.lit(0.0)), 2).alias("latency_ms"),
+        # latencies have two decimals: summing exact hundredths keeps the total exact
+        F.coalesce(F.sum(F.round(F.col("latency_ms") * 100).cast("long")), F.lit(0))
+        .alias("latency_cms"),
         F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")))
 
 register("ingest_log_corrupt", """SELECT count(*) AS n FROM events WHERE event_id % 1000 = 7""")(
     lambda spark, d: ingest_log(FX.log_lines(spark, d))[1].agg(F.count("*").alias("n")))
 
 register("span_latency", f"""WITH {O.log_cte()}
-SELECT operation, count(*) AS n, round(avg(latency_ms), 4) AS mean_ms,
+SELECT operation, count(*) AS n,
+       round(sum(round(latency_ms * 100)::BIGINT) / count(*) / 100, 4) AS mean_ms,
        round(quantile_cont(latency_ms, 0.5), 4) AS p50_ms,
        round(quantile_cont(latency_ms, 0.95), 4) AS p95_ms,
        round(quantile_cont(latency_ms, 0.99), 4) AS p99_ms, max(latency_ms) AS max_ms
