@@ -14,6 +14,7 @@ import __spark_entry__ as E  # noqa: E402
 from canopy.session import get_session  # noqa: E402
 
 SKIP = {"stream_drift", "stream_call_metrics", "stream_pair_calls", "stream_sliding_metrics",
+        "stream_registry_upsert",
         "stream_session_metrics", "build_levels"}  # these run a job to produce their input
 
 
