@@ -225,7 +225,7 @@ def generation_items(contracts: DataFrame, functions: DataFrame, edges: DataFram
              .select("project_id", "key", "i.*"))
     d = edges.groupBy("project_id", "key").agg(
         F.array_join(F.sort_array(F.collect_list("dep")), ",").alias("deps"),
-        F.count("*").alias("n_deps"))
+        F.count("*").alias("n_deps"), F.max("dep").alias("max_dep"))
     return (items.join(d, ["project_id", "key"], "left")
             .withColumn("n_deps", F.coalesce("n_deps", F.lit(0)))
             .withColumn("deps", F.coalesce("deps", F.lit(""))))
@@ -240,9 +240,12 @@ def build_order(items: DataFrame, edges: DataFrame) -> DataFrame:
     ``eff = greatest(key, max(dep))``: a function becomes ready right after its
     largest dependency and is then the next smallest ready key.  The window is
     per project (bounded by the project's size)."""
-    m = edges.groupBy("project_id", "key").agg(F.max("dep").alias("_maxdep"))
-    j = items.join(m, ["project_id", "key"], "left").withColumn(
-        "eff", F.greatest("key", F.coalesce("_maxdep", "key")))
+    if "max_dep" in items.columns:  # carried by generation_items: no second pass over edges
+        j = items.withColumn("_maxdep", F.col("max_dep"))
+    else:
+        m = edges.groupBy("project_id", "key").agg(F.max("dep").alias("_maxdep"))
+        j = items.join(m, ["project_id", "key"], "left")
+    j = j.withColumn("eff", F.greatest("key", F.coalesce("_maxdep", "key")))
     w = Window.partitionBy("project_id").orderBy("eff", F.col("eff") != F.col("key"), "key")
     return j.select("project_id", "key", F.row_number().over(w).alias("position"))
 

@@ -717,7 +717,8 @@ SELECT i.project_id, i.key, i.intent, i.language, i.module,
        coalesce(string_agg(e.dep, ',' ORDER BY e.dep), '') AS deps, count(e.dep) AS n_deps
 FROM pitems i LEFT JOIN pedges e USING (project_id, key)
 GROUP BY i.project_id, i.key, i.intent, i.language, i.module""")(
-    lambda spark, d: _items_edges(spark, d)[0])
+    lambda spark, d: _items_edges(spark, d)[0].select(
+        "project_id", "key", "intent", "language", "module", "deps", "n_deps"))
 
 register("build_order", f"""WITH RECURSIVE {O.projects_cte()},
 -- Kahn's algorithm with a sorted ready queue, step by step: pop the smallest key
