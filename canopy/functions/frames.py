@@ -23,25 +23,15 @@ def settle(df: DataFrame, derived: list[str] | None = None) -> DataFrame:
     return df.select(*rest, F.inline(F.array(F.struct(*[F.col(c) for c in derived]))))
 
 
-MIN_BYTES_PER_TASK = 64 * 1024  # derived work per input byte is high (exploded text, regex)
-
-
-def spread(df: DataFrame, min_bytes_per_task: int = MIN_BYTES_PER_TASK) -> DataFrame:
-    """Give CPU-heavy text work enough tasks.
-
-    A scan yields one task per file split; a single large file (or row group)
-    would run the whole text job in one task.  When the scan has fewer
-    partitions than cores, rows are round-robin repartitioned into
-    ``min(cores, input bytes / min_bytes_per_task)`` partitions, so small
-    tables are left alone and a large input (thousands of splits) is a no-op.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    have = df.rdd.getNumPartitions()
-    if have >= cores:
-        return df
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    want = min(cores, max(1, -(-size // min_bytes_per_task)))
-    return df.repartition(want) if want > have else df
+def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` where null equals null; the left side's key columns stay."""
+    named = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c)
+                           for c in right.columns])
+    on = None
+    for k in keys:
+        same = left[k].eqNullSafe(named[f"_r_{k}"])
+        on = same if on is None else on & same
+    return left.join(named, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
 def running_sum(df: DataFrame, key: str, order: list[str], value: str, time_col: str,
@@ -52,7 +42,8 @@ def running_sum(df: DataFrame, key: str, order: list[str], value: str, time_col:
     A plain window partitioned by ``key`` sorts a whole key in one task; a key
     holding a third of all rows would stall there.  Here rows are cut into
     time chunks: a window runs inside each (key, chunk) and the totals of
-    earlier chunks come from a per-chunk aggregate, which is small.
+    earlier chunks come from a per-chunk aggregate, which is small.  Rows
+    without a time form the first chunk of their key.
     """
     from pyspark.sql import Window
 
@@ -63,6 +54,6 @@ def running_sum(df: DataFrame, key: str, order: list[str], value: str, time_col:
     per_chunk = r.groupBy(key, "_chunk").agg(F.sum(value).alias("_n"))
     w2 = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     before = per_chunk.select(key, "_chunk", F.coalesce(F.sum("_n").over(w2), F.lit(0)).alias("_before"))
-    return (within.join(before, [key, "_chunk"])
+    return (join_on(within, before, [key, "_chunk"])  # a null key or time is a value like others
             .withColumn(out, F.col("_before") + F.col("_in"))
             .drop("_chunk", "_in", "_before"))

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopy.functions import dims
-from canopy.functions.frames import running_sum
+from canopy.functions.frames import join_on, running_sum
+from canopy.session import stored
 
 VIOLATION = ("DETERMINISM_VIOLATION\n  intent_key: %s\n  expected:   %s\n  received:   %s\n"
              "  Investigate before re-running.")
@@ -34,11 +35,18 @@ GROUP = ["session_id", "session_no", "intent_key"]
 
 def check_drift(results: DataFrame) -> DataFrame:
     """Per (session, session_no, key): expected = first hash; later different hash
-    is a violation with the exact message.  The expected hash is never replaced."""
-    s = assign_sessions(results)
-    first = s.groupBy(*GROUP).agg(F.min_by("content_hash", F.struct("ts", "req_id")).alias("expected"))
-    v = F.col("content_hash") != F.col("expected")
-    return (s.join(first, GROUP)
+    is a violation with the exact message.  The expected hash is never replaced.
+
+    Only accepted replies have a hash: a row with an empty or null hash neither sets
+    the expectation nor violates it, and has none.  The sessioned rows are evaluated once."""
+    s = stored(assign_sessions(results), "sessioned")
+    hashed = F.coalesce(F.col("content_hash") != "", F.lit(False))
+    first = s.groupBy(*GROUP).agg(F.min_by(
+        F.when(hashed, F.col("content_hash")),
+        F.when(hashed, F.struct("ts", "req_id"))).alias("expected"))
+    v = hashed & (F.col("content_hash") != F.col("expected"))
+    return (join_on(s, first, GROUP)
+            .withColumn("expected", F.when(hashed, F.col("expected")))
             .withColumn("violation", v)
             .withColumn("message", F.when(v, F.format_string(
                 VIOLATION, F.col("intent_key"), F.col("expected"), F.col("content_hash")))))
@@ -46,8 +54,9 @@ def check_drift(results: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- #33 ----
 def drift_report(checked: DataFrame) -> DataFrame:
-    """Keys with more than one hash in a session: counts and first violation time."""
-    return (checked.groupBy(*GROUP)
+    """Keys with more than one hash in a session: counts and first violation time
+    (accepted replies only)."""
+    return (checked.where(F.col("content_hash") != "").groupBy(*GROUP)
             .agg(F.count("*").alias("n"),
                  F.count_distinct("content_hash").alias("n_hashes"),
                  F.sum(F.col("violation").cast("int")).alias("n_violations"),
@@ -56,14 +65,15 @@ def drift_report(checked: DataFrame) -> DataFrame:
             .where(F.col("n_hashes") > 1))
 
 
-def drift_variants(checked: DataFrame) -> DataFrame:
-    """Hash variants per key with their frequency."""
-    return checked.groupBy("intent_key", "content_hash").agg(F.count("*").alias("n"))
+def drift_variants(results: DataFrame) -> DataFrame:
+    """Hash variants of accepted replies per key with their frequency."""
+    return (results.where(F.col("content_hash") != "")
+            .groupBy("intent_key", "content_hash").agg(F.count("*").alias("n")))
 
 
 # ---------------------------------------------------------------- #35 ----
 def first_hashes(results: DataFrame) -> DataFrame:
-    return results.groupBy("intent_key").agg(
+    return results.where(F.col("content_hash") != "").groupBy("intent_key").agg(
         F.min_by("content_hash", F.struct("ts", "req_id")).alias("content_hash"))
 
 
@@ -113,20 +123,24 @@ def regression_pivot(matrix: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- #37 ----
 def synonym_stability(runs: DataFrame) -> DataFrame:
-    """Phrasing pairs of one type x language cell whose hash sets differ.
+    """Phrasings whose hash set is not the most frequent one of their cell.
 
-    Distinct (cell, phrasing, hash) rows are folded into one row per phrasing
-    with an order-free signature of its hash set (count + sum of 64-bit hashes),
-    so the self-join only pairs phrasings (a small fixed dimension), never rows.
+    Each phrasing is folded into one row with a signature of its sorted hash set; the
+    most frequent signature of a cell (ties: the smallest) is the cell's rule.  The
+    report is linear in the phrasings.
     """
-    d = runs.select("type", "language", "phrasing", "content_hash").distinct()
-    per = d.groupBy("type", "language", "phrasing").agg(
-        F.count("*").alias("n_hashes"), F.sum(F.xxhash64("content_hash")).alias("sig"))
-    a = per.select("type", "language", F.col("phrasing").alias("p1"),
-                   F.col("n_hashes").alias("n_hashes_1"), F.col("sig").alias("s1"))
-    b = per.select("type", "language", F.col("phrasing").alias("p2"),
-                   F.col("n_hashes").alias("n_hashes_2"), F.col("sig").alias("s2"))
-    return (a.join(b, ["type", "language"])
-            .where((F.col("p1") < F.col("p2"))
-                   & ((F.col("s1") != F.col("s2")) | (F.col("n_hashes_1") != F.col("n_hashes_2"))))
-            .select("type", "language", "p1", "p2", "n_hashes_1", "n_hashes_2"))
+    per = _signatures(runs)
+    rule = (per.groupBy("type", "language", "sig").agg(F.count("*").alias("n"))
+            .groupBy("type", "language").agg(
+                F.min_by(F.struct("sig", "n"), F.struct(-F.col("n"), "sig")).alias("rule"))
+            .select("type", "language", F.col("rule.sig").alias("rule_sig"),
+                    F.col("rule.n").alias("n_agreeing")))
+    return (join_on(per, rule, ["type", "language"]).where(F.col("sig") != F.col("rule_sig"))
+            .select("type", "language", "phrasing", "n_hashes", "n_agreeing"))
+
+
+def _signatures(runs: DataFrame) -> DataFrame:
+    hashes = F.sort_array(F.collect_set("content_hash"))
+    return runs.groupBy("type", "language", "phrasing").agg(hashes.alias("hs")).select(
+        "type", "language", "phrasing", F.size("hs").cast("long").alias("n_hashes"),
+        F.sha2(F.array_join("hs", ","), 256).alias("sig"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from canopy.functions import dims
 from canopy.functions import text as T
-from canopy.functions.frames import running_sum
+from canopy.functions.frames import join_on, running_sum
 
 
 # ---------------------------------------------------------------- #46 ----
@@ -40,13 +40,12 @@ CALL_KEY = ["trace_id", "span_id"]
 def pair_calls(log: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(calls, orphans): start and complete lines matched on (trace_id, span_id).
 
-    A start without a completion is a failed call (orphan)."""
-    start = log.where(F.col("event") == "llm_call_start").select(
-        *CALL_KEY, "session_id", F.col("ts").alias("start_ts"), "model", "temperature",
-        "max_tokens", "system_prompt_hash", "attempt")
-    done = log.where(F.col("event") == "llm_call_complete").select(
-        *CALL_KEY, F.col("ts").alias("end_ts"), "tokens_in", "tokens_out", "latency_ms",
-        "content_hash")
+    A start without a completion is a failed call (orphan).  A line that is delivered
+    again counts once: each key keeps its earliest start and earliest completion."""
+    start = _first_line(log, "llm_call_start", F.col("ts").alias("start_ts"), "session_id",
+                        "model", "temperature", "max_tokens", "system_prompt_hash", "attempt")
+    done = _first_line(log, "llm_call_complete", F.col("ts").alias("end_ts"), "tokens_in",
+                       "tokens_out", "latency_ms", "content_hash")
     j = start.join(done, CALL_KEY, "full_outer")
     calls = j.where(F.col("start_ts").isNotNull() & F.col("end_ts").isNotNull())
     orphans = j.where(F.col("end_ts").isNull() | F.col("start_ts").isNull()).withColumn(
@@ -54,6 +53,13 @@ def pair_calls(log: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calls, orphans
 
 
+def _first_line(log: DataFrame, event: str, *columns) -> DataFrame:
+    lines = log.where(F.col("event") == event).select(*CALL_KEY, *columns)
+    rest = [c for c in lines.columns if c not in CALL_KEY]
+    return (lines.groupBy(*CALL_KEY).agg(F.min(F.struct(*rest)).alias("r"))
+            .select(*CALL_KEY, "r.*"))
+
+
 # ---------------------------------------------------------------- #48 ----
 def usage_rollup(calls: DataFrame) -> DataFrame:
     """Tokens, calls and attempts per session / model / hour, with subtotals."""
@@ -82,17 +88,19 @@ def context_budget(calls: DataFrame, window_tokens: int = 5000,
 def config_lock_audit(calls_or_starts: DataFrame) -> DataFrame:
     """Violations of the pinned call configuration.
 
-    kind in temperature / model / max_tokens (per call) and system_prompt (per
-    session with more than one system prompt hash)."""
+    kind in temperature / model / max_tokens (per call; a missing setting is off its
+    pin) and system_prompt (per session with more than one system prompt hash)."""
     c = calls_or_starts
     model = F.col("model")
     per_call = c.select(
         "session_id", "span_id",
         F.filter(F.array(
-            F.when(F.col("temperature") != dims.PINNED_TEMPERATURE, F.lit("temperature")),
-            F.when((model != dims.PINNED_MODEL) | model.contains("latest")
+            F.when(~F.col("temperature").eqNullSafe(dims.PINNED_TEMPERATURE),
+                   F.lit("temperature")),
+            F.when(~model.eqNullSafe(dims.PINNED_MODEL) | model.contains("latest")
                    | model.contains("preview"), F.lit("model")),
-            F.when(F.col("max_tokens") != dims.PINNED_MAX_TOKENS, F.lit("max_tokens"))),
+            F.when(~F.col("max_tokens").eqNullSafe(dims.PINNED_MAX_TOKENS),
+                   F.lit("max_tokens"))),
             lambda x: x.isNotNull()).alias("kinds"))
     calls_v = per_call.select("session_id", "span_id", F.explode("kinds").alias("kind"))
     sessions_v = (c.groupBy("session_id")
@@ -121,7 +129,7 @@ def prompt_audit(requests: DataFrame) -> DataFrame:
                  F.when(keep, F.col("confidence")).alias("confidence"))
     first = r.groupBy("session_id", "prompt_hash").agg(
         F.min_by("req_id", F.struct("ts", "req_id")).alias("first_req_id"))
-    return (r.join(first, ["session_id", "prompt_hash"])
+    return (join_on(r, first, ["session_id", "prompt_hash"])
             .select("req_id", "session_id", "ts", "prompt_hash", "intent_type", "confidence",
                     (F.col("req_id") != F.col("first_req_id")).alias("repeated")))
 

@@ -1,20 +1,26 @@
 """Project specs, dependencies and build order (#4, #38-#45).
 
-Specs are JSON text parsed into VARIANT once; every check is a column
-expression over the parsed value or over exploded entries of one project, and
-the first error per project (in the order the audited parser checks them) is
-picked with ``min_by`` -- one small aggregation per project.
+Specs are JSON text (YAML is turned into JSON first) parsed into VARIANT once;
+every check is a column expression over the parsed value or over exploded
+entries of one project, and the first error per project (in the order the
+audited parser checks them) is picked with ``min_by`` -- one small aggregation
+per project.  The checked entries are written once and all later operators
+read them.
 """
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopy.functions import dims
 from canopy.functions import text as T
 from canopy.functions.frames import settle
-from canopy.session import cut_lineage
+from canopy.session import stored
+from canopy.sources.specs import yaml_value
 
 _SUPPORTED = "[" + ", ".join(f"'{x}'" for x in sorted(dims.PROJECT_LANGUAGES)) + "]"
 
@@ -47,6 +53,38 @@ def _with_parts(df: DataFrame, src: str, keys: list[str], prefix: str) -> DataFr
     return df
 
 
+def _order(stage: int, m_pos=None, f_pos=None) -> F.Column:
+    """Place of a check in the order of the audited parser."""
+    at = [F.lit(-1) if p is None else F.col(p).cast("int") for p in (m_pos, f_pos)]
+    return F.struct(F.lit(stage).alias("stage"), at[0].alias("m"), at[1].alias("f"))
+
+
+def _specs_to_json(batches):
+    """JSON text or an error for specs that the JVM cannot parse: JSON with a repeated key
+    (the last one counts) and YAML."""
+    for pdf in batches:
+        out = []
+        for body in pdf["spec_json"]:
+            try:
+                value = yaml_value(body or "")
+                out.append((json.dumps(value, default=str), None))
+            except ValueError as exc:
+                out.append((None, f"Invalid YAML: {exc}"))
+        yield pd.DataFrame({"project_id": pdf["project_id"], "spec_json": [x[0] for x in out],
+                            "spec_error": [x[1] for x in out]})
+
+
+def specs_as_json(projects: DataFrame) -> DataFrame:
+    """(project_id, spec_json, spec_error); rows that are JSON already stay on the JVM."""
+    rows = projects.select("project_id", "spec_json")
+    on_jvm = F.try_parse_json("spec_json").isNotNull()
+    kind = rows.schema["project_id"].dataType.simpleString()
+    rest = rows.where(~on_jvm).mapInPandas(
+        _specs_to_json, f"project_id {kind}, spec_json string, spec_error string")
+    return rows.where(on_jvm).withColumn(
+        "spec_error", F.lit(None).cast("string")).unionByName(rest)
+
+
 def ingest_projects(projects: DataFrame) -> dict[str, DataFrame]:
     """Flatten ``projects(project_id, spec_json)``.
 
@@ -55,7 +93,7 @@ def ingest_projects(projects: DataFrame) -> dict[str, DataFrame]:
     (only for projects without a violation).  Every variant path is extracted
     once into its own column, so the checks stay small expressions.
     """
-    p = (projects.select("project_id", "spec_json", F.try_parse_json("spec_json").alias("v"))
+    p = (specs_as_json(projects).withColumn("v", F.try_parse_json("spec_json"))
          .withColumn("v_k", _kind(F.col("v")))
          .withColumn("proj", _get(F.col("v"), "$.project"))
          .withColumn("proj_k", _kind(F.col("proj"))))
@@ -63,8 +101,9 @@ def ingest_projects(projects: DataFrame) -> dict[str, DataFrame]:
     lang_raw = F.lower(T.py_strip(_get(F.col("p_language"), "$", "string")))
     name_err = _req_err(F.col("p_name"), F.col("p_name_k"), "name")
     lang_err = _req_err(F.col("p_language"), F.col("p_language_k"), "language")
-    top = (F.when(F.col("v").isNull(), F.lit("Invalid YAML: spec is not valid JSON"))
-           .when(F.col("v_k") != "OBJECT", "Spec must be a YAML mapping")
+    top = (F.when(F.col("spec_error").isNotNull(), F.col("spec_error"))
+           .when(F.coalesce(F.col("v_k") != "OBJECT", F.lit(True)),
+                 "Spec must be a YAML mapping")
            .when(F.col("proj").isNull(), "Missing top-level 'project' key")
            .when(F.col("proj_k") != "OBJECT", "'project' must be a mapping")
            .when(name_err.isNotNull(), F.concat(name_err, F.lit("project")))
@@ -84,6 +123,7 @@ def ingest_projects(projects: DataFrame) -> dict[str, DataFrame]:
                       F.coalesce(_get(F.col("p_modules"), "$", "array<variant>"),
                                  empty_arr).alias("mods"))
               .transform(settle))
+    parsed = stored(parsed, "project-specs")
 
     # contract entries ------------------------------------------------------
     ce = (parsed.where(F.col("top_error").isNull())
@@ -101,7 +141,7 @@ def ingest_projects(projects: DataFrame) -> dict[str, DataFrame]:
              .when((F.col("e_fields_k") != "OBJECT")
                    | (F.size(_get(F.col("e_fields"), "$", "map<string,variant>")) == 0),
                    F.concat(ctx, F.lit(" '"), cname, F.lit("' must have non-empty 'fields' mapping"))))
-    c_errors = ce.select("project_id", (F.lit(1_000_000) + F.col("c_pos")).alias("ord"),
+    c_errors = ce.select("project_id", _order(1, "c_pos").alias("ord"),
                          c_err.alias("error"))
 
     # module entries --------------------------------------------------------
@@ -122,7 +162,8 @@ def ingest_projects(projects: DataFrame) -> dict[str, DataFrame]:
                    F.concat(mctx, F.lit(" '"), mname, F.lit("' must have non-empty 'functions' list"))))
     me = me.select("project_id", "m_pos", mname.alias("module"), m_err.alias("error"),
                    fn_arr.alias("fns")).transform(settle)
-    m_errors = me.select("project_id", (F.lit(3_000_000) + F.col("m_pos") * 10_000).alias("ord"),
+    me = stored(me, "project-modules")
+    m_errors = me.select("project_id", _order(3, "m_pos").alias("ord"),
                          "error")
     fe = (me.where(F.col("error").isNull())
           .select("project_id", "m_pos", "module", F.posexplode("fns").alias("f_pos", "f"))
@@ -134,25 +175,24 @@ def ingest_projects(projects: DataFrame) -> dict[str, DataFrame]:
     f_err = (F.when(F.col("f_k") == "OBJECT",
                     F.when(f_intent_err.isNotNull(), F.concat(f_intent_err, fctx)))
              .when(F.col("f_k") != "STRING", F.concat(fctx, F.lit(" must be a string or mapping"))))
-    fe = fe.withColumn("error", f_err).transform(settle)
-    f_errors = fe.select("project_id", (F.lit(3_000_001) + F.col("m_pos") * 10_000 + F.col("f_pos"))
-                         .alias("ord"), "error")
+    fe = stored(fe.withColumn("error", f_err).transform(settle), "project-functions")
+    f_errors = fe.select("project_id", _order(3, "m_pos", "f_pos").alias("ord"), "error")
 
     ok_top = parsed.where(F.col("top_error").isNull())
     mods_err = ok_top.select(
-        "project_id", F.lit(2_000_000).alias("ord"),
+        "project_id", _order(2).alias("ord"),
         F.when(F.col("mods_v").isNotNull() & (F.col("mods_k") != "ARRAY"),
                F.lit("'modules' must be a list")).alias("error"))
     empty = ok_top.select(
-        "project_id", F.lit(9_000_000).alias("ord"),
+        "project_id", _order(9).alias("ord"),
         F.when((F.size("dcs") == 0) & (F.size("mods") == 0),
                F.lit("Project must have at least one module or data_contract")).alias("error"))
-    tops = parsed.select("project_id", F.lit(0).alias("ord"), F.col("top_error").alias("error"))
+    tops = parsed.select("project_id", _order(0).alias("ord"), F.col("top_error").alias("error"))
     cand = tops
     for g in (c_errors, mods_err, m_errors, f_errors, empty):
         cand = cand.unionByName(g)
-    violations = (cand.where(F.col("error").isNotNull()).groupBy("project_id")
-                  .agg(F.min_by("error", "ord").alias("error")))
+    violations = stored(cand.where(F.col("error").isNotNull()).groupBy("project_id")
+                        .agg(F.min_by("error", "ord").alias("error")), "project-violations")
 
     good = parsed.join(violations.select("project_id"), "project_id", "left_anti")
     typed = F.from_json("spec_json", "project struct<description string, data_contracts "
@@ -251,38 +291,40 @@ def build_order(items: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- #44 ----
-def build_levels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def build_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Level of every node of a general dependency DAG (edges: src depends on dst).
 
-    Kahn's algorithm in rounds: each round releases the nodes whose remaining
-    dependency count drops to zero.  Nodes never released (cycles, or a
-    dependency on an absent node) get ``level = NULL, cyclic = true``.  The
-    state is checkpointed to the shared checkpoint folder every round, so the
-    lineage stays short and a lost executor recomputes one round only.
+    Kahn's algorithm in rounds until no node is released: each round counts, for the
+    nodes that wait, the dependencies met by the last frontier.  Nodes never released
+    (cycles, or a dependency on an absent node) get ``level = NULL, cyclic = true``.
+
+    The distinct edges are written once; a round writes its frontier and the nodes that
+    still wait, so the work of a round follows what is left, and released nodes are
+    never read again before the end.
     """
-    spark = nodes.sparkSession
-    nodes = nodes.select("node").distinct()
-    e = edges.select("src", "dst").distinct()
-    deg = e.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("remaining"))
-    state = (nodes.join(deg, "node", "left")
-             .select("node", F.coalesce("remaining", F.lit(0)).alias("remaining"),
-                     F.when(F.col("remaining").isNull(), F.lit(0)).alias("level")))
-    state = cut_lineage(state)
-    frontier = state.where(F.col("level") == 0).select("node")
-    level = 0
-    while level < max_rounds:
-        released = (e.join(frontier.withColumnRenamed("node", "dst"), "dst")
-                    .groupBy(F.col("src").alias("node")).agg(F.count("*").alias("dec")))
-        nxt = (state.join(released, "node", "left")
-               .select("node", (F.col("remaining") - F.coalesce("dec", F.lit(0))).alias("remaining"),
-                       F.when(F.col("level").isNull() & (F.col("remaining") - F.coalesce("dec", F.lit(0)) == 0),
-                              F.lit(level + 1)).otherwise(F.col("level")).alias("level")))
-        state = cut_lineage(nxt)
-        frontier = state.where(F.col("level") == level + 1).select("node")
+    nodes = stored(nodes.select("node").distinct(), "levels-nodes")
+    e = stored(edges.select("src", "dst").distinct(), "levels-edges")
+    degree = e.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("remaining"))
+    waiting = stored(nodes.join(degree, "node"), "levels-waiting")
+    frontier = nodes.join(degree, "node", "left_anti").select("node")
+    released = [frontier.withColumn("level", F.lit(0))]
+    while True:
+        met = (e.join(frontier.withColumnRenamed("node", "dst"), "dst")
+               .groupBy(F.col("src").alias("node")).agg(F.count("*").alias("met")))
+        left = stored(waiting.join(met, "node", "left").select(
+            "node", (F.col("remaining") - F.coalesce("met", F.lit(0))).alias("remaining")),
+            "levels-waiting")
+        frontier = left.where(F.col("remaining") == 0).select("node")
         if frontier.isEmpty():
             break
-        level += 1
-    return state.select("node", "level", F.col("level").isNull().alias("cyclic"))
+        released.append(frontier.withColumn("level", F.lit(len(released))))
+        waiting = left.where(F.col("remaining") > 0)
+    done = released[0]
+    for part in released[1:]:
+        done = done.unionByName(part)
+    stuck = left.select("node", F.lit(None).cast("int").alias("level"))
+    return done.unionByName(stuck).select("node", "level",
+                                          F.col("level").isNull().alias("cyclic"))
 
 
 # ---------------------------------------------------------------- #45 ----

@@ -190,8 +190,10 @@ def audit_rates(sections: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- #26 ----
 def parameter_names(c: F.Column) -> F.Column:
-    """Identifiers of the first parenthesised parameter list in the text."""
-    params = F.split(F.regexp_extract(c, "\\(([^)]*)\\)", 1), ",")
+    """Identifiers of every parenthesised parameter list in the text, destructured
+    parameters (``{a, b}``) included."""
+    lists = F.regexp_extract_all(c, F.lit("\\(([^)]*)\\)"), F.lit(1))
+    params = F.flatten(F.transform(lists, lambda x: F.split(F.translate(x, "{}[]", "    "), ",")))
     names = F.transform(params, lambda p: F.regexp_extract(p, "^\\s*\\.{0,3}([A-Za-z_$][\\w$]*)", 1))
     return F.filter(names, lambda n: n != "")
 

@@ -283,12 +283,13 @@ SELECT rule, count(*) AS n_violations FROM v GROUP BY rule""")(
     lambda spark, d: R.audit_rates(_sections(spark, d)))
 
 register("naming_audit", f"""{_V},
-params AS (
-  SELECT 'signature' AS place, unnest(string_split(regexp_extract(signature, '\\(([^)]*)\\)', 1), ','))
-         AS p FROM sections
+lists AS (
+  SELECT 'signature' AS place, unnest(regexp_extract_all(signature, '\\(([^)]*)\\)', 1)) AS l
+  FROM sections
   UNION ALL
-  SELECT 'implementation', unnest(string_split(regexp_extract(implementation, '\\(([^)]*)\\)', 1), ','))
+  SELECT 'implementation', unnest(regexp_extract_all(implementation, '\\(([^)]*)\\)', 1))
   FROM sections),
+params AS (SELECT place, unnest(string_split(translate(l, '{{}}[]', '    '), ',')) AS p FROM lists),
 names AS (SELECT place, regexp_extract(p, '^\\s*\\.{{0,3}}([A-Za-z_$][A-Za-z0-9_$]*)', 1) AS param
           FROM params)
 SELECT place, param, count(*) AS n FROM names
@@ -442,7 +443,7 @@ FROM classified WHERE confidence <> 'HIGH'""")(
 # --------------------------------------------------------- sub results ----
 def _sub_results(spark, d):
     parts = C.split_requests(FX.multi_requests(spark, d))
-    raw = parts.select((F.col("req_id") * 100 + F.col("pos")).alias("req_id"),
+    raw = parts.select(F.struct("req_id", "pos").alias("req_id"),
                        F.col("req_id").alias("session_id"),
                        F.lit(None).cast("timestamp").alias("ts"),
                        F.col("sub_text").alias("text"), F.lit("javascript").alias("alias"))
@@ -455,9 +456,14 @@ def _sub_results(spark, d):
                       .otherwise(F.col("confidence")).alias("detail"))
     failed = ing.where(F.col("status") != "ok").select(
         "req_id", F.lit("failed").alias("status"), F.col("status").alias("detail"))
-    out = done.unionByName(failed).select(
-        (F.floor(F.col("req_id") / 100)).alias("req_id"), (F.col("req_id") % 100).alias("pos"),
-        "status", "detail")
+    spec_rows = ing.where((F.col("status") == "ok") & (F.col("source") == "yaml_spec")).select(
+        F.to_json("req_id").alias("spec_id"), F.col("norm_text").alias("body"))
+    specs = ingest_specs(spec_rows).select(
+        F.from_json("spec_id", ing.schema["req_id"].dataType).alias("req_id"),
+        F.when(F.col("error").isNull(), "passed").otherwise("failed").alias("status"),
+        F.coalesce("error", "intent_type").alias("detail"))
+    out = done.unionByName(failed).unionByName(specs).select("req_id.req_id", "req_id.pos",
+                                                             "status", "detail")
     return A.collect_sub_results(out)
 
 
@@ -466,17 +472,17 @@ def _sub_results_sql() -> str:
         "\nSELECT req_id, generate_subscripts(parts, 1) - 1 AS pos, unnest(parts) AS sub_text FROM s2",
         ",\nsplit AS (SELECT req_id AS orig_id, generate_subscripts(parts, 1) - 1 AS pos, "
         "unnest(parts) AS sub_text FROM s2)")
-    parts_as_requests = """requests AS (SELECT orig_id * 100 + pos AS req_id, orig_id AS session_id,
+    parts_as_requests = """requests AS (SELECT {'orig_id': orig_id, 'pos': pos} AS req_id, orig_id AS session_id,
     NULL::TIMESTAMP AS ts, sub_text AS text, sub_text AS norm_src, 'javascript' AS alias FROM split)"""
     return "WITH " + ",\n".join([split, parts_as_requests, O.ingested_cte(), O.canonical_cte(),
                                    O.classified_cte()]) + """,
 parts AS (
-  SELECT req_id // 100 AS orig_id, req_id % 100 AS pos,
+  SELECT req_id.orig_id AS orig_id, req_id.pos AS pos,
          CASE WHEN confidence = 'HIGH' THEN 'passed' ELSE 'ambiguity' END AS status,
          CASE WHEN confidence = 'HIGH' THEN intent_key ELSE confidence END AS detail
   FROM classified
   UNION ALL
-  SELECT req_id // 100, req_id % 100, 'failed', status FROM ingested WHERE status <> 'ok')
+  SELECT req_id.orig_id, req_id.pos, 'failed', status FROM ingested WHERE status <> 'ok')
 SELECT orig_id AS req_id, count(*) AS n_parts,
        sum(CASE WHEN status = 'passed' THEN 1 ELSE 0 END)::BIGINT AS n_passed,
        sum(CASE WHEN status = 'failed' THEN 1 ELSE 0 END)::BIGINT AS n_failed,
@@ -511,12 +517,13 @@ SELECT session_id, session_no, intent_key, count(*) AS n,
        sum(CASE WHEN violation THEN 1 ELSE 0 END)::BIGINT AS n_violations,
        min(ts) FILTER (WHERE violation) AS first_violation_ts,
        arg_min(content_hash, (ts, req_id)) AS expected
-FROM checked GROUP BY ALL HAVING count(DISTINCT content_hash) > 1""")(
+FROM checked WHERE content_hash <> '' GROUP BY ALL HAVING count(DISTINCT content_hash) > 1""")(
     lambda spark, d: D.drift_report(D.check_drift(FX.results_seq(spark, d))))
 
 register("drift_variants", f"""WITH {O.results_seq_cte()}
-SELECT intent_key, content_hash, count(*) AS n FROM checked GROUP BY ALL""")(
-    lambda spark, d: D.drift_variants(D.check_drift(FX.results_seq(spark, d))))
+SELECT intent_key, content_hash, count(*) AS n FROM results WHERE content_hash <> ''
+GROUP BY ALL""")(
+    lambda spark, d: D.drift_variants(FX.results_seq(spark, d)))
 
 
 def _cross_session(spark, d):
@@ -527,9 +534,9 @@ def _cross_session(spark, d):
 
 register("cross_session_drift", f"""WITH {O.results_seq_cte()},
 b AS (SELECT intent_key, arg_min(content_hash, (ts, req_id)) AS baseline_hash FROM results
-      WHERE year(ts) <= 1994 GROUP BY 1),
+      WHERE year(ts) <= 1994 AND content_hash <> '' GROUP BY 1),
 c AS (SELECT intent_key, arg_min(content_hash, (ts, req_id)) AS current_hash FROM results
-      WHERE year(ts) > 1994 GROUP BY 1)
+      WHERE year(ts) > 1994 AND content_hash <> '' GROUP BY 1)
 SELECT coalesce(b.intent_key, c.intent_key) AS intent_key, baseline_hash, current_hash,
        CASE WHEN baseline_hash IS NULL THEN 'new' WHEN current_hash IS NULL THEN 'gone'
             WHEN baseline_hash = current_hash THEN 'same' ELSE 'changed' END AS status
@@ -548,11 +555,13 @@ FROM grid LEFT JOIN stats USING (type, language)""")(
 
 register("synonym_stability", f"""WITH {O.runs_cte()},
 per AS (SELECT type, language, phrasing, count(DISTINCT content_hash) AS n_hashes,
-               list_sort(list(DISTINCT content_hash)) AS hs FROM runs GROUP BY ALL)
-SELECT a.type, a.language, a.phrasing AS p1, b.phrasing AS p2, a.n_hashes AS n_hashes_1,
-       b.n_hashes AS n_hashes_2
-FROM per a JOIN per b ON a.type = b.type AND a.language = b.language
-WHERE a.phrasing < b.phrasing AND a.hs <> b.hs""")(
+               sha256(array_to_string(list_sort(list(DISTINCT content_hash)), ',')) AS sig
+        FROM runs GROUP BY ALL),
+cnt AS (SELECT type, language, sig, count(*) AS n FROM per GROUP BY ALL),
+rule AS (SELECT * FROM cnt QUALIFY row_number() OVER (PARTITION BY type, language
+                                                      ORDER BY n DESC, sig) = 1)
+SELECT p.type, p.language, p.phrasing, p.n_hashes, r.n AS n_agreeing
+FROM per p JOIN rule r USING (type, language) WHERE p.sig <> r.sig""")(
     lambda spark, d: D.synonym_stability(FX.runs(spark, d)))
 
 # ---------------------------------------------------------------- logs ----
@@ -568,7 +577,16 @@ def _calls(spark, d):
     return L.pair_calls(_log(spark, d))[0]
 
 
+_LOG_COLS = ["event", "trace_id", "span_id", "ts", "model", "temperature", "max_tokens",
+             "system_prompt_hash", "attempt", "content_hash", "tokens_in", "tokens_out",
+             "latency_ms", "operation"]
+_LOG_INTS = {"max_tokens", "attempt", "tokens_in", "tokens_out"}  # -1: the line has none
 register("ingest_log", f"""WITH {O.log_cte()}
+SELECT {', '.join(f"coalesce({c}, -1) AS {c}" if c in _LOG_INTS else c for c in _LOG_COLS)}
+FROM log""")(lambda spark, d: _log(spark, d).select(*[
+    F.coalesce(c, F.lit(-1)).cast("long").alias(c) if c in _LOG_INTS else c for c in _LOG_COLS]))
+
+register("ingest_log_totals", f"""WITH {O.log_cte()}
 SELECT event, count(*) AS n, count(DISTINCT trace_id) AS n_traces,
        coalesce(sum(tokens_in), 0)::BIGINT AS tokens_in,
        coalesce(sum(tokens_out), 0)::BIGINT AS tokens_out,
@@ -584,8 +602,11 @@ FROM log GROUP BY event""")(
         .alias("latency_cms"),
         F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")))
 
-register("ingest_log_corrupt", """SELECT count(*) AS n FROM events WHERE event_id % 1000 = 7""")(
-    lambda spark, d: ingest_log(FX.log_lines(spark, d))[1].agg(F.count("*").alias("n")))
+register("ingest_log_corrupt", """SELECT '{"level":"info","timestamp":"' ||
+       CASE WHEN event_id % 1000 = 17 THEN 'not a time"' ELSE strftime(ts, '%Y-%m-%dT') END AS head
+FROM events WHERE event_id % 1000 IN (7, 13, 17)""")(
+    lambda spark, d: ingest_log(FX.log_lines(spark, d))[1].select(
+        F.substring("line", 1, 40).alias("head")))
 
 register("span_latency", f"""WITH {O.log_cte()}
 SELECT operation, count(*) AS n,
@@ -596,6 +617,14 @@ SELECT operation, count(*) AS n,
 FROM log WHERE event = 'span_completed' GROUP BY operation""")(
     lambda spark, d: L.span_latency(_log(spark, d)))
 
+register("span_latency_approx", f"""WITH {O.log_cte()}
+SELECT operation, count(*) AS n, quantile_disc(latency_ms, 0.5) AS p50_ms,
+       quantile_disc(latency_ms, 0.95) AS p95_ms, quantile_disc(latency_ms, 0.99) AS p99_ms
+FROM log WHERE event = 'span_completed' GROUP BY operation""")(
+    lambda spark, d: L.span_latency_approx(_log(spark, d)).select(
+        "operation", "n", *[F.col("quantiles")[i].alias(c)
+                            for i, c in enumerate(("p50_ms", "p95_ms", "p99_ms"))]))
+
 register("pair_calls", f"""WITH {O.log_cte()}
 SELECT trace_id, span_id, start_ts, end_ts, tokens_in, tokens_out, latency_ms, model FROM calls""")(
     lambda spark, d: _calls(spark, d).select("trace_id", "span_id", "start_ts", "end_ts",
@@ -833,7 +862,7 @@ from canopy.sources.specs import ingest_specs  # noqa: E402
 
 _SPEC_TYPES = " ".join(f"WHEN {O.q(k)} THEN {O.q(v)}" for k, v in dims.SPEC_INTENTS.items())
 register("ingest_specs_json", f"""WITH s AS (
-  SELECT o_orderkey AS spec_id, {O.sql_list(FX.SPEC_TEXTS)}[(o_orderkey % {len(FX.SPEC_TEXTS)}) + 1]
+  SELECT o_orderkey AS spec_id, {O.sql_list(O.SPEC_TEXTS)}[(o_orderkey % {len(FX.SPEC_TEXTS)}) + 1]
          AS body FROM orders),
 j AS (SELECT *, json_type(body) AS jt, lower({O.strip_sql("json_extract_string(body, '$.intent')")}) AS it,
              lower({O.strip_sql("json_extract_string(body, '$.language')")}) AS lg
@@ -856,7 +885,14 @@ SELECT spec_id, 'json_spec' AS source,
        CASE WHEN error IS NULL THEN 'HIGH' END AS confidence, error FROM e""")(
     lambda spark, d: ingest_specs(FX.specs(spark, d)).where(F.col("source") == "json_spec"))
 
-register("ingest_specs")(lambda spark, d: ingest_specs(FX.specs(spark, d)))
+_SPEC_ROWS = ", ".join(
+    "(" + ", ".join([str(i), *("NULL" if x is None else O.q(x) for x in row)]) + ")"
+    for i, row in enumerate(O.SPEC_RESULTS))
+register("ingest_specs", f"""SELECT o_orderkey AS spec_id, source, intent_type, verb, noun, language,
+       CASE WHEN error IS NULL THEN 'HIGH' END AS confidence, error
+FROM orders JOIN (VALUES {_SPEC_ROWS}) AS v(i, source, intent_type, verb, noun, language, error)
+  ON o_orderkey % {len(FX.SPEC_TEXTS)} = i""")(
+    lambda spark, d: ingest_specs(FX.specs(spark, d)))
 
 # ----------------------------------------------------------- streaming ----
 from canopy.streaming import streams as S  # noqa: E402

@@ -215,7 +215,7 @@ def results_seq_cte() -> str:
     return f"""results AS (
   SELECT o_orderkey AS req_id, o_custkey % {FX.N_SESSIONS} AS session_id, o_orderdate AS ts,
          md5('add:N' || (o_orderkey % 5)::VARCHAR || ':python:PURE_FUNCTION') AS intent_key,
-         CASE WHEN o_orderkey % 97 = 0 THEN {q(v1)} ELSE {q(v0)} END AS content_hash,
+         CASE WHEN o_orderkey % 31 = 0 THEN '' WHEN o_orderkey % 97 = 0 THEN {q(v1)} ELSE {q(v0)} END AS content_hash,
          CASE WHEN o_orderkey % 50 = 0 THEN 1 ELSE 0 END AS is_reset
   FROM orders),
 sessioned AS (
@@ -223,9 +223,11 @@ sessioned AS (
                                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT
             AS session_no
   FROM results),
-firsts AS (SELECT session_id, session_no, intent_key, arg_min(content_hash, (ts, req_id)) AS expected
+firsts AS (SELECT session_id, session_no, intent_key,
+                  arg_min(content_hash, (ts, req_id)) FILTER (WHERE content_hash <> '') AS expected
            FROM sessioned GROUP BY ALL),
-checked AS (SELECT s.*, f.expected, s.content_hash <> f.expected AS violation
+checked AS (SELECT s.*, CASE WHEN s.content_hash <> '' THEN f.expected END AS expected,
+                   s.content_hash <> '' AND s.content_hash <> f.expected AS violation
             FROM sessioned s JOIN firsts f USING (session_id, session_no, intent_key))"""
 
 
@@ -247,7 +249,7 @@ runs AS (
 def log_cte() -> str:
     k = "json_extract_string(props, '$.k')::BIGINT"
     trace = "'t' || user_id::VARCHAR"
-    span = "lpad(hex(event_id), 8, '0')"
+    span = "hex(event_id)"
     ops = sql_list(dims.SPAN_OPERATIONS)
     n_ops = len(dims.SPAN_OPERATIONS)
     h0, h1 = FX.SYSTEM_PROMPT_HASHES
@@ -261,26 +263,64 @@ def log_cte() -> str:
          CASE WHEN event_id % 997 = 0 THEN {q(h1)} ELSE {q(h0)} END AS system_prompt_hash,
          (event_id % 3 + 1)::BIGINT AS attempt, NULL::BIGINT AS tokens_in, NULL::BIGINT AS tokens_out,
          NULL::DOUBLE AS latency_ms, NULL::VARCHAR AS operation, NULL::VARCHAR AS content_hash
-  FROM events WHERE event_id % 1000 <> 7
+  FROM events WHERE event_id % 1000 NOT IN (7, 13, 17)
   UNION ALL
   SELECT 'llm_call_complete', {trace}, {span},
          make_timestamp(epoch_us(ts) + round(value * 10 * 1000)::BIGINT), {trace},
          NULL, NULL, NULL, NULL, (event_id % 3 + 1)::BIGINT, {k} * 10, {k}, value * 10, NULL,
          substr(sha256(props), 1, 16)
-  FROM events WHERE event_id % 11 <> 0
+  FROM events, (VALUES (0), (1)) AS again(k)  -- some completions are delivered twice
+  WHERE event_id % 11 <> 0 AND (k = 0 OR event_id % 41 = 0)
   UNION ALL
-  SELECT 'span_completed', {trace}, lpad(hex(event_id + 1000000000), 8, '0'), ts, {trace},
+  SELECT 'span_completed', {trace}, 'op-' || hex(event_id), ts, {trace},
          NULL, NULL, NULL, NULL, NULL, NULL, NULL, value, {ops}[(event_id % {n_ops}) + 1], NULL
   FROM events),
 starts AS (SELECT trace_id, span_id, session_id, ts AS start_ts, model, temperature, max_tokens,
                   system_prompt_hash, attempt FROM log WHERE event = 'llm_call_start'),
-dones AS (SELECT trace_id, span_id, ts AS end_ts, tokens_in, tokens_out, latency_ms, content_hash
+dones AS (SELECT DISTINCT trace_id, span_id, ts AS end_ts, tokens_in, tokens_out, latency_ms, content_hash
           FROM log WHERE event = 'llm_call_complete'),
 calls AS (SELECT * FROM starts JOIN dones USING (trace_id, span_id))"""
 
 
+# FIXED VALUES: the JSON meaning of the project specs that are YAML or repeat a key (the last
+# three of the fixture; the third is broken), and the loader's text for the broken one
+PROJECT_SPECS_AS_JSON = [
+    '{"project": {"name": "yaml-__ID__", "language": "python", "data_contracts": ['
+    '{"name": "User", "fields": {"id": "string"}}], "modules": [{"name": "store", "functions": ['
+    '"save User record", "load config"]}]}}',
+    '{"project": {"name": "last-__ID__", "language": "go", "modules": ['
+    '{"name": "a", "functions": ["f"]}]}}',
+]
+YAML_ERROR = ("Invalid YAML: while parsing a flow sequence\n  in \"<unicode string>\", line 2, "
+              "column 5:\n      - [broken\n        ^\nexpected ',' or ']', but got '<stream end>'\n"
+              "  in \"<unicode string>\", line 2, column 12:\n      - [broken\n               ^")
+
+# FIXED VALUES: what each spec text of the fixture means:
+# source, intent_type, verb, noun, language, error
+SPEC_RESULTS = [
+    ("yaml_spec", "PURE_FUNCTION", "add", "Total", "javascript", None),
+    ("json_spec", "PREDICATE", "validate", "EvenNumber", "javascript", None),
+    ("yaml_spec", "AGGREGATOR", "sum", "Orders", "python", None),
+    ("yaml_spec", None, None, None, None, "Missing required field: verb"),
+    ("yaml_spec", None, None, None, None, "Missing required field: intent"),
+    ("yaml_spec", None, None, None, None, "Unknown intent type: unknown_type"),
+    ("yaml_spec", None, None, None, None, "Unsupported language: rust"),
+    ("yaml_spec", None, None, None, None, "Invalid spec format: expected a mapping"),
+    ("json_spec", "DATA_CONTRACT", "define", "User", "go", None),
+    ("json_spec", None, None, None, None, "Missing required field: intent"),
+    ("json_spec", None, None, None, None, "Missing required field: noun"),
+    ("json_spec", None, None, None, None, "Unsupported language: java"),
+    ("json_spec", "PREDICATE", "validate", "Age", "go", None),
+    ("yaml_spec", None, None, None, None, "Invalid spec format: month must be in 1..12"),
+]
+#: The spec texts with a repeated key replaced by the key that counts.
+SPEC_TEXTS = [s.replace('"verb": "check", ', "") for s in FX.SPEC_TEXTS]
+
+
 def projects_cte() -> str:
     n = len(FX.PROJECT_SPECS)
+    specs = sql_list([s for s in FX.PROJECT_SPECS if s.startswith(("{", "["))][:16]
+                     + PROJECT_SPECS_AS_JSON)[:-1] + ", NULL]"
     st = strip_sql
     supported = "[" + ", ".join(f"''{x}''" for x in sorted(dims.PROJECT_LANGUAGES)) + "]"
     langs = ", ".join(q(x) for x in dims.PROJECT_LANGUAGES)
@@ -294,10 +334,11 @@ def projects_cte() -> str:
     lang = f"lower({st(chr(106) + 'son_extract_string(proj, ' + q('$.language') + ')')})"
     return f"""pspec AS (
   SELECT s_suppkey AS project_id,
-         replace({sql_list(FX.PROJECT_SPECS)}[(s_suppkey % {n}) + 1], '__ID__', s_suppkey::VARCHAR)
+         replace({specs}[(s_suppkey % {n}) + 1], '__ID__', s_suppkey::VARCHAR)
            AS spec FROM supplier),
 pq AS (SELECT project_id, spec, json_extract(spec, '$.project') AS proj FROM pspec),
-ptop AS (SELECT project_id, 0 AS ord, CASE
+ptop AS (SELECT project_id, (0, -1, -1) AS ord, CASE
+    WHEN spec IS NULL THEN {q(YAML_ERROR)}
     WHEN json_type(spec) <> 'OBJECT' THEN 'Spec must be a YAML mapping'
     WHEN proj IS NULL THEN 'Missing top-level ''project'' key'
     WHEN json_type(proj) <> 'OBJECT' THEN '''project'' must be a mapping'
@@ -314,7 +355,7 @@ ce AS (SELECT project_id, proj, unnest(range(json_array_length(json_extract(proj
 ce2 AS (SELECT project_id, c_pos, json_extract(proj, '$.data_contracts[' || c_pos || ']') AS e,
                list_transform(json_extract(proj, '$.data_contracts[*]'),
                  lambda x: {st("json_extract_string(x, '$.name')")}) AS names FROM ce),
-cerr AS (SELECT project_id, 1000000 + c_pos AS ord, CASE
+cerr AS (SELECT project_id, (1, c_pos, -1) AS ord, CASE
     WHEN json_type(e) <> 'OBJECT' THEN 'data_contracts[' || c_pos || '] must be a mapping'
     {req('e', 'name', "'data_contracts[' || c_pos || ']'")}
     WHEN list_position(names, {st("json_extract_string(e, '$.name')")}) < c_pos + 1
@@ -324,7 +365,7 @@ cerr AS (SELECT project_id, 1000000 + c_pos AS ord, CASE
       THEN 'data_contracts[' || c_pos || '] ''' || {st("json_extract_string(e, '$.name')")} ||
            ''' must have non-empty ''fields'' mapping'
   END AS error FROM ce2),
-merr0 AS (SELECT project_id, 2000000 AS ord, CASE WHEN json_extract(proj, '$.modules') IS NOT NULL
+merr0 AS (SELECT project_id, (2, -1, -1) AS ord, CASE WHEN json_extract(proj, '$.modules') IS NOT NULL
     AND json_type(json_extract(proj, '$.modules')) <> 'ARRAY' THEN '''modules'' must be a list' END
     AS error FROM pok),
 me AS (SELECT project_id, proj, unnest(range(json_array_length(json_extract(proj, '$.modules'))::BIGINT))
@@ -332,7 +373,7 @@ me AS (SELECT project_id, proj, unnest(range(json_array_length(json_extract(proj
 me2 AS (SELECT project_id, m_pos, json_extract(proj, '$.modules[' || m_pos || ']') AS e,
                list_transform(json_extract(proj, '$.modules[*]'),
                  lambda x: {st("json_extract_string(x, '$.name')")}) AS names FROM me),
-merr AS (SELECT project_id, m_pos, e, 3000000 + m_pos * 10000 AS ord, CASE
+merr AS (SELECT project_id, m_pos, e, (3, m_pos, -1) AS ord, CASE
     WHEN json_type(e) <> 'OBJECT' THEN 'modules[' || m_pos || '] must be a mapping'
     {req('e', 'name', "'modules[' || m_pos || ']'")}
     WHEN list_position(names, {st("json_extract_string(e, '$.name')")}) < m_pos + 1
@@ -346,12 +387,12 @@ fe AS (SELECT project_id, m_pos, {st("json_extract_string(e, '$.name')")} AS mod
               unnest(range(json_array_length(json_extract(e, '$.functions'))::BIGINT)) AS f_pos
        FROM merr WHERE error IS NULL),
 fe2 AS (SELECT *, json_extract(e, '$.functions[' || f_pos || ']') AS f FROM fe),
-ferr AS (SELECT project_id, 3000001 + m_pos * 10000 + f_pos AS ord, CASE
+ferr AS (SELECT project_id, (3, m_pos, f_pos) AS ord, CASE
     WHEN json_type(f) = 'OBJECT' THEN CASE
       {req('f', 'intent', "'modules[' || m_pos || '].functions[' || f_pos || ']'")} END
     WHEN json_type(f) <> 'VARCHAR' THEN 'modules[' || m_pos || '].functions[' || f_pos ||
       '] must be a string or mapping' END AS error FROM fe2),
-pempty AS (SELECT project_id, 9000000 AS ord, CASE WHEN
+pempty AS (SELECT project_id, (9, -1, -1) AS ord, CASE WHEN
     coalesce(json_array_length(json_extract(proj, '$.data_contracts')), 0) = 0 AND
     coalesce(json_array_length(json_extract(proj, '$.modules')), 0) = 0
     THEN 'Project must have at least one module or data_contract' END AS error FROM pok),
@@ -396,6 +437,6 @@ pitems AS (
 def conversations_cte() -> str:
     # NFKC leaves every conversation text unchanged (checked on the test data)
     return """requests AS (
-  SELECT conv_id * 1000 + turn AS req_id, conv_id AS session_id, NULL::TIMESTAMP AS ts, text,
+  SELECT conv_id::VARCHAR || ':' || turn::VARCHAR AS req_id, conv_id AS session_id, NULL::TIMESTAMP AS ts, text,
          text AS norm_src, 'javascript' AS alias
   FROM conversations WHERE role = 'user')"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,13 +41,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
     On a cluster ``spark.checkpoint.dir`` names shared storage and is used as
-    is.  Only when it is unset (local tests) a scratch folder is created.
+    is.  Only a local master without the setting gets a scratch folder.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext._jsc.sc().getCheckpointDir()
         d = d.get() if d.isDefined() else None
     if not d:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         d = tempfile.mkdtemp(prefix="canopy-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
@@ -59,6 +62,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` once into the shared folder and read it back, for results that several
+    later steps read."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Session setting: deal every given table to so many partitions.  Unset (the default) tables
+#: keep the partitions of their file splits; single-file test data needs it to use all cores.
+SCAN_PARTITIONS = "canopy.scan.partitions"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    from canopy.functions.frames import spread
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    n = spark.conf.get(SCAN_PARTITIONS, None)
+    return df.repartition(int(n)) if n else df

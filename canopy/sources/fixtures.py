@@ -4,7 +4,7 @@ The driver's tables are TPC-H-like; the audited system works on requests,
 replies and call logs.  Each fixture here is a pure projection (no shuffle) of a
 given table that assigns one of a small set of literal phrases / replies to
 every row by a rule on the row key, so its size grows with the table.  The
-same rules are written in DuckDB SQL in ``canopy.plans.oracle``.
+same rules are written in DuckDB SQL in ``canopy.plans.oracle_sql``.
 """
 
 from __future__ import annotations
@@ -120,7 +120,7 @@ def conversation_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every user turn of a conversation as a request."""
     return (table(spark, sf_dir, "conversations")
             .where(F.col("role") == "user")
-            .select((F.col("conv_id") * 1000 + F.col("turn")).alias("req_id"),
+            .select(F.concat_ws(":", "conv_id", "turn").alias("req_id"),
                     F.col("conv_id").alias("session_id"),
                     F.lit(None).cast("timestamp").alias("ts"),
                     F.col("text"),
@@ -165,7 +165,9 @@ def results_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderdate").alias("ts"),
         F.md5(F.concat(F.lit("add:N"), (k % 5).cast("string"),
                        F.lit(":python:PURE_FUNCTION"))).alias("intent_key"),
-        F.when(k % 97 == 0, HASH_VARIANTS[1]).otherwise(HASH_VARIANTS[0]).alias("content_hash"),
+        # an ambiguous reply has no hash
+        F.when(k % 31 == 0, "").when(k % 97 == 0, HASH_VARIANTS[1])
+        .otherwise(HASH_VARIANTS[0]).alias("content_hash"),
         F.when(k % 50 == 0, 1).otherwise(0).alias("is_reset"),
     )
 
@@ -204,14 +206,15 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Per event: an ``llm_call_start`` line, an ``llm_call_complete`` line unless
     event_id % 11 = 0 (failed call), and a ``span_completed`` line.  A few start
-    lines are truncated (corrupt).  Off-pin settings are planted by event id.
+    lines are corrupt (truncated, a value of a wrong type, a time that is none), and
+    some completions are delivered twice.  Off-pin settings are planted by event id.
     """
     from canopy.functions import dims
     e = table(spark, sf_dir, "events")
     eid = F.col("event_id")
     iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     trace = F.concat(F.lit("t"), F.col("user_id").cast("string")).alias("trace_id")
-    span = F.lpad(F.hex(eid), 8, "0").alias("span_id")
+    span = F.hex(eid).alias("span_id")
     tokens = F.get_json_object(F.col("props"), "$.k").cast("long")
     latency = F.col("value") * 10
     start = F.to_json(F.struct(
@@ -237,11 +240,17 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     span_line = F.to_json(F.struct(
         F.lit("info").alias("level"), iso(F.col("ts")).alias("timestamp"),
         F.lit("span_completed").alias("event"), trace,
-        F.lpad(F.hex(eid + 1000000000), 8, "0").alias("span_id"),
+        F.concat(F.lit("op-"), F.hex(eid)).alias("span_id"),
         pick(dims.SPAN_OPERATIONS, eid % len(dims.SPAN_OPERATIONS)).alias("operation"),
         F.col("value").alias("latency_ms")))
-    start = F.when(eid % 1000 == 7, F.substring(start, 1, 40)).otherwise(start)
-    lines = F.filter(F.array(start, F.when(eid % 11 != 0, complete), span_line),
+    start = (F.when(eid % 1000 == 7, F.substring(start, 1, 40))
+             .when(eid % 1000 == 13, F.regexp_replace(start, '"max_tokens":[0-9]+',
+                                                      '"max_tokens":"lots"'))
+             .when(eid % 1000 == 17, F.regexp_replace(start, '"timestamp":"[^"]+"',
+                                                      '"timestamp":"not a time"'))
+             .otherwise(start))
+    lines = F.filter(F.array(start, F.when(eid % 11 != 0, complete),
+                             F.when((eid % 41 == 0) & (eid % 11 != 0), complete), span_line),
                      lambda x: x.isNotNull())
     return e.select(F.explode(lines).alias("line"))
 
@@ -280,6 +289,12 @@ PROJECT_SPECS: list[str] = [
     '["not", "a", "mapping"]',
     '{"project": {"name": "  ", "language": "go", "modules": [{"name": "a", "functions": ["f"]}]}}',
     '{"project": {"name": "bad-entry-__ID__", "language": "go", "modules": ["a"]}}',
+    'project:\n  name: yaml-__ID__\n  language: python\n  data_contracts:\n'
+    '    - name: User\n      fields:\n        id: string\n  modules:\n    - name: store\n'
+    '      functions:\n        - save User record\n        - load config\n',
+    '{"project": {"name": "first", "name": "last-__ID__", "language": "go", "modules": ['
+    '{"name": "a", "functions": ["f"]}]}}',
+    'project:\n  - [broken',
 ]
 # ---------------------------------------------------------------------------
 
@@ -320,6 +335,8 @@ SPEC_TEXTS: list[str] = [
     '{"verb": "add", "noun": "Total", "language": "go"}',
     '["intent", "verb"]',
     '{"intent": "side_effect_op", "verb": "save", "noun": "User", "language": "java"}',
+    '{"intent": "predicate", "verb": "check", "verb": "validate", "noun": "Age", "language": "go"}',
+    "intent: pure_function\nverb: 2024-99-99\nnoun: Total\nlanguage: javascript",
 ]
 # ---------------------------------------------------------------------------
 

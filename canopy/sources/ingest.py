@@ -1,8 +1,7 @@
 """Sources: request ingest (#1).
 
-Spec ingest (#2), log ingest (#3) and project ingest (#4) live next to the
-operators that consume them (``canopy.sources.specs``, ``canopy.sources.logs``,
-``canopy.sources.projects``).
+Spec ingest (#2) is in ``canopy.sources.specs``, log ingest (#3) in
+``canopy.sources.logs`` and project ingest (#4) in ``canopy.operators.projects``.
 """
 
 from __future__ import annotations
@@ -28,7 +27,9 @@ def ingest_requests(raw: DataFrame, aliases=dims.LANGUAGE_ALIASES) -> DataFrame:
     """Tag every request with language, normalised text, source and status.
 
     ``status`` is ``ok`` or the rejection text; the language check comes first.
-    Returns one DataFrame; ``split_ingested`` gives (requests, rejects).
+    Returns one DataFrame; ``split_ingested`` gives (requests, rejects).  A null
+    alias is an unsupported language and a null text is too short, so every row has
+    a status.
     """
     norm = T.nfkc(T.py_strip(F.col("text")))
     lowered = F.lower(F.col("norm_text"))
@@ -39,8 +40,9 @@ def ingest_requests(raw: DataFrame, aliases=dims.LANGUAGE_ALIASES) -> DataFrame:
                     .otherwise("freetext"))
         .withColumn("status",
                     F.when(F.col("language").isNull(),
-                           F.concat(F.lit("Unsupported language: "), F.col("alias")))
-                    .when(F.length("norm_text") < 3, "Intent too short")
+                           F.concat(F.lit("Unsupported language: "),
+                                    F.coalesce("alias", F.lit("None"))))
+                    .when(F.coalesce(F.length("norm_text"), F.lit(0)) < 3, "Intent too short")
                     .otherwise("ok"))
         .transform(lambda d: settle(d, ["language", "norm_text", "source", "status"]))
     )

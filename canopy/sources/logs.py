@@ -24,25 +24,29 @@ LOG_SCHEMA = T.StructType([
     T.StructField("tokens_out", T.LongType()),
     T.StructField("latency_ms", T.DoubleType()),
     T.StructField("operation", T.StringType()),
+    T.StructField("_corrupt", T.StringType()),  # set for a line with a value of a wrong type
 ])
+LOG_OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
 
 
 def iso_to_ntz(c: F.Column) -> F.Column:
     """ISO-8601 UTC text ('...Z') -> TIMESTAMP_NTZ in UTC wall time, like the given tables,
-    so results do not depend on the session time zone."""
-    return F.to_timestamp_ntz(F.regexp_replace(c, "Z\\z", ""))
+    so results do not depend on the session time zone; text that is no time gives NULL."""
+    return F.regexp_replace(c, "Z\\z", "").try_cast("timestamp_ntz")
 
 
 def ingest_log(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(log, corrupt).  ``lines`` has one string column ``line``.
 
-    Parsing uses an explicit schema (no inference pass over the data); a line
-    that is not a JSON object with an ``event`` goes to ``corrupt``.
+    Parsing uses an explicit schema (no inference pass over the data).  A line goes to
+    ``corrupt`` if it is not a JSON object with an ``event``, holds a value of a wrong
+    type, or has a timestamp that is no time.
     """
-    parsed = lines.select("line", F.from_json("line", LOG_SCHEMA, {"mode": "PERMISSIVE"}).alias("r"))
-    ok = F.col("r").isNotNull() & F.col("r.event").isNotNull()
-    log = (parsed.where(ok).select("r.*")
-           .withColumn("ts", iso_to_ntz(F.col("timestamp")))
+    parsed = lines.select("line", F.from_json("line", LOG_SCHEMA, LOG_OPTIONS).alias("r"))
+    parsed = parsed.withColumn("ts", iso_to_ntz(F.col("r.timestamp")))
+    ok = F.coalesce(F.col("r._corrupt").isNull() & F.col("r.event").isNotNull()
+                    & (F.col("ts").isNotNull() | F.col("r.timestamp").isNull()), F.lit(False))
+    log = (parsed.where(ok).select("r.*", "ts").drop("_corrupt")
            .withColumn("session_id", F.col("trace_id")))
     corrupt = parsed.where(~ok).select("line")
     return log, corrupt

@@ -17,33 +17,46 @@ from pyspark.sql import functions as F
 from canopy.functions import dims
 from canopy.functions import text as T
 
-_YAML_OUT = "spec_id long, body string, parsed_json string, parse_error string"
 
-
-def _parse_yaml(body: str, yaml, loader) -> tuple[str | None, str | None]:
+def yaml_value(body: str):
+    """The value of a YAML text; raises ValueError with the loader's text if there is none."""
+    import yaml
+    # the C loader (libyaml) accepts the same safe subset, much faster
     try:
-        obj = yaml.load(body.strip(), Loader=loader)
+        return yaml.load(body.strip(), Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader))
     except yaml.YAMLError:
         try:  # the pure-Python loader gives the audited system's exact error text
-            obj = yaml.load(body.strip(), Loader=yaml.SafeLoader)
+            return yaml.load(body.strip(), Loader=yaml.SafeLoader)
         except yaml.YAMLError as exc:
-            return None, f"Invalid spec format: {exc}"
+            raise ValueError(str(exc)) from exc
+
+
+def _parse(body: str) -> tuple[str | None, str | None]:
+    """(JSON text, error) of one body: JSON that the JVM refuses (a repeated key: the last
+    one counts), else YAML.  A scalar that YAML cannot build, such as an impossible date,
+    is an error of its row."""
+    if body.strip()[:1] in ("{", "["):
+        try:
+            return json.dumps(json.loads(body)), None
+        except ValueError:
+            return None, "Invalid spec format: invalid JSON"
+    try:
+        obj = yaml_value(body)
+    except ValueError as exc:
+        return None, f"Invalid spec format: {exc}"
     if not isinstance(obj, dict):
         return None, "Invalid spec format: expected a mapping"
     return json.dumps(obj, default=str), None
 
 
 def _yaml_to_json(batches):
-    import yaml
-    # the C loader (libyaml) accepts the same safe subset, much faster
-    loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
     for pdf in batches:
         seen: dict[str, tuple[str | None, str | None]] = {}
         out = []
         for body in pdf["body"]:
             r = seen.get(body)
             if r is None:
-                r = seen[body] = _parse_yaml(body, yaml, loader)
+                r = seen[body] = _parse(body or "")
             out.append(r)
         yield pd.DataFrame({"spec_id": pdf["spec_id"], "body": pdf["body"],
                             "parsed_json": [o[0] for o in out], "parse_error": [o[1] for o in out]})
@@ -57,14 +70,15 @@ def _is_json(body: F.Column) -> F.Column:
 def ingest_specs(spec_text: DataFrame) -> DataFrame:
     """spec rows -> (spec_id, source, intent_type, verb, noun, language, confidence, error)."""
     rows = spec_text.select("spec_id", "body")
-    js = (rows.where(_is_json(F.col("body")))
-          .select("spec_id", "body", F.col("body").alias("parsed_json"),
-                  F.when(F.try_parse_json(F.col("body")).isNull(),
-                         F.lit("Invalid spec format: invalid JSON")).alias("parse_error"),
-                  F.lit("json_spec").alias("source")))
-    ym = (rows.where(~_is_json(F.col("body"))).mapInPandas(_yaml_to_json, _YAML_OUT)
-          .withColumn("source", F.lit("yaml_spec")))
-    return validate_spec_rows(js.unionByName(ym))
+    is_json = F.coalesce(_is_json(F.col("body")), F.lit(False))
+    on_jvm = is_json & F.try_parse_json(F.col("body")).isNotNull()
+    source = F.when(is_json, "json_spec").otherwise("yaml_spec")
+    js = rows.where(on_jvm).select("spec_id", "body", F.col("body").alias("parsed_json"),
+                                   F.lit(None).cast("string").alias("parse_error"))
+    kind = rows.schema["spec_id"].dataType.simpleString()
+    rest = rows.where(~on_jvm).mapInPandas(
+        _yaml_to_json, f"spec_id {kind}, body string, parsed_json string, parse_error string")
+    return validate_spec_rows(js.unionByName(rest).withColumn("source", source))
 
 
 def validate_spec_rows(p: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from canopy.session import ensure_checkpoint_dir
-from canopy.sources.logs import LOG_SCHEMA, iso_to_ntz
+from canopy.sources.logs import LOG_OPTIONS, LOG_SCHEMA, iso_to_ntz
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -33,7 +33,9 @@ def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet",
     r = spark.readStream.schema(schema).format(fmt)
     if max_files:
         r = r.option("maxFilesPerTrigger", str(max_files))
-    if os.path.isfile(path):
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.getFileStatus(jvm_path).isFile():
         d, f = os.path.split(path)
         return r.option("basePath", d).load(os.path.join(d, f[:-1] + "[" + f[-1] + "]"))
     return r.load(path)
@@ -73,8 +75,10 @@ def _drift_state(key, batches, state):
         if r.is_reset:
             no += 1
             expected = {}
-        exp = expected.setdefault(r.intent_key, r.content_hash)
-        bad = exp != r.content_hash
+        if r.content_hash:  # replies without a hash neither set nor break the expectation
+            expected.setdefault(r.intent_key, r.content_hash)
+        exp = expected[r.intent_key] if r.content_hash else None
+        bad = bool(r.content_hash) and exp != r.content_hash
         rows.append((r.req_id, r.session_id, no, r.intent_key, r.ts, r.content_hash, exp, bad,
                      _VIOLATION.format(r.intent_key, exp, r.content_hash) if bad else None))
     state.update((no, json.dumps(expected)))
@@ -97,7 +101,7 @@ def stream_drift(results_stream: DataFrame) -> DataFrame:
 def _events(stream: DataFrame, watermark: str) -> DataFrame:
     return (stream.withColumn("ts", F.col("ts").cast("timestamp"))
             .withWatermark("ts", watermark)
-            .withColumn("tokens", F.get_json_object("props", "$.k").cast("long"))
+            .withColumn("tokens", F.get_json_object("props", "$.k").try_cast("long"))
             .withColumn("is_error", (F.col("event_type") == "error").cast("int")))
 
 
@@ -135,22 +139,26 @@ def stream_pair_calls(lines_stream: DataFrame, bound: str = "10 minutes",
                       watermark: str = "10 minutes", how: str = "inner") -> DataFrame:
     """Stream-stream join of start and complete lines on (trace_id, span_id)
     with event-time bounds, so join state is dropped once the watermark passes.
+    A line delivered again within the watermark counts once.
 
     ``how="left_outer"`` also emits starts that never completed (failed calls),
     once the watermark has passed their time bound."""
-    r = lines_stream.select(F.from_json("line", LOG_SCHEMA).alias("r")).select("r.*")
+    r = lines_stream.select(F.from_json("line", LOG_SCHEMA, LOG_OPTIONS).alias("r")).select("r.*") \
+        .where(F.col("_corrupt").isNull())
     # event time for watermarks must be TIMESTAMP; the output keeps UTC wall time (NTZ)
-    r = (r.withColumn("ts", F.to_timestamp("timestamp"))
+    r = (r.withColumn("ts", F.col("timestamp").try_cast("timestamp"))
          .withColumn("ts_ntz", iso_to_ntz(F.col("timestamp"))))
     s = (r.where(F.col("event") == "llm_call_start")
          .select(F.col("trace_id").alias("s_trace"), F.col("span_id").alias("s_span"),
                  F.col("ts").alias("s_ts"), F.col("ts_ntz").alias("start_ts"), "model")
-         .withWatermark("s_ts", watermark))
+         .withWatermark("s_ts", watermark)
+         .dropDuplicatesWithinWatermark(["s_trace", "s_span"]))
     c = (r.where(F.col("event") == "llm_call_complete")
          .select(F.col("trace_id").alias("c_trace"), F.col("span_id").alias("c_span"),
                  F.col("ts").alias("c_ts"), F.col("ts_ntz").alias("end_ts"), "tokens_in",
                  "tokens_out", "latency_ms")
-         .withWatermark("c_ts", watermark))
+         .withWatermark("c_ts", watermark)
+         .dropDuplicatesWithinWatermark(["c_trace", "c_span"]))
     cond = ((F.col("s_trace") == F.col("c_trace")) & (F.col("s_span") == F.col("c_span"))
             & (F.col("c_ts") >= F.col("s_ts"))
             & (F.col("c_ts") <= F.col("s_ts") + F.expr(f"INTERVAL {bound}")))
@@ -166,14 +174,15 @@ def stream_registry_upsert(sections_stream: DataFrame, table_path: str) -> None:
     ``foreachBatch`` reads the latest registry version, unions the batch,
     keeps the latest persist per content hash (``registry_upsert``) and writes
     the result as a new version folder ``v=<epoch>``; readers take the highest
-    version.  Writing a new version instead of overwriting the one being read
-    keeps every batch restartable after a failure.
+    whole version (one with ``_SUCCESS``).  A batch reads only versions before its own
+    epoch, so one that is repeated after a failure replaces its own half-written folder
+    and never reads it.
     """
     from canopy.operators.registry import registry_upsert
 
     def merge(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        current = latest_registry(spark, table_path)
+        current = latest_registry(spark, table_path, before=epoch)
         merged, _ = registry_upsert(current, batch)
         merged.write.mode("overwrite").parquet(f"{table_path}/v={epoch:012d}")
 
@@ -183,14 +192,19 @@ def stream_registry_upsert(sections_stream: DataFrame, table_path: str) -> None:
     q.awaitTermination()
 
 
-def latest_registry(spark: SparkSession, table_path: str) -> DataFrame | None:
-    """The newest registry version written by ``stream_registry_upsert``."""
+def latest_registry(spark: SparkSession, table_path: str, before: int | None = None
+                    ) -> DataFrame | None:
+    """The newest whole registry version written by ``stream_registry_upsert`` (with
+    ``before``: of an earlier epoch)."""
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table_path)
     fs = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(jvm_path):
         return None
     versions = sorted(s.getPath().getName() for s in fs.listStatus(jvm_path)
                       if s.getPath().getName().startswith("v="))
+    path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    versions = [v for v in versions if (before is None or int(v[2:]) < before)
+                and fs.exists(path_of(f"{table_path}/{v}/_SUCCESS"))]
     if not versions:
         return None
     return spark.read.parquet(f"{table_path}/{versions[-1]}")

@@ -3,10 +3,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from canopy.plans import catalog
 from tools.check_oracle import TABLES, digest
 
 SF = "/root/testdata/sf0.001"
-ORACLE = E.oracle_sql()
+ORACLE = catalog.ORACLE
 
 
 @pytest.fixture(scope="module")
@@ -26,9 +27,9 @@ def test_query_matches_oracle(spark, con, name):
     assert digest(got)[0] == digest(want)[0]
 
 
-def test_every_query_has_oracle_or_is_rows_only(spark):
-    rows_only = set(E.queries()) - set(ORACLE)
-    assert rows_only == {"ingest_specs"}
+def test_every_query_has_an_oracle():
+    assert set(catalog.QUERIES) == set(catalog.ORACLE)
+    assert set(catalog.QUERIES) <= set(E.queries())
 
 
 def test_entry_smoke(spark):
