@@ -9,8 +9,8 @@ before the lookup; both leave the library's result unchanged.  A text that holds
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import string
 
 import numpy as np
@@ -21,12 +21,10 @@ from canopy.llm.common import SLICE_BYTES, byte_slices, text_pieces, utf8_parts
 
 #: Closing marks that may be split off: no apostrophe, as contractions start with one.
 CLOSING = string.punctuation.replace("'", "")
-#: Words that are one word of the pre-tokenizer: letters that stay as they are under NFC and
-#: keep their length when lowered.
-LETTERS = re.compile("[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017f]+")
-#: Words kept by one worker; beyond these the memos start anew, so memory stays bounded.
-MEMO_WORDS = 700_000
-MEMO_BODIES = 400_000
+#: Letters that stay as they are under NFC and keep their length when lowered.
+LETTERS = "a-z\u00df-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017f"
+#: Words kept by one worker; beyond it the memo starts anew, so memory stays bounded.
+MEMO_WORDS = 600_000
 BATCH_BYTES = 64_000
 
 
@@ -57,14 +55,47 @@ class Store:
         return length, self.ids[np.repeat(first - before, length) + np.arange(int(length.sum()))]
 
 
+def spread(ids: np.ndarray, length: np.ndarray, index: np.ndarray
+           ) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of the indexed words end to end, their bounds); words lie end to end in ``ids``."""
+    first = (np.cumsum(length) - length).astype(np.int32)
+    size = length[index].astype(np.int32)
+    ends = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
+    source = np.repeat(first[index] - ends[:-1].astype(np.int32), size)
+    source += np.arange(len(source), dtype=np.int32)
+    return ids[source], ends
+
+
+def _tails(words: pa.Array, bodies: pa.Array) -> pa.Array:
+    """What follows each body in its word."""
+    data, off = utf8_parts(words)
+    size = np.diff(off) - np.diff(utf8_parts(bodies)[1])
+    ends = np.concatenate(([0], np.cumsum(size)))
+    source = np.repeat(off[1:] - ends[1:], size) + np.arange(int(ends[-1]))
+    return pa.LargeStringArray.from_buffers(
+        len(words), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data[source].tobytes()))
+
+
 class WordEncoder:
-    """Two memos: whole words, and their bodies without closing marks."""
+    """A memo of distinct words without their closing marks."""
 
     def __init__(self, tokenizer_json: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.words, self.bodies = Store(), Store()
+        # the same model for words of lower-case letters, which its normalizer and its
+        # pre-tokenizer leave whole: they are only parted at spaces
+        plain = json.loads(tokenizer_json) | {"normalizer": None, "added_tokens": []}
+        suffix = plain["model"]["end_of_word_suffix"]
+        plain["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [
+            {"type": "WhitespaceSplit"},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True,
+             "use_regex": False}]}
+        self.plain = Tokenizer.from_str(json.dumps(plain))
+        vocabulary = plain["model"]["vocab"]
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        self.memo = Store()
 
     def _single(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The library's ids of separate texts, in batches balanced by bytes."""
@@ -75,44 +106,50 @@ class WordEncoder:
                 ids.append(np.asarray(e.ids, np.uint32))
         return np.asarray(lengths, np.int64), np.concatenate(ids or [np.zeros(0, np.uint32)])
 
-    def _learn_bodies(self, new: list[str]) -> None:
-        """Words of letters only are joined by spaces, many to a call; each is then one
-        word of the library's pre-tokenizer."""
-        letters = [w for w in new if LETTERS.fullmatch(w)]
-        cuts = list(byte_slices(pa.array(letters, pa.large_string()), BATCH_BYTES))
+    def _learn(self, new: pa.Array) -> None:
+        """Words of letters only are joined by spaces, many to a call; a token with the end
+        suffix closes each."""
+        simple = pc.match_substring_regex(new, f"^[{LETTERS}]+$")
+        letters = new.filter(simple)
+        names = letters.to_pylist()
+        cuts = list(byte_slices(letters, BATCH_BYTES))
         for group in range(0, len(cuts), 64):
             part = cuts[group:group + 64]
-            for (start, stop), e in zip(part, self.tokenizer.encode_batch(
-                    [" ".join(letters[a:b]) for a, b in part], add_special_tokens=False),
+            for (start, stop), e in zip(part, self.plain.encode_batch_fast(
+                    [" ".join(names[a:b]) for a, b in part], add_special_tokens=False),
                     strict=True):
-                self.bodies.add(letters[start:stop], np.bincount(
-                    np.asarray(e.word_ids, np.int64), minlength=stop - start),
-                    np.asarray(e.ids, np.uint32))
-        other = [w for w in new if not LETTERS.fullmatch(w)]
+                ids = np.asarray(e.ids, np.uint32)
+                close = np.flatnonzero(self.ends[ids])
+                assert len(close) == stop - start, "a word without an end token"
+                self.memo.add(names[start:stop], np.diff(close, prepend=-1), ids)
+        other = new.filter(pc.invert(simple)).to_pylist()
         if other:
-            self.bodies.add(other, *self._single(other))
-
-    def _learn(self, new: list[str]) -> None:
-        if len(self.bodies.number) > MEMO_BODIES:
-            self.bodies = Store()
-        parts = [_split(w) for w in new]
-        known = self.bodies.number
-        unseen = list(dict.fromkeys(x for pair in parts for x in pair if x not in known))
-        if unseen:
-            self._learn_bodies(unseen)
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        length, ids = self.bodies.take(np.fromiter(
-            (known[x] for pair in parts for x in pair), np.int64, int(sizes.sum())))
-        self.words.add(new, np.add.reduceat(length, np.cumsum(sizes) - sizes), ids)
-
-    def _numbers(self, words: list[str]) -> np.ndarray:
-        if len(self.words.number) > MEMO_WORDS:
-            self.words = Store()
-        known = self.words.number
-        new = [w for w in words if w not in known]
-        if new:
-            self._learn(new)
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+            self.memo.add(other, *self._single(other))
+
+    def _numbers(self, words: pa.Array) -> np.ndarray:
+        """Memo numbers of distinct words."""
+        known, names = self.memo.number, words.to_pylist()
+        number = np.fromiter((known.get(w, -1) for w in names), np.int64, len(names))
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            self._learn(words.take(pa.array(new)))
+            number[new] = [known[names[i]] for i in new]
+        return number
+
+    def _distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(lengths, ids end to end) of distinct words, composed of body and closing marks."""
+        if len(self.memo.number) > MEMO_WORDS:
+            self.memo = Store()
+        body = pc.utf8_rtrim(words, characters=CLOSING)
+        cut = pc.match_substring_regex(body, f"[{LETTERS}]$")
+        body = pc.if_else(cut, body, words)
+        coded = body.dictionary_encode()
+        tail = _tails(words, body).dictionary_encode()
+        pair = np.empty(2 * len(words), np.int64)
+        pair[0::2] = self._numbers(coded.dictionary)[np.asarray(coded.indices)]
+        pair[1::2] = self._numbers(tail.dictionary)[np.asarray(tail.indices)]
+        length, ids = self.memo.take(pair)
+        return length[0::2] + length[1::2], ids
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids end to end, bounds by text) of a ``strings`` array of bounded size."""
@@ -121,9 +158,8 @@ class WordEncoder:
             if special.any() else texts
         lists = pc.ascii_split_whitespace(pc.ascii_lower(plain))
         coded = lists.flatten().dictionary_encode()
-        number = self._numbers(coded.dictionary.to_pylist())[np.asarray(coded.indices)]
-        length, ids = self.words.take(number)
-        ends = np.concatenate(([0], np.cumsum(length)))
+        length, ids = self._distinct(coded.dictionary)
+        ids, ends = spread(ids, length, np.asarray(coded.indices))
         bounds = ends[np.asarray(lists.offsets, np.int64) - lists.offsets[0].as_py()]
         if special.any():
             parts = [ids[bounds[i]:bounds[i + 1]] for i in range(len(texts))]
@@ -142,15 +178,6 @@ class WordEncoder:
         return total
 
 
-def _split(word: str) -> tuple[str, ...]:
-    """The word, or its body and closing marks where cutting cannot change the ids."""
-    body = word.rstrip(CLOSING)
-    if len(body) < len(word) and body and body[-1] <= "\u024f" and body[-1] != "\u0130" \
-            and body[-1].isalpha():
-        return body, word[len(body):]
-    return (word,)
-
-
 _encoders: dict[int, WordEncoder] = {}
 
 
