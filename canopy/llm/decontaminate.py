@@ -80,7 +80,8 @@ def word_hashes(texts: pa.Array, which: int = 0, chunk: int = 1 << 21
     data, off = utf8_parts(texts)
     data = _LOWER[data]
     mask = _WORD[data]
-    inner = off[1:-1][(off[1:-1] > 0) & (off[1:-1] < len(data))]
+    inner = np.unique(off[1:-1])
+    inner = inner[(inner > 0) & (inner < len(data))]
     starts, ends = runs(mask)
     # a word never spans two texts
     if len(inner):
