@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from canopy.llm.common import stored
 
 WIDTH = 3
+# names of working columns, apart from any that the documents may carry
+GONE, ID, HASH, OWN_HASH, LINES = (f"__lines_{x}" for x in ("gone", "id", "hash", "own", "split"))
 
 
 def _windows(docs: DataFrame, width: int) -> DataFrame:
@@ -55,18 +57,18 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1").drop("n")
     later = windows.join(firsts, ["k1", "k2"]).filter(~place.eqNullSafe(F.col("first")))
     gone = later.groupBy("doc_id", "text_hash").agg(
-        F.array_distinct(F.flatten(F.collect_list("cover"))).alias("gone")).select(
-        F.col("doc_id").alias("g_id"), F.col("text_hash").alias("g_hash"), "gone")
-    keyed = docs.withColumn("_hash", F.xxhash64("text"))
-    joined = keyed.join(gone, F.expr("doc_id <=> g_id and _hash = g_hash"), "left")
+        F.array_distinct(F.flatten(F.collect_list("cover"))).alias(GONE)).select(
+        F.col("doc_id").alias(ID), F.col("text_hash").alias(HASH), GONE)
+    keyed = docs.withColumn(OWN_HASH, F.xxhash64("text"))
+    joined = keyed.join(gone, F.expr(f"doc_id <=> {ID} and {OWN_HASH} = {HASH}"), "left")
     # split once, for the texts that lose lines; a generator's output is not computed anew
-    joined = joined.withColumn("_lines", F.explode(F.array(
-        F.when(F.col("gone").isNotNull(), F.split("text", "\n", -1)))))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("gone"))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(
-        F.array_join(F.transform(kept, lambda i: F.get(F.col("_lines"), i)), "\n"))
+    joined = joined.withColumn(LINES, F.explode(F.array(
+        F.when(F.col(GONE).isNotNull(), F.split("text", "\n", -1)))))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(LINES) - 1), F.col(GONE))
+    text = F.when(F.col(GONE).isNull(), F.col("text")).otherwise(
+        F.array_join(F.transform(kept, lambda i: F.get(F.col(LINES), i)), "\n"))
     feeds = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
     own = [F.col(c) if c != "text" else text.alias("text") for c in docs.columns]
     return joined.select(
         *own, F.coalesce(feeds + 1, F.lit(0)).alias("n_lines"),
-        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).alias("n_removed"))
+        F.when(F.col(GONE).isNull(), 0).otherwise(F.size(GONE)).alias("n_removed"))
