@@ -7,11 +7,11 @@ symbol) is kept if it holds at least a 2**-``share_bits`` share of all positions
 so each order keeps at most 2**share_bits entries however large the corpus is: this
 proves the size of the broadcast.  What falls below goes to the escape count.
 
-A symbol's probability: from the longest known context c, n(c, s) / (T + E), where
-T sums the counts of the kept symbols and E, the escape count, is the number of kept
-symbols plus the dropped count (method C with the dropped mass).  If s is not kept
-there, E / (T + E) is paid and the next shorter context is tried without the symbols
-just excluded; below order 0 all remaining byte values are equally likely.  These
+A symbol's probability: from the longest known context c, (n(c, s) - 1/2) / N, where N
+is all that followed c.  The escape count E takes the half that each kept symbol gives up
+(method D) and the dropped count.  If s is not kept there, E / N is paid and the next
+shorter context is tried without the symbols just excluded, whose counts leave its N;
+below order 0 all remaining byte values are equally likely.  These
 probabilities sum to one.  All exclusion totals depend on the context alone, so they
 are computed once per trie node.
 
@@ -47,7 +47,9 @@ from canopy.llm.common import (
     utf8_parts,
 )
 
-ORDER = 4
+ORDER = 6
+DISCOUNT = 0.5
+PENDING = 1_500_000  # counted strings that a task holds before it hands them on
 SHARE_BITS = 21
 WORD_BITS = 18
 END = 0xFF
@@ -76,20 +78,41 @@ def _grams(texts: pa.Array, order: int, chunk: int = SLICE_BYTES):
 
 
 def count_grams(docs: DataFrame, where: Column, order: int = ORDER) -> DataFrame:
-    """(gram, n) over all training texts, combined by slice before the shuffle."""
+    """(gram, n) over all training texts, combined in the tasks before the shuffle."""
     def count(batches):
+        value, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
             texts = strings(batch.column("text"))
             for start, stop in byte_slices(texts):
                 for gram, _ in _grams(texts.slice(start, stop - start), order):
-                    value, n = np.unique(gram, return_counts=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(value.view(np.int64)), pa.array(n)], ["gram", "n"])
+                    new, times = np.unique(gram, return_counts=True)
+                    value, n = _add(value, n, new, times)
+                    if len(value) > PENDING:
+                        yield _counted(value, n)
+                        value, n = value[:0], n[:0]
+        yield _counted(value, n)
 
     return docs.filter(where).select("text").mapInArrow(count, "gram long, n long") \
         .groupBy("gram").agg(F.sum("n").alias("n"))
 
 
+def _add(value: np.ndarray, n: np.ndarray, new: np.ndarray, times: np.ndarray
+         ) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of two sorted sets of strings together."""
+    if not len(value):
+        return new, times
+    both = np.concatenate([value, new])
+    order = np.argsort(both, kind="stable")  # merges two sorted runs
+    both, sums = both[order], np.concatenate([n, times])[order]
+    first = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1])))
+    return both[first], np.add.reduceat(sums, first)
+
+
+def _counted(value: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(value.view(np.int64)), pa.array(n.astype(np.int64))], ["gram", "n"])
+
+
 # ---------------------------------------------------------------------- trie ----
 class Table:
     """Open addressing from uint64 keys to rows, filled and read by whole arrays."""
@@ -131,9 +154,9 @@ class Table:
 class Level:
     """Entries and contexts of one order; logarithms to base 10."""
     entries: Table
-    count: np.ndarray  # log10 n of an entry
+    count: np.ndarray  # log10 (n - 1/2) of an entry
     contexts: Table
-    whole: np.ndarray  # log10 (T + E)
+    whole: np.ndarray  # log10 N
     escape: np.ndarray  # log10 E
     rest_whole: np.ndarray  # the same for the shorter context without this one's symbols
     rest_escape: np.ndarray
@@ -154,19 +177,19 @@ class Trie:
             symbols = np.bincount(of, minlength=len(context))
             dropped = total - kept
             if shorter is None:
-                rest = np.zeros(len(context)), 256.0 - symbols  # all other byte values
+                rest = (256.0 - symbols,) * 2  # all other byte values
             else:
                 mask = np.uint64((1 << 8 * k) - 1)
                 e_table, e_n, c_table, c_kept, c_symbols, c_dropped = shorter
                 parent = c_table.find(context & (mask >> np.uint64(8)))
                 taken = np.bincount(of, e_n[e_table.find(gram & mask)], len(context))
-                rest = (c_kept[parent] - taken,
-                        c_symbols[parent] - symbols + c_dropped[parent])
+                rest = (c_kept[parent] - taken + c_dropped[parent],
+                        DISCOUNT * (c_symbols[parent] - symbols) + c_dropped[parent])
             with np.errstate(divide="ignore"):
                 self.levels.append(Level(
-                    table, np.log10(n.astype(np.float64)), nodes,
-                    np.log10(kept + symbols + dropped), np.log10(symbols + dropped),
-                    np.log10(rest[0] + rest[1]), np.log10(rest[1])))
+                    table, np.log10(n - DISCOUNT), nodes,
+                    np.log10(total), np.log10(DISCOUNT * symbols + dropped),
+                    np.log10(rest[0]), np.log10(rest[1])))
             shorter = (table, n.astype(np.float64), nodes, kept, symbols, dropped)
 
     def log10(self, gram: np.ndarray) -> np.ndarray:
@@ -202,25 +225,24 @@ def train_trie(docs: DataFrame, where: Column, order: int = ORDER,
     grams = stored(count_grams(docs, where, order), "grams")
     positions = grams.agg(F.sum("n")).first()[0] or 0
     least = max(1, math.ceil(positions / (1 << share_bits)))
-    levels = F.explode(F.array([F.struct(F.lit(k).alias("k"), F.col("gram").bitwiseAND(
-        F.lit((1 << 8 * (k + 1)) - 1)).alias("gram")) for k in range(order + 1)]))
-    by_order = stored(grams.select("n", levels.alias("x")).groupBy("x.k", "x.gram").agg(
-        F.sum("n").alias("n")), "grams-by-order")
-    # at most 2**share_bits rows of each order, by the share that a row must hold
-    entries = by_order.filter(F.col("n") >= least).toArrow()
-    contexts = by_order.groupBy("k", F.shiftright("gram", 8).alias("context")).agg(
-        F.sum("n").alias("n"), F.max("n").alias("most")).filter(
-        F.col("most") >= least).drop("most").toArrow()
-
-    def by_level(table: pa.Table, key: str) -> list[tuple[np.ndarray, np.ndarray]]:
-        k, value, n = (table.column(c).to_numpy() for c in ("k", key, "n"))
-        return [(value[k == x].astype(np.uint64), n[k == x]) for x in range(order + 1)]
-
-    return Trie(by_level(entries, "gram"), by_level(contexts, "context"))
+    entries, contexts = [], []
+    for k in range(order, -1, -1):
+        # at most 2**share_bits rows each, by the share that a row must hold
+        kept = grams.filter(F.col("n") >= least).toArrow()
+        known = grams.groupBy(F.shiftright("gram", 8).alias("gram")).agg(
+            F.sum("n").alias("n"), F.max("n").alias("most")).filter(
+            F.col("most") >= least).drop("most").toArrow()
+        for rows, table in ((entries, kept), (contexts, known)):
+            rows.insert(0, (table.column("gram").to_numpy().astype(np.uint64),
+                            table.column("n").to_numpy()))
+        if k:  # the first byte goes: marginal sums of what is stored
+            grams = stored(grams.groupBy(F.col("gram").bitwiseAND(
+                F.lit((1 << 8 * k) - 1)).alias("gram")).agg(F.sum("n").alias("n")), "grams")
+    return Trie(entries, contexts)
 
 
 def adaptive_log10(text: str, order: int = ORDER) -> float:
-    """log10 probability of one text under a trie that learns as it reads (method C with
+    """log10 probability of one text under a trie that learns as it reads (method D with
     symbol exclusion)."""
     data = bytes([END]) * order + text.encode() + bytes([END])
     counts: dict[bytes, dict[int, int]] = defaultdict(dict)
@@ -232,8 +254,9 @@ def adaptive_log10(text: str, order: int = ORDER) -> float:
             node = counts[data[i - k:i]]
             live = {x: n for x, n in node.items() if x not in excluded}
             if live:
-                whole = sum(live.values()) + len(live)
-                total += math.log10(live.get(s, len(live)) / whole)
+                whole = sum(live.values())
+                total += math.log10((live[s] - DISCOUNT if s in live
+                                     else DISCOUNT * len(live)) / whole)
                 if s in live:
                     break
                 excluded |= live.keys()

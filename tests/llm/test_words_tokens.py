@@ -1,0 +1,115 @@
+"""Token counts and packing against the tokenizer library itself."""
+import random
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from tokenizers import Tokenizer
+
+from canopy.llm import packing, queries, token_counts, words
+from canopy.llm.common import cut_long, strings, text_pieces
+
+JSON = queries.tokenizer_json()
+LIBRARY = Tokenizer.from_str(JSON)
+ODD = ["", None, "<|endoftext|> a <|ENDOFTEXT|>", "don't we'll 'tis", "é, É! ǅ. İ, ß;",
+       "≠ < ̸ é, x́!", "a\x1cb\x85c\xa0d e", "中文 字,。 😀😀!!", "9,999.5 x2"]
+
+
+def library_ids(text):
+    return LIBRARY.encode(text or "", add_special_tokens=False).ids
+
+
+def frame(spark, texts):
+    rows = [(i, t, "x", i) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string, n_tokens string, start long")
+
+
+def test_encoder_equals_library_on_random_texts():
+    rng = random.Random(5)
+    alphabet = list("aAbzE's't.,!?<|>/≠́é  \x1c\x85 \n\t12½ßİK中😀$-​") + [
+        "<|startoftext|>", "don't", "we'll, "]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(40))) for _ in range(4000)]
+    ids, bounds = words.WordEncoder(JSON).encode(strings(pa.array(texts)))
+    for i, text in enumerate(texts):
+        assert ids[bounds[i]:bounds[i + 1]].tolist() == library_ids(text)
+
+
+def test_memo_may_start_anew(monkeypatch):
+    monkeypatch.setattr(words, "MEMO_WORDS", 3)
+    monkeypatch.setattr(words, "MEMO_BODIES", 3)
+    encoder = words.WordEncoder(JSON)
+    for text in ("one two three four five six.", "six seven. one, two", "two two"):
+        ids, _ = encoder.encode(strings(pa.array([text])))
+        assert ids.tolist() == library_ids(text)
+
+
+def test_cut_long_keeps_every_byte():
+    texts = strings(pa.array(["a b c d e f g h", "", "x" * 50, "tail " * 9]))
+    pieces, rows = cut_long(texts, 7)
+    for row in range(4):
+        assert "".join(p for p, r in zip(pieces.to_pylist(), rows) if r == row) \
+            == texts[row].as_py()
+    assert all(p.endswith((" ",)) or len(p) <= 7 or p == "x" * 50
+               for p in pieces.to_pylist())
+    assert sum(len(p) for p, _ in text_pieces(texts, 7)) == len(pieces)
+
+
+def test_counts_equal_library(spark):
+    texts = [*ODD, "word " * 5000, "a b c"]
+    got = token_counts.count_tokens(frame(spark, texts), JSON).toPandas()
+    want = [len(library_ids(t)) for t in texts]
+    assert got.sort_values("doc_id").n_tokens.tolist() == want
+    assert got.sort_values("doc_id").n_bytes.tolist() == [len((t or "").encode()) for t in texts]
+    assert got.sort_values("doc_id").over_limit.tolist() == [n > 2048 for n in want]
+
+
+def test_counts_of_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = dict(queries.op8_token_counts(spark, "/root/testdata/sf0.001").select(
+        "doc_id", "n_tokens").collect())
+    rows = docs.select("doc_id", "text").collect()
+    assert got == {r[0]: len(library_ids(r[1])) for r in rows}
+
+
+@pytest.mark.parametrize("capacity", [8, 100, 2048])
+def test_plan_places_each_token_once(capacity):
+    rng = random.Random(capacity)
+    lengths = [rng.choice([1, 2, 7, 8, 9, 100, 500, 5000]) for _ in range(300)]
+    pieces = packing.plan(lengths, capacity)
+    for row, n in enumerate(lengths):
+        parts = sorted((s, k) for r, s, k, _, _ in pieces if r == row)
+        assert parts[0][0] == 0 and sum(k for _, k in parts) == n
+        assert all(a + k == b for (a, k), (b, _) in zip(parts, parts[1:]))
+    used = {}
+    for _, _, n, s, at in sorted(pieces, key=lambda x: (x[3], x[4])):
+        assert used.get(s, 0) == at and n > 0
+        used[s] = at + n
+    assert all(n == capacity or n & (n - 1) == 0 for n in used.values())
+    assert sorted(used) == list(range(len(used)))
+
+
+def test_plan_takes_cheapest_sequence_with_room():
+    pieces = packing.plan([6, 5, 3, 2], 8)
+    assert [(r, n, s) for r, _, n, s, _ in pieces] == [(0, 6, 0), (1, 5, 1), (2, 3, 1), (3, 2, 0)]
+
+
+def test_pack_holds_library_ids(spark):
+    texts = [*ODD, "word of a kind. " * 900, "x", "x"]
+    got = packing.pack(frame(spark, texts).repartition(3), JSON, with_ids=True).toPandas()
+    for i, text in enumerate(texts):
+        own = got[got.doc_id == i].sort_values("start")
+        assert np.concatenate(own.ids.tolist()).tolist() == [*library_ids(text), 1]
+        assert (own.doc_tokens == own.length.sum()).all()
+        for r in own.itertuples():
+            assert r.ids_crc32 == zlib.crc32(np.asarray(r.ids, "<u4").tobytes())
+    sums = got.groupby("sequence_id").length.sum()
+    assert ((sums == 2048) | (sums & (sums - 1) == 0)).all() and sums.max() <= 2048
+    for _, own in got.sort_values("offset").groupby("sequence_id"):
+        assert own.offset.tolist() == [0, *own.length.cumsum().tolist()[:-1]]
+
+
+def test_empty_table(spark):
+    docs = frame(spark, ["a"]).limit(0)
+    assert token_counts.count_tokens(docs, JSON).count() == 0
+    assert packing.pack(docs, JSON).count() == 0
