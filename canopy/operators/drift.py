@@ -61,7 +61,8 @@ def drift_report(checked: DataFrame) -> DataFrame:
                  F.count_distinct("content_hash").alias("n_hashes"),
                  F.sum(F.col("violation").cast("int")).alias("n_violations"),
                  F.min(F.when(F.col("violation"), F.col("ts"))).alias("first_violation_ts"),
-                 F.min_by("content_hash", F.struct("ts", "req_id")).alias("expected"))
+                 F.min_by("content_hash", F.struct("ts", "req_id")).alias("expected"),
+                 F.mode("content_hash", True).alias("mode_hash"))
             .where(F.col("n_hashes") > 1))
 
 
@@ -72,16 +73,19 @@ def drift_variants(results: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- #35 ----
-def first_hashes(results: DataFrame) -> DataFrame:
-    return results.where(F.col("content_hash") != "").groupBy("intent_key").agg(
+def first_hashes(results: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    return results.where(F.col("content_hash") != "").groupBy(*(keys or ["intent_key"])).agg(
         F.min_by("content_hash", F.struct("ts", "req_id")).alias("content_hash"))
 
 
-def cross_session_drift(current: DataFrame, baseline: DataFrame) -> DataFrame:
-    """Compare first hash per key with a baseline registry: same / changed / new / gone."""
-    b = baseline.select("intent_key", F.col("content_hash").alias("baseline_hash"))
-    c = current.select("intent_key", F.col("content_hash").alias("current_hash"))
-    j = b.join(c, "intent_key", "full_outer")
+def cross_session_drift(current: DataFrame, baseline: DataFrame,
+                        keys: list[str] | None = None) -> DataFrame:
+    """Compare first hash per key (by default the intent key; a session id may come
+    before it) with a baseline registry: same / changed / new / gone."""
+    keys = keys or ["intent_key"]
+    b = baseline.select(*keys, F.col("content_hash").alias("baseline_hash"))
+    c = current.select(*keys, F.col("content_hash").alias("current_hash"))
+    j = b.join(c, keys, "full_outer")
     status = (F.when(F.col("baseline_hash").isNull(), "new")
               .when(F.col("current_hash").isNull(), "gone")
               .when(F.col("baseline_hash").eqNullSafe(F.col("current_hash")), "same")
@@ -96,18 +100,24 @@ def expected_cells(types=dims.TYPES, languages=dims.LANGUAGES) -> F.Column:
                      for t in types for l in languages])
 
 
-def regression_matrix(runs: DataFrame, calls_per_cell: int = 20) -> DataFrame:
-    """Per type x language: calls, distinct hashes, status pass / drift / missing."""
+def regression_matrix(runs: DataFrame, canonical_calls: int = 5,
+                      synonym_calls: int = 15) -> DataFrame:
+    """Per type x language: calls of the canonical phrasing (0) and of its synonyms,
+    distinct hashes, status pass / drift / missing / short (too few calls of a kind)."""
+    canonical = F.coalesce((F.col("phrasing") == 0).cast("int"), F.lit(0))
     stats = runs.groupBy("type", "language").agg(
-        F.count("*").alias("calls"), F.count_distinct("content_hash").alias("n_hashes"))
+        F.count("*").alias("calls"), F.sum(canonical).alias("n_canonical"),
+        F.count_distinct("content_hash").alias("n_hashes"))
     grid = runs.sparkSession.range(1).select(F.inline(expected_cells()))
     m = grid.join(stats, ["type", "language"], "left")
     return m.select(
         "type", "language", F.coalesce("calls", F.lit(0)).alias("calls"),
+        F.coalesce("n_canonical", F.lit(0)).alias("n_canonical"),
         F.coalesce("n_hashes", F.lit(0)).alias("n_hashes"),
         F.when(F.col("calls").isNull(), "missing")
         .when(F.col("n_hashes") > 1, "drift")
-        .when(F.col("calls") < calls_per_cell, "short").otherwise("pass").alias("status"))
+        .when((F.col("n_canonical") < canonical_calls)
+              | (F.col("calls") - F.col("n_canonical") < synonym_calls), "short").otherwise("pass").alias("status"))
 
 
 def regression_cube(runs: DataFrame) -> DataFrame:

@@ -188,11 +188,25 @@ def audit_rates(sections: DataFrame) -> DataFrame:
     return v.groupBy("rule").agg(F.count("*").alias("n_violations"))
 
 
+def audit_rates_by_type(sections: DataFrame) -> DataFrame:
+    """Broken and checked replies of each rule and declared type, with the rate; a rule
+    that never fires has a row too.  One pass: rules are exploded with their outcome."""
+    rules = F.array(*[F.struct(F.lit(n).alias("rule"), F.coalesce(c, F.lit(False)).alias("bad"))
+                      for n, c in _audit_rules()])
+    declared = F.regexp_extract(F.col("intent_classification"),
+                                "(?mdU)^\\s*type\\s*:\\s*(\\S+)", 1)
+    return (sections.select(F.when(declared != "", declared).alias("declared_type"),
+                            F.inline(rules))
+            .groupBy("rule", "declared_type").agg(
+                F.count("*").alias("n_replies"), F.sum(F.col("bad").cast("int")).alias("n_violations"))
+            .withColumn("rate", F.round(F.col("n_violations") / F.col("n_replies"), 6)))
+
+
 # ---------------------------------------------------------------- #26 ----
 def parameter_names(c: F.Column) -> F.Column:
     """Identifiers of every parenthesised parameter list in the text, destructured
     parameters (``{a, b}``) included."""
-    lists = F.regexp_extract_all(c, F.lit("\\(([^)]*)\\)"), F.lit(1))
+    lists = F.regexp_extract_all(c, F.lit("\\(([^()]*)\\)"), F.lit(1))
     params = F.flatten(F.transform(lists, lambda x: F.split(F.translate(x, "{}[]", "    "), ",")))
     names = F.transform(params, lambda p: F.regexp_extract(p, "^\\s*\\.{0,3}([A-Za-z_$][\\w$]*)", 1))
     return F.filter(names, lambda n: n != "")

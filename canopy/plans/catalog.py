@@ -284,10 +284,10 @@ SELECT rule, count(*) AS n_violations FROM v GROUP BY rule""")(
 
 register("naming_audit", f"""{_V},
 lists AS (
-  SELECT 'signature' AS place, unnest(regexp_extract_all(signature, '\\(([^)]*)\\)', 1)) AS l
+  SELECT 'signature' AS place, unnest(regexp_extract_all(signature, '\\(([^()]*)\\)', 1)) AS l
   FROM sections
   UNION ALL
-  SELECT 'implementation', unnest(regexp_extract_all(implementation, '\\(([^)]*)\\)', 1))
+  SELECT 'implementation', unnest(regexp_extract_all(implementation, '\\(([^()]*)\\)', 1))
   FROM sections),
 params AS (SELECT place, unnest(string_split(translate(l, '{{}}[]', '    '), ',')) AS p FROM lists),
 names AS (SELECT place, regexp_extract(p, '^\\s*\\.{{0,3}}([A-Za-z_$][A-Za-z0-9_$]*)', 1) AS param
@@ -516,8 +516,14 @@ SELECT session_id, session_no, intent_key, count(*) AS n,
        count(DISTINCT content_hash) AS n_hashes,
        sum(CASE WHEN violation THEN 1 ELSE 0 END)::BIGINT AS n_violations,
        min(ts) FILTER (WHERE violation) AS first_violation_ts,
-       arg_min(content_hash, (ts, req_id)) AS expected
-FROM checked WHERE content_hash <> '' GROUP BY ALL HAVING count(DISTINCT content_hash) > 1""")(
+       arg_min(content_hash, (ts, req_id)) AS expected, max(mode_hash) AS mode_hash
+FROM checked JOIN (
+  SELECT session_id, session_no, intent_key, content_hash AS mode_hash
+  FROM checked WHERE content_hash <> '' GROUP BY session_id, session_no, intent_key, content_hash
+  QUALIFY row_number() OVER (PARTITION BY session_id, session_no, intent_key
+                             ORDER BY count(*) DESC, content_hash) = 1)
+  USING (session_id, session_no, intent_key)
+WHERE content_hash <> '' GROUP BY session_id, session_no, intent_key HAVING count(DISTINCT content_hash) > 1""")(
     lambda spark, d: D.drift_report(D.check_drift(FX.results_seq(spark, d))))
 
 register("drift_variants", f"""WITH {O.results_seq_cte()}
@@ -545,11 +551,13 @@ FROM b FULL OUTER JOIN c ON b.intent_key = c.intent_key""")(_cross_session)
 _CELLS = ", ".join(f"({O.q(t)}, {O.q(l)})" for t in dims.TYPES for l in dims.LANGUAGES)
 register("regression_matrix", f"""WITH {O.runs_cte()},
 grid AS (SELECT * FROM (VALUES {_CELLS}) AS g(type, language)),
-stats AS (SELECT type, language, count(*) AS calls, count(DISTINCT content_hash) AS n_hashes
+stats AS (SELECT type, language, count(*) AS calls, count(DISTINCT content_hash) AS n_hashes,
+                 count(*) FILTER (WHERE phrasing = 0) AS n_canonical
           FROM runs GROUP BY ALL)
-SELECT type, language, coalesce(calls, 0) AS calls, coalesce(n_hashes, 0) AS n_hashes,
+SELECT type, language, coalesce(calls, 0) AS calls, coalesce(n_canonical, 0) AS n_canonical,
+       coalesce(n_hashes, 0) AS n_hashes,
        CASE WHEN calls IS NULL THEN 'missing' WHEN n_hashes > 1 THEN 'drift'
-            WHEN calls < 20 THEN 'short' ELSE 'pass' END AS status
+            WHEN n_canonical < 5 OR calls - n_canonical < 15 THEN 'short' ELSE 'pass' END AS status
 FROM grid LEFT JOIN stats USING (type, language)""")(
     lambda spark, d: D.regression_matrix(FX.runs(spark, d)))
 
@@ -948,10 +956,11 @@ SELECT lang, word, n, rank FROM r WHERE rank <= 5""")(
 
 register("regression_pivot", f"""WITH {O.runs_cte()},
 grid AS (SELECT * FROM (VALUES {_CELLS}) AS g(type, language)),
-stats AS (SELECT type, language, count(*) AS calls, count(DISTINCT content_hash) AS n_hashes
+stats AS (SELECT type, language, count(*) AS calls, count(DISTINCT content_hash) AS n_hashes,
+                 count(*) FILTER (WHERE phrasing = 0) AS n_canonical
           FROM runs GROUP BY ALL),
 m AS (SELECT type, language, CASE WHEN calls IS NULL THEN 'missing' WHEN n_hashes > 1 THEN 'drift'
-             WHEN calls < 20 THEN 'short' ELSE 'pass' END AS status
+             WHEN n_canonical < 5 OR calls - n_canonical < 15 THEN 'short' ELSE 'pass' END AS status
       FROM grid LEFT JOIN stats USING (type, language))
 SELECT type, {', '.join(f"max(CASE WHEN language = {O.q(l)} THEN status END) AS {l}" for l in dims.LANGUAGES)}
 FROM m GROUP BY type""")(
@@ -1021,3 +1030,58 @@ SELECT content_hash, {', '.join(f"arg_max({c}, (ts, req_id, attempt)) AS {c}" fo
        max(ts) AS ts, arg_max(req_id, (ts, req_id, attempt)) AS req_id,
        arg_max(attempt, (ts, req_id, attempt)) AS attempt
 FROM sections GROUP BY content_hash""")(_stream_registry)
+
+
+# ------------------------------------------------- further dimensions ----
+register("taxonomy_transitions", f"""SELECT old_type, new_type, old_confidence, new_confidence,
+       count(*) AS n FROM ({_taxonomy_sql(O.requests_cte())}) GROUP BY ALL""")(
+    lambda spark, d: C.taxonomy_transitions(C.taxonomy_diff(FX.requests(spark, d))))
+
+register("prompt_fanout", f"""WITH {O.pipeline(O.requests_cte())}
+SELECT req_id, substr(sha256({_user_message_sql()}), 1, 16) AS prompt_id
+FROM classified WHERE confidence = 'HIGH'""")(
+    lambda spark, d: C.build_prompt_work(_passed(spark, d))[1])
+
+register("reply_failures_by_language", f"""WITH {O.requests_cte()}, {O.ingested_cte()},
+{_V[5:]}
+SELECT h.status, i.language, count(*) AS n
+FROM hashed h JOIN ingested i ON h.req_id = i.req_id GROUP BY ALL""")(
+    lambda spark, d: R.failure_rates(_validated(spark, d).join(
+        ingest_requests(FX.requests(spark, d)).select("req_id", "language"), "req_id"), "language"))
+
+register("audit_rates_by_type", f"""{_V},
+r AS (SELECT nullif(regexp_extract(intent_classification, '(?m)^\\s*type\\s*:\\s*(\\S+)', 1), '')
+        AS declared_type, rule, CASE rule
+    WHEN 'missing_preconditions' THEN NOT regexp_matches(invariants, '(?i)preconditions')
+    WHEN 'missing_postconditions' THEN NOT regexp_matches(invariants, '(?i)postconditions')
+    WHEN 'missing_edge_cases' THEN NOT regexp_matches(invariants, '(?i)edge[_ ]cases')
+    WHEN 'no_numeric_edge_case' THEN NOT regexp_matches(invariants, '[0-9]')
+    WHEN 'see_implementation' THEN regexp_matches(invariants, '(?i)see implementation')
+    WHEN 'few_asserts' THEN (length(test_oracle) - length(replace(test_oracle, 'assert', ''))) // 6 < 3
+    WHEN 'test_wrapper' THEN regexp_matches(test_oracle, '(?:^|[^A-Za-z0-9_])(?:describe|it|test)\\s*\\(')
+    WHEN 'mock_stub_spy' THEN regexp_matches(test_oracle, '(?i)(?:mock|stub|spy|spies)') END AS bad
+  FROM sections, (VALUES ('missing_preconditions'), ('missing_postconditions'),
+    ('missing_edge_cases'), ('no_numeric_edge_case'), ('see_implementation'), ('few_asserts'),
+    ('test_wrapper'), ('mock_stub_spy')) AS v(rule))
+SELECT rule, declared_type, count(*) AS n_replies,
+       sum(CASE WHEN bad THEN 1 ELSE 0 END)::BIGINT AS n_violations,
+       round(sum(CASE WHEN bad THEN 1 ELSE 0 END) / count(*), 6) AS rate FROM r GROUP BY ALL""")(
+    lambda spark, d: R.audit_rates_by_type(_sections(spark, d)))
+
+
+def _session_drift(spark, d):
+    r, keys = FX.results_seq(spark, d), ["session_id", "intent_key"]
+    early = F.year("ts") <= 1994
+    return D.cross_session_drift(D.first_hashes(r.where(~early), keys),
+                                 D.first_hashes(r.where(early), keys), keys)
+
+
+register("cross_session_drift_by_session", f"""WITH {O.results_seq_cte()},
+b AS (SELECT session_id, intent_key, arg_min(content_hash, (ts, req_id)) AS baseline_hash
+      FROM results WHERE year(ts) <= 1994 AND content_hash <> '' GROUP BY ALL),
+c AS (SELECT session_id, intent_key, arg_min(content_hash, (ts, req_id)) AS current_hash
+      FROM results WHERE year(ts) > 1994 AND content_hash <> '' GROUP BY ALL)
+SELECT session_id, intent_key, baseline_hash, current_hash,
+       CASE WHEN baseline_hash IS NULL THEN 'new' WHEN current_hash IS NULL THEN 'gone'
+            WHEN baseline_hash = current_hash THEN 'same' ELSE 'changed' END AS status
+FROM b FULL OUTER JOIN c USING (session_id, intent_key)""")(_session_drift)

@@ -151,7 +151,7 @@ def attempts_cte() -> str:
     return f"""attempts AS (
   SELECT o_orderkey AS req_id, o_custkey AS session_id, o_orderdate AS ts, a.attempt,
          {tpl}::INTEGER AS tpl_id,
-         replace({sql_list(FX.REPLY_TEMPLATES)}[{tpl} + 1], '~', chr(10)) AS raw
+         {sql_list(FX.REPLY_TEMPLATES)}[{tpl} + 1] AS raw
   FROM orders, (VALUES (1), (2), (3)) AS a(attempt))"""
 
 

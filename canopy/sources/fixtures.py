@@ -61,28 +61,41 @@ MULTI_PHRASES: list[str] = [
     "write add function, create subtract function",
     "1. add two numbers 2. check if even",
 ]
-# reply template pieces; "~" stands for a newline
-_FENCE = "```"
-_IMPL_OK = "const total = (firstNumber, secondNumber) => firstNumber + secondNumber;"
-_IMPL_DRIFT = "const total = (x, y) => x + y;"
-_BASE = (
-    "~---INTENT_CLASSIFICATION---~type: PURE_FUNCTION~confidence: HIGH~~---SIGNATURE---~"
-    "javascript: const total = (firstNumber, secondNumber) => firstNumber + secondNumber~~"
-    "---IMPLEMENTATION---~" + _FENCE + "javascript~{impl}~" + _FENCE + "~~---{inv}---~"
-    "preconditions:~  - finite~~---TEST_ORACLE---~" + _FENCE + "javascript~"
-    "assert(total(1, 2) === 3);~assert(total(0, 0) === 0);~assert(total(-1, 1) === 0);~"
-    + _FENCE + "~---~"
-)
+REPLY = """
+---INTENT_CLASSIFICATION---
+type: PURE_FUNCTION
+confidence: HIGH
+
+---SIGNATURE---
+javascript: const total = (firstNumber, secondNumber) => firstNumber + secondNumber
+
+---IMPLEMENTATION---
+```javascript
+const total = (firstNumber, secondNumber) => firstNumber + secondNumber;
+```
+
+---INVARIANTS---
+preconditions:
+  - finite
+
+---TEST_ORACLE---
+```javascript
+assert(total(1, 2) === 3);
+assert(total(0, 0) === 0);
+assert(total(-1, 1) === 0);
+```
+---
+"""
+_IMPL = "const total = (firstNumber, secondNumber) => firstNumber + secondNumber;"
 REPLY_TEMPLATES: list[str] = [
-    _BASE.format(impl=_IMPL_OK, inv="INVARIANTS"),
-    _BASE.format(impl=_IMPL_DRIFT, inv="INVARIANTS"),
-    _BASE.format(impl=_IMPL_OK, inv="invariants"),
-    "~---AMBIGUITY---~unclear_dimension: verb~---~",
+    REPLY,
+    REPLY.replace(_IMPL, "const total = (x, y) => x + y;"),
+    REPLY.replace("INVARIANTS", "invariants"),
+    "\n---AMBIGUITY---\nunclear_dimension: verb\n---\n",
     "just some random text",
-    _BASE.format(impl=_IMPL_OK + "~" + _FENCE + "~" + _FENCE + "javascript~const b = 1;",
-                 inv="INVARIANTS"),
-    _BASE.format(impl="import math~" + _IMPL_OK, inv="INVARIANTS"),
-    _BASE.format(impl=_IMPL_OK, inv="INVARIANTS") + "~---DEPENDENCIES---~- axios~numpy as np~",
+    REPLY.replace(_IMPL, _IMPL + "\n```\n```javascript\nconst b = 1;"),
+    REPLY.replace(_IMPL, "import math\n" + _IMPL),
+    REPLY + "\n---DEPENDENCIES---\n- axios\nnumpy as np\n",
 ]
 # ---------------------------------------------------------------------------
 
@@ -146,7 +159,7 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.select(
         "req_id", "session_id", "ts", F.col("attempt").cast("int").alias("attempt"),
         tpl.alias("tpl_id"),
-        pick([t.replace("~", "\n") for t in REPLY_TEMPLATES], tpl).alias("raw"))
+        pick(REPLY_TEMPLATES, tpl).alias("raw"))
 
 
 # ---------------------------------------------------------------------------

@@ -10,7 +10,7 @@ from canopy.sources import fixtures as FX
 
 
 def _attempts(spark, raws):
-    rows = [(i, 1, None, 1, 0, r.replace("~", "\n")) for i, r in enumerate(raws)]
+    rows = [(i, 1, None, 1, 0, r) for i, r in enumerate(raws)]
     return spark.createDataFrame(
         rows, "req_id long, session_id long, ts timestamp, attempt int, tpl_id int, raw string")
 
@@ -29,7 +29,7 @@ def test_templates_status_and_hash(spark):
 
 
 def test_repeated_section_last_wins_and_require_inside_line(spark):
-    raw = FX.REPLY_TEMPLATES[0] + "~---SIGNATURE---~second~"
+    raw = FX.REPLY_TEMPLATES[0] + "\n---SIGNATURE---\nsecond\n"
     raw2 = FX.REPLY_TEMPLATES[0].replace("firstNumber + secondNumber;", "require('y');")
     raw2 = raw2.replace("const total = (firstNumber, secondNumber) => require('y');",
                         "const x = require('y')")
