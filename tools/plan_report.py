@@ -10,7 +10,7 @@ import re
 import sys
 
 sys.path.insert(0, ".")
-import __spark_entry__ as E  # noqa: E402
+from canopy.plans import catalog  # noqa: E402
 from canopy.session import get_session  # noqa: E402
 
 SKIP = {"stream_drift", "stream_call_metrics", "stream_pair_calls", "stream_sliding_metrics",
@@ -26,7 +26,7 @@ def main() -> None:
           "(they execute jobs to build their input).\n")
     print("| query | shuffles | broadcasts | python | generate | window | scans (columns read; pushed filters) |")
     print("|---|---|---|---|---|---|---|")
-    for name, fn in E.queries().items():
+    for name, fn in catalog.QUERIES.items():
         if name in SKIP:
             continue
         p = fn(spark, sf)._jdf.queryExecution().executedPlan().toString()
