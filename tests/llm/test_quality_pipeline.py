@@ -20,8 +20,8 @@ SF, SF01 = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 def test_risk_separates_with_positives_and_mixture():
     rng = np.random.default_rng(0)
-    good, bad = rng.normal(1, 1, (600, 5)), rng.normal(-1, 1, (200, 5))
-    scorer = quality.fit(rng.normal(1, 1, (600, 5)), np.concatenate([good, bad]), 0.75)
+    good, bad = rng.normal(1.5, 1, (600, 5)), rng.normal(-1.5, 1, (200, 5))
+    scorer = quality.fit(rng.normal(1.5, 1, (600, 5)), np.concatenate([good, bad]), 0.75)
     assert (scorer.score(good) > 0.5).mean() > 0.9
     assert (scorer.score(bad) < 0.5).mean() > 0.8
 
