@@ -107,7 +107,7 @@ def cut_long(texts: pa.Array, limit: int = SLICE_BYTES) -> tuple[pa.Array, np.nd
             else:
                 cut = at + limit
                 while cut < end and not _WHITE[data[cut - 1]]:
-                    ahead = np.flatnonzero(_WHITE[data[cut:cut + limit]])
+                    ahead = np.flatnonzero(_WHITE[data[cut:min(end, cut + limit)]])
                     cut = cut + int(ahead[0]) + 1 if len(ahead) else min(end, cut + limit)
             bounds.append(cut)
             rows.append(row)

@@ -37,7 +37,6 @@ def test_encoder_equals_library_on_random_texts():
 
 def test_memo_may_start_anew(monkeypatch):
     monkeypatch.setattr(words, "MEMO_WORDS", 3)
-    monkeypatch.setattr(words, "MEMO_BODIES", 3)
     encoder = words.WordEncoder(JSON)
     for text in ("one two three four five six.", "six seven. one, two", "two two"):
         ids, _ = encoder.encode(strings(pa.array([text])))
