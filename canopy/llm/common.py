@@ -8,6 +8,8 @@ holds more than about ``limit`` bytes at a time.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -127,6 +129,14 @@ def text_pieces(texts: pa.Array, limit: int = SLICE_BYTES
         yield pieces.slice(start, stop - start), rows[start:stop]
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: workers live on, and with them what earlier
+    tasks' work arrays have left in the allocators."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends (exclusive) of the runs of True."""
     edge = np.diff(np.concatenate(([0], mask.view(np.int8), [0])))

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from canopy.llm.common import (
     byte_slices,
+    release_memory,
     runs,
     stored,
     strings,
@@ -73,7 +74,7 @@ def _tables(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return _power_tables[which]
 
 
-def word_hashes(texts: pa.Array, which: int = 0, chunk: int = 1 << 21
+def word_hashes(texts: pa.Array, which: int = 0, chunk: int = 1 << 18
                 ) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word, word bounds by text).  Long buffers go chunk by chunk, cut
     between words, so the 64-bit work arrays stay small."""
@@ -164,6 +165,7 @@ def _frequencies(docs: DataFrame, terms: Terms) -> dict[int, int]:
                 hashes, _ = word_hashes(texts.slice(start, stop - start))
                 _, number = held.value.find(hashes)
                 total += np.bincount(number, minlength=len(total))
+            release_memory()
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays(
             [pa.array(at), pa.array(total[at])], ["term", "n"])
@@ -191,6 +193,7 @@ def build_index(docs: DataFrame, terms: Terms) -> DataFrame:
                      pa.array(np.diff(bounds)),
                      _lists(row_of, number), _lists(row_of, at - bounds[owner])],
                     ["doc_id", "text_hash", "n_words", "terms", "positions"])
+            release_memory()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
@@ -302,6 +305,7 @@ def _verify(docs: DataFrame, candidates: DataFrame, items: list[dict], slop: int
                  pa.array([x[3] for x in out], pa.int64()),
                  pa.array([x[4] for x in out], pa.string())],
                 ["doc_id", "text_hash", "item_id", "start", "n_words", "kind"])
+            release_memory()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(compare, f"doc_id {kind}, text_hash long, item_id string, "

@@ -35,7 +35,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm.common import hash_share, strings, text_pieces, utf8_parts
+from canopy.llm.common import (
+    SLICE_BYTES,
+    hash_share,
+    release_memory,
+    strings,
+    text_pieces,
+    utf8_parts,
+)
 
 BUCKETS = 1 << 16
 PER_LANGUAGE = 20_000
@@ -246,7 +253,7 @@ def label(docs: DataFrame, model: Model, penalty: float = SWITCH_PENALTY) -> Dat
     held = docs.sparkSession.sparkContext.broadcast(model)
     kind = rows.schema["doc_id"].dataType.simpleString()
     n_lang = len(model.languages)
-    limit = max(100_000, int(4_000_000 * min(1.0, (8 / max(1, n_lang)) ** 2)))
+    limit = max(100_000, int(SLICE_BYTES * min(1.0, (8 / max(1, n_lang)) ** 2)))
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()),
                                     ("lang", pa.string())]))
 
@@ -293,6 +300,7 @@ def label(docs: DataFrame, model: Model, penalty: float = SWITCH_PENALTY) -> Dat
                  pa.array([[dict(start=a, end=b, lang=c) for a, b, c in s] if k else []
                            for s, k in zip(spans, known, strict=True)], span_type)],
                 ["doc_id", "lang_pred", "score", "spans"])
+            release_memory()
 
     return rows.mapInArrow(predict, f"doc_id {kind}, lang_pred string, score double, "
                            "spans array<struct<start:long,end:long,lang:string>>")

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm.common import SLICE_BYTES, byte_slices, strings, text_pieces
+from canopy.llm.common import SLICE_BYTES, byte_slices, release_memory, strings, text_pieces
 from canopy.llm.words import encoder
 
 #: Cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n.
@@ -103,6 +103,7 @@ def pack(docs: DataFrame, tokenizer_json: str, capacity: int = 2048, closing_id:
                     names.append("ids")
                 next_id += int(sequence.max()) + 1
                 yield pa.RecordBatch.from_arrays(columns, names)
+            release_memory()
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(

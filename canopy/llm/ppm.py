@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 from canopy.llm.common import (
     SLICE_BYTES,
     byte_slices,
+    release_memory,
     stored,
     strings,
     text_pieces,
@@ -49,15 +50,16 @@ from canopy.llm.common import (
 
 ORDER = 6
 DISCOUNT = 0.5
-PENDING = 1_500_000  # counted strings that a task holds before it hands them on
+PENDING = 1_200_000  # counted strings that a task holds before it hands them on
 SHARE_BITS = 21
-WORD_BITS = 18
+WORD_BITS = 19
+COUNT_CHUNK, SCORE_CHUNK = 1_000_000, 250_000  # positions whose work arrays are held at once
 END = 0xFF
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 # ------------------------------------------------------------ strings of bytes ----
-def _grams(texts: pa.Array, order: int, chunk: int = SLICE_BYTES):
+def _grams(texts: pa.Array, order: int, chunk: int = COUNT_CHUNK):
     """Chunks (grams, text of each gram): every position's byte with the ``order`` before."""
     pad = bytes([END]) * order
     raw = [x.as_buffer().to_pybytes() if x.is_valid else b""
@@ -90,6 +92,7 @@ def count_grams(docs: DataFrame, where: Column, order: int = ORDER) -> DataFrame
                     if len(value) > PENDING:
                         yield _counted(value, n)
                         value, n = value[:0], n[:0]
+            release_memory()
         yield _counted(value, n)
 
     return docs.filter(where).select("text").mapInArrow(count, "gram long, n long") \
@@ -118,7 +121,7 @@ class Table:
     """Open addressing from uint64 keys to rows, filled and read by whole arrays."""
 
     def __init__(self, keys: np.ndarray):
-        self.bits = max(8, int(2 * len(keys)).bit_length())
+        self.bits = max(8, (3 * len(keys) // 2).bit_length())
         self.key = np.full(1 << self.bits, ~np.uint64(0), np.uint64)
         self.row = np.zeros(1 << self.bits, np.int32)
         left = np.arange(len(keys))
@@ -282,16 +285,21 @@ def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 def count_words(docs: DataFrame, where: Column) -> DataFrame:
     """(word, n) over the training texts; the empty word stands for the text's end."""
     def count(batches):
+        held: list[pa.Table] = []
         for batch in batches:
             texts = strings(batch.column("text"))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([""]), pa.array([len(texts)], pa.int64())], ["word", "n"])
-            for pieces, _ in text_pieces(texts, 2 * SLICE_BYTES):
+            held.append(pa.table({"word": pa.array([""]), "n": pa.array([len(texts)])}))
+            for pieces, _ in text_pieces(texts):
                 words, number, _ = _words(pieces)
                 n = np.bincount(number, minlength=len(words))
                 at = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays(
-                    [words.take(pa.array(at)).cast(pa.string()), pa.array(n[at])], ["word", "n"])
+                held.append(pa.table({"word": words.take(pa.array(at)).cast(pa.string()),
+                                      "n": pa.array(n[at])}))
+                if sum(map(len, held)) > PENDING:
+                    yield from _summed(held)
+                    held = []
+            release_memory()
+        yield from _summed(held)
 
     return docs.filter(where).select("text").mapInArrow(count, "word string, n long") \
         .groupBy("word").agg(F.sum("n").alias("n"))
@@ -310,6 +318,13 @@ def _rare_lists(parts: list[tuple[np.ndarray, pa.Array, np.ndarray]], n: int) ->
     return pa.ListArray.from_arrays(pa.array(bounds), pairs)
 
 
+def _summed(held: list[pa.Table]) -> list[pa.RecordBatch]:
+    if not held:
+        return []
+    sums = pa.concat_tables(held).group_by("word").aggregate([("n", "sum")])
+    return sums.rename_columns({"n_sum": "n"}).select(["word", "n"]).to_batches()
+
+
 def score(docs: DataFrame, learn: Column, order: int = ORDER) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row."""
     docs = docs.select("doc_id", "text", (~learn).alias("held_out"))
@@ -331,32 +346,36 @@ def score(docs: DataFrame, learn: Column, order: int = ORDER) -> DataFrame:
         value = np.log10((np.append(counts, 0) + 0.1) / bottom)
         end = pc.index_in(pa.array([""], pa.large_string()), known).to_pylist()[0]
         for batch in batches:
-            texts = strings(batch.column("text"))
-            n = len(texts)
-            bits = np.zeros(n)
-            for start, stop in byte_slices(texts):
-                for gram, text in _grams(texts.slice(start, stop - start), order):
-                    bits += np.bincount(text + start, trie.log10(gram), n)
-            tokens = np.ones(n, np.int64)
-            in_table = np.full(n, 0 if end is None else 1, np.int64)
-            base = np.full(n, value[-1 if end is None else end])
-            rare: list[tuple[np.ndarray, pa.Array, np.ndarray]] = []
-            for pieces, owner in text_pieces(texts, 2 * SLICE_BYTES):
-                names, number, text = _words(pieces)
-                row = owner[text]
-                tokens += np.bincount(row, minlength=n)
-                at = np.asarray(pc.index_in(names, known).fill_null(-1))[number]
-                hit = at >= 0
-                in_table += np.bincount(row[hit], minlength=n)
-                base += np.bincount(row[hit], value[at[hit]], n)
-                pair, times = np.unique(row[~hit].astype(np.int64) * len(names) + number[~hit],
-                                        return_counts=True)
-                rare.append((pair // len(names),
-                             names.take(pa.array(pair % len(names))).cast(pa.string()), times))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(tokens),
-                 pa.array(in_table), pa.array(base), pa.array(bits), _rare_lists(rare, n)],
-                ["doc_id", "held_out", "n_tokens", "n_common", "common_score", "score", "rare"])
+            whole = strings(batch.column("text"))
+            for start, stop in byte_slices(whole):
+                texts = whole.slice(start, stop - start)
+                n = len(texts)
+                total = np.zeros(n)
+                for gram, text in _grams(texts, order, SCORE_CHUNK):
+                    total += np.bincount(text, trie.log10(gram), n)
+                tokens = np.ones(n, np.int64)
+                in_table = np.full(n, 0 if end is None else 1, np.int64)
+                base = np.full(n, value[-1 if end is None else end])
+                rare: list[tuple[np.ndarray, pa.Array, np.ndarray]] = []
+                for pieces, owner in text_pieces(texts):
+                    names, number, text = _words(pieces)
+                    row = owner[text]
+                    tokens += np.bincount(row, minlength=n)
+                    at = np.asarray(pc.index_in(names, known).fill_null(-1))[number]
+                    hit = at >= 0
+                    in_table += np.bincount(row[hit], minlength=n)
+                    base += np.bincount(row[hit], value[at[hit]], n)
+                    pair, times = np.unique(row[~hit].astype(np.int64) * len(names)
+                                            + number[~hit], return_counts=True)
+                    rare.append((pair // max(1, len(names)), names.take(pa.array(
+                        pair % max(1, len(names)))).cast(pa.string()), times))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(start, n),
+                     batch.column("held_out").slice(start, n), pa.array(tokens),
+                     pa.array(in_table), pa.array(base), pa.array(total), _rare_lists(rare, n)],
+                    ["doc_id", "held_out", "n_tokens", "n_common", "common_score", "score",
+                     "rare"])
+            release_memory()
 
     scored = docs.mapInArrow(
         measure, f"doc_id {kind}, held_out boolean, n_tokens long, n_common long, "

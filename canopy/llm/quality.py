@@ -25,13 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm.common import hash_share, strings, text_pieces, utf8_parts
+from canopy.llm.common import hash_share, release_memory, strings, text_pieces, utf8_parts
 
 PAIRS = 512
 POSITIVES = 8_000
 UNLABELLED = 8_000
 SUMS = 14  # additive figures of a text
 THRESHOLD = 0.3
+PIECE_BYTES = 1_000_000  # text whose work arrays are held at once
 
 _CLASS = np.zeros(256, np.uint8)  # 0 control and other
 _CLASS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 1
@@ -98,7 +99,7 @@ def features(texts: pa.Array) -> np.ndarray:
     """One row of features for each text; long texts add up over their pieces."""
     n = len(texts)
     sums, pairs = np.zeros((n, SUMS)), np.zeros((n, PAIRS))
-    for pieces, owner in text_pieces(texts):
+    for pieces, owner in text_pieces(texts, PIECE_BYTES):
         a, b = _sums(pieces)
         np.add.at(sums, owner, a)
         np.add.at(pairs, owner, b)
@@ -175,6 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, where: Column, positives: int = PO
                 [batch.column("trusted"), batch.column("web"),
                  pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(
                      pa.list_(pa.float32()))], ["trusted", "web", "x"])
+            release_memory()
 
     got = rows.mapInArrow(measure, "trusted boolean, web boolean, x array<float>").toArrow()
     x = got.column("x").combine_chunks().flatten().to_numpy() if got.num_rows else np.zeros(0)
@@ -203,6 +205,7 @@ def score(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD,
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in keep), pa.array(s),
                  pa.array((s >= threshold).astype(np.int32))], [*keep, "score", "predicted"])
+            release_memory()
 
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep)
     return rows.mapInArrow(judge, f"{kinds}, score double, predicted int")

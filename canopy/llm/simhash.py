@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from canopy.llm.common import byte_slices, stored, strings, utf8_parts
+from canopy.llm.common import byte_slices, release_memory, stored, strings, utf8_parts
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -90,6 +90,7 @@ def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             fp = fingerprints(strings(batch.column("text")), shingle)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            release_memory()
 
     return rows.mapInArrow(run, f"doc_id {kind}, fp long")
 

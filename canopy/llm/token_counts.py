@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm.common import strings
+from canopy.llm.common import release_memory, strings
 from canopy.llm.words import encoder, utf8_lengths
 
 
@@ -36,6 +36,7 @@ def count_tokens(docs: DataFrame, tokenizer_json: str, limit: int = 2048,
                 [batch.column("doc_id"), pa.array(utf8_lengths(texts)), pa.array(tokens),
                  pa.array(tokens > limit)],
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            release_memory()
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(

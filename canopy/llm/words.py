@@ -24,7 +24,7 @@ CLOSING = string.punctuation.replace("'", "")
 #: Letters that stay as they are under NFC and keep their length when lowered.
 LETTERS = "a-z\u00df-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017f"
 #: Words kept by one worker; beyond it the memo starts anew, so memory stays bounded.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 300_000
 BATCH_BYTES = 64_000
 
 
