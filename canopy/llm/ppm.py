@@ -2,19 +2,27 @@
 
 Training counts every (order + 1)-byte string of the training texts (lowered A-Z,
 ``order`` bytes of padding in front, one end symbol 0xFF, which UTF-8 never holds).
-Counts of shorter contexts are marginal sums of these.  A trie entry (context,
-symbol) is kept if it holds at least a 2**-``share_bits`` share of all positions,
-so each order keeps at most 2**share_bits entries however large the corpus is: this
-proves the size of the broadcast.  What falls below goes to the escape count.
+Counts of shorter contexts are marginal sums of these.  ``score`` uses every count,
+however rare the string and however large the corpus.
 
 A symbol's probability: from the longest known context c, (n(c, s) - 1/2) / N, where N
-is all that followed c.  The escape count E takes the half that each kept symbol gives up
-(method D) and the dropped count.  If s is not kept there, E / N is paid and the next
+is all that followed c.  The escape count E takes the half that each symbol gives up
+(method D).  If s never followed c, E / N is paid and the next
 shorter context is tried without the symbols just excluded, whose counts leave its N;
 below order 0 all remaining byte values are equally likely.  These
 probabilities sum to one.  All exclusion totals depend on the context alone, so they
 are computed once per trie node.
 
+Where the work is done: a symbol's probability depends on its string alone, and only on
+counts of strings with the same last bytes.  So the counted strings are dealt to shards by
+their last ``ROOT`` context bytes; a shard builds the trie of its strings over the shorter
+contexts (at most 256**ROOT strings, held by all).  The ``CACHE`` most frequent strings'
+logarithms are broadcast; the cache saves a join and changes no result.  What a text has
+besides is joined, as distinct strings, with the shards' answers.
+
+``train_trie`` makes a single bounded trie for callers that want one: it keeps the entries
+with a 2**-``share_bits`` share of all positions and counts the others as escapes.
+
 The base model is the smoothed unigram of words.  Words with at least a
 2**-``WORD_BITS`` share of all training words (at most 2**WORD_BITS of them) are
 looked up inside the tasks; the others join the full count table by word.
@@ -52,6 +60,9 @@ ORDER = 6
 DISCOUNT = 0.5
 PENDING = 1_200_000  # counted strings that a task holds before it hands them on
 SHARE_BITS = 21
+ROOT = 3  # context bytes that a shard's strings share
+CACHE = 1 << 22  # strings whose logarithm every task holds
+SHARD_ROWS = 1_000_000  # strings of a shard, on average
 WORD_BITS = 19
 COUNT_CHUNK, SCORE_CHUNK = 1_000_000, 250_000  # positions whose work arrays are held at once
 END = 0xFF
@@ -244,6 +255,85 @@ def train_trie(docs: DataFrame, where: Column, order: int = ORDER,
     return Trie(entries, contexts)
 
 
+def _sums(gram: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct strings, sorted, with the sum of their counts."""
+    value, of = np.unique(gram, return_inverse=True)
+    return value, np.bincount(of, n, len(value)).astype(np.int64)
+
+
+def _levels(gram: np.ndarray, n: np.ndarray, orders: range) -> tuple[list, list]:
+    """Entries and contexts of ``orders`` (ascending) from counted strings of the last."""
+    entries, contexts = [], []
+    for k in reversed(orders):
+        gram, n = _sums(gram & np.uint64((1 << 8 * (k + 1)) - 1), n)
+        entries.insert(0, (gram, n))
+        contexts.insert(0, _sums(gram >> np.uint64(8), n))
+    return entries, contexts
+
+
+class Model:
+    """All counted strings, stored, and the roots of their trie."""
+
+    def __init__(self, docs: DataFrame, where: Column, order: int = ORDER):
+        self.order, self.spark = order, docs.sparkSession
+        self.grams = stored(count_grams(docs, where, order), "grams")
+        # at most sqrt(2 x positions) distinct counts
+        times = self.grams.groupBy("n").agg(F.count("*").alias("strings")).toArrow() \
+            .sort_by([("n", "descending")])
+        up_to = np.cumsum(times.column("strings").to_numpy())
+        self.distinct = int(up_to[-1]) if len(up_to) else 0
+        fit = int(np.searchsorted(up_to, CACHE, side="right"))
+        self.cached_from = times.column("n")[fit - 1].as_py() if fit else None
+        low = min(order, ROOT - 1)
+        top = self.grams.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * (low + 1)) - 1))
+                                 .alias("gram")).agg(F.sum("n").alias("n")).toArrow()
+        self.roots = self.spark.sparkContext.broadcast(_levels(
+            top.column("gram").to_numpy().astype(np.uint64), top.column("n").to_numpy(),
+            range(low + 1)))
+
+    def cache(self) -> tuple[np.ndarray, np.ndarray]:
+        """The most frequent strings and their logarithms."""
+        if self.cached_from is None:
+            return np.zeros(0, np.uint64), np.zeros(0)
+        known = self._answer(self.grams.withColumn("asked", F.col("n") >= self.cached_from),
+                             self.distinct).toArrow()
+        return (known.column("gram").to_numpy().view(np.uint64), known.column("log10").to_numpy())
+
+    def log10(self, asked: DataFrame, rows: int) -> DataFrame:
+        """(gram, log10) of the distinct strings ``asked``, at most about ``rows`` of them."""
+        return self._answer(self.grams.withColumn("asked", F.lit(False)).unionByName(
+            asked.select("gram", F.lit(0).cast("long").alias("n"), F.lit(True).alias("asked"))),
+            self.distinct + rows)
+
+    def _answer(self, strings_: DataFrame, rows: int) -> DataFrame:
+        roots, order = self.roots, self.order
+
+        def answer(batches):
+            parts = list(batches)
+            if not parts:
+                return
+            table = pa.Table.from_batches(parts)
+            del parts
+            gram = table.column("gram").to_numpy().view(np.uint64)
+            n = table.column("n").to_numpy()
+            asked = gram[np.asarray(table.column("asked"), bool)]
+            del table
+            entries, contexts = roots.value
+            own = _levels(gram[n > 0], n[n > 0], range(len(entries), order + 1))
+            trie = Trie(entries + own[0], contexts + own[1])
+            for at in range(0, len(asked), SCORE_CHUNK):
+                part = asked[at:at + SCORE_CHUNK]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(part.view(np.int64)), pa.array(trie.log10(part))],
+                    ["gram", "log10"])
+            del trie, own, gram, n, asked
+            release_memory()
+
+        shards = max(1, math.ceil(rows / SHARD_ROWS))
+        root = F.shiftrightunsigned("gram", 8).bitwiseAND(F.lit((1 << 8 * ROOT) - 1))
+        return strings_.repartition(shards, root).mapInArrow(answer, "gram long, log10 double")
+
+
 def adaptive_log10(text: str, order: int = ORDER) -> float:
     """log10 probability of one text under a trie that learns as it reads (method D with
     symbol exclusion)."""
@@ -305,19 +395,30 @@ def count_words(docs: DataFrame, where: Column) -> DataFrame:
         .groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _rare_lists(parts: list[tuple[np.ndarray, pa.Array, np.ndarray]], n: int) -> pa.Array:
-    """For each of ``n`` rows its list of (word, times)."""
+def _rare_lists(parts: list[tuple[np.ndarray, pa.Array, np.ndarray]], n: int,
+                name: str, kind: pa.DataType) -> pa.Array:
+    """For each of ``n`` rows its list of (``name``, times)."""
     row = np.concatenate([r for r, _, _ in parts] or [np.zeros(0, np.int64)])
     order = np.argsort(row, kind="stable")
-    words = pa.concat_arrays([w for _, w, _ in parts] or [pa.array([], pa.string())])
+    values = pa.concat_arrays([w for _, w, _ in parts] or [pa.array([], kind)])
     times = np.concatenate([t for _, _, t in parts] or [np.zeros(0, np.int64)])
     pairs = pa.StructArray.from_arrays(
-        [words.take(pa.array(order)), pa.array(times[order].astype(np.int32))],
-        names=["word", "times"])
+        [values.take(pa.array(order)), pa.array(times[order].astype(np.int32))],
+        names=[name, "times"])
     bounds = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=n)))).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(bounds), pairs)
 
 
+def _per_text(text: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(text, string, times) of the distinct pairs."""
+    order = np.lexsort((gram, text))
+    text, gram = text[order], gram[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(text)), bool),
+                                           (text[1:] != text[:-1]) | (gram[1:] != gram[:-1]))))
+    times = np.diff(np.append(first, len(text)))
+    return text[first], pa.array(gram[first].view(np.int64)), times
+
+
 def _summed(held: list[pa.Table]) -> list[pa.RecordBatch]:
     if not held:
         return []
@@ -329,20 +430,21 @@ def score(docs: DataFrame, learn: Column, order: int = ORDER) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row."""
     docs = docs.select("doc_id", "text", (~learn).alias("held_out"))
     where = ~F.col("held_out")
-    trie = train_trie(docs, where, order)
+    model = Model(docs, where, order)
     words = stored(count_words(docs, where), "word-counts")
     n_all, n_distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     common = words.filter(F.col("n") * (1 << WORD_BITS) >= n_all)
     table = common.toArrow()  # at most 2**WORD_BITS rows
     spark = docs.sparkSession
+    cached, log10 = model.cache()
     held = spark.sparkContext.broadcast(
-        (trie, table.column("word").combine_chunks().cast(pa.large_string()),
+        (Table(cached), log10, table.column("word").combine_chunks().cast(pa.large_string()),
          table.column("n").to_numpy()))
     bottom = n_all + 0.1 * (n_distinct + 1)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def measure(batches):
-        trie, known, counts = held.value
+        cached, log10, known, counts = held.value
         value = np.log10((np.append(counts, 0) + 0.1) / bottom)
         end = pc.index_in(pa.array([""], pa.large_string()), known).to_pylist()[0]
         for batch in batches:
@@ -351,8 +453,12 @@ def score(docs: DataFrame, learn: Column, order: int = ORDER) -> DataFrame:
                 texts = whole.slice(start, stop - start)
                 n = len(texts)
                 total = np.zeros(n)
+                rare_grams: list[tuple[np.ndarray, pa.Array, np.ndarray]] = []
                 for gram, text in _grams(texts, order, SCORE_CHUNK):
-                    total += np.bincount(text, trie.log10(gram), n)
+                    at = cached.find(gram)
+                    hit = at >= 0
+                    total += np.bincount(text[hit], log10[at[hit]], n)
+                    rare_grams.append(_per_text(text[~hit], gram[~hit]))
                 tokens = np.ones(n, np.int64)
                 in_table = np.full(n, 0 if end is None else 1, np.int64)
                 base = np.full(n, value[-1 if end is None else end])
@@ -372,14 +478,17 @@ def score(docs: DataFrame, learn: Column, order: int = ORDER) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(start, n),
                      batch.column("held_out").slice(start, n), pa.array(tokens),
-                     pa.array(in_table), pa.array(base), pa.array(total), _rare_lists(rare, n)],
-                    ["doc_id", "held_out", "n_tokens", "n_common", "common_score", "score",
-                     "rare"])
+                     pa.array(in_table), pa.array(base), pa.array(total),
+                     _rare_lists(rare, n, "word", pa.string()),
+                     _rare_lists(rare_grams, n, "gram", pa.int64())],
+                    ["doc_id", "held_out", "n_tokens", "n_common", "common_score",
+                     "cached_score", "rare", "rare_grams"])
             release_memory()
 
     scored = docs.mapInArrow(
         measure, f"doc_id {kind}, held_out boolean, n_tokens long, n_common long, "
-        "common_score double, score double, rare array<struct<word:string,times:int>>")
+        "common_score double, cached_score double, rare array<struct<word:string,times:int>>, "
+        "rare_grams array<struct<gram:long,times:int>>")
     # written once, so the row numbers hold for both uses below
     scored = stored(scored.withColumn("row", F.monotonically_increasing_id()), "scored-texts")
     others = words.filter(F.col("n") * (1 << WORD_BITS) < n_all)
@@ -388,9 +497,14 @@ def score(docs: DataFrame, learn: Column, order: int = ORDER) -> DataFrame:
     sums = rare.groupBy("row").agg(
         F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("n_rare"),
         F.sum(F.col("times") * F.log10((n + F.lit(0.1)) / F.lit(bottom))).alias("rare_score"))
-    return scored.drop("rare").join(sums, "row", "left").select(
+    others = scored.select("row", F.inline("rare_grams"))
+    asked = stored(others.select("gram").distinct(), "rare-grams")
+    gram_sums = others.join(model.log10(asked, asked.count()), "gram").groupBy("row").agg(
+        F.sum(F.col("times") * F.col("log10")).alias("gram_score"))
+    return scored.drop("rare", "rare_grams").join(sums, "row", "left") \
+        .join(gram_sums, "row", "left").select(
         "doc_id", "held_out", "n_tokens",
         (F.col("n_common") + F.coalesce("n_rare", F.lit(0))).alias("n_known"),
         F.lit(n_all).cast("long").alias("train_tokens"),
         (F.col("common_score") + F.coalesce("rare_score", F.lit(0.0))).alias("base_score"),
-        "score")
+        (F.col("cached_score") + F.coalesce("gram_score", F.lit(0.0))).alias("score"))
