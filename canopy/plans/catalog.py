@@ -937,8 +937,8 @@ def _stream_pairs(spark, d):
     base = S.scratch(spark, "pairs")
     FX.log_lines(spark, d).write.text(base + "/src")
     lines = S.file_stream(spark, base + "/src", "line string", fmt="text")
-    S.run_available(S.stream_pair_calls(lines.withColumnRenamed("value", "line")), base + "/out")
-    return spark.read.parquet(base + "/out/data")
+    return S.pair_available_calls(lines, spark.read.text(base + "/src").toDF("line"),
+                                  base + "/out")[0]
 
 
 register("stream_pair_calls", ORACLE["pair_calls"])(_stream_pairs)

@@ -167,6 +167,31 @@ def stream_pair_calls(lines_stream: DataFrame, bound: str = "10 minutes",
         "tokens_in", "tokens_out", "latency_ms", "model")
 
 
+def pair_available_calls(lines_stream: DataFrame, lines: DataFrame, out: str,
+                         bound: str = "10 minutes", watermark: str = "10 minutes"
+                         ) -> tuple[DataFrame, DataFrame]:
+    """(calls, orphans) of all available lines, as the batch ``pair_calls`` has them.
+
+    The stream form with ``left_outer`` pairs what meets its time bound, into ``out/data``.
+    No call is lost to the bound or the watermark: the start and complete lines of ``lines``
+    (the stream's source, read as a batch) whose key the stream has not paired go to
+    ``out/unpaired``, and a batch pass pairs these by (trace_id, span_id).  What has no
+    partner there either is an orphan, written to ``out/orphans``."""
+    from canopy.operators.logs import CALL_KEY, pair_calls
+    from canopy.sources.logs import ingest_log
+
+    run_available(stream_pair_calls(lines_stream, bound, watermark, "left_outer"), out)
+    spark = lines.sparkSession
+    paired = spark.read.parquet(out + "/data").where(F.col("end_ts").isNotNull())
+    log = ingest_log(lines)[0].where(F.col("event").isin("llm_call_start", "llm_call_complete"))
+    log.join(paired.select(*CALL_KEY).distinct(), CALL_KEY, "left_anti") \
+        .write.parquet(out + "/unpaired")
+    late, orphans = pair_calls(spark.read.schema(log.schema).parquet(out + "/unpaired"))
+    orphans.write.parquet(out + "/orphans")
+    return (paired.unionByName(late.select(*paired.columns)),
+            spark.read.schema(orphans.schema).parquet(out + "/orphans"))
+
+
 # ----------------------------------------------------------------- #5 ----
 def stream_registry_upsert(sections_stream: DataFrame, table_path: str) -> None:
     """Merge every micro-batch of valid replies into a registry table.
