@@ -149,7 +149,9 @@ def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[pd.DataFrame]:
     size = items.agg(F.sum((F.octet_length("text") + 2) / 2)).first()[0] or 0
     n = int(size // block_words) + 1
     for k in range(n):
-        block = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) if n > 1 else items
+        # by id and text: an id with many texts spreads over the blocks
+        block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) \
+            if n > 1 else items
         yield block.distinct().orderBy("item_id", "text").toPandas()
 
 

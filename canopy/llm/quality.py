@@ -2,8 +2,8 @@
 
 Each text becomes shares of byte classes, repetition and length figures, and
 hashed byte-pair frequencies, all over the whole text.  Training takes a bounded
-sample (``positives`` trusted rows, ``unlabelled`` web rows, chosen by the hash of
-their id) and minimises the non-negative unbiased risk of a logistic scorer
+sample (``positives`` trusted rows, ``unlabelled`` web rows, chosen among the distinct
+(doc_id, text) by their hash, so no repeated id can widen it) and minimises the non-negative unbiased risk of a logistic scorer
 
     prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives))
 
@@ -25,7 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm.common import hash_share, release_memory, strings, text_pieces, utf8_parts
+from canopy.llm.common import (
+    hash_share,
+    release_memory,
+    stored,
+    strings,
+    text_pieces,
+    utf8_parts,
+)
 
 PAIRS = 512
 POSITIVES = 8_000
@@ -157,17 +164,24 @@ def train(docs: DataFrame, labels: DataFrame, where: Column, positives: int = PO
         .groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = marks.agg(F.count("*"), F.coalesce(F.sum("quality"), F.lit(0))).first()
     prior = min(0.99, max(0.01, known[1] / known[0])) if known[0] else 0.5
-    n_docs = docs.select("doc_id").count()
-    # at most about ``positives`` ids: a bounded broadcast
-    trusted = marks.filter((F.col("quality") == 1) & hash_share(
-        F.col("doc_id"), min(1.0, positives / max(1, known[1])))).select(
-        F.col("doc_id").alias("t_id"), F.lit(True).alias("trusted"))
-    web = hash_share(F.concat_ws("-", F.lit("web"), F.col("doc_id").cast("string")),
-                     min(1.0, unlabelled / max(1, n_docs)))
-    rows = docs.select("doc_id", "text").join(
-        F.broadcast(trusted), F.col("doc_id") == F.col("t_id"), "left").select(
-        "text", F.coalesce("trusted", F.lit(False)).alias("trusted"),
-        (web & F.coalesce(where, F.lit(False))).alias("web")).filter("trusted or web")
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    pairs = stored(docs.select("doc_id", "text_hash").distinct(), "id-text-pairs")
+    positive = pairs.join(marks.filter(F.col("quality") == 1).select("doc_id"), "doc_id")
+    trusted = positive.filter(hash_share(F.struct("doc_id", "text_hash"),
+                                         min(1.0, positives / max(1, positive.count()))))
+    web = pairs.filter(F.coalesce(where, F.lit(False)) & hash_share(
+        F.struct(F.lit("web"), "doc_id", "text_hash"),
+        min(1.0, unlabelled / max(1, pairs.count()))))
+    # at most about ``positives`` + ``unlabelled`` pairs: a bounded broadcast
+    chosen = trusted.select("doc_id", "text_hash", F.lit(True).alias("trusted"),
+                            F.lit(False).alias("web")).unionByName(
+        web.select("doc_id", "text_hash", F.lit(False).alias("trusted"),
+                   F.lit(True).alias("web"))).groupBy("doc_id", "text_hash").agg(
+        F.max("trusted").alias("trusted"), F.max("web").alias("web")).select(
+        F.col("doc_id").alias("c_doc"), F.col("text_hash").alias("c_hash"), "trusted", "web")
+    rows = docs.join(F.broadcast(chosen), F.expr("doc_id <=> c_doc and text_hash = c_hash")) \
+        .groupBy("doc_id", "text_hash").agg(*[F.min(c).alias(c) for c in
+                                              ("text", "trusted", "web")])
 
     def measure(batches):
         for batch in batches:
