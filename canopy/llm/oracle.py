@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+from canopy.llm import oracle_new
+
+ORACLE: dict[str, str] = dict(oracle_new.ORACLE)
 
 # words of a text, as a list; windows of ten words, or all words of a shorter item
 ORACLE["op2_decontamination"] = r"""

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from canopy.llm import (
     decontaminate,
+    filter_audit,
     langid,
+    license_scan,
     line_dedup,
     nearest,
     packing,
@@ -19,6 +21,7 @@ from canopy.llm import (
     sharding,
     simhash,
     token_counts,
+    vector_codes,
 )
 from canopy.llm.common import id_remainder, read_table
 from canopy.llm.oracle import ORACLE  # noqa: F401
@@ -86,8 +89,25 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_json())
 
 
+def op11_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read_table(spark, sf_dir, "documents"),
+                              read_table(spark, sf_dir, "labels"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.encode(read_table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", vector_codes.hex_code("codes").alias("code"), "error",
+                        "label_error",
+                        F.lit(vector_codes.fingerprint(books)).alias("codebooks_sha256"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read_table(spark, sf_dir, "documents")).drop("found")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_language_id, op2_decontamination, op3_lm_scoring, op4_simhash_neardup,
         op5_nearest_neighbours, op6_line_dedup, op7_sharding, op8_token_counts,
-        op9_quality_classifier, op10_packing)}
+        op9_quality_classifier, op10_packing, op11_filter_interaction, op12_vector_codes,
+        op13_license_scan)}
