@@ -3,7 +3,7 @@
 Intent keys are few and hot (a handful of keys hold most rows), so nothing
 here uses a window partitioned by key: first hashes come from partial
 aggregation (``min_by``) and are joined back, which AQE plans as a broadcast
-or skew-split join.  The running reset count (#31) is a two-level prefix sum
+or skew-split join.  Session numbers (#31) are prefix sums over range partitions,
 so that one busy session never has to be sorted in a single task.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopy.functions import dims
-from canopy.functions.frames import join_on, running_sum
+from canopy.functions.frames import join_on, sessionise
 from canopy.session import stored
 
 VIOLATION = ("DETERMINISM_VIOLATION\n  intent_key: %s\n  expected:   %s\n  received:   %s\n"
@@ -21,25 +21,31 @@ VIOLATION = ("DETERMINISM_VIOLATION\n  intent_key: %s\n  expected:   %s\n  recei
 
 
 # ---------------------------------------------------------------- #31 ----
-def assign_sessions(results: DataFrame, chunk_seconds: int = 86400) -> DataFrame:
-    """Add ``session_no``: number of reset rows at or before the row in its session
-    (a reset row opens the new session).  Two-level prefix sum, see ``running_sum``."""
-    return (running_sum(results, "session_id", ["ts", "req_id"], "is_reset", "ts",
-                        out="session_no", chunk_seconds=chunk_seconds)
-            .withColumn("session_no", F.col("session_no").cast("long")))
+def assign_sessions(results: DataFrame, timeout_seconds: float | None = None) -> DataFrame:
+    """Add ``session_no``: number of reset rows at or before the row in its session (a reset
+    row opens the new session).  With ``timeout_seconds`` a pause of that length ends a session
+    as well.  Prefix sums over range partitions, see ``sessionise``."""
+    return sessionise(results, "session_id", ["ts", "req_id"], "ts", timeout_seconds, "is_reset")
+
+
+def gap_sessions(rows: DataFrame, key: str, time_col: str, tie: str,
+                 gap_seconds: float) -> DataFrame:
+    """Add ``session_no``: sessions of a key end with a pause of ``gap_seconds`` or more.
+    ``tie`` orders rows of one time."""
+    return sessionise(rows, key, [time_col, tie], time_col, gap_seconds)
 
 
 # ---------------------------------------------------------------- #32 ----
 GROUP = ["session_id", "session_no", "intent_key"]
 
 
-def check_drift(results: DataFrame) -> DataFrame:
+def check_drift(results: DataFrame, timeout_seconds: float | None = None) -> DataFrame:
     """Per (session, session_no, key): expected = first hash; later different hash
     is a violation with the exact message.  The expected hash is never replaced.
 
     Only accepted replies have a hash: a row with an empty or null hash neither sets
     the expectation nor violates it, and has none.  The sessioned rows are evaluated once."""
-    s = stored(assign_sessions(results), "sessioned")
+    s = stored(assign_sessions(results, timeout_seconds), "sessioned")
     hashed = F.coalesce(F.col("content_hash") != "", F.lit(False))
     first = s.groupBy(*GROUP).agg(F.min_by(
         F.when(hashed, F.col("content_hash")),
@@ -72,6 +78,22 @@ def drift_variants(results: DataFrame) -> DataFrame:
             .groupBy("intent_key", "content_hash").agg(F.count("*").alias("n")))
 
 
+def hash_sketches(results: DataFrame, lg_k: int = 12) -> DataFrame:
+    """(intent_key, day, n, sketch): one mergeable distinct-hash sketch per key and day of
+    accepted replies, to be kept as a table; a new day adds rows and reads no old ones."""
+    return (results.where(F.col("content_hash") != "")
+            .groupBy("intent_key", F.to_date("ts").alias("day"))
+            .agg(F.count("*").alias("n"), F.hll_sketch_agg("content_hash", lg_k).alias("sketch")))
+
+
+def sketched_variants(sketches: DataFrame) -> DataFrame:
+    """(intent_key, n, n_days, n_hashes): approximate distinct hashes of each key from stored
+    sketches; the relative standard error is about 1.04 / sqrt(2 ** lg_k)."""
+    return sketches.groupBy("intent_key").agg(
+        F.sum("n").alias("n"), F.count("*").alias("n_days"),
+        F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n_hashes"))
+
+
 # ---------------------------------------------------------------- #35 ----
 def first_hashes(results: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return results.where(F.col("content_hash") != "").groupBy(*(keys or ["intent_key"])).agg(

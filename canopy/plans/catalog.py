@@ -495,6 +495,7 @@ register("collect_sub_results", _sub_results_sql())(_sub_results)
 
 # --------------------------------------------------------------- drift ----
 from canopy.operators import drift as D  # noqa: E402
+from canopy.session import stored, table  # noqa: E402
 
 _DRIFT_MSG = ("'DETERMINISM_VIOLATION' || chr(10) || '  intent_key: ' || intent_key || chr(10) || "
               "'  expected:   ' || expected || chr(10) || '  received:   ' || content_hash || "
@@ -532,6 +533,14 @@ GROUP BY ALL""")(
     lambda spark, d: D.drift_variants(FX.results_seq(spark, d)))
 
 
+register("drift_sketches", f"""WITH {O.results_seq_cte()}
+SELECT intent_key, count(*) AS n, count(DISTINCT ts::DATE) AS n_days,
+       count(DISTINCT content_hash) AS n_hashes
+FROM results WHERE content_hash <> '' GROUP BY intent_key""")(
+    lambda spark, d: D.sketched_variants(stored(D.hash_sketches(FX.results_seq(spark, d)),
+                                                "hash-sketches")))
+
+
 def _cross_session(spark, d):
     r = FX.results_seq(spark, d)
     early = F.year("ts") <= 1994
@@ -626,11 +635,13 @@ FROM log WHERE event = 'span_completed' GROUP BY operation""")(
     lambda spark, d: L.span_latency(_log(spark, d)))
 
 register("span_latency_approx", f"""WITH {O.log_cte()}
-SELECT operation, count(*) AS n, quantile_disc(latency_ms, 0.5) AS p50_ms,
-       quantile_disc(latency_ms, 0.95) AS p95_ms, quantile_disc(latency_ms, 0.99) AS p99_ms
+SELECT operation, count(*) AS n,
+       round(sum(round(latency_ms * 100)::BIGINT) / count(*) / 100, 4) AS mean_ms,
+       quantile_disc(latency_ms, 0.5) AS p50_ms, quantile_disc(latency_ms, 0.95) AS p95_ms,
+       quantile_disc(latency_ms, 0.99) AS p99_ms, max(latency_ms) AS max_ms
 FROM log WHERE event = 'span_completed' GROUP BY operation""")(
     lambda spark, d: L.span_latency_approx(_log(spark, d)).select(
-        "operation", "n", *[F.col("quantiles")[i].alias(c)
+        "operation", "n", "mean_ms", "max_ms", *[F.col("quantiles")[i].alias(c)
                             for i, c in enumerate(("p50_ms", "p95_ms", "p99_ms"))]))
 
 register("pair_calls", f"""WITH {O.log_cte()}
@@ -999,6 +1010,25 @@ SELECT user_id, min(ts) AS window_start, max(ts) + INTERVAL 30 MINUTE AS window_
        sum(tokens)::BIGINT AS tokens
 FROM s GROUP BY user_id, sno""")(_stream_window("session"))
 
+_SESSION_SQL = ORACLE["stream_session_metrics"]
+
+
+def _user_sessions(spark, d):
+    """Sessions of the event users with a pause of 30 minutes, in batch."""
+    e = table(spark, d, "events").select(
+        "user_id", "ts", "event_id", "event_type",
+        F.get_json_object("props", "$.k").try_cast("long").alias("tokens"))
+    return (D.gap_sessions(e, "user_id", "ts", "event_id", 30 * 60)
+            .groupBy("user_id", "session_no").agg(
+                F.min("ts").alias("window_start"),
+                (F.max("ts") + F.expr("INTERVAL 30 MINUTES")).alias("window_end"),
+                F.count("*").alias("calls"),
+                F.sum((F.col("event_type") == "error").cast("int")).alias("errors"),
+                F.sum("tokens").alias("tokens")).drop("session_no"))
+
+
+register("gap_sessions", _SESSION_SQL)(_user_sessions)
+
 register("classify_conversations", f"""WITH {O.pipeline(O.conversations_cte())}
 SELECT req_id, language, intent_type, confidence, intent_key,
        array_to_string(matches, ',') AS matches FROM classified""")(

@@ -56,18 +56,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once into the shared folder and read it back, for results that several
-    later steps read."""
+    """Write ``df`` once into the shared folder and read it back: lineage ends at files that
+    outlive executors, and later steps read the same rows."""
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the folders of ``stored`` results that nothing reads any more."""
+    for df in frames:
+        delete_folder(df.sparkSession, df._stored_path)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete through the Hadoop file system, which all machines share."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 #: Session setting: deal every given table to so many partitions.  Unset (the default) tables

@@ -1,0 +1,119 @@
+"""Prefix sums, sessions and quantiles over range partitions, against plain Python."""
+import random
+from datetime import datetime, timedelta
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from canopy.functions import frames as R
+from canopy.operators import drift as D
+
+T0 = datetime(2024, 5, 1)
+
+
+@pytest.fixture
+def many_parts(spark):
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions",
+                                           "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", 17)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    for k, v in keep.items():
+        spark.conf.set(k, v)
+
+
+def rows(n, seed):
+    rng = random.Random(seed)
+    out = []
+    for i in range(n):
+        key = rng.choice(["hot"] * 6 + ["a", "b", None])
+        at = None if rng.random() < 0.02 else T0 + timedelta(seconds=rng.randrange(3600))
+        out.append((key, at, i, rng.choice([1, 2, None, -3]), int(rng.random() < 0.05)))
+    return out
+
+
+SCHEMA = "k string, ts timestamp_ntz, id long, v int, is_reset int"
+
+
+def in_order(data, key):
+    return sorted((r for r in data if r[0] == key), key=lambda r: (r[1] or datetime.min, r[2]))
+
+
+def test_running_sum(spark, many_parts):
+    data = rows(400, 1)
+    got = {r.id: r.running for r in R.running_sum(
+        spark.createDataFrame(data, SCHEMA), "k", ["ts", "id"], "v").collect()}
+    for key in ("hot", "a", "b", None):
+        total = 0
+        for r in in_order(data, key):
+            total += r[3] or 0
+            assert got[r[2]] == total
+    assert len(got) == len(data)
+
+
+def test_a_hot_key_in_one_hour_spans_many_parts(spark, many_parts):
+    hot = spark.range(3000).select(
+        F.lit("hot").alias("k"), F.lit(T0).alias("ts"), F.col("id"), F.lit(1).alias("v"))
+    parts = R.ranged(hot, "k", ["ts", "id"], "test").groupBy("__part").count()
+    assert parts.count() >= 15
+    assert parts.agg(F.max("count")).first()[0] < 3000 / 5
+    sums = R.running_sum(hot, "k", ["ts", "id"], "v")
+    assert sums.where("running <> id + 1").count() == 0
+
+
+@pytest.mark.parametrize("gap,reset", [(20, None), (7, "is_reset"), (None, "is_reset")])
+def test_sessions(spark, many_parts, gap, reset):
+    data = rows(500, gap or 3)
+    got = {r.id: r.session_no for r in R.sessionise(
+        spark.createDataFrame(data, SCHEMA), "k", ["ts", "id"], "ts", gap, reset).collect()}
+    for key in ("hot", "a", "b", None):
+        number, last = 0, None
+        for r in in_order(data, key):
+            paused = gap and last and r[1] and (r[1] - last).total_seconds() >= gap
+            number += bool(paused or (reset and r[4]))
+            last = r[1] or last
+            assert got[r[2]] == number, (key, r)
+    assert len(got) == len(data)
+
+
+def test_gap_sessions_where_every_row_is_a_part_of_its_own(spark, many_parts):
+    data = [("u", T0 + timedelta(seconds=s), s, 1, 0) for s in (0, 9, 10, 20, 29, 30, 31, 100)]
+    got = D.gap_sessions(spark.createDataFrame(data, SCHEMA), "k", "ts", "id", 10).collect()
+    assert {r.id: r.session_no for r in got} == {0: 0, 9: 0, 10: 0, 20: 1, 29: 1, 30: 1, 31: 1,
+                                                 100: 2}
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], SCHEMA)
+    assert R.running_sum(none, "k", ["ts", "id"], "v").count() == 0
+    assert R.sessionise(none, "k", ["ts", "id"], "ts", 5, "is_reset").count() == 0
+
+
+def test_quantiles(spark, many_parts):
+    rng = random.Random(5)
+    data = [(rng.choice(["hot"] * 5 + ["b", None]), rng.choice([None, round(rng.random(), 1),
+                                                                rng.random()]))
+            for _ in range(900)] + [("one", 4.0), ("none", None)]
+    df = spark.createDataFrame(data, "g string, v double")
+    ranks = R.value_ranks(df, "g", "v")
+    totals = df.groupBy("g").agg(F.count("v").alias("size"))
+    shares = [0.0, 0.25, 0.5, 0.99, 1.0]
+    got = {r.g: r for r in R.exact_quantiles(ranks, totals, "g", "v", shares).collect()}
+    assert set(got) == {"hot", "b", None, "one"}
+    for g, r in got.items():
+        own = [v for k, v in data if k == g and v is not None]
+        assert list(r[1:]) == pytest.approx(np.quantile(own, shares).tolist())
+
+
+def test_stored_sketches_merge_within_the_error_bound(spark):
+    base = spark.range(60_000).select(
+        F.expr("id % 2").cast("string").alias("intent_key"),
+        F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(id % 10)").alias("ts"),
+        F.sha2((F.col("id") % 40_000).cast("string"), 256).alias("content_hash"))
+    empty = base.limit(5).withColumn("content_hash", F.lit(""))
+    sketches = D.hash_sketches(base.unionByName(empty))
+    assert sketches.count() == 10  # even ids fall on even days
+    for r in D.sketched_variants(sketches).collect():
+        assert r.n == 30_000
+        assert abs(r.n_hashes - 20_000) / 20_000 < 4 * 1.04 / 64

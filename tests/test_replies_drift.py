@@ -127,11 +127,16 @@ def test_repartition_invariance(spark):
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
-def test_running_sum_chunk_invariance(spark):
+def test_session_numbers_do_not_depend_on_partitions(spark):
     r = FX.results_seq(spark, "/root/testdata/sf0.001")
-    a = D.assign_sessions(r, chunk_seconds=3600).select("req_id", "session_no")
-    b = D.assign_sessions(r, chunk_seconds=86400 * 3650).select("req_id", "session_no")
-    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    found = []
+    for n in (1, 23):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        found.append(sorted(map(tuple, D.assign_sessions(r).select(
+            "req_id", "session_no").collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1]
 
 
 def test_settle_keeps_scan_pushdown(spark):
