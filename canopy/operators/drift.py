@@ -50,9 +50,14 @@ def check_drift(results: DataFrame, timeout_seconds: float | None = None) -> Dat
     first = s.groupBy(*GROUP).agg(F.min_by(
         F.when(hashed, F.col("content_hash")),
         F.when(hashed, F.struct("ts", "req_id"))).alias("expected"))
+    return drift_verdicts(join_on(s, first, GROUP))
+
+
+def drift_verdicts(rows: DataFrame) -> DataFrame:
+    """Rows with the expected hash of their key: add violation and message."""
+    hashed = F.coalesce(F.col("content_hash") != "", F.lit(False))
     v = hashed & (F.col("content_hash") != F.col("expected"))
-    return (join_on(s, first, GROUP)
-            .withColumn("expected", F.when(hashed, F.col("expected")))
+    return (rows.withColumn("expected", F.when(hashed, F.col("expected")))
             .withColumn("violation", v)
             .withColumn("message", F.when(v, F.format_string(
                 VIOLATION, F.col("intent_key"), F.col("expected"), F.col("content_hash")))))

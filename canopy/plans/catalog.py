@@ -917,12 +917,27 @@ FROM orders JOIN (VALUES {_SPEC_ROWS}) AS v(i, source, intent_type, verb, noun,
 from canopy.streaming import streams as S  # noqa: E402
 
 
+ARRIVALS = 3  # slices of a stream's source; each arrives after the one before was read
+
+
+def _time_slices(df, time_col, n=ARRIVALS):
+    """``df`` cut at quantiles of its time, in time order."""
+    us = F.unix_micros(F.col(time_col).cast("timestamp"))
+    cuts = df.agg(F.percentile_approx(us, [k / n for k in range(1, n)], 1000)).first()[0] or []
+    bounds = [None, *cuts, None]
+    for low, high in zip(bounds, bounds[1:]):
+        part = df if low is None else df.where(us > low)
+        yield part if high is None else part.where((us <= high) if low is not None else
+                                                   (us <= high) | us.isNull())
+
+
 def _stream_drift(spark, d):
     base = S.scratch(spark, "drift")
-    FX.results_seq(spark, d).write.parquet(base + "/src")
-    schema = spark.read.parquet(base + "/src").schema
-    S.run_available(S.stream_drift(S.file_stream(spark, base + "/src", schema)), base + "/out")
-    return spark.read.parquet(base + "/out/data").select(
+    src = FX.results_seq(spark, d)
+    for part in _time_slices(src, "ts"):
+        part.write.mode("append").parquet(base + "/src")
+        S.advance_stream_drift(S.file_stream(spark, base + "/src", src.schema), base + "/out")
+    return S.read_stream_drift(spark, base + "/out").select(
         "req_id", "session_id", "session_no", "intent_key", "expected", "violation", "message")
 
 

@@ -8,14 +8,14 @@ and writes its result to files; ``run_available`` drives a query with
 
 from __future__ import annotations
 
-import json
+import contextlib
 import os
 import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from canopy.session import ensure_checkpoint_dir
 from canopy.sources.logs import LOG_OPTIONS, LOG_SCHEMA, iso_to_ntz
@@ -55,46 +55,150 @@ def run_available(df: DataFrame, out: str, mode: str = "append", fmt: str = "par
 
 
 # ---------------------------------------------------------------- #34 ----
-DRIFT_OUT = ("req_id long, session_id long, session_no long, intent_key string, ts timestamp, "
-             "content_hash string, expected string, violation boolean, message string")
-DRIFT_STATE = "session_no long, expected string"
-_VIOLATION = ("DETERMINISM_VIOLATION\n  intent_key: {}\n  expected:   {}\n  received:   {}\n"
-              "  Investigate before re-running.")
-
-
-def _drift_state(key, batches, state):
-    """State per session: reset count and the first hash of every intent key."""
-    if state.exists:
-        no, expected_json = state.get
-        expected = json.loads(expected_json)
-    else:
-        no, expected = 0, {}
-    pdf = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "req_id"], kind="stable")
-    rows = []
-    for r in pdf.itertuples(index=False):
-        if r.is_reset:
-            no += 1
-            expected = {}
-        if r.content_hash:  # replies without a hash neither set nor break the expectation
-            expected.setdefault(r.intent_key, r.content_hash)
-        exp = expected[r.intent_key] if r.content_hash else None
-        bad = bool(r.content_hash) and exp != r.content_hash
-        rows.append((r.req_id, r.session_id, no, r.intent_key, r.ts, r.content_hash, exp, bad,
-                     _VIOLATION.format(r.intent_key, exp, r.content_hash) if bad else None))
-    state.update((no, json.dumps(expected)))
-    yield pd.DataFrame(rows, columns=[c.split()[0] for c in DRIFT_OUT.split(", ")])
-
-
-def stream_drift(results_stream: DataFrame) -> DataFrame:
-    """Same rule as ``check_drift`` on a stream: state = reset count + first
-    hash per key of the current session; a reset row clears the hashes.
-
-    State is keyed by session (its size is the number of intent keys, which is
-    small); rows of a session inside one micro-batch are ordered by (ts, req_id).
-    """
-    s = results_stream.withColumn("ts", F.col("ts").cast("timestamp"))
-    return s.groupBy("session_id").applyInPandasWithState(
-        _drift_state, DRIFT_OUT, DRIFT_STATE, "append", GroupStateTimeout.NoTimeout)
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+FIRSTS = ["batch", "session", "local_no", "key"]
+DRIFT_OUT = "batch long, session string, local_no long, key string, session_no long, expected string"
+
+
+@contextlib.contextmanager
+def rocksdb_state(spark: SparkSession):
+    """Keyed state with maps and timers needs the RocksDB state store."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ROCKSDB)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def _text_key(column: str) -> F.Column:
+    """A column as text in which null differs from every value."""
+    return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit(""))
+
+
+def reduce_drift_batches(results_stream: DataFrame, out: str,
+                         timeout_seconds: float | None = None) -> None:
+    """Per micro-batch: number the sessions inside the batch and keep one row per (session, its
+    number, key): the first accepted hash.
+
+    The batch's rows go to ``out/rows/batch=<id>``, the reduced ones to ``out/firsts``, one
+    folder per batch; a repeated batch overwrites both.  Numbers start at 0 for the rows that
+    go on with the session of the batch before."""
+    from canopy.operators.drift import assign_sessions
+
+    def reduce(batch: DataFrame, epoch: int) -> None:
+        numbered = assign_sessions(batch, timeout_seconds)
+        numbered = numbered.withColumnRenamed("session_no", "local_no") \
+            .withColumn("session", _text_key("session_id")) \
+            .withColumn("key", _text_key("intent_key"))
+        path = f"{out}/rows/batch={epoch}"
+        numbered.write.mode("overwrite").parquet(path)
+        rows = batch.sparkSession.read.schema(numbered.schema).parquet(path)
+        hashed = F.col("content_hash") != ""
+        firsts = rows.groupBy("session", "local_no", "key").agg(
+            F.min_by(F.when(hashed, F.col("content_hash")),
+                     F.when(hashed, F.struct("ts", "req_id"))).alias("first"),
+            F.min(F.unix_micros(F.col("ts").cast("timestamp"))).alias("from_us"),
+            F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("to_us"))
+        firsts.select(F.lit(epoch).cast("long").alias("batch"), "*").write.mode(
+            "overwrite").parquet(f"{out}/firsts/epoch={epoch:012d}")
+
+    q = (results_stream.writeStream.foreachBatch(reduce)
+         .option("checkpointLocation", out + "/_reduce").trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
+FIRSTS_SCHEMA = ("batch long, session string, local_no long, key string, first string, "
+                 "from_us long, to_us long")
+
+
+class DriftState(StatefulProcessor):
+    """State per session: its number, the time of its last row, and a map from intent key to
+    the expected hash.  With a timeout a timer at (last row + timeout) empties the map once the
+    watermark has passed it; the number stays."""
+
+    def __init__(self, timeout_seconds: float | None = None):
+        self.timeout_us = None if timeout_seconds is None else round(timeout_seconds * 1_000_000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.session = handle.getValueState("session", "session_no long, last_us long, timer long")
+        self.expected = handle.getMapState("expected", "key string", "content_hash string")
+
+    def handleInputRows(self, key, rows, timerValues):
+        # one row per key of a session and batch
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["batch", "local_no"])
+        no, last, timer = self.session.get() if self.session.exists() else (0, -1, -1)
+        out = []
+        for (batch, local), part in pdf.groupby(["batch", "local_no"], sort=True):
+            start, end = part["from_us"].min(), part["to_us"].max()
+            paused = (self.timeout_us is not None and local == 0 and last >= 0
+                      and start == start and start - last >= self.timeout_us)
+            if local > 0 or paused:
+                no += 1
+                self.expected.clear()
+            if end == end:  # not a session of rows without a time
+                last = max(last, int(end))
+            for name, first in zip(part["key"], part["first"], strict=True):
+                held = self.expected.getValue((name,)) \
+                    if self.expected.containsKey((name,)) else None
+                if held is None and first is not None and first == first:
+                    self.expected.updateValue((name,), (first,))
+                    held = (first,)
+                out.append((batch, key[0], local, name, no, held and held[0]))
+        if self.timeout_us is not None and last >= 0:
+            if timer >= 0:
+                self.handle.deleteTimer(timer)
+            timer = (last + self.timeout_us) // 1000 + 1
+            self.handle.registerTimer(timer)
+        self.session.update((no, last, timer))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in DRIFT_OUT.split(", ")])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        no, last, _ = self.session.get()
+        self.expected.clear()
+        self.session.update((no, last, -1))
+        yield pd.DataFrame([], columns=[c.split()[0] for c in DRIFT_OUT.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_drift(firsts_stream: DataFrame, timeout_seconds: float | None = None) -> DataFrame:
+    """Expected hash per (batch, session, number, key) from the reduced rows of
+    ``reduce_drift_batches``, by keyed state (``DriftState``)."""
+    s = firsts_stream
+    if timeout_seconds is not None:
+        # the reduced rows of a batch reach back as far as the batch does: nothing is late
+        s = s.withColumn("at", F.timestamp_micros(F.coalesce("to_us", F.lit(0)))) \
+            .withWatermark("at", f"{timeout_seconds} seconds")
+    return s.groupBy("session").transformWithStateInPandas(
+        DriftState(timeout_seconds), DRIFT_OUT, "append",
+        "None" if timeout_seconds is None else "EventTime")
+
+
+def advance_stream_drift(results_stream: DataFrame, out: str,
+                         timeout_seconds: float | None = None) -> None:
+    """Take all results that have arrived through both streams, from their checkpoints under
+    ``out``.  State holds one hash per key of each session, however many rows a session has."""
+    spark = results_stream.sparkSession
+    reduce_drift_batches(results_stream, out, timeout_seconds)
+    firsts = spark.readStream.schema(FIRSTS_SCHEMA).parquet(out + "/firsts/*")
+    with rocksdb_state(spark):
+        run_available(stream_drift(firsts, timeout_seconds), out + "/expected")
+
+
+def read_stream_drift(spark: SparkSession, out: str) -> DataFrame:
+    """The results so far with session_no, expected, violation and message, as ``check_drift``
+    has them if results arrived in time order."""
+    from canopy.operators.drift import drift_verdicts
+    rows = spark.read.parquet(out + "/rows").withColumn("batch", F.col("batch").cast("long"))
+    expected = spark.read.schema(DRIFT_OUT).parquet(out + "/expected/data")
+    return drift_verdicts(rows.join(expected, FIRSTS)).drop(*FIRSTS)
 
 
 # ---------------------------------------------------------------- #53 ----

@@ -32,21 +32,60 @@ def test_stream_metrics_append_mode_closes_windows_behind_watermark(spark):
     assert out.agg(F.sum("calls")).first()[0] <= total
 
 
-def test_stream_drift_state_carries_across_micro_batches(spark):
-    from canopy.operators import drift as D
+def _drift(spark, parts, timeout=None):
+    """Each part arrives after the one before was read; both streams restart in between."""
     base = S.scratch(spark, "drift-multi")
+    for part in parts:
+        part.write.mode("append").parquet(base + "/src")
+        stream = S.file_stream(spark, base + "/src", part.schema)
+        S.advance_stream_drift(stream, base + "/out", timeout)
+    cols = ["req_id", "session_no", "expected", "violation", "message"]
+    return base, sorted(map(tuple, S.read_stream_drift(spark, base + "/out").select(
+        *cols).collect()))
+
+
+def _batch_drift(rows, timeout=None):
+    from canopy.operators import drift as D
+    return sorted(map(tuple, D.check_drift(rows, timeout).select(
+        "req_id", "session_no", "expected", "violation", "message").collect()))
+
+
+def test_stream_drift_across_restarts_equals_batch(spark):
     r = FX.results_seq(spark, SF)
-    years = sorted(x[0] for x in r.select(F.year("ts")).distinct().collect())
-    for y in years:  # one file per year, written in time order: arrival order = event order
-        r.where(F.year("ts") == y).coalesce(1).write.mode("append").parquet(base + "/src")
-    schema = spark.read.parquet(base + "/src").schema
-    stream = S.file_stream(spark, base + "/src", schema, max_files=1)
-    S.run_available(S.stream_drift(stream), base + "/out")
-    got = spark.read.parquet(base + "/out/data").select(
-        "req_id", "session_no", "expected", "violation")
-    want = D.check_drift(r).select("req_id", "session_no", "expected", "violation")
-    assert got.count() == want.count()
-    assert got.exceptAll(want).count() == 0
+    parts = [r.where(c) for c in ("year(ts) < 1994", "year(ts) between 1994 and 1996",
+                                  "year(ts) > 1996")]
+    base, got = _drift(spark, parts)
+    assert got == _batch_drift(r)
+    # the state function saw one row per session, number and key of a batch, not one per row
+    firsts = spark.read.parquet(base + "/out/firsts/*")
+    assert firsts.count() == firsts.select(*S.FIRSTS).distinct().count()
+    # a trigger without new files changes nothing
+    S.advance_stream_drift(S.file_stream(spark, base + "/src", r.schema), base + "/out")
+    assert S.read_stream_drift(spark, base + "/out").count() == len(got)
+
+
+def test_stream_drift_sessions_end_by_time(spark):
+    from datetime import datetime, timedelta
+
+    def row(i, session, at, key, h, reset=0):
+        ts = None if at is None else datetime(2024, 1, 1) + timedelta(seconds=at)
+        return (i, session, ts, key, h, reset)
+
+    schema = ("req_id long, session_id long, ts timestamp_ntz, intent_key string, "
+              "content_hash string, is_reset int")
+    parts = [
+        [row(1, 1, 0, "k", "a"), row(2, 1, 50, "k", "b"), row(3, 2, 55, "k", "a"),
+         row(4, None, 56, None, "x"), row(5, 1, 57, "j", "")],
+        [row(6, 1, 156, "k", "c"), row(7, 2, 200, "k", "b"), row(8, None, 157, None, "y"),
+         row(9, 1, 158, "j", "d"), row(10, 1, 300, "k", "e")],
+        [row(11, 1, 301, "k", "f"), row(12, 2, 302, "k", "z", 1), row(13, 2, 303, "k", "b"),
+         row(14, 9, 304, "k", None), row(15, 9, 305, "k", "q")],
+    ]
+    frames = [spark.createDataFrame(p, schema) for p in parts]
+    for timeout in (100, 145):
+        want = _batch_drift(frames[0].unionByName(frames[1]).unionByName(frames[2]), timeout)
+        assert _drift(spark, frames, timeout)[1] == want
+    assert any(r[1] > 1 for r in want)
 
 
 def test_late_rows_behind_watermark_are_dropped(spark):
