@@ -48,27 +48,42 @@ def span_latency_approx(log: DataFrame, accuracy: int = 10000) -> DataFrame:
 CALL_KEY = ["trace_id", "span_id"]
 
 
+START_FIELDS = ["ts", "session_id", "model", "temperature", "max_tokens", "system_prompt_hash",
+                "attempt"]
+DONE_FIELDS = ["ts", "tokens_in", "tokens_out", "latency_ms", "content_hash"]
+
+
+def call_records(log: DataFrame) -> DataFrame:
+    """(trace_id, span_id, start, done): the earliest start line and the earliest completion
+    of each call, null where there is none.  One aggregate, combined before the shuffle."""
+    start, done = F.col("event") == "llm_call_start", F.col("event") == "llm_call_complete"
+    return log.where(start | done).groupBy(*CALL_KEY).agg(
+        F.min(F.when(start, F.struct(*START_FIELDS))).alias("start"),
+        F.min(F.when(done, F.struct(*DONE_FIELDS))).alias("done"))
+
+
+def split_calls(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(calls, orphans) of call records; records of one key are merged."""
+    merged = records.groupBy(*CALL_KEY).agg(F.min("start").alias("start"),
+                                            F.min("done").alias("done"))
+    s, d = F.col("start"), F.col("done")
+    flat = merged.select(
+        *CALL_KEY, "start", "done", s["ts"].alias("start_ts"),
+        *[s[c].alias(c) for c in START_FIELDS[1:]], d["ts"].alias("end_ts"),
+        *[d[c].alias(c) for c in DONE_FIELDS[1:]])
+    calls = flat.where(s.isNotNull() & d.isNotNull()).drop("start", "done")
+    orphans = flat.where(s.isNull() | d.isNull()).withColumn(
+        "kind", F.when(d.isNull(), "failed_call").otherwise("complete_without_start")) \
+        .drop("start", "done")
+    return calls, orphans
+
+
 def pair_calls(log: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(calls, orphans): start and complete lines matched on (trace_id, span_id).
 
     A start without a completion is a failed call (orphan).  A line that is delivered
     again counts once: each key keeps its earliest start and earliest completion."""
-    start = _first_line(log, "llm_call_start", F.col("ts").alias("start_ts"), "session_id",
-                        "model", "temperature", "max_tokens", "system_prompt_hash", "attempt")
-    done = _first_line(log, "llm_call_complete", F.col("ts").alias("end_ts"), "tokens_in",
-                       "tokens_out", "latency_ms", "content_hash")
-    j = start.join(done, CALL_KEY, "full_outer")
-    calls = j.where(F.col("start_ts").isNotNull() & F.col("end_ts").isNotNull())
-    orphans = j.where(F.col("end_ts").isNull() | F.col("start_ts").isNull()).withColumn(
-        "kind", F.when(F.col("end_ts").isNull(), "failed_call").otherwise("complete_without_start"))
-    return calls, orphans
-
-
-def _first_line(log: DataFrame, event: str, *columns) -> DataFrame:
-    lines = log.where(F.col("event") == event).select(*CALL_KEY, *columns)
-    rest = [c for c in lines.columns if c not in CALL_KEY]
-    return (lines.groupBy(*CALL_KEY).agg(F.min(F.struct(*rest)).alias("r"))
-            .select(*CALL_KEY, "r.*"))
+    return split_calls(call_records(log))
 
 
 # ---------------------------------------------------------------- #48 ----

@@ -600,8 +600,13 @@ _LOG_COLS = ["event", "trace_id", "span_id", "ts", "model", "temperature", "max_
 _LOG_INTS = {"max_tokens", "attempt", "tokens_in", "tokens_out"}  # -1: the line has none
 register("ingest_log", f"""WITH {O.log_cte()}
 SELECT {', '.join(f"coalesce({c}, -1) AS {c}" if c in _LOG_INTS else c for c in _LOG_COLS)}
-FROM log""")(lambda spark, d: _log(spark, d).select(*[
-    F.coalesce(c, F.lit(-1)).cast("long").alias(c) if c in _LOG_INTS else c for c in _LOG_COLS]))
+FROM log""")(lambda spark, d: _log_columns(_log(spark, d)))
+
+
+def _log_columns(log):
+    return log.select(*[F.coalesce(c, F.lit(-1)).cast("long").alias(c) if c in _LOG_INTS else c
+                        for c in _LOG_COLS])
+
 
 register("ingest_log_totals", f"""WITH {O.log_cte()}
 SELECT event, count(*) AS n, count(DISTINCT trace_id) AS n_traces,
@@ -619,11 +624,25 @@ FROM log GROUP BY event""")(
         .alias("latency_cms"),
         F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")))
 
-register("ingest_log_corrupt", """SELECT '{"level":"info","timestamp":"' ||
-       CASE WHEN event_id % 1000 = 17 THEN 'not a time"' ELSE strftime(ts, '%Y-%m-%dT') END AS head
-FROM events WHERE event_id % 1000 IN (7, 13, 17)""")(
-    lambda spark, d: ingest_log(FX.log_lines(spark, d))[1].select(
-        F.substring("line", 1, 40).alias("head")))
+register("ingest_log_corrupt", f"""WITH l AS (
+  SELECT event_id, '{{"level":"info","timestamp":"'
+         || CASE WHEN event_id % 1000 = 17 THEN 'not a time'
+                 ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') END
+         || '","event":"llm_call_start","trace_id":"t' || user_id || '","span_id":"'
+         || upper(to_hex(event_id)) || '","model":"'
+         || CASE WHEN event_id % 307 = 0 THEN {O.q(FX.OFF_PIN_MODEL)}
+                 ELSE {O.q(dims.PINNED_MODEL)} END
+         || '","temperature":' || CASE WHEN event_id % 501 = 0 THEN '0.5' ELSE '0.0' END
+         || ',"max_tokens":' || CASE WHEN event_id % 1000 = 13 THEN '"lots"'
+                                     ELSE '{dims.PINNED_MAX_TOKENS}' END
+         || ',"system_prompt_hash":"'
+         || CASE WHEN event_id % 997 = 0 THEN {O.q(FX.SYSTEM_PROMPT_HASHES[1])}
+                 ELSE {O.q(FX.SYSTEM_PROMPT_HASHES[0])} END
+         || '","user_prompt":"Language target: javascript\\nIntent type: ' || upper(event_type)
+         || '","attempt":' || (event_id % 3 + 1) || '}}' AS line
+  FROM events WHERE event_id % 1000 IN (7, 13, 17))
+SELECT CASE WHEN event_id % 1000 = 7 THEN substr(line, 1, 40) ELSE line END AS line
+FROM l""")(lambda spark, d: ingest_log(FX.log_lines(spark, d))[1])
 
 register("span_latency", f"""WITH {O.log_cte()}
 SELECT operation, count(*) AS n,
@@ -914,6 +933,8 @@ FROM orders JOIN (VALUES {_SPEC_ROWS}) AS v(i, source, intent_type, verb, noun,
     lambda spark, d: ingest_specs(FX.specs(spark, d)))
 
 # ----------------------------------------------------------- streaming ----
+from canopy.streaming import calls as SC  # noqa: E402
+from canopy.streaming import registry_table as SR  # noqa: E402
 from canopy.streaming import streams as S  # noqa: E402
 
 
@@ -944,30 +965,66 @@ def _stream_drift(spark, d):
 register("stream_drift", ORACLE["check_drift"])(_stream_drift)
 
 
-def _stream_metrics(spark, d):
-    base = S.scratch(spark, "metrics")
-    path = f"{d}/events.parquet"
-    ev = S.file_stream(spark, path, spark.read.parquet(path).schema)
-    S.run_available(S.tumbling_metrics(ev), base, mode="complete")
-    return spark.read.parquet(base + "/data")
+def _stream_window(kind):
+    def run(spark, d):
+        base = S.scratch(spark, kind)
+        src = table(spark, d, "events")
+        for part in (*_time_slices(src, "ts"), S.closing_sentinel(src, kind)):
+            part.write.mode("append").parquet(base + "/src")
+            S.advance_metrics(S.file_stream(spark, base + "/src", src.schema), base + "/out", kind)
+        return spark.read.parquet(base + "/out/data")
+    return run
 
 
 register("stream_call_metrics", """SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start,
        time_bucket(INTERVAL 5 MINUTE, ts) + INTERVAL 5 MINUTE AS window_end, count(*) AS calls,
        sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END)::BIGINT AS errors,
        sum(json_extract_string(props, '$.k')::BIGINT)::BIGINT AS tokens
-FROM events GROUP BY 1, 2""")(_stream_metrics)
+FROM events GROUP BY 1, 2""")(_stream_window("tumbling"))
+
+
+def _stream_log(spark, d, then=None):
+    """Log lines arrive in slices of time; after each the streams go on."""
+    base = S.scratch(spark, "log")
+    for part in _time_slices(table(spark, d, "events"), "ts"):
+        FX.log_lines(spark, d, part).write.mode("append").text(base + "/src")
+        lines = S.file_stream(spark, base + "/src", "value string", fmt="text").withColumnRenamed(
+            "value", "line")
+        SC.advance_log(lines, base + "/log")
+        if then:
+            then(base)
+    return base
+
+
+def _stream_ingest(spark, d):
+    return SC.read_log(spark, _stream_log(spark, d) + "/log")
 
 
 def _stream_pairs(spark, d):
-    base = S.scratch(spark, "pairs")
-    FX.log_lines(spark, d).write.text(base + "/src")
-    lines = S.file_stream(spark, base + "/src", "line string", fmt="text")
-    return S.pair_available_calls(lines, spark.read.text(base + "/src").toDF("line"),
-                                  base + "/out")[0]
+    schema = ingest_log(FX.log_lines(spark, d))[0].schema
 
+    def pair(base, close=False):
+        log = spark.readStream.schema(schema).parquet(base + "/log/log/*")
+        SC.advance_calls(log, base + "/calls", close=close)
 
-register("stream_pair_calls", ORACLE["pair_calls"])(_stream_pairs)
+    base = _stream_log(spark, d, pair)
+    pair(base, close=True)
+    return SC.read_calls(spark, base + "/calls")
+
+
+register("stream_ingest_log", ORACLE["ingest_log"])(
+    lambda spark, d: _log_columns(_stream_ingest(spark, d)[0]))
+
+register("stream_ingest_log_corrupt", ORACLE["ingest_log_corrupt"])(
+    lambda spark, d: _stream_ingest(spark, d)[1])
+
+_CALL_COLS = ["trace_id", "span_id", "start_ts", "end_ts", "tokens_in", "tokens_out",
+              "latency_ms", "model"]
+register("stream_pair_calls", ORACLE["pair_calls"])(
+    lambda spark, d: _stream_pairs(spark, d)[0].select(*_CALL_COLS))
+
+register("stream_call_orphans", ORACLE["call_orphans"])(
+    lambda spark, d: _stream_pairs(spark, d)[1].select("trace_id", "span_id", "kind"))
 
 # -------------------------------------------------------------- extras ----
 register("verb_gap_by_lang", f"""WITH {O.documents_cte().replace("'javascript' AS alias", "'javascript' AS alias, lang")},
@@ -993,17 +1050,6 @@ FROM m GROUP BY type""")(
     lambda spark, d: D.regression_pivot(D.regression_matrix(FX.runs(spark, d))))
 
 
-def _stream_window(kind):
-    def run(spark, d):
-        base = S.scratch(spark, kind)
-        path = f"{d}/events.parquet"
-        ev = S.file_stream(spark, path, spark.read.parquet(path).schema)
-        q = S.sliding_metrics(ev) if kind == "sliding" else S.session_metrics(ev)
-        S.run_available(q, base, mode="complete")
-        return spark.read.parquet(base + "/data")
-    return run
-
-
 register("stream_sliding_metrics", """WITH e AS (
   SELECT ts, event_type, json_extract_string(props, '$.k')::BIGINT AS tokens,
          time_bucket(INTERVAL 5 MINUTE, ts) - k * INTERVAL 5 MINUTE AS window_start
@@ -1063,11 +1109,10 @@ def _stream_registry(spark, d):
     att = FX.attempts(spark, d)
     for a in (1, 2, 3):  # replies arrive attempt by attempt
         att.where(F.col("attempt") == a).write.mode("append").parquet(base + "/src")
-    stream = S.file_stream(spark, base + "/src", spark.read.parquet(base + "/src").schema,
-                           max_files=4)
-    sections = R.pivot_sections(R.validate_replies(stream))
-    S.stream_registry_upsert(sections, base + "/registry")
-    return S.latest_registry(spark, base + "/registry")
+        stream = S.file_stream(spark, base + "/src", att.schema)
+        sections = R.pivot_sections(R.validate_replies(stream))
+        registry = SR.stream_registry_upsert(sections, base + "/registry")
+    return registry.read()
 
 
 register("stream_registry_upsert", f"""{_V}

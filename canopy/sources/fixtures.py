@@ -214,8 +214,8 @@ OFF_PIN_MODEL = "claude-sonnet-latest"
 # ---------------------------------------------------------------------------
 
 
-def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """line(string): structured JSON log lines derived from ``events``.
+def log_lines(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """line(string): structured JSON log lines derived from ``events`` (or some rows of it).
 
     Per event: an ``llm_call_start`` line, an ``llm_call_complete`` line unless
     event_id % 11 = 0 (failed call), and a ``span_completed`` line.  A few start
@@ -223,7 +223,7 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     some completions are delivered twice.  Off-pin settings are planted by event id.
     """
     from canopy.functions import dims
-    e = table(spark, sf_dir, "events")
+    e = table(spark, sf_dir, "events") if events is None else events
     eid = F.col("event_id")
     iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     trace = F.concat(F.lit("t"), F.col("user_id").cast("string")).alias("trace_id")

@@ -1,4 +1,5 @@
-"""Structured Streaming forms (#34 drift state, #47 call pairing, #53 call metrics).
+"""Structured Streaming forms of drift state (#34) and call metrics (#53); log ingest and call
+pairing (#3, #47) are in ``calls``, the registry table (#5) in ``registry_table``.
 
 Every stream reads files (the given parquet tables, or derived files written
 to the shared checkpoint folder), keeps its state in the checkpoint location,
@@ -18,7 +19,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from canopy.session import ensure_checkpoint_dir
-from canopy.sources.logs import LOG_OPTIONS, LOG_SCHEMA, iso_to_ntz
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -41,17 +41,32 @@ def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet",
     return r.load(path)
 
 
-def run_available(df: DataFrame, out: str, mode: str = "append", fmt: str = "parquet") -> None:
-    """Run a streaming query over all available input, then stop."""
-    w = df.writeStream.outputMode(mode).option("checkpointLocation", out + "/_checkpoint")
-    if mode == "complete":
-        # complete mode re-emits the whole result each batch: keep the last one
-        def overwrite(batch: DataFrame, _epoch: int) -> None:
-            batch.write.mode("overwrite").format(fmt).save(out + "/data")
-        q = w.foreachBatch(overwrite).trigger(availableNow=True).start()
-    else:
-        q = w.format(fmt).option("path", out + "/data").trigger(availableNow=True).start()
+def run_available(df: DataFrame, out: str, fmt: str = "parquet") -> list:
+    """Append the result for all available input to ``out/data``, then stop; returns the
+    progress reports of the micro-batches."""
+    q = (df.writeStream.outputMode("append").option("checkpointLocation", out + "/_checkpoint")
+         .format(fmt).option("path", out + "/data").trigger(availableNow=True).start())
     q.awaitTermination()
+    return list(q.recentProgress)
+
+
+def for_each_batch(df: DataFrame, out: str, work) -> None:
+    """Run ``work(batch, epoch)`` on every micro-batch of the available input, then stop."""
+    q = (df.writeStream.foreachBatch(work).option("checkpointLocation", out)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
+def batch_clock(spark: SparkSession, path: str, epoch: int, latest_us: int | None
+                ) -> tuple[int, int]:
+    """(clock before this batch, clock after it): the largest event time seen, in microseconds.
+
+    Each epoch's own figure is kept under ``path``, so a repeated batch gets the same answer.
+    The clock never goes back, so what carries it is never late behind a watermark."""
+    own = spark.range(1).select(F.lit(latest_us or 0).cast("long").alias("us"))
+    own.coalesce(1).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+    before = spark.read.parquet(path).where(F.col("epoch") < epoch).agg(F.max("us")).first()[0]
+    return before or 0, max(before or 0, latest_us or 0)
 
 
 # ---------------------------------------------------------------- #34 ----
@@ -98,22 +113,23 @@ def reduce_drift_batches(results_stream: DataFrame, out: str,
         path = f"{out}/rows/batch={epoch}"
         numbered.write.mode("overwrite").parquet(path)
         rows = batch.sparkSession.read.schema(numbered.schema).parquet(path)
+        us = F.unix_micros(F.col("ts").cast("timestamp"))
+        _, clock = batch_clock(batch.sparkSession, out + "/clock", epoch,
+                               rows.agg(F.max(us)).first()[0])
         hashed = F.col("content_hash") != ""
         firsts = rows.groupBy("session", "local_no", "key").agg(
             F.min_by(F.when(hashed, F.col("content_hash")),
                      F.when(hashed, F.struct("ts", "req_id"))).alias("first"),
-            F.min(F.unix_micros(F.col("ts").cast("timestamp"))).alias("from_us"),
-            F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("to_us"))
-        firsts.select(F.lit(epoch).cast("long").alias("batch"), "*").write.mode(
+            F.min(us).alias("from_us"), F.max(us).alias("to_us"))
+        firsts.select(F.lit(epoch).cast("long").alias("batch"), "*",
+                      F.timestamp_micros(F.lit(clock)).alias("clock")).write.mode(
             "overwrite").parquet(f"{out}/firsts/epoch={epoch:012d}")
 
-    q = (results_stream.writeStream.foreachBatch(reduce)
-         .option("checkpointLocation", out + "/_reduce").trigger(availableNow=True).start())
-    q.awaitTermination()
+    for_each_batch(results_stream, out + "/_reduce", reduce)
 
 
 FIRSTS_SCHEMA = ("batch long, session string, local_no long, key string, first string, "
-                 "from_us long, to_us long")
+                 "from_us long, to_us long, clock timestamp")
 
 
 class DriftState(StatefulProcessor):
@@ -173,9 +189,8 @@ def stream_drift(firsts_stream: DataFrame, timeout_seconds: float | None = None)
     ``reduce_drift_batches``, by keyed state (``DriftState``)."""
     s = firsts_stream
     if timeout_seconds is not None:
-        # the reduced rows of a batch reach back as far as the batch does: nothing is late
-        s = s.withColumn("at", F.timestamp_micros(F.coalesce("to_us", F.lit(0)))) \
-            .withWatermark("at", f"{timeout_seconds} seconds")
+        # the batches' clock never goes back, so no row is late and dropped
+        s = s.withWatermark("clock", "0 seconds")
     return s.groupBy("session").transformWithStateInPandas(
         DriftState(timeout_seconds), DRIFT_OUT, "append",
         "None" if timeout_seconds is None else "EventTime")
@@ -238,102 +253,47 @@ def session_metrics(events_stream: DataFrame, gap: str = "30 minutes",
         "calls", "errors", "tokens")
 
 
-# ---------------------------------------------------------------- #47 ----
-def stream_pair_calls(lines_stream: DataFrame, bound: str = "10 minutes",
-                      watermark: str = "10 minutes", how: str = "inner") -> DataFrame:
-    """Stream-stream join of start and complete lines on (trace_id, span_id)
-    with event-time bounds, so join state is dropped once the watermark passes.
-    A line delivered again within the watermark counts once.
-
-    ``how="left_outer"`` also emits starts that never completed (failed calls),
-    once the watermark has passed their time bound."""
-    r = lines_stream.select(F.from_json("line", LOG_SCHEMA, LOG_OPTIONS).alias("r")).select("r.*") \
-        .where(F.col("_corrupt").isNull())
-    # event time for watermarks must be TIMESTAMP; the output keeps UTC wall time (NTZ)
-    r = (r.withColumn("ts", F.col("timestamp").try_cast("timestamp"))
-         .withColumn("ts_ntz", iso_to_ntz(F.col("timestamp"))))
-    s = (r.where(F.col("event") == "llm_call_start")
-         .select(F.col("trace_id").alias("s_trace"), F.col("span_id").alias("s_span"),
-                 F.col("ts").alias("s_ts"), F.col("ts_ntz").alias("start_ts"), "model")
-         .withWatermark("s_ts", watermark)
-         .dropDuplicatesWithinWatermark(["s_trace", "s_span"]))
-    c = (r.where(F.col("event") == "llm_call_complete")
-         .select(F.col("trace_id").alias("c_trace"), F.col("span_id").alias("c_span"),
-                 F.col("ts").alias("c_ts"), F.col("ts_ntz").alias("end_ts"), "tokens_in",
-                 "tokens_out", "latency_ms")
-         .withWatermark("c_ts", watermark)
-         .dropDuplicatesWithinWatermark(["c_trace", "c_span"]))
-    cond = ((F.col("s_trace") == F.col("c_trace")) & (F.col("s_span") == F.col("c_span"))
-            & (F.col("c_ts") >= F.col("s_ts"))
-            & (F.col("c_ts") <= F.col("s_ts") + F.expr(f"INTERVAL {bound}")))
-    return s.join(c, cond, how).select(
-        F.col("s_trace").alias("trace_id"), F.col("s_span").alias("span_id"), "start_ts", "end_ts",
-        "tokens_in", "tokens_out", "latency_ms", "model")
-
-
-def pair_available_calls(lines_stream: DataFrame, lines: DataFrame, out: str,
-                         bound: str = "10 minutes", watermark: str = "10 minutes"
-                         ) -> tuple[DataFrame, DataFrame]:
-    """(calls, orphans) of all available lines, as the batch ``pair_calls`` has them.
-
-    The stream form with ``left_outer`` pairs what meets its time bound, into ``out/data``.
-    No call is lost to the bound or the watermark: the start and complete lines of ``lines``
-    (the stream's source, read as a batch) whose key the stream has not paired go to
-    ``out/unpaired``, and a batch pass pairs these by (trace_id, span_id).  What has no
-    partner there either is an orphan, written to ``out/orphans``."""
-    from canopy.operators.logs import CALL_KEY, pair_calls
-    from canopy.sources.logs import ingest_log
-
-    run_available(stream_pair_calls(lines_stream, bound, watermark, "left_outer"), out)
-    spark = lines.sparkSession
-    paired = spark.read.parquet(out + "/data").where(F.col("end_ts").isNotNull())
-    log = ingest_log(lines)[0].where(F.col("event").isin("llm_call_start", "llm_call_complete"))
-    log.join(paired.select(*CALL_KEY).distinct(), CALL_KEY, "left_anti") \
-        .write.parquet(out + "/unpaired")
-    late, orphans = pair_calls(spark.read.schema(log.schema).parquet(out + "/unpaired"))
-    orphans.write.parquet(out + "/orphans")
-    return (paired.unionByName(late.select(*paired.columns)),
-            spark.read.schema(orphans.schema).parquet(out + "/orphans"))
-
-
-# ----------------------------------------------------------------- #5 ----
-def stream_registry_upsert(sections_stream: DataFrame, table_path: str) -> None:
-    """Merge every micro-batch of valid replies into a registry table.
-
-    ``foreachBatch`` reads the latest registry version, unions the batch,
-    keeps the latest persist per content hash (``registry_upsert``) and writes
-    the result as a new version folder ``v=<epoch>``; readers take the highest
-    whole version (one with ``_SUCCESS``).  A batch reads only versions before its own
-    epoch, so one that is repeated after a failure replaces its own half-written folder
-    and never reads it.
-    """
-    from canopy.operators.registry import registry_upsert
-
-    def merge(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        current = latest_registry(spark, table_path, before=epoch)
-        merged, _ = registry_upsert(current, batch)
-        merged.write.mode("overwrite").parquet(f"{table_path}/v={epoch:012d}")
-
-    q = (sections_stream.writeStream.foreachBatch(merge)
-         .option("checkpointLocation", table_path + "/_checkpoint")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-
-
-def latest_registry(spark: SparkSession, table_path: str, before: int | None = None
-                    ) -> DataFrame | None:
-    """The newest whole registry version written by ``stream_registry_upsert`` (with
-    ``before``: of an earlier epoch)."""
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table_path)
-    fs = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(jvm_path):
-        return None
-    versions = sorted(s.getPath().getName() for s in fs.listStatus(jvm_path)
-                      if s.getPath().getName().startswith("v="))
-    path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    versions = [v for v in versions if (before is None or int(v[2:]) < before)
-                and fs.exists(path_of(f"{table_path}/{v}/_SUCCESS"))]
-    if not versions:
-        return None
-    return spark.read.parquet(f"{table_path}/{versions[-1]}")
+WINDOWS = {"tumbling": tumbling_metrics, "sliding": sliding_metrics, "session": session_metrics}
+#: Seconds from an event to the end of the last window that may hold it.
+REACH = {"tumbling": 5 * 60, "sliding": 15 * 60, "session": 30 * 60}
+
+
+def advance_metrics(events_stream: DataFrame, out: str, kind: str,
+                    watermark_seconds: int = 600) -> list:
+    """Take all events that have arrived through the metrics of ``kind`` in append mode, and
+    the late ones into a table of their own; returns the progress reports.
+
+    ``out/data`` gets a window once the watermark (largest event time less
+    ``watermark_seconds``) has passed its end; its state is dropped then.  An event of which
+    every window had closed before its batch is counted in no window and goes to
+    ``out/late``.  So each event is in closed windows, in open ones, or late.  Both queries
+    go on from their checkpoints; call once per arrival, so that their batches agree."""
+    late_us = watermark_seconds * 1_000_000
+
+    def set_aside(batch: DataFrame, epoch: int) -> None:
+        us = F.unix_micros(F.col("ts").cast("timestamp"))
+        rows = batch.withColumn("__us", us)
+        before, _ = batch_clock(batch.sparkSession, out + "/clock", epoch,
+                                rows.agg(F.max("__us")).first()[0])
+        mark = before - late_us
+        if kind == "tumbling" or kind == "sliding":  # windows start at whole slides
+            slide = 5 * 60 * 1_000_000
+            end = F.floor(F.col("__us") / slide) * slide + REACH[kind] * 1_000_000
+        else:
+            end = F.col("__us") + REACH[kind] * 1_000_000
+        late = rows.where(end <= F.floor(F.lit(mark) / 1000) * 1000) if before else \
+            rows.where(F.lit(False))
+        late.drop("__us").write.mode("overwrite").parquet(f"{out}/late/epoch={epoch}")
+
+    for_each_batch(events_stream, out + "/_late", set_aside)
+    return run_available(WINDOWS[kind](events_stream, watermark=f"{watermark_seconds} seconds"),
+                         out)
+
+
+def closing_sentinel(events: DataFrame, kind: str, watermark_seconds: int = 600) -> DataFrame:
+    """One empty event so late that every window of ``events`` closes; its own stays open."""
+    reach = REACH[kind] + watermark_seconds + 1
+    last = events.agg((F.max("ts") + F.make_dt_interval(secs=F.lit(reach))).alias("ts"))
+    return last.select(*[F.col("ts").cast(f.dataType).alias(f.name) if f.name == "ts"
+                         else F.lit(None).cast(f.dataType).alias(f.name)
+                         for f in events.schema.fields])
