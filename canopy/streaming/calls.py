@@ -23,6 +23,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from canopy.operators.logs import CALL_KEY, call_records, split_calls
 from canopy.sources.logs import ingest_log
 from canopy.streaming.streams import (
+    CLOCK_DELAY,
     _text_key,
     batch_clock,
     for_each_batch,
@@ -137,7 +138,7 @@ def advance_calls(log_stream: DataFrame, out: str, patience_seconds: float = 86_
             F.timestamp_micros(F.lit(ahead)).alias("clock")) \
             .write.mode("overwrite").parquet(f"{out}/open/closing")
     waiting = spark.readStream.schema(OPEN).parquet(out + "/open/*")
-    resolved = waiting.withWatermark("clock", "0 seconds").groupBy("call") \
+    resolved = waiting.withWatermark("clock", CLOCK_DELAY).groupBy("call") \
         .transformWithStateInPandas(OpenCalls(patience_seconds), RESOLVED, "append", "EventTime")
     with rocksdb_state(spark):
         run_available(resolved, out + "/resolved")

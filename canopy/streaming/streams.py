@@ -57,6 +57,10 @@ def for_each_batch(df: DataFrame, out: str, work) -> None:
     q.awaitTermination()
 
 
+#: A row at the watermark itself counts as late, so the watermark stays behind the clock.
+CLOCK_DELAY = "1 second"
+
+
 def batch_clock(spark: SparkSession, path: str, epoch: int, latest_us: int | None
                 ) -> tuple[int, int]:
     """(clock before this batch, clock after it): the largest event time seen, in microseconds.
@@ -190,7 +194,7 @@ def stream_drift(firsts_stream: DataFrame, timeout_seconds: float | None = None)
     s = firsts_stream
     if timeout_seconds is not None:
         # the batches' clock never goes back, so no row is late and dropped
-        s = s.withWatermark("clock", "0 seconds")
+        s = s.withWatermark("clock", CLOCK_DELAY)
     return s.groupBy("session").transformWithStateInPandas(
         DriftState(timeout_seconds), DRIFT_OUT, "append",
         "None" if timeout_seconds is None else "EventTime")

@@ -101,17 +101,3 @@ def test_yaml_project(spark):
 def test_all_parameter_lists_are_read(spark):
     df = spark.createDataFrame([("f = (userId) => ((x, y) => ({a, b}) => 1)",)], "t string")
     assert df.select(R.parameter_names(F.col("t"))).first()[0] == ["userId", "x", "y", "a", "b"]
-
-
-def test_registry_batch_ignores_a_half_written_version(spark):
-    path = S.scratch(spark, "registry-restart")
-    one = spark.createDataFrame([("h", 1)], "content_hash string, n int")
-    one.write.parquet(f"{path}/v={0:012d}")
-    one.write.parquet(f"{path}/v={2:012d}")
-    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    broken = jvm(f"{path}/v={1:012d}/_temporary")
-    fs = broken.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(broken)  # an attempt of batch 1 that never ended
-    assert S.latest_registry(spark, path, before=1).count() == 1
-    assert S.latest_registry(spark, path, before=2).inputFiles()[0].count(f"v={0:012d}") == 1
-    assert S.latest_registry(spark, path).inputFiles()[0].count(f"v={2:012d}") == 1

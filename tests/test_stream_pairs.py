@@ -1,74 +1,93 @@
-"""stream_pair_calls loses no call: neither above the time bound nor behind the watermark."""
+"""Calls paired by keyed state equal the batch operator's, whatever the order of arrival."""
 
 import json
-import time
-
-from pyspark.sql import functions as F
 
 from canopy.operators import logs as L
-from canopy.plans import catalog
-from canopy.sources import fixtures as FX
 from canopy.sources.logs import ingest_log
+from canopy.streaming import calls as C
 from canopy.streaming import streams as S
 
-SF = "/root/testdata/sf0.001"
 CALLS = ["trace_id", "span_id", "start_ts", "end_ts", "tokens_in", "tokens_out", "latency_ms",
          "model"]
 
 
 def line(event, span, at, **more):
     return json.dumps({"level": "info", "timestamp": f"2024-05-01T{at}.000000Z", "event": event,
-                       "trace_id": "planted", "span_id": span, **more})
+                       "trace_id": "t", "span_id": span, **more})
 
 
-def start(span, at):
-    return line("llm_call_start", span, at, model="m")
+def start(span, at, model="m"):
+    return line("llm_call_start", span, at, model=model)
 
 
-def complete(span, at):
-    return line("llm_call_complete", span, at, tokens_in=3, tokens_out=4, latency_ms=1.5)
+def complete(span, at, tokens=3):
+    return line("llm_call_complete", span, at, tokens_in=tokens, tokens_out=4, latency_ms=1.5)
 
 
-PLANTED = [start("short", "08:00:00"), complete("short", "08:00:30"),
-           start("long", "08:00:00"), complete("long", "08:10:01"),
-           start("days", "00:00:00"), complete("days", "23:59:59"),
-           complete("days", "23:59:59"),  # delivered twice
-           start("failed", "08:00:00"), complete("no-start", "08:00:00")]
+ARRIVALS = [
+    [start("short", "08:00:00"), complete("short", "08:00:30"),
+     start("long", "08:00:00"), start("days", "00:00:00"), start("failed", "08:00:00"),
+     complete("no-start", "08:00:00"), start("twice", "08:00:05"),
+     # the later line comes first
+     start("early", "08:00:05", "second"), complete("early", "08:00:07", 7),
+     start("state", "08:00:05", "second"), complete("given-up", "08:00:06")],
+    [complete("long", "08:10:01"), complete("days", "23:59:59"), complete("days", "23:59:59"),
+     complete("twice", "08:00:09", 9), start("early", "08:00:04", "first"),
+     complete("early", "08:00:06", 6), start("state", "08:00:04", "first"),
+     complete("twice", "08:00:08", 8)],
+    # far behind the clock
+    [start("late", "09:00:00"), complete("late", "09:00:01"), complete("state", "08:00:09"),
+     start("given-up", "08:00:01"), "no json", start("new", "23:59:59")],
+]
 
 
-def test_registered_query_keeps_calls_above_the_bound(spark, monkeypatch):
-    lines = FX.log_lines(spark, SF).unionByName(
-        spark.createDataFrame([(x,) for x in PLANTED], "line string"))
-    monkeypatch.setattr(FX, "log_lines", lambda spark, d: lines)
-    got = catalog.QUERIES["stream_pair_calls"](spark, SF).select(*CALLS)
-    want = L.pair_calls(ingest_log(lines)[0])[0].select(*CALLS)
-    assert {r.span_id for r in got.where("trace_id = 'planted'").collect()} == {
-        "short", "long", "days"}
-    assert got.count() == want.count()
-    assert got.exceptAll(want).count() == 0
+def run(spark, arrivals, patience, close=True):
+    base = S.scratch(spark, "pairs")
+    schema = ingest_log(spark.createDataFrame([("",)], "line string"))[0].schema
 
+    def pair(close=False):
+        C.advance_calls(spark.readStream.schema(schema).parquet(base + "/log/log/*"),
+                        base + "/calls", patience, close)
 
-def test_late_lines_and_orphans(spark):
-    base = S.scratch(spark, "pairs-late")
-    files = [PLANTED, [start("other", "23:59:00")], [start("new", "23:59:30")],
-             # behind the watermark of the files before
-             [start("late", "09:00:00"), complete("late", "09:00:01"),
-              complete("failed", "09:00:00")]]
-    for rows in files:
+    for rows in arrivals:
         spark.createDataFrame([(x,) for x in rows], "line string").coalesce(1) \
             .write.mode("append").text(base + "/src")
-        time.sleep(1.2)
-    lines = spark.read.text(base + "/src").toDF("line")
-    stream = S.file_stream(spark, base + "/src", "line string", fmt="text", max_files=1)
-    calls, orphans = S.pair_available_calls(stream, lines, base + "/out")
+        C.advance_log(S.file_stream(spark, base + "/src", "value string", fmt="text")
+                      .withColumnRenamed("value", "line"), base + "/log")
+        pair()
+    if close:
+        pair(True)
+    return base
+
+
+def same_as_batch(spark, base, arrivals):
+    lines = spark.createDataFrame([(x,) for rows in arrivals for x in rows], "line string")
     want, want_orphans = L.pair_calls(ingest_log(lines)[0])
+    calls, orphans = C.read_calls(spark, base + "/calls")
     key = ["trace_id", "span_id", "kind"]
-    assert sorted(r.span_id for r in calls.collect()) == ["days", "failed", "late", "long",
-                                                          "short"]
-    assert calls.select(*CALLS).exceptAll(want.select(*CALLS)).count() == 0
+    assert sorted(map(str, calls.select(*CALLS).collect())) == sorted(
+        map(str, want.select(*CALLS).collect()))
     assert sorted(map(tuple, orphans.select(*key).collect())) == sorted(
         map(tuple, want_orphans.select(*key).collect()))
-    assert {r.span_id for r in orphans.collect()} == {"no-start", "other", "new"}
-    # starts still waiting in the stream's state are orphans as well, not lost
-    assert spark.read.parquet(base + "/out/data").where(
-        F.col("end_ts").isNotNull()).count() < calls.count()
+    return {r.span_id: r for r in calls.collect()}
+
+
+def test_patient_state(spark):
+    calls = same_as_batch(spark, run(spark, ARRIVALS, 10 * 86_400), ARRIVALS)
+    assert calls["early"].model == "first" and calls["early"].tokens_in == 6
+    assert calls["state"].model == "first" and calls["twice"].tokens_in == 8
+    assert {"days", "long", "late", "given-up"} <= set(calls)
+
+
+def test_lines_given_up_by_a_timer_still_meet_when_read(spark):
+    base = run(spark, ARRIVALS, 60)
+    same_as_batch(spark, base, ARRIVALS)
+
+
+def test_open_calls_wait_in_state_and_resolved_ones_leave_it(spark):
+    base = run(spark, ARRIVALS[:1], 10 * 86_400, close=False)
+    calls, orphans = C.read_calls(spark, base + "/calls")
+    assert {r.span_id for r in calls.collect()} == {"short", "early"}
+    assert orphans.count() == 0  # seven lines wait, none is given up
+    # only lines without a partner in their batch reach the state function
+    assert spark.read.schema(C.OPEN).parquet(base + "/calls/open/*").count() == 7

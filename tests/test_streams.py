@@ -1,37 +1,20 @@
-import time
+import contextlib
+import os
+from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
+from canopy.operators.registry import RECORD_FIELDS
 from canopy.sources import fixtures as FX
+from canopy.sources.logs import ingest_log
+from canopy.streaming import calls as C
 from canopy.streaming import streams as S
+from canopy.streaming.registry_table import RegistryTable
 
 SF = "/root/testdata/sf0.001"
 
 
-def test_left_outer_stream_pairing_runs_and_keeps_matches(spark):
-    base = S.scratch(spark, "pairs-outer")
-    FX.log_lines(spark, SF).write.text(base + "/src")
-    lines = S.file_stream(spark, base + "/src", "line string", fmt="text", max_files=1)
-    S.run_available(S.stream_pair_calls(lines.withColumnRenamed("value", "line"), how="left_outer"),
-                    base + "/out")
-    out = spark.read.parquet(base + "/out/data")
-    matched = out.where(F.col("end_ts").isNotNull()).count()
-    events = spark.read.parquet(f"{SF}/events.parquet")
-    expected = events.where((F.col("event_id") % 11 != 0) & ~(F.col("event_id") % 1000).isin(7, 13, 17)).count()
-    assert matched == expected
-
-
-def test_stream_metrics_append_mode_closes_windows_behind_watermark(spark):
-    base = S.scratch(spark, "metrics-append")
-    path = f"{SF}/events.parquet"
-    ev = S.file_stream(spark, path, spark.read.parquet(path).schema)
-    S.run_available(S.tumbling_metrics(ev), base, mode="append")
-    out = spark.read.parquet(base + "/data")
-    total = spark.read.parquet(path).count()
-    # append mode only emits windows the watermark has closed: never more rows than the input
-    assert out.agg(F.sum("calls")).first()[0] <= total
-
-
 def _drift(spark, parts, timeout=None):
     """Each part arrives after the one before was read; both streams restart in between."""
     base = S.scratch(spark, "drift-multi")
@@ -65,8 +48,6 @@ def test_stream_drift_across_restarts_equals_batch(spark):
 
 
 def test_stream_drift_sessions_end_by_time(spark):
-    from datetime import datetime, timedelta
-
     def row(i, session, at, key, h, reset=0):
         ts = None if at is None else datetime(2024, 1, 1) + timedelta(seconds=at)
         return (i, session, ts, key, h, reset)
@@ -88,20 +69,127 @@ def test_stream_drift_sessions_end_by_time(spark):
     assert any(r[1] > 1 for r in want)
 
 
-def test_late_rows_behind_watermark_are_dropped(spark):
-    base = S.scratch(spark, "late")
-    ev = spark.read.parquet(f"{SF}/events.parquet")
-    ev.coalesce(1).write.parquet(base + "/src")
-    # the watermark used to drop late rows in batch N is the one reached after batch N-1,
-    # so the late file comes third; distinct modification times fix the arrival order
-    time.sleep(1.5)
-    ev.orderBy(F.desc("ts")).limit(1).write.mode("append").parquet(base + "/src")
-    time.sleep(1.5)
-    late = ev.orderBy("ts").limit(1).withColumn("ts", F.col("ts") - F.expr("INTERVAL 1 DAY"))
-    late.write.mode("append").parquet(base + "/src")
-    stream = S.file_stream(spark, base + "/src", ev.schema, max_files=1)
-    S.run_available(S.tumbling_metrics(stream), base + "/out", mode="append")
-    out = spark.read.parquet(base + "/out/data")
-    first = ev.agg(F.min("ts")).first()[0]
-    assert out.where(F.col("window_start") < F.lit(first).cast("timestamp")
-                     - F.expr("INTERVAL 1 HOUR")).count() == 0
+def _events(spark, rows):
+    return spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, "
+                                       "event_type string, value double, props string")
+
+
+def _event(i, seconds, user=1):
+    return (i, datetime(2024, 1, 1) + timedelta(seconds=seconds), user, "error" if i % 3 else "x",
+            0.0, '{"k": %d}' % i)
+
+
+@pytest.mark.parametrize("kind", ["tumbling", "sliding", "session"])
+def test_each_event_is_in_closed_windows_in_open_ones_or_late(spark, kind):
+    base = S.scratch(spark, "windows-" + kind)
+    per_event = 3 if kind == "sliding" else 1
+    batches = [[_event(i, 60 * i) for i in range(30)],
+               # at 5 and 6 minutes all windows have closed, at 28 minutes none has
+               [_event(100, 9_000), _event(101, 28 * 60)],
+               [_event(102, 300), _event(103, 360), _event(104, 9_001), _event(105, 7_000)]]
+    seen = 0
+    for rows in batches:
+        frame = _events(spark, rows)
+        frame.coalesce(1).write.mode("append").parquet(base + "/src")
+        S.advance_metrics(S.file_stream(spark, base + "/src", frame.schema), base + "/out", kind)
+        seen += len(rows)
+    late = {r.event_id for r in spark.read.parquet(base + "/out/late").collect()}
+    whole = {102, 103, 105} if kind != "session" else {102, 103}
+    assert late == whole
+    src = spark.read.parquet(base + "/src")
+    S.closing_sentinel(src, kind).write.mode("append").parquet(base + "/src")
+    S.advance_metrics(S.file_stream(spark, base + "/src", src.schema), base + "/out", kind)
+    closed = spark.read.parquet(base + "/out/data")
+    # an event that is late for some of its sliding windows counts in the others
+    assert closed.agg(F.sum("calls")).first()[0] == (seen - len(late)) * per_event
+    want = {"tumbling": S.tumbling_metrics, "sliding": S.sliding_metrics,
+            "session": S.session_metrics}[kind](src.where(~F.col("event_id").isin(list(late))))
+    assert closed.exceptAll(want.select(*closed.columns)).count() == 0
+
+
+def test_state_holds_open_windows_only(spark):
+    base = S.scratch(spark, "bounded")
+    held = []
+    for part in range(6):
+        frame = _events(spark, [_event(part * 200 + i, 30 * (part * 200 + i)) for i in range(200)])
+        frame.write.mode("append").parquet(base + "/src")
+        progress = S.advance_metrics(S.file_stream(spark, base + "/src", frame.schema),
+                                     base + "/out", "tumbling")
+        held.append(progress[-1]["stateOperators"][0]["numRowsTotal"])
+    # 20 windows a batch, of which those behind the 10 minute watermark are gone
+    assert max(held) <= 4
+    assert spark.read.parquet(base + "/out/data").count() >= 6 * 20 - 4
+
+
+def test_log_stream_survives_a_forced_replay(spark):
+    import shutil
+
+    base = S.scratch(spark, "replay")
+    lines = FX.log_lines(spark, SF).repartition(4)
+
+    def advance():
+        C.advance_log(S.file_stream(spark, base + "/src", "value string", fmt="text")
+                      .withColumnRenamed("value", "line"), base + "/log")
+
+    for part in lines.randomSplit([1.0, 1.0], 3):
+        part.write.mode("append").text(base + "/src")
+        advance()
+    commits = sorted(f for f in os.listdir(base + "/log/_ingest/commits") if f.isdigit())
+    assert len(commits) == 2
+    # as after a failure between the sinks and the commit: the batch runs again
+    os.remove(f"{base}/log/_ingest/commits/{commits[-1]}")
+    with contextlib.suppress(FileNotFoundError):
+        os.remove(f"{base}/log/_ingest/commits/.{commits[-1]}.crc")
+    shutil.rmtree(f"{base}/log/corrupt/epoch={commits[-1]}")
+    advance()
+    log, corrupt = C.read_log(spark, base + "/log")
+    want, want_corrupt = ingest_log(lines)
+    assert log.count() == want.count() and corrupt.count() == want_corrupt.count() > 0
+    assert log.select(*want.columns).exceptAll(want).count() == 0
+    assert corrupt.exceptAll(want_corrupt).count() == 0
+
+
+def _sections(spark, rows):
+    fields = ", ".join(f"{c} string" for c in RECORD_FIELDS)
+    n = len(RECORD_FIELDS) - 1
+    return spark.createDataFrame(
+        [(ts, i, 1, h, *[f"{h}-{ts}-{i}"] * n) for ts, i, h in rows],
+        "ts long, req_id long, attempt int, " + fields)
+
+
+def test_registry_table_rewrites_touched_buckets_only(spark, tmp_path):
+    t = RegistryTable(spark, str(tmp_path / "reg"), buckets=8)
+    first = _sections(spark, [(1, i, f"h{i}") for i in range(40)])
+    assert t.read() is None
+    assert t.merge(first, 0) == list(range(8))
+    before = t.manifest()
+    touched = t.merge(_sections(spark, [(2, 99, "h3"), (0, 98, "h4"), (2, 97, "h3")]), 1)
+    after = t.manifest()
+    assert 1 <= len(touched) <= 2
+    assert {b for b in before if before[b] != after[b]} == {str(b) for b in touched}
+    rows = {r.content_hash: r for r in t.read().collect()}
+    assert len(rows) == 40
+    assert rows["h3"].req_id == 99 and rows["h4"].req_id == 4
+    # the same batch again, as after a failure before its commit
+    assert t.merge(_sections(spark, [(2, 99, "h3"), (0, 98, "h4"), (2, 97, "h3")]), 1) == touched
+    assert sorted(map(tuple, t.read().collect())) == sorted(map(tuple, rows.values()))
+
+
+def test_registry_table_removes_superseded_folders(spark, tmp_path):
+    t = RegistryTable(spark, str(tmp_path / "reg"), buckets=2)
+    for epoch in range(5):
+        t.merge(_sections(spark, [(epoch, i, f"h{i}") for i in range(10)]), epoch)
+    assert len(os.listdir(tmp_path / "reg" / "data")) == 2
+    assert len([f for f in os.listdir(tmp_path / "reg" / "manifests") if f[0] != "."]) == 2
+    assert t.read().where("ts = 4").count() == 10
+    assert t.merge(_sections(spark, []), 5) == []
+    assert t.read().count() == 10
+
+
+def test_an_unfinished_version_is_not_read(spark, tmp_path):
+    t = RegistryTable(spark, str(tmp_path / "reg"), buckets=2)
+    t.merge(_sections(spark, [(1, 1, "h1")]), 0)
+    _sections(spark, [(9, 9, "h9")]).write.parquet(str(tmp_path / "reg/data/epoch=000000000001/bucket=0"))
+    assert [r.content_hash for r in t.read().collect()] == ["h1"]
+    t.merge(_sections(spark, [(2, 2, "h2")]), 1)
+    assert {r.content_hash for r in t.read().collect()} == {"h1", "h2"}
