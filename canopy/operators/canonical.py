@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canopy.functions import dims
 from canopy.functions import text as T
 from canopy.functions.frames import settle
+from canopy.sources.specs import ingest_specs
 from canopy.sources.ingest import ingest_requests, split_ingested
 
 
@@ -50,6 +51,36 @@ def classify_requests(raw: DataFrame, table=dims.VERB_SYNONYMS) -> DataFrame:
     return classify(canonicalise(ok.where(F.col("source") == "freetext"), table))
 
 
+def classify_all(raw: DataFrame) -> DataFrame:
+    """Every request with its classification or the reason it has none: both branches.
+
+    Free text is normalised and classified; spec rows bypass that and are validated, with
+    HIGH confidence.  ``error`` is the ingest rejection (``rejected``) or the spec's error;
+    the columns of ``classify`` are null then.  Spec rows take verb, noun and language from the spec."""
+    ing = ingest_requests(raw)
+    kept = ["req_id", "session_id", "ts", "text", "source"]
+    accepted = ing.where(F.col("status") == "ok")
+    free = classify(canonicalise(accepted.where(F.col("source") == "freetext"))).select(
+        *kept, "language", "verb", "noun", "intent_type", "confidence", "intent_key",
+        F.lit(None).cast("string").alias("error"), F.lit(False).alias("rejected"))
+    spec_rows = accepted.where(F.col("source") != "freetext").select(
+        F.to_json(F.struct(*kept[:-1]), {"ignoreNullFields": "false"}).alias("spec_id"),
+        F.col("text").alias("body"))
+    shape = accepted.select(*kept[:-1]).schema
+    specs = ingest_specs(spec_rows).select(
+        F.from_json("spec_id", shape).alias("row"), "source", "language", "verb", "noun",
+        "intent_type", "confidence", "error").select(
+        "row.*", "source", "language", "verb", "noun", "intent_type", "confidence",
+        F.when(F.col("error").isNull(), T.intent_key(
+            F.col("verb"), F.col("noun"), F.col("language"), F.col("intent_type")))
+        .alias("intent_key"), "error", F.lit(False).alias("rejected"))
+    nothing = [F.lit(None).cast("string").alias(c) for c in (
+        "language", "verb", "noun", "intent_type", "confidence", "intent_key")]
+    rejected = ing.where(F.col("status") != "ok").select(
+        *kept, *nothing, F.col("status").alias("error"), F.lit(True).alias("rejected"))
+    return free.unionByName(specs).unionByName(rejected)
+
+
 # ---------------------------------------------------------------- #12 ----
 def gate(classified: DataFrame) -> DataFrame:
     """Add ``route`` (passed / quarantine) and the three quarantine texts."""
@@ -119,6 +150,19 @@ def bind_prompts(passed: DataFrame) -> DataFrame:
             .withColumn("prompt_id", T.hash16(F.col("user_message"))))
 
 
+def system_prompts(spark: SparkSession, texts: list[str]) -> DataFrame:
+    """system_prompts(system_prompt_hash, system_prompt): each text once, under its hash."""
+    rows = spark.createDataFrame([(t,) for t in dict.fromkeys(texts)], "system_prompt string")
+    return rows.select(T.hash16(F.col("system_prompt")).alias("system_prompt_hash"),
+                       "system_prompt")
+
+
+def bind_system_prompt(work: DataFrame, text: str) -> DataFrame:
+    """Prompts with the hash of the system prompt that goes with all of them; the text itself
+    is stored once (``system_prompts``), not on every row."""
+    return work.withColumn("system_prompt_hash", T.hash16(F.lit(text)))
+
+
 def build_prompt_work(passed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(prompt_work: each distinct prompt once, fanout: req_id -> prompt_id)."""
     bound = bind_prompts(passed)

@@ -63,6 +63,16 @@ def drift_verdicts(rows: DataFrame) -> DataFrame:
                 VIOLATION, F.col("intent_key"), F.col("expected"), F.col("content_hash")))))
 
 
+def resolved_results(classified: DataFrame, results: DataFrame) -> DataFrame:
+    """The input of ``check_drift`` from the pipeline itself: each answered request that passed
+    the gate with its intent key and the hash of its accepted reply.  A session is the
+    request's own; nothing resets it."""
+    c = classified.where(F.col("confidence") == "HIGH").select(
+        "req_id", "session_id", "ts", "intent_key")
+    return c.join(results.select("req_id", "content_hash"), "req_id").withColumn(
+        "is_reset", F.lit(0))
+
+
 # ---------------------------------------------------------------- #33 ----
 def drift_report(checked: DataFrame) -> DataFrame:
     """Keys with more than one hash in a session: counts and first violation time

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canopy.functions import dims
 from canopy.functions import text as T
 from canopy.functions.frames import exact_quantiles, join_on, running_sum, value_ranks
+from canopy.session import stored
 
 
 # ---------------------------------------------------------------- #46 ----
@@ -161,15 +162,60 @@ def prompt_audit(requests: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- #52 ----
-def pipeline_funnel(stage_counts: list[tuple[int, str, DataFrame]]) -> DataFrame:
-    """Rows reaching each stage and conversion from the previous stage.
-
-    ``stage_counts``: (stage_no, stage, DataFrame with one column ``n``)."""
-    parts = [df.select(F.lit(no).alias("stage_no"), F.lit(name).alias("stage"), "n")
-             for no, name, df in stage_counts]
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    # a handful of rows: the window over the whole (tiny) table is fine
-    w = Window.orderBy("stage_no")
-    return u.withColumn("conversion", F.round(F.col("n") / F.lag("n").over(w), 4))
+FUNNEL = ["requests", "ingested", "understood", "passed_gate", "answered", "accepted"]
+
+
+def request_outcomes(classified: DataFrame, results: DataFrame) -> DataFrame:
+    """How far each request came: (req_id, source, reached, reason, prompt_id, content_hash).
+
+    ``classified`` is ``classify_all`` of the requests (free text and specs), ``results`` has
+    one row per answered request.  ``reached`` counts the stages of ``FUNNEL`` passed;
+    ``reason`` says why a request went no further: the kind of its error, its confidence, or
+    the status of its result; null for accepted ones."""
+    from canopy.operators.canonical import bind_prompts
+    ingest_error = F.coalesce(F.col("rejected"), F.lit(False))
+    r = results.select("req_id", F.col("status").alias("result"), "content_hash")
+    j = bind_prompts(classified).join(r, "req_id", "left")
+    passed = F.col("confidence") == "HIGH"
+    reached = (F.when(ingest_error, 1).when(F.col("error").isNotNull(), 2).when(~passed, 3)
+               .when(F.col("result").isNull(), 4).when(F.col("result") != "ok", 5).otherwise(6))
+    # the kind is the text before the colon, without the row's own values
+    reason = F.coalesce(F.regexp_extract("error", "^[^:]+", 0), F.when(~passed, F.col("confidence")),
+                        F.when(F.col("result").isNull(), "no result"),
+                        F.when(F.col("result") != "ok", F.col("result")))
+    return j.select("req_id", "source", reached.alias("reached"), reason.alias("reason"),
+                    F.when(passed, F.col("prompt_id")).alias("prompt_id"),
+                    F.when(reached == 6, F.col("content_hash")).alias("content_hash"))
+
+
+def funnel_counts(outcomes: DataFrame) -> DataFrame:
+    """(source, reached, reason, prompt_id, content_hash, n): the outcomes counted in one pass
+    and stored, for the reports below."""
+    per = outcomes.groupBy("source", "reached", "reason", "prompt_id", "content_hash").agg(
+        F.count("*").alias("n"))
+    return stored(per, "funnel")
+
+
+def pipeline_funnel(per: DataFrame) -> DataFrame:
+    """Rows reaching each stage with the conversion from the stage before, distinct prompts
+    and registry records; ``per`` is ``funnel_counts``."""
+    counts = per.agg(
+        *[F.sum(F.when(F.col("reached") >= k, F.col("n")).otherwise(0)).alias(s)
+          for k, s in enumerate(FUNNEL, 1)],
+        F.count_distinct("prompt_id").alias("distinct_prompts"),
+        F.count_distinct("content_hash").alias("registry_records"))
+    names = [*FUNNEL, "distinct_prompts", "registry_records"]
+    # from one row: each stage beside the one before
+    rows = F.array(*[F.struct(
+        F.lit(k).alias("stage_no"), F.lit(s).alias("stage"),
+        F.coalesce(F.col(s), F.lit(0)).alias("n"),
+        F.round(F.col(s) / F.col(names[k - 2]), 4).alias("conversion") if 1 < k <= len(FUNNEL)
+        else F.lit(None).cast("double").alias("conversion")) for k, s in enumerate(names, 1)])
+    return counts.select(F.inline(rows))
+
+
+def funnel_losses(per: DataFrame) -> DataFrame:
+    """(lost_after, source, reason, n): why requests of each branch went no further."""
+    stage = F.element_at(F.array(*[F.lit(s) for s in FUNNEL]), F.col("reached"))
+    return (per.where(F.col("reason").isNotNull())
+            .groupBy(stage.alias("lost_after"), "source", "reason").agg(F.sum("n").alias("n")))

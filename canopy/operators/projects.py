@@ -11,6 +11,7 @@ read them.
 from __future__ import annotations
 
 import json
+import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 
 from canopy.functions import dims
 from canopy.functions import text as T
-from canopy.functions.frames import settle
-from canopy.session import stored
+from canopy.functions.frames import join_on, running_sum, settle
+from canopy.session import discard, ensure_checkpoint_dir, stored
 from canopy.sources.specs import yaml_value
 
 _SUPPORTED = "[" + ", ".join(f"'{x}'" for x in sorted(dims.PROJECT_LANGUAGES)) + "]"
@@ -127,27 +128,25 @@ def ingest_projects(projects: DataFrame) -> dict[str, DataFrame]:
 
     # contract entries ------------------------------------------------------
     ce = (parsed.where(F.col("top_error").isNull())
-          .select("project_id", F.transform("dcs", lambda x: T.py_strip(_get(x, "$.name", "string")))
-                  .alias("names"), F.posexplode("dcs").alias("c_pos", "e"))
+          .select("project_id", F.posexplode("dcs").alias("c_pos", "e"))
           .withColumn("e_k", _kind(F.col("e"))))
     ce = _with_parts(ce, "e", ["name", "fields"], "e_")
     cname = T.py_strip(_get(F.col("e_name"), "$", "string"))
     ctx = F.concat(F.lit("data_contracts["), F.col("c_pos").cast("string"), F.lit("]"))
     c_name_err = _req_err(F.col("e_name"), F.col("e_name_k"), "name")
     c_err = (F.when(F.col("e_k") != "OBJECT", F.concat(ctx, F.lit(" must be a mapping")))
-             .when(c_name_err.isNotNull(), F.concat(c_name_err, ctx))
-             .when(F.array_position("names", cname) < F.col("c_pos") + 1,
-                   F.concat(F.lit("Duplicate data contract name: '"), cname, F.lit("'")))
-             .when((F.col("e_fields_k") != "OBJECT")
+             .when(c_name_err.isNotNull(), F.concat(c_name_err, ctx)))
+    c_late = (F.when((F.col("e_fields_k") != "OBJECT")
                    | (F.size(_get(F.col("e_fields"), "$", "map<string,variant>")) == 0),
                    F.concat(ctx, F.lit(" '"), cname, F.lit("' must have non-empty 'fields' mapping"))))
-    c_errors = ce.select("project_id", _order(1, "c_pos").alias("ord"),
-                         c_err.alias("error"))
+    ce = ce.select("project_id", "c_pos", cname.alias("cname"), c_err.alias("early"),
+                   c_late.alias("late")).transform(settle)
+    c_errors = _named_once(ce, "cname", "c_pos", "Duplicate data contract name: '").select(
+        "project_id", _order(1, "c_pos").alias("ord"), "error")
 
     # module entries --------------------------------------------------------
     me = (parsed.where(F.col("top_error").isNull())
-          .select("project_id", F.transform("mods", lambda x: T.py_strip(_get(x, "$.name", "string")))
-                  .alias("names"), F.posexplode("mods").alias("m_pos", "e"))
+          .select("project_id", F.posexplode("mods").alias("m_pos", "e"))
           .withColumn("e_k", _kind(F.col("e"))))
     me = _with_parts(me, "e", ["name", "functions"], "e_")
     mname = T.py_strip(_get(F.col("e_name"), "$", "string"))
@@ -155,14 +154,13 @@ def ingest_projects(projects: DataFrame) -> dict[str, DataFrame]:
     m_name_err = _req_err(F.col("e_name"), F.col("e_name_k"), "name")
     fn_arr = _get(F.col("e_functions"), "$", "array<variant>")
     m_err = (F.when(F.col("e_k") != "OBJECT", F.concat(mctx, F.lit(" must be a mapping")))
-             .when(m_name_err.isNotNull(), F.concat(m_name_err, mctx))
-             .when(F.array_position("names", mname) < F.col("m_pos") + 1,
-                   F.concat(F.lit("Duplicate module name: '"), mname, F.lit("'")))
-             .when((F.col("e_functions_k") != "ARRAY") | (F.size(fn_arr) == 0),
+             .when(m_name_err.isNotNull(), F.concat(m_name_err, mctx)))
+    m_late = (F.when((F.col("e_functions_k") != "ARRAY") | (F.size(fn_arr) == 0),
                    F.concat(mctx, F.lit(" '"), mname, F.lit("' must have non-empty 'functions' list"))))
-    me = me.select("project_id", "m_pos", mname.alias("module"), m_err.alias("error"),
-                   fn_arr.alias("fns")).transform(settle)
-    me = stored(me, "project-modules")
+    me = me.select("project_id", "m_pos", mname.alias("module"), m_err.alias("early"),
+                   m_late.alias("late"), fn_arr.alias("fns")).transform(settle)
+    me = stored(_named_once(me, "module", "m_pos", "Duplicate module name: '"),
+                "project-modules")
     m_errors = me.select("project_id", _order(3, "m_pos").alias("ord"),
                          "error")
     fe = (me.where(F.col("error").isNull())
@@ -216,6 +214,16 @@ def ingest_projects(projects: DataFrame) -> dict[str, DataFrame]:
             "modules": modules, "functions": functions}
 
 
+def _named_once(entries: DataFrame, name: str, pos: str, text: str) -> DataFrame:
+    """``error`` of project entries: ``early``, else a name that an earlier entry has, else
+    ``late``.  Names meet by grouping, so a project of many entries forms no name lists."""
+    same = Window.partitionBy("project_id", name)
+    repeated = F.col(pos) > F.min(pos).over(same)
+    return entries.withColumn("error", F.coalesce(
+        "early", F.when(repeated, F.concat(F.lit(text), F.col(name), F.lit("'"))), "late")) \
+        .drop("early", "late")
+
+
 # ---------------------------------------------------------------- #41 ----
 def link_contracts(functions: DataFrame, contracts: DataFrame) -> DataFrame:
     """edges(project_id, key, dep): a function depends on each contract of its
@@ -278,53 +286,102 @@ def build_order(items: DataFrame, edges: DataFrame) -> DataFrame:
     With contracts free of dependencies and functions depending only on
     contracts, the sorted-queue order is ``(eff, eff <> key, key)`` with
     ``eff = greatest(key, max(dep))``: a function becomes ready right after its
-    largest dependency and is then the next smallest ready key.  The window is
-    per project (bounded by the project's size)."""
+    largest dependency and is then the next smallest ready key.  Positions are prefix sums
+    over range partitions, so a large project spans several tasks."""
     if "max_dep" in items.columns:  # carried by generation_items: no second pass over edges
         j = items.withColumn("_maxdep", F.col("max_dep"))
     else:
         m = edges.groupBy("project_id", "key").agg(F.max("dep").alias("_maxdep"))
         j = items.join(m, ["project_id", "key"], "left")
     j = j.withColumn("eff", F.greatest("key", F.coalesce("_maxdep", "key")))
-    w = Window.partitionBy("project_id").orderBy("eff", F.col("eff") != F.col("key"), "key")
-    return j.select("project_id", "key", F.row_number().over(w).alias("position"))
+    j = j.select("project_id", "key", "eff", (F.col("eff") != F.col("key")).alias("follows"),
+                 F.lit(1).alias("one"))
+    return running_sum(j, "project_id", ["eff", "follows", "key"], "one", "position").select(
+        "project_id", "key", "position")
 
 
 # ---------------------------------------------------------------- #44 ----
+def contract_chains(chain: DataFrame, jumps: int = 3) -> DataFrame:
+    """(node, anchor, dist): where each node's chain of single dependencies ends.
+
+    ``chain`` has (node, to) of the nodes with exactly one dependency.  Pointers are doubled
+    ``jumps`` times a round (``to`` becomes ``to`` of ``to``), so a chain of n nodes takes
+    log(n) / log(2 ** jumps) rounds.  A pointer that still moves when twice the longest
+    possible chain is behind it runs in a cycle or into one: its anchor is null.  Two rounds'
+    rows are stored at a time."""
+    held = stored(chain.withColumn("dist", F.lit(1).cast("long"))
+                  .withColumn("moves", F.lit(True)), "chains")
+    limit = held.count()  # no chain is longer
+    reach = 1
+    while True:
+        step = held
+        for _ in range(jumps):
+            ahead = step.select(F.col("node").alias("_n"), F.col("to").alias("_t"),
+                                F.col("dist").alias("_d"))
+            step = step.join(ahead, F.col("to") == F.col("_n"), "left").select(
+                "node", F.coalesce("_t", "to").alias("to"),
+                (F.col("dist") + F.coalesce("_d", F.lit(0))).alias("dist"),
+                F.col("_n").isNotNull().alias("moves"))
+        following = stored(step, "chains")
+        discard(held)
+        held, reach = following, reach << jumps
+        if reach > 2 * limit or held.where("moves").isEmpty():
+            break
+    return held.select("node", F.when(~F.col("moves"), F.col("to")).alias("anchor"), "dist")
+
+
 def build_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Level of every node of a general dependency DAG (edges: src depends on dst).
 
-    Kahn's algorithm in rounds until no node is released: each round counts, for the
-    nodes that wait, the dependencies met by the last frontier.  Nodes never released
-    (cycles, or a dependency on an absent node) get ``level = NULL, cyclic = true``.
+    Chains of nodes with a single dependency are contracted first (``contract_chains``): their
+    level is that of the chain's end plus the distance.  Kahn's algorithm then runs over the
+    other nodes in rounds until no node is released: a round counts, for the nodes that wait,
+    the dependencies met by the last frontier and the largest level they ask for.  Nodes never
+    released (cycles, or a dependency on an absent node) get ``level = NULL, cyclic = true``.
 
-    The distinct edges are written once; a round writes its frontier and the nodes that
-    still wait, so the work of a round follows what is left, and released nodes are
-    never read again before the end.
+    A round writes its frontier, all rounds into one folder, and the nodes that still wait,
+    whose former folder is removed.
     """
     nodes = stored(nodes.select("node").distinct(), "levels-nodes")
-    e = stored(edges.select("src", "dst").distinct(), "levels-edges")
-    degree = e.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("remaining"))
-    waiting = stored(nodes.join(degree, "node"), "levels-waiting")
-    frontier = nodes.join(degree, "node", "left_anti").select("node")
-    released = [frontier.withColumn("level", F.lit(0))]
+    e = stored(edges.select("src", "dst").distinct().join(
+        nodes.withColumnRenamed("node", "src"), "src", "left_semi"), "levels-edges")
+    degree = stored(e.groupBy(F.col("src").alias("node")).agg(
+        F.count("*").alias("remaining"), F.min("dst").alias("to")), "levels-degree")
+    chains = contract_chains(degree.where("remaining = 1").select("node", "to"))
+    # dependencies of the nodes with several: to the end of a chain, longest way only; a null
+    # or absent end never meets the frontier
+    many = degree.where("remaining > 1").select("node", "remaining")
+    ends = chains.select(F.col("node").alias("dst"), "anchor", "dist", F.lit(True).alias("chained"))
+    links = stored(e.join(many.select(F.col("node").alias("src")), "src", "left_semi")
+                   .join(ends, "dst", "left").select(
+        "src", F.when(F.col("chained"), F.col("anchor")).otherwise(F.col("dst")).alias("dst"),
+        (F.coalesce("dist", F.lit(0)) + 1).alias("dist")), "levels-links")
+    held = stored(many.withColumn("level", F.lit(0).cast("long")), "levels-waiting")
+    released = f"{ensure_checkpoint_dir(nodes.sparkSession)}/levels-{uuid.uuid4().hex}"
+    spark, n = nodes.sparkSession, 0
+    frontier = nodes.join(degree, "node", "left_anti").select(
+        "node", F.lit(0).cast("long").alias("level"))
+    schema = frontier.schema
     while True:
-        met = (e.join(frontier.withColumnRenamed("node", "dst"), "dst")
-               .groupBy(F.col("src").alias("node")).agg(F.count("*").alias("met")))
-        left = stored(waiting.join(met, "node", "left").select(
-            "node", (F.col("remaining") - F.coalesce("met", F.lit(0))).alias("remaining")),
-            "levels-waiting")
-        frontier = left.where(F.col("remaining") == 0).select("node")
-        if frontier.isEmpty():
+        frontier.write.parquet(f"{released}/round={n}")
+        frontier = spark.read.schema(schema).parquet(f"{released}/round={n}")
+        if n and frontier.isEmpty():
             break
-        released.append(frontier.withColumn("level", F.lit(len(released))))
-        waiting = left.where(F.col("remaining") > 0)
-    done = released[0]
-    for part in released[1:]:
-        done = done.unionByName(part)
-    stuck = left.select("node", F.lit(None).cast("int").alias("level"))
-    return done.unionByName(stuck).select("node", "level",
-                                          F.col("level").isNull().alias("cyclic"))
+        met = links.join(frontier.select(F.col("node").alias("dst"), F.col("level").alias("_l")),
+                         "dst").groupBy(F.col("src").alias("node")).agg(
+            F.count("*").alias("met"), F.max(F.col("_l") + F.col("dist")).alias("asks"))
+        left = stored(held.where("remaining > 0").join(met, "node", "left").select(
+            "node", (F.col("remaining") - F.coalesce("met", F.lit(0))).alias("remaining"),
+            F.greatest("level", F.coalesce("asks", F.lit(0))).alias("level")), "levels-waiting")
+        discard(held)
+        held, n = left, n + 1
+        frontier = held.where("remaining = 0").select("node", "level")
+    anchors = spark.read.schema(schema).parquet(f"{released}/round=*")
+    by_chain = chains.join(anchors.withColumnRenamed("node", "anchor"), "anchor").select(
+        "node", (F.col("level") + F.col("dist")).alias("level"))
+    done = anchors.unionByName(by_chain)
+    return nodes.join(done, "node", "left").select(
+        "node", F.col("level").cast("int").alias("level"), F.col("level").isNull().alias("cyclic"))
 
 
 # ---------------------------------------------------------------- #45 ----
@@ -334,11 +391,10 @@ def declared_order(contracts: DataFrame, functions: DataFrame) -> DataFrame:
                          F.struct(F.lit(0).alias("k"), F.col("c_pos").alias("a"), F.lit(0).cast("int").alias("b")).alias("_ord"))
     f = functions.select("project_id", F.concat_ws(":", "module", "intent").alias("key"),
                          F.struct(F.lit(1).alias("k"), F.col("m_pos").alias("a"), F.col("f_pos").cast("int").alias("b")).alias("_ord"))
-    u = c.unionByName(f)
-    w = Window.partitionBy("project_id").orderBy("_ord")
-    wt = Window.partitionBy("project_id")
-    return u.select("project_id", "key", F.row_number().over(w).alias("position"),
-                    F.count("*").over(wt).alias("total"))
+    u = running_sum(c.unionByName(f).withColumn("one", F.lit(1)), "project_id", ["_ord"], "one",
+                    "position")
+    totals = u.groupBy("project_id").agg(F.count("*").alias("total"))
+    return join_on(u, totals, ["project_id"]).select("project_id", "key", "position", "total")
 
 
 # ---------------------------------------------------------------- #38 ----

@@ -31,11 +31,11 @@ def registry_upsert(registry: DataFrame | None, sections: DataFrame) -> tuple[Da
 
 
 # ----------------------------------------------------------------- #6 ----
-def registry_lookup(registry: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(found, missing) for a batch of ``content_hash`` keys."""
-    found = keys.join(registry, "content_hash", "inner")
-    missing = keys.join(registry.select("content_hash"), "content_hash", "left_anti")
-    return found, missing
+def registry_lookup(registry: DataFrame, keys: DataFrame) -> DataFrame:
+    """Every key of a batch of ``content_hash`` keys with its record and ``found``; one join."""
+    held = registry.withColumn("found", F.lit(True))
+    return keys.join(held, "content_hash", "left").withColumn(
+        "found", F.coalesce("found", F.lit(False)))
 
 
 # ----------------------------------------------------------------- #7 ----

@@ -137,27 +137,40 @@ def hash_groups(sections: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- #24 ----
+_DECLARED = {"declared_type": "type", "declared_confidence": "confidence",
+             "declared_verb": "canonical_verb", "declared_noun": "canonical_noun"}
+
+
 def declared_classification(sections: DataFrame) -> DataFrame:
+    """What each reply declares about its request; null where it has no such line.  A reply
+    that declares MEDIUM or LOW should have had an ambiguity block instead: ``unflagged``."""
     ic = F.col("intent_classification")
 
     def field(name):
         v = F.regexp_extract(ic, f"(?mdU)^\\s*{name}\\s*:\\s*(\\S+)", 1)
         return F.when(v != "", v)
-    return sections.select("req_id", "attempt", field("type").alias("declared_type"),
-                           field("confidence").alias("declared_confidence"))
+    d = sections.select("req_id", "attempt", *[field(n).alias(c) for c, n in _DECLARED.items()])
+    return d.withColumn("unflagged", F.coalesce(
+        F.col("declared_confidence").isin("MEDIUM", "LOW"), F.lit(False)))
 
 
 def declared_vs_inferred(sections: DataFrame, classified: DataFrame) -> DataFrame:
-    """Confusion counts of the reply's declared type vs our classification."""
+    """Confusion counts of what replies declare against our classification."""
     d = declared_classification(sections)
     c = classified.select("req_id", F.col("intent_type").alias("inferred_type"),
-                          F.col("confidence").alias("inferred_confidence"))
+                          F.col("confidence").alias("inferred_confidence"), "verb", "noun")
+
+    def differs(declared, inferred):
+        return F.sum(F.when(F.col(declared) != F.col(inferred), 1).otherwise(0))
+
     return (d.join(c, "req_id")
             .groupBy("declared_type", "inferred_type", "declared_confidence",
                      "inferred_confidence")
             .agg(F.count("*").alias("n"),
-                 F.sum(F.when(F.col("declared_type") != F.col("inferred_type"), 1)
-                       .otherwise(0)).alias("n_type_mismatch")))
+                 differs("declared_type", "inferred_type").alias("n_type_mismatch"),
+                 differs("declared_verb", "verb").alias("n_verb_mismatch"),
+                 differs("declared_noun", "noun").alias("n_noun_mismatch"),
+                 F.sum(F.col("unflagged").cast("int")).alias("n_unflagged")))
 
 
 # ---------------------------------------------------------------- #25 ----
@@ -203,19 +216,59 @@ def audit_rates_by_type(sections: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- #26 ----
+def _balanced(depth: int) -> str:
+    """Text in which parentheses match, up to ``depth`` levels deep."""
+    inner = "[^()]*+"
+    for _ in range(depth):
+        inner = f"[^()]*+(?:\\({inner}\\)[^()]*+)*+"
+    return inner
+
+
+_LIST = f"\\(({_balanced(4)})\\)"
+# where a parameter list belongs to a definition; each pattern has the list as its group 1
+DEFINITIONS = [
+    f"\\bfunction\\b\\s*\\*?\\s*[\\w$]*\\s*{_LIST}",
+    f"\\bdef\\s+\\w+\\s*{_LIST}",
+    f"\\bfunc\\b\\s*(?:\\([^()]*\\)\\s*)?\\w*\\s*{_LIST}",
+    f"{_LIST}\\s*(?::[^=(){{}}\\n]+)?=>",  # arrow functions
+    "(?<![\\w$.])([A-Za-z_$][\\w$]*)\\s*=>",
+    "\\blambda\\b([^:\\n]*):",
+    # methods of a class or object: a name, a list, a body
+    "(?m)^[ \\t]*(?:(?:public|private|protected|static|async|get|set)\\s+)*"
+    "(?!(?:if|for|while|switch|catch|return|function|with)\\b)[A-Za-z_$][\\w$]*\\s*"
+    f"{_LIST}\\s*(?::[^{{}}\\n]+)?\\{{",
+]
+# what stands in a list but names no parameter, innermost first: strings, nested calls and
+# generics, type literals, and default values
+_NOT_NAMES = ["'[^'\\n]*'|\"[^\"\\n]*\"", *["\\([^()]*\\)"] * 4, *["<[^<>]*>"] * 2,
+              "[:=]\\s*\\{[^{}]*\\}", "=\\s*\\[[^\\[\\]]*\\]"]
+
+
 def parameter_names(c: F.Column) -> F.Column:
-    """Identifiers of every parenthesised parameter list in the text, destructured
-    parameters (``{a, b}``) included."""
-    lists = F.regexp_extract_all(c, F.lit("\\(([^()]*)\\)"), F.lit(1))
-    params = F.flatten(F.transform(lists, lambda x: F.split(F.translate(x, "{}[]", "    "), ",")))
-    names = F.transform(params, lambda p: F.regexp_extract(p, "^\\s*\\.{0,3}([A-Za-z_$][\\w$]*)", 1))
+    """Names of the parameters of all function definitions in the text, destructured ones
+    (``{a, b}``) and lambdas' included.  Arguments of calls are no parameters, nor are names
+    inside default values."""
+    lists = F.concat(*[F.regexp_extract_all(c, F.lit(d), F.lit(1)) for d in DEFINITIONS])
+
+    def cleaned(x):
+        for pattern in _NOT_NAMES:
+            x = F.regexp_replace(x, pattern, " ")
+        return F.regexp_replace(x, "=[^,]*", " ")
+
+    params = F.flatten(F.transform(lists, lambda x: F.split(
+        F.translate(cleaned(x), "{}[]", "    "), ",")))
+    names = F.transform(params, lambda p: F.regexp_extract(
+        p, "^\\s*(?:\\.{3}|\\*{1,2})?([A-Za-z_$][\\w$]*)", 1))
     return F.filter(names, lambda n: n != "")
 
 
 def naming_audit(sections: DataFrame, banned: list[str] = dims.BANNED_PARAMETER_NAMES) -> DataFrame:
-    """findings(req_id, attempt, where, param) for banned parameter names."""
-    sig = sections.select("req_id", "attempt", F.lit("signature").alias("place"),
-                          F.explode(parameter_names(F.col("signature"))).alias("param"))
-    imp = sections.select("req_id", "attempt", F.lit("implementation").alias("place"),
-                          F.explode(parameter_names(F.col("implementation"))).alias("param"))
-    return sig.unionByName(imp).where(F.col("param").isin(banned))
+    """findings(req_id, attempt, place, param): banned parameter names of the definitions in
+    the signature and the implementation, one row per parameter."""
+    places = F.explode(F.array(*[
+        F.struct(F.lit(c).alias("place"), F.col(c).alias("body"))
+        for c in ("signature", "implementation")]))
+    return (sections.select("req_id", "attempt", places.alias("p"))
+            .select("req_id", "attempt", "p.place",
+                    F.explode(parameter_names(F.col("p.body"))).alias("param"))
+            .where(F.col("param").isin(banned)))

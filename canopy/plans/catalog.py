@@ -253,15 +253,22 @@ SELECT content_hash, count(*) AS n_replies, count(DISTINCT req_id) AS n_requests
        min(req_id) AS first_req_id FROM sections GROUP BY content_hash""")(
     lambda spark, d: R.hash_groups(_sections(spark, d)))
 
+def _declared_sql(name):
+    return (f"nullif(regexp_extract(intent_classification, "
+            f"'(?m)^\\s*{name}\\s*:\\s*(\\S+)', 1), '')")
+
+
 register("declared_vs_inferred", f"""WITH {O.pipeline(O.requests_cte())}, {O.attempts_cte()},
 {O.validated_cte()},
-declared AS (SELECT req_id,
-    nullif(regexp_extract(intent_classification, '(?m)^\\s*type\\s*:\\s*(\\S+)', 1), '') AS declared_type,
-    nullif(regexp_extract(intent_classification, '(?m)^\\s*confidence\\s*:\\s*(\\S+)', 1), '')
-      AS declared_confidence FROM sections)
+declared AS (SELECT req_id, {_declared_sql("type")} AS declared_type,
+    {_declared_sql("confidence")} AS declared_confidence,
+    {_declared_sql("canonical_verb")} AS dv, {_declared_sql("canonical_noun")} AS dn FROM sections)
 SELECT declared_type, intent_type AS inferred_type, declared_confidence,
        confidence AS inferred_confidence, count(*) AS n,
-       sum(CASE WHEN declared_type <> intent_type THEN 1 ELSE 0 END)::BIGINT AS n_type_mismatch
+       count(*) FILTER (WHERE declared_type <> intent_type) AS n_type_mismatch,
+       count(*) FILTER (WHERE dv <> verb) AS n_verb_mismatch,
+       count(*) FILTER (WHERE dn <> noun) AS n_noun_mismatch,
+       count(*) FILTER (WHERE declared_confidence IN ('MEDIUM', 'LOW')) AS n_unflagged
 FROM declared JOIN classified USING (req_id) GROUP BY ALL""")(
     lambda spark, d: R.declared_vs_inferred(_sections(spark, d), _classified(spark, d)))
 
@@ -283,20 +290,10 @@ SELECT rule, count(*) AS n_violations FROM v GROUP BY rule""")(
     lambda spark, d: R.audit_rates(_sections(spark, d)))
 
 register("naming_audit", f"""{_V},
-lists AS (
-  SELECT 'signature' AS place, unnest(regexp_extract_all(signature, '\\(([^()]*)\\)', 1)) AS l
-  FROM sections
-  UNION ALL
-  SELECT 'implementation', unnest(regexp_extract_all(implementation, '\\(([^()]*)\\)', 1))
-  FROM sections),
-params AS (SELECT place, unnest(string_split(translate(l, '{{}}[]', '    '), ',')) AS p FROM lists),
-names AS (SELECT place, regexp_extract(p, '^\\s*\\.{{0,3}}([A-Za-z_$][A-Za-z0-9_$]*)', 1) AS param
-          FROM params)
-SELECT place, param, count(*) AS n FROM names
-WHERE param IN ({', '.join(O.q(b) for b in dims.BANNED_PARAMETER_NAMES)})
-GROUP BY place, param""")(
-    lambda spark, d: R.naming_audit(_sections(spark, d)).groupBy("place", "param")
-    .agg(F.count("*").alias("n")))
+found(tpl_id, place, param) AS (VALUES {", ".join(
+    f"({t}, {O.q(place)}, {O.q(name)})" for t, place, name in O.PARAMETER_FINDINGS)})
+SELECT req_id, attempt, place, param FROM hashed JOIN found USING (tpl_id)
+WHERE status = 'ok'""")(lambda spark, d: R.naming_audit(_sections(spark, d)))
 
 # ------------------------------------------------------------ attempts ----
 register("resolve_attempts", f"""{_V}
@@ -374,11 +371,16 @@ SELECT status, count(*) AS n FROM persisted WHERE implementation IS NULL GROUP B
 
 
 def _lookup(spark, d):
-    keys = (_validated(spark, d).where(F.col("code").isNotNull())
+    # replies are validated once, for the registry and for the keys that are looked up
+    replies = stored(R.with_section_columns(_validated(spark, d)).select(
+        "req_id", "attempt", "status", "content_hash", "ts", "code",
+        *[c for _, c in R.SECTION_COLUMNS]), "validated-replies")
+    carry = ["ts", *[c for _, c in R.SECTION_COLUMNS]]
+    registry, _ = G.registry_upsert(None, A.resolve_attempts(replies, carry=carry).select(
+        "req_id", "attempt", "status", "content_hash", *carry))
+    keys = (replies.where(F.col("code").isNotNull())
             .select(R.T.hash16(F.col("code")).alias("content_hash")).distinct())
-    found, missing = G.registry_lookup(_registry(spark, d)[0], keys)
-    return (found.select("content_hash", F.lit(True).alias("found"))
-            .unionByName(missing.select("content_hash", F.lit(False).alias("found"))))
+    return G.registry_lookup(registry, keys).select("content_hash", "found")
 
 
 register("registry_lookup", f"""{_RESULTS_SEC},
@@ -715,42 +717,70 @@ FROM r JOIN f USING (session_id, prompt_hash) LEFT JOIN classified c ON c.req_id
     lambda spark, d: L.prompt_audit(FX.requests(spark, d)))
 
 
+def _everything(spark, d):
+    """(classification of both branches, results of their replies)."""
+    classified = C.classify_all(FX.mixed_requests(spark, d))
+    return classified, A.resolve_attempts(R.validate_replies(FX.mixed_attempts(spark, d)))
+
+
 def _funnel(spark, d):
-    reqs = FX.requests(spark, d)
-    ing = ingest_requests(reqs)
-    cls = _classified(spark, d)
-    work, _ = C.build_prompt_work(cls.where(F.col("confidence") == "HIGH"))
-    res = _results(spark, d)
-    reg = _registry(spark, d)[0]
-    n = lambda df: df.agg(F.count("*").alias("n"))
-    return L.pipeline_funnel([
-        (1, "requests", n(reqs)),
-        (2, "ingested", n(ing.where(F.col("status") == "ok"))),
-        (3, "freetext", n(ing.where((F.col("status") == "ok") & (F.col("source") == "freetext")))),
-        (4, "passed_gate", n(cls.where(F.col("confidence") == "HIGH"))),
-        (5, "distinct_prompts", n(work)),
-        (6, "resolved_ok", n(res.where(F.col("status") == "ok"))),
-        (7, "registry_records", n(reg)),
-    ])
-
-
-register("pipeline_funnel", f"""WITH {O.pipeline(O.requests_cte())}, {O.attempts_cte()},
-{O.validated_cte()},
-persisted AS (SELECT r.req_id, r.status, s.* EXCLUDE (req_id)
-              FROM results r LEFT JOIN sections s ON r.req_id = s.req_id AND r.attempt = s.attempt),
+    return L.funnel_counts(L.request_outcomes(*_everything(spark, d)))
+
+
+_OUTCOMES = f"""WITH {O.mixed_cte()}, {O.mixed_attempts_cte()}, {O.validated_cte()},
+outcomes AS (
+  SELECT e.req_id, e.source, CASE WHEN rejected THEN 1 WHEN e.error IS NOT NULL THEN 2
+           WHEN confidence <> 'HIGH' THEN 3 WHEN r.status IS NULL THEN 4
+           WHEN r.status <> 'ok' THEN 5 ELSE 6 END AS reached,
+         CASE WHEN e.error IS NOT NULL THEN split_part(e.error, ':', 1)
+              WHEN confidence <> 'HIGH' THEN confidence WHEN r.status IS NULL THEN 'no result'
+              WHEN r.status <> 'ok' THEN r.status END AS reason,
+         CASE WHEN confidence = 'HIGH' THEN {_user_message_sql()} END AS prompt, r.content_hash
+  FROM every e LEFT JOIN results r USING (req_id))"""
+
+register("pipeline_funnel", f"""{_OUTCOMES},
 st AS (
-  SELECT 1 AS stage_no, 'requests' AS stage, count(*) AS n FROM requests
-  UNION ALL SELECT 2, 'ingested', count(*) FROM ingested WHERE status = 'ok'
-  UNION ALL SELECT 3, 'freetext', count(*) FROM ingested WHERE status = 'ok' AND source = 'freetext'
-  UNION ALL SELECT 4, 'passed_gate', count(*) FROM classified WHERE confidence = 'HIGH'
-  UNION ALL SELECT 5, 'distinct_prompts', count(*) FROM (SELECT DISTINCT intent_key, language,
-      intent_type, {O.function_name_sql()}, {_user_message_sql()} FROM classified
-      WHERE confidence = 'HIGH')
-  UNION ALL SELECT 6, 'resolved_ok', count(*) FROM results WHERE status = 'ok'
-  UNION ALL SELECT 7, 'registry_records', count(DISTINCT content_hash) FROM persisted
-      WHERE implementation IS NOT NULL)
-SELECT stage_no, stage, n, round(n / lag(n) OVER (ORDER BY stage_no), 4) AS conversion FROM st""")(
-    _funnel)
+  SELECT k AS stage_no, s AS stage, (SELECT count(*) FROM outcomes WHERE reached >= k) AS n
+  FROM (VALUES {", ".join(f"({k}, {O.q(s)})" for k, s in enumerate(L.FUNNEL, 1))}) AS v(k, s))
+SELECT stage_no, stage, n, round(n / lag(n) OVER (ORDER BY stage_no), 4) AS conversion FROM st
+UNION ALL SELECT 7, 'distinct_prompts', count(DISTINCT prompt), NULL FROM outcomes
+UNION ALL SELECT 8, 'registry_records', count(DISTINCT content_hash), NULL FROM outcomes
+          WHERE reached = 6""")(lambda spark, d: L.pipeline_funnel(_funnel(spark, d)))
+
+register("funnel_losses", f"""{_OUTCOMES}
+SELECT {O.sql_list(L.FUNNEL)}[reached] AS lost_after, source, reason, count(*) AS n
+FROM outcomes WHERE reason IS NOT NULL GROUP BY ALL""")(
+    lambda spark, d: L.funnel_losses(_funnel(spark, d)))
+
+_EVERY_COLS = ["req_id", "source", "language", "verb", "noun", "intent_type", "confidence",
+               "intent_key"]
+register("classify_all", f"""WITH {O.mixed_cte()}
+SELECT {", ".join(_EVERY_COLS)}, split_part(error, ':', 1) AS error_kind FROM every""")(
+    lambda spark, d: C.classify_all(FX.mixed_requests(spark, d)).select(
+        *_EVERY_COLS, F.regexp_extract("error", "^[^:]+", 0).alias("error_kind")))
+
+register("pipeline_drift", f"""WITH {O.mixed_cte()}, {O.mixed_attempts_cte()}, {O.validated_cte()},
+j AS (SELECT e.req_id, e.session_id, e.ts, e.intent_key, r.content_hash
+      FROM every e JOIN results r USING (req_id) WHERE e.confidence = 'HIGH'),
+x AS (SELECT session_id, intent_key, arg_min(content_hash, (ts, req_id)) AS first_hash
+      FROM j WHERE content_hash <> '' GROUP BY ALL)
+SELECT req_id, session_id, intent_key, content_hash,
+       CASE WHEN content_hash <> '' THEN first_hash END AS expected,
+       content_hash <> '' AND content_hash <> first_hash AS violation
+FROM j LEFT JOIN x USING (session_id, intent_key)""")(
+    lambda spark, d: D.check_drift(D.resolved_results(*_everything(spark, d))).select(
+        "req_id", "session_id", "intent_key", "content_hash", "expected", "violation"))
+
+_SYSTEM_PROMPT = "Answer with the required sections only."
+register("prompt_system", f"""WITH {O.pipeline(O.requests_cte())}
+SELECT DISTINCT substr(sha256({_user_message_sql()}), 1, 16) AS prompt_id,
+       substr(sha256({O.q(_SYSTEM_PROMPT)}), 1, 16) AS system_prompt_hash,
+       {O.q(_SYSTEM_PROMPT)} AS system_prompt
+FROM classified WHERE confidence = 'HIGH'""")(
+    lambda spark, d: C.bind_system_prompt(
+        C.build_prompt_work(_passed(spark, d))[0], _SYSTEM_PROMPT)
+    .join(C.system_prompts(spark, [_SYSTEM_PROMPT]), "system_prompt_hash").select(
+        "prompt_id", "system_prompt_hash", "system_prompt"))
 
 # ------------------------------------------------------------ projects ----
 from canopy.operators import projects as P  # noqa: E402
@@ -898,31 +928,6 @@ SELECT a.module AS m1, b.module AS m2, count(*) AS n FROM dd a JOIN dd b
 # --------------------------------------------------------------- specs ----
 from canopy.sources.specs import ingest_specs  # noqa: E402
 
-_SPEC_TYPES = " ".join(f"WHEN {O.q(k)} THEN {O.q(v)}" for k, v in dims.SPEC_INTENTS.items())
-register("ingest_specs_json", f"""WITH s AS (
-  SELECT o_orderkey AS spec_id, {O.sql_list(O.SPEC_TEXTS)}[(o_orderkey % {len(FX.SPEC_TEXTS)}) + 1]
-         AS body FROM orders),
-j AS (SELECT *, json_type(body) AS jt, lower({O.strip_sql("json_extract_string(body, '$.intent')")}) AS it,
-             lower({O.strip_sql("json_extract_string(body, '$.language')")}) AS lg
-      FROM s WHERE starts_with({O.strip_sql('body')}, '{{') OR starts_with({O.strip_sql('body')}, '[')),
-k AS (SELECT *, CASE WHEN jt = 'OBJECT' THEN json_keys(body)
-                     ELSE list_transform(json_extract(body, '$[*]'), lambda x: x ->> '$') END AS ks FROM j),
-e AS (SELECT *, CASE
-    WHEN NOT list_contains(ks, 'intent') THEN 'Missing required field: intent'
-    WHEN NOT list_contains(ks, 'verb') THEN 'Missing required field: verb'
-    WHEN NOT list_contains(ks, 'noun') THEN 'Missing required field: noun'
-    WHEN NOT list_contains(ks, 'language') THEN 'Missing required field: language'
-    WHEN (CASE it {_SPEC_TYPES} END) IS NULL THEN 'Unknown intent type: ' || it
-    WHEN lg NOT IN ('javascript', 'typescript', 'python', 'go') THEN 'Unsupported language: ' || lg
-  END AS error FROM k)
-SELECT spec_id, 'json_spec' AS source,
-       CASE WHEN error IS NULL THEN CASE it {_SPEC_TYPES} END END AS intent_type,
-       CASE WHEN error IS NULL THEN json_extract_string(body, '$.verb') END AS verb,
-       CASE WHEN error IS NULL THEN json_extract_string(body, '$.noun') END AS noun,
-       CASE WHEN error IS NULL THEN lg END AS language,
-       CASE WHEN error IS NULL THEN 'HIGH' END AS confidence, error FROM e""")(
-    lambda spark, d: ingest_specs(FX.specs(spark, d)).where(F.col("source") == "json_spec"))
-
 _SPEC_ROWS = ", ".join(
     "(" + ", ".join([str(i), *("NULL" if x is None else O.q(x) for x in row)]) + ")"
     for i, row in enumerate(O.SPEC_RESULTS))

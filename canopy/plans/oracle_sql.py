@@ -145,13 +145,52 @@ def pipeline(src_cte: str) -> str:
     return ",\n".join([src_cte, ingested_cte(), canonical_cte(), classified_cte()])
 
 
+def mixed_cte() -> str:
+    """Requests of both branches with their classification or error (``classify_all``)."""
+    n = len(FX.SPEC_TEXTS)
+    texts = [*FX.SPEC_TEXTS, *[p for p in FX.PHRASES if "intent:" in p]]
+    rows = [*SPEC_RESULTS, *[("yaml_spec", None, None, None, None, "Invalid spec format")
+                             for p in FX.PHRASES if "intent:" in p]]
+    meaning = ", ".join("(" + ", ".join("NULL" if x is None else q(x) for x in (t, *r[1:])) + ")"
+                        for t, r in zip(texts, rows, strict=True))
+    return f"""{requests_cte().replace("requests AS", "free_requests AS", 1)},
+requests AS (
+  SELECT req_id, session_id, ts, text, norm_src, alias FROM free_requests
+  UNION ALL
+  SELECT -o_orderkey, o_custkey, o_orderdate, t, t, 'js'
+  FROM (SELECT *, {sql_list(FX.SPEC_TEXTS)}[(o_orderkey % {n}) + 1] AS t FROM orders)),
+{ingested_cte()}, {canonical_cte()}, {classified_cte()},
+meaning(text, intent_type, verb, noun, language, error) AS (VALUES {meaning}),
+every AS (
+  SELECT req_id, session_id, ts, source, language, verb, noun, intent_type, confidence,
+         intent_key, NULL AS error, false AS rejected
+  FROM classified
+  UNION ALL
+  SELECT i.req_id, i.session_id, i.ts, 'yaml_spec', m.language, m.verb, m.noun, m.intent_type,
+         CASE WHEN m.error IS NULL THEN 'HIGH' END,
+         md5(m.verb || ':' || m.noun || ':' || m.language || ':' || m.intent_type), m.error, false
+  FROM ingested i JOIN meaning m USING (text) WHERE i.status = 'ok' AND i.source <> 'freetext'
+  UNION ALL
+  SELECT req_id, session_id, ts, source, NULL, NULL, NULL, NULL, NULL, NULL, status, true
+  FROM ingested WHERE status <> 'ok')"""
+
+
+def mixed_attempts_cte() -> str:
+    return attempts_cte().replace("attempts AS", "own_attempts AS", 1) + """,
+attempts AS (
+  SELECT * FROM own_attempts
+  UNION ALL
+  SELECT * REPLACE (-req_id AS req_id) FROM own_attempts WHERE req_id % 5 <> 0)"""
+
+
 def attempts_cte() -> str:
     n = len(FX.REPLY_TEMPLATES)
     tpl = "((o_orderkey * 7 + a.attempt * 3 * (o_orderkey % 3)) % {n})".format(n=n)
     return f"""attempts AS (
   SELECT o_orderkey AS req_id, o_custkey AS session_id, o_orderdate AS ts, a.attempt,
          {tpl}::INTEGER AS tpl_id,
-         {sql_list(FX.REPLY_TEMPLATES)}[{tpl} + 1] AS raw
+         replace({sql_list(FX.REPLY_TEMPLATES)}[{tpl} + 1], '__N__',
+                 (o_orderkey // {FX.ROWS_PER_VALUE})::VARCHAR) AS raw
   FROM orders, (VALUES (1), (2), (3)) AS a(attempt))"""
 
 
@@ -213,7 +252,8 @@ results AS (
 def results_seq_cte() -> str:
     v0, v1 = FX.HASH_VARIANTS
     return f"""results AS (
-  SELECT o_orderkey AS req_id, o_custkey % {FX.N_SESSIONS} AS session_id, o_orderdate AS ts,
+  SELECT o_orderkey AS req_id, CASE WHEN o_orderkey % 5 = 0 THEN 0
+         ELSE o_orderkey // {FX.ROWS_PER_SESSION} END AS session_id, o_orderdate AS ts,
          md5('add:N' || (o_orderkey % 5)::VARCHAR || ':python:PURE_FUNCTION') AS intent_key,
          CASE WHEN o_orderkey % 31 = 0 THEN '' WHEN o_orderkey % 97 = 0 THEN {q(v1)} ELSE {q(v0)} END AS content_hash,
          CASE WHEN o_orderkey % 50 = 0 THEN 1 ELSE 0 END AS is_reset
@@ -312,6 +352,18 @@ SPEC_RESULTS = [
     ("json_spec", None, None, None, None, "Unsupported language: java"),
     ("json_spec", "PREDICATE", "validate", "Age", "go", None),
     ("yaml_spec", None, None, None, None, "Invalid spec format: month must be in 1..12"),
+    ("yaml_spec", None, None, None, None, "Field must be text: intent"),
+    ("json_spec", None, None, None, None, "Field must be text: verb"),
+    ("yaml_spec", None, None, None, None, "Field must be text: noun"),
+    ("yaml_spec", None, None, None, None, "Field must be text: language"),
+    ("json_spec", None, None, None, None, "Field must be text: intent"),
+]
+# FIXED VALUES: banned parameter names of the definitions in each reply template
+PARAMETER_FINDINGS = [
+    (1, "implementation", "x"), (1, "implementation", "y"), (8, "signature", "items"),
+    (8, "implementation", "items"), (8, "implementation", "x"), (8, "implementation", "y"),
+    (9, "signature", "uid"), (9, "implementation", "uid"), (9, "implementation", "x"),
+    (10, "implementation", "arr"),
 ]
 #: The spec texts with a repeated key replaced by the key that counts.
 SPEC_TEXTS = [s.replace('"verb": "check", ', "") for s in FX.SPEC_TEXTS]

@@ -97,9 +97,54 @@ REPLY_TEMPLATES: list[str] = [
     REPLY.replace(_IMPL, "import math\n" + _IMPL),
     REPLY + "\n---DEPENDENCIES---\n- axios\nnumpy as np\n",
 ]
+
+
+def _reply(kind, confidence, verb, noun, signature, fence, code, invariants, tests, deps=""):
+    return (f"---INTENT_CLASSIFICATION---\ntype: {kind}\nconfidence: {confidence}\n"
+            f"canonical_verb: {verb}\ncanonical_noun: {noun}\n\n---SIGNATURE---\n{signature}\n\n"
+            f"---IMPLEMENTATION---\n```{fence}\n{code}\n```\n\n---INVARIANTS---\n{invariants}\n\n"
+            f"---TEST_ORACLE---\n```{fence}\n{tests}\n```\n"
+            + (f"\n---DEPENDENCIES---\n{deps}\n" if deps else "---\n"))
+
+
+# replies of this library's own: "__N__" becomes a value of the row, so hashes, records and
+# modules grow with the table
+REPLY_TEMPLATES += [
+    _reply("AGGREGATOR", "HIGH", "sum", "Orders",
+           "python: def reduce_orders(items, rate=max(1, 2), *rest) -> float", "python",
+           "def reduce_orders_q__N__(items, rate=max(1, 2), *rest):\n"
+           "    return fold(items, key=lambda x, y: combine(x, data))",
+           "preconditions:\n  - items is a list\npostconditions:\n  - total of all items\n"
+           "edge_cases:\n  - empty list gives 0",
+           "assert reduce_orders_q__N__([]) == 0\nassert reduce_orders_q__N__([1]) == 1\n"
+           "assert reduce_orders_q__N__([1, 2]) == 3", "- lib__N__\n- shared\npandas as pd"),
+    _reply("SIDE_EFFECT_OP", "MEDIUM", "save", "User",
+           "typescript: const saveUser = (user: User, { repository, uid = pick(a, b) }: Deps) => void",
+           "typescript",
+           "const saveUser__N__ = async (user: Map<string, number>, { repository, uid }: Deps) => {\n"
+           "  await repository.save(user, list);\n  return check((x) => x.id);\n};",
+           "preconditions:\n  - repository is injected\nedge_cases:\n  - see implementation",
+           "assert(saved(1));\nassert(saved(2));\nmock.verify();", "- lib__N__\n- axios"),
+    _reply("PREDICATE", "HIGH", "validate", "EvenNumber",
+           "go: func isEvenNumber(value int) bool", "go",
+           "func (r *Repo) isEvenNumber__N__(value int, arr []int) bool {\n"
+           "\tif contains(data, value) {\n\t\treturn true\n\t}\n\treturn value%2 == 0\n}",
+           "preconditions:\n  - value fits 64 bits\npostconditions:\n  - no side effects\n"
+           "edge_cases:\n  - 0 is even",
+           "assert(isEvenNumber(0))\nassert(!isEvenNumber(1))\nassert(isEvenNumber(2))"),
+    _reply("PURE_FUNCTION", "LOW", "add", "Total",
+           "javascript: function total(firstNumber, secondNumber)", "javascript",
+           "function total__N__(firstNumber, secondNumber = f(x, y)) {\n"
+           "  return max(firstNumber, n1) + secondNumber;\n}",
+           "preconditions:\n  - finite numbers\npostconditions:\n  - sum\nedge_cases:\n  - 0",
+           "assert(total(0, 0) === 0);\nassert(total(1, 2) === 3);\nassert(total(-1, 1) === 0);"),
+]
 # ---------------------------------------------------------------------------
 
 
+ROWS_PER_VALUE = 64  # orders that share one value of a reply template
+
+
 def pick(values: list[str], idx) -> F.Column:
     """``values[idx]`` as a literal-array lookup (projection, no join)."""
     return F.element_at(F.array(*[F.lit(v) for v in values]), (idx + 1).cast("int"))
@@ -159,13 +204,32 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.select(
         "req_id", "session_id", "ts", F.col("attempt").cast("int").alias("attempt"),
         tpl.alias("tpl_id"),
-        pick(REPLY_TEMPLATES, tpl).alias("raw"))
+        F.replace(pick(REPLY_TEMPLATES, tpl), F.lit("__N__"),
+                  F.floor(F.col("req_id") / ROWS_PER_VALUE).cast("string")).alias("raw"))
+
+
+def mixed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of both branches: the free-text one of each order, and its spec-form one under
+    the negated key."""
+    k = F.col("o_orderkey")
+    spec = table(spark, sf_dir, "orders").select(
+        (-k).alias("req_id"), F.col("o_custkey").alias("session_id"),
+        F.col("o_orderdate").alias("ts"), pick(SPEC_TEXTS, k % len(SPEC_TEXTS)).alias("text"),
+        F.lit("js").alias("alias"))
+    return requests(spark, sf_dir).unionByName(spec)
+
+
+def mixed_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies to ``mixed_requests``; every fifth spec-form request was never answered."""
+    att = attempts(spark, sf_dir)
+    spec = att.where(F.col("req_id") % 5 != 0).withColumn("req_id", -F.col("req_id"))
+    return att.unionByName(spec)
 
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES: implementation hashes of reply templates 0 and 1
 HASH_VARIANTS: list[str] = ["a2a69ff27caa2bdf", "62e46070ace177cd"]
-N_SESSIONS = 40
+ROWS_PER_SESSION = 64  # drift sessions; their number grows with the table
 # ---------------------------------------------------------------------------
 
 
@@ -174,7 +238,9 @@ def results_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     return table(spark, sf_dir, "orders").select(
         k.alias("req_id"),
-        (F.col("o_custkey") % N_SESSIONS).alias("session_id"),
+        # a fifth of all rows are of one session
+        F.when(k % 5 == 0, 0).otherwise(F.floor(k / ROWS_PER_SESSION)).cast("long")
+        .alias("session_id"),
         F.col("o_orderdate").alias("ts"),
         F.md5(F.concat(F.lit("add:N"), (k % 5).cast("string"),
                        F.lit(":python:PURE_FUNCTION"))).alias("intent_key"),
@@ -350,6 +416,11 @@ SPEC_TEXTS: list[str] = [
     '{"intent": "side_effect_op", "verb": "save", "noun": "User", "language": "java"}',
     '{"intent": "predicate", "verb": "check", "verb": "validate", "noun": "Age", "language": "go"}',
     "intent: pure_function\nverb: 2024-99-99\nnoun: Total\nlanguage: javascript",
+    "intent: ~\nverb: add\nnoun: Total\nlanguage: javascript",
+    '{"intent": "predicate", "verb": null, "noun": "Age", "language": "go"}',
+    "intent: predicate\nverb: check\nnoun: [Age]\nlanguage: go",
+    "intent: predicate\nverb: check\nnoun: Age\nlanguage: ",
+    '{"intent": 5, "verb": "check", "noun": "Age", "language": "go"}',
 ]
 # ---------------------------------------------------------------------------
 

@@ -97,8 +97,14 @@ def validate_spec_rows(p: DataFrame) -> DataFrame:
     for k in dims.SPEC_REQUIRED_FIELDS:
         m = F.when(~keys_present(k), F.lit(f"Missing required field: {k}"))
         missing = m if missing is None else F.coalesce(missing, m)
+    # a field that is there has to be text: a null, number, list or mapping is an error
+    untyped = F.coalesce(*[
+        F.when(~F.coalesce(F.schema_of_variant(F.try_variant_get(v, f"$.{k}", "variant"))
+                           == "STRING", F.lit(False)), F.lit(f"Field must be text: {k}"))
+        for k in dims.SPEC_REQUIRED_FIELDS])
     error = (F.when(F.col("parse_error").isNotNull(), F.col("parse_error"))
              .when(missing.isNotNull(), missing)
+             .when(untyped.isNotNull(), untyped)
              .when(t_expr.isNull(), F.concat(F.lit("Unknown intent type: "), intent))
              .when(~lang.isin(dims.LANGUAGES), F.concat(F.lit("Unsupported language: "), lang)))
     ok = error.isNull()
