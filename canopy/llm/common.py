@@ -10,8 +10,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from canopy.session import discard, ensure_checkpoint_dir, stored  # noqa: F401
+
 SLICE_BYTES = 2_000_000
 
 
@@ -26,28 +26,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share, as ``spark.checkpoint.dir`` names it.
-
-    Only a local master without that setting gets a scratch folder of its own.
-    """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        d = tempfile.mkdtemp(prefix="canopy-shared-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    return d
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once into the shared folder and read it back: lineage ends at files
-    that outlive executors, and later steps see the same rows in the same files."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def id_remainder(column: str, divisor: int) -> Column:
     """crc32 of the id as text, modulo ``divisor``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % divisor

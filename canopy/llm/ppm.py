@@ -14,14 +14,20 @@ probabilities sum to one.  All exclusion totals depend on the context alone, so
 are computed once per trie node.
 
 Where the work is done: a symbol's probability depends on its string alone, and only on
-counts of strings with the same last bytes.  So the counted strings are dealt to shards by
-their last ``ROOT`` context bytes; a shard builds the trie of its strings over the shorter
-contexts (at most 256**ROOT strings, held by all).  The ``CACHE`` most frequent strings'
-logarithms are broadcast; the cache saves a join and changes no result.  What a text has
-besides is joined, as distinct strings, with the shards' answers.
+counts of strings with the same last bytes.
 
-``train_trie`` makes a single bounded trie for callers that want one: it keeps the entries
-with a 2**-``share_bits`` share of all positions and counts the others as escapes.
+1. Texts fall into chunks of ``CHUNK_BYTES``, by their place in their scan task.  A chunk's
+   distinct strings, with their training counts, go to shards by their last ``ROOT`` context
+   bytes (``HOT_SHARE``: contexts that hold more than that share of all positions go by one
+   byte more, as theirs alone would be a large shard).
+2. A shard adds up the counts of its strings over all chunks, builds their trie over the
+   shorter contexts (at most 256**ROOT strings, which all shards hold, besides the at most 256
+   symbols after each hot context) and answers every chunk with the logarithms of its strings.
+3. A chunk's texts meet its answers and are added up.
+
+So every string is answered once per chunk, whatever its frequency; nothing is cached, capped
+or left out, and what a task holds depends on a chunk or a shard alone.  ``docs`` is scanned
+three times and has to give the same rows in the same order each time, as files do.
 
 The base model is the smoothed unigram of words.  Words with at least a
 2**-``WORD_BITS`` share of all training words (at most 2**WORD_BITS of them) are
@@ -43,6 +49,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,10 +66,11 @@ from canopy.llm.common import (
 ORDER = 6
 DISCOUNT = 0.5
 PENDING = 1_200_000  # counted strings that a task holds before it hands them on
-SHARE_BITS = 21
 ROOT = 3  # context bytes that a shard's strings share
-CACHE = 1 << 22  # strings whose logarithm every task holds
-SHARD_ROWS = 1_000_000  # strings of a shard, on average
+HOT_SHARE = 1 / 256  # of all positions: contexts above it are dealt out by one byte more
+SHARD_POSITIONS = 1 << 23  # positions for each shard
+MAX_SHARDS = 1 << 18  # a chunk sends no more than so many pieces
+CHUNK_BYTES = 32_000_000  # of text, whose distinct strings a task holds at a time
 WORD_BITS = 19
 COUNT_CHUNK, SCORE_CHUNK = 1_000_000, 250_000  # positions whose work arrays are held at once
 END = 0xFF
@@ -90,43 +98,73 @@ def _grams(texts: pa.Array, order: int, chunk: int = COUNT_CHUNK):
         yield gram, text
 
 
-def count_grams(docs: DataFrame, where: Column, order: int = ORDER) -> DataFrame:
-    """(gram, n) over all training texts, combined in the tasks before the shuffle."""
-    def count(batches):
-        value, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for batch in batches:
-            texts = strings(batch.column("text"))
-            for start, stop in byte_slices(texts):
-                for gram, _ in _grams(texts.slice(start, stop - start), order):
-                    new, times = np.unique(gram, return_counts=True)
-                    value, n = _add(value, n, new, times)
-                    if len(value) > PENDING:
-                        yield _counted(value, n)
-                        value, n = value[:0], n[:0]
-            release_memory()
-        yield _counted(value, n)
+class _Runs:
+    """Counted strings, gathered as sorted runs; runs of similar size are merged."""
 
-    return docs.filter(where).select("text").mapInArrow(count, "gram long, n long") \
-        .groupBy("gram").agg(F.sum("n").alias("n"))
+    def __init__(self):
+        self.runs: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, value: np.ndarray, n: np.ndarray) -> None:
+        self.runs.append((value, n))
+        while len(self.runs) > 1 and len(self.runs[-2][0]) < 2 * len(self.runs[-1][0]):
+            last = self.runs.pop()
+            self.runs[-1] = _add(*self.runs[-1], *last)
+
+    def all(self) -> tuple[np.ndarray, np.ndarray]:
+        while len(self.runs) > 1:
+            last = self.runs.pop()
+            self.runs[-1] = _add(*self.runs[-1], *last)
+        return self.runs[0] if self.runs else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
 def _add(value: np.ndarray, n: np.ndarray, new: np.ndarray, times: np.ndarray
          ) -> tuple[np.ndarray, np.ndarray]:
     """Counts of two sorted sets of strings together."""
-    if not len(value):
-        return new, times
     both = np.concatenate([value, new])
     order = np.argsort(both, kind="stable")  # merges two sorted runs
     both, sums = both[order], np.concatenate([n, times])[order]
+    if not len(both):
+        return both, sums
     first = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1])))
     return both[first], np.add.reduceat(sums, first)
 
 
+def count_grams(docs: DataFrame, where: Column, order: int = ORDER,
+                contexts: np.ndarray | None = None) -> DataFrame:
+    """(gram, n) over all training texts, combined in the tasks before the shuffle; with
+    ``contexts`` (sorted) only of strings whose ``order`` bytes before the last are one."""
+    def count(batches):
+        held = _Runs()
+        for batch in batches:
+            texts = strings(batch.column("text"))
+            for start, stop in byte_slices(texts):
+                for gram, _ in _grams(texts.slice(start, stop - start), order):
+                    if contexts is not None:
+                        gram = gram[_among(gram >> np.uint64(8), contexts)]
+                    held.add(*np.unique(gram, return_counts=True))
+            release_memory()
+            if sum(len(v) for v, _ in held.runs) > PENDING:
+                yield _counted(*held.all())
+                held = _Runs()
+        yield _counted(*held.all())
+
+    return docs.filter(where).select("text").mapInArrow(count, "gram long, n long") \
+        .groupBy("gram").agg(F.sum("n").alias("n"))
+
+
 def _counted(value: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(value.view(np.int64)), pa.array(n.astype(np.int64))], ["gram", "n"])
 
 
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of ``values`` are in the sorted array ``known``."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    at = np.searchsorted(known, values)
+    return known[np.minimum(at, len(known) - 1)] == values
+
+
 # ---------------------------------------------------------------------- trie ----
 class Table:
     """Open addressing from uint64 keys to rows, filled and read by whole arrays."""
@@ -234,27 +272,6 @@ class Trie:
         return out
 
 
-def train_trie(docs: DataFrame, where: Column, order: int = ORDER,
-               share_bits: int = SHARE_BITS) -> Trie:
-    grams = stored(count_grams(docs, where, order), "grams")
-    positions = grams.agg(F.sum("n")).first()[0] or 0
-    least = max(1, math.ceil(positions / (1 << share_bits)))
-    entries, contexts = [], []
-    for k in range(order, -1, -1):
-        # at most 2**share_bits rows each, by the share that a row must hold
-        kept = grams.filter(F.col("n") >= least).toArrow()
-        known = grams.groupBy(F.shiftright("gram", 8).alias("gram")).agg(
-            F.sum("n").alias("n"), F.max("n").alias("most")).filter(
-            F.col("most") >= least).drop("most").toArrow()
-        for rows, table in ((entries, kept), (contexts, known)):
-            rows.insert(0, (table.column("gram").to_numpy().astype(np.uint64),
-                            table.column("n").to_numpy()))
-        if k:  # the first byte goes: marginal sums of what is stored
-            grams = stored(grams.groupBy(F.col("gram").bitwiseAND(
-                F.lit((1 << 8 * k) - 1)).alias("gram")).agg(F.sum("n").alias("n")), "grams")
-    return Trie(entries, contexts)
-
-
 def _sums(gram: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct strings, sorted, with the sum of their counts."""
     value, of = np.unique(gram, return_inverse=True)
@@ -271,67 +288,194 @@ def _levels(gram: np.ndarray, n: np.ndarray, orders: range) -> tuple[list, list]
     return entries, contexts
 
 
-class Model:
-    """All counted strings, stored, and the roots of their trie."""
-
-    def __init__(self, docs: DataFrame, where: Column, order: int = ORDER):
-        self.order, self.spark = order, docs.sparkSession
-        self.grams = stored(count_grams(docs, where, order), "grams")
-        # at most sqrt(2 x positions) distinct counts
-        times = self.grams.groupBy("n").agg(F.count("*").alias("strings")).toArrow() \
-            .sort_by([("n", "descending")])
-        up_to = np.cumsum(times.column("strings").to_numpy())
-        self.distinct = int(up_to[-1]) if len(up_to) else 0
-        fit = int(np.searchsorted(up_to, CACHE, side="right"))
-        self.cached_from = times.column("n")[fit - 1].as_py() if fit else None
-        low = min(order, ROOT - 1)
-        top = self.grams.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * (low + 1)) - 1))
-                                 .alias("gram")).agg(F.sum("n").alias("n")).toArrow()
-        self.roots = self.spark.sparkContext.broadcast(_levels(
-            top.column("gram").to_numpy().astype(np.uint64), top.column("n").to_numpy(),
-            range(low + 1)))
-
-    def cache(self) -> tuple[np.ndarray, np.ndarray]:
-        """The most frequent strings and their logarithms."""
-        if self.cached_from is None:
-            return np.zeros(0, np.uint64), np.zeros(0)
-        known = self._answer(self.grams.withColumn("asked", F.col("n") >= self.cached_from),
-                             self.distinct).toArrow()
-        return (known.column("gram").to_numpy().view(np.uint64), known.column("log10").to_numpy())
-
-    def log10(self, asked: DataFrame, rows: int) -> DataFrame:
-        """(gram, log10) of the distinct strings ``asked``, at most about ``rows`` of them."""
-        return self._answer(self.grams.withColumn("asked", F.lit(False)).unionByName(
-            asked.select("gram", F.lit(0).cast("long").alias("n"), F.lit(True).alias("asked"))),
-            self.distinct + rows)
-
-    def _answer(self, strings_: DataFrame, rows: int) -> DataFrame:
-        roots, order = self.roots, self.order
-
-        def answer(batches):
-            parts = list(batches)
-            if not parts:
-                return
-            table = pa.Table.from_batches(parts)
-            del parts
-            gram = table.column("gram").to_numpy().view(np.uint64)
-            n = table.column("n").to_numpy()
-            asked = gram[np.asarray(table.column("asked"), bool)]
-            del table
-            entries, contexts = roots.value
-            own = _levels(gram[n > 0], n[n > 0], range(len(entries), order + 1))
-            trie = Trie(entries + own[0], contexts + own[1])
-            for at in range(0, len(asked), SCORE_CHUNK):
-                part = asked[at:at + SCORE_CHUNK]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(part.view(np.int64)), pa.array(trie.log10(part))],
-                    ["gram", "log10"])
-            del trie, own, gram, n, asked
-            release_memory()
+_LOW3 = np.uint64((1 << 24) - 1)
+
+
+def _turned(gram: np.ndarray) -> np.ndarray:
+    """The last three context bytes first, then the earlier ones and the symbol: strings of a
+    shard that follow each other differ little."""
+    return ((gram >> np.uint64(8) & _LOW3) << np.uint64(32)
+            | (gram >> np.uint64(32)) << np.uint64(8) | gram & np.uint64(0xFF))
+
+
+def _unturned(value: np.ndarray) -> np.ndarray:
+    return ((value >> np.uint64(8) & _LOW3) << np.uint64(32)
+            | (value >> np.uint64(32)) << np.uint64(8) | value & np.uint64(0xFF))
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Sorted values as differences, byte plane by byte plane, which compresses well."""
+    steps = np.diff(values, prepend=values.dtype.type(0))
+    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
 
-        shards = max(1, math.ceil(rows / SHARD_ROWS))
-        root = F.shiftrightunsigned("gram", 8).bitwiseAND(F.lit((1 << 8 * ROOT) - 1))
-        return strings_.repartition(shards, root).mapInArrow(answer, "gram long, log10 double")
+
+def _unpacked(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(data, np.uint8).reshape(size, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(kind).ravel(), dtype=kind)
+
+
+@dataclass
+class Roots:
+    """What all shards hold: entries and contexts of the orders below ``ROOT``, the hot
+    contexts of ``ROOT`` bytes (sorted), and the counted symbols after them."""
+    entries: list[tuple[np.ndarray, np.ndarray]]
+    contexts: list[tuple[np.ndarray, np.ndarray]]
+    hot: np.ndarray
+    hot_entries: tuple[np.ndarray, np.ndarray]
+    shards: int
+
+    def shard_of(self, gram: np.ndarray) -> np.ndarray:
+        context = gram >> np.uint64(8) & _LOW3
+        longer = gram >> np.uint64(8) & np.uint64((1 << 32) - 1) | np.uint64(1 << 40)
+        key = np.where(_among(context, self.hot), longer, context)
+        return ((key * _MIX >> np.uint64(33)) % np.uint64(self.shards)).astype(np.int32)
+
+    def trie(self, gram: np.ndarray, n: np.ndarray, order: int) -> Trie:
+        """Trie of a shard's counted strings; the symbols after hot contexts, of which a shard
+        has only some, are taken from the whole."""
+        first = len(self.entries)
+        entries, contexts = _levels(gram, n, range(first, order + 1))
+        if len(self.hot) and entries:
+            known, times = entries[0]
+            mine = np.unique(known >> np.uint64(8))
+            mine = mine[_among(mine, self.hot)]
+            local = ~_among(known >> np.uint64(8), mine)
+            whole, sums = self.hot_entries
+            extra = _among(whole >> np.uint64(8), mine)
+            entries[0] = _sums(np.concatenate([known[local], whole[extra]]),
+                               np.concatenate([times[local], sums[extra]]))
+            contexts[0] = _sums(entries[0][0] >> np.uint64(8), entries[0][1])
+        return Trie(self.entries + entries, self.contexts + contexts)
+
+
+def learn_roots(docs: DataFrame, where: Column, order: int = ORDER) -> Roots:
+    """At most 256**ROOT counted strings, and 256 for each of at most 1 / HOT_SHARE hot
+    contexts, come to the driver."""
+    def collected(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        table = counts.toArrow()
+        return (table.column("gram").to_numpy().view(np.uint64), table.column("n").to_numpy())
+
+    low = min(order, ROOT - 1)
+    entries, contexts = _levels(*collected(count_grams(docs, where, low)), range(low + 1))
+    string, n = entries[low]
+    positions = int(n.sum())
+    # a string of ROOT bytes is a context as often as it occurs before a further byte
+    hot = np.sort(string[n > positions * HOT_SHARE]) if order > ROOT else string[:0]
+    after = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    if len(hot):
+        after = collected(count_grams(docs, where, ROOT, hot))
+    whole = docs.agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 1)).first()[0] or 0
+    return Roots(entries, contexts, hot, after,
+                 max(1, min(MAX_SHARDS, -(-whole // SHARD_POSITIONS))))
+
+
+# -------------------------------------------------------------------- chunks ----
+def _by_chunk(batches, chunk_bytes: int):
+    """(chunk, batch) of consecutive rows: a task's rows are cut where their bytes add up to
+    multiples of ``chunk_bytes``, however they are batched."""
+    task, before = TaskContext.get().partitionId() << 36, 0
+    for batch in batches:
+        sizes = np.diff(utf8_parts(strings(batch.column("text")))[1]) + 1
+        number = (before + np.cumsum(sizes) - sizes) // chunk_bytes
+        before += int(sizes.sum())
+        cut = np.flatnonzero(np.diff(number)) + 1
+        for start, stop in zip([0, *cut], [*cut, len(number)], strict=True):
+            if stop > start:
+                yield task + int(number[start]), batch.slice(start, stop - start)
+
+
+def _distinct(runs: _Runs, texts: pa.Array, learn: np.ndarray, order: int) -> None:
+    """Add the strings of ``texts``, turned; those of texts that are not learned count 0."""
+    for learned in (True, False):
+        own = texts.filter(pa.array(learn == learned))
+        for start, stop in byte_slices(own):
+            for gram, _ in _grams(own.slice(start, stop - start), order):
+                value, n = np.unique(_turned(gram), return_counts=True)
+                runs.add(value, n if learned else np.zeros(len(n), np.int64))
+
+
+def string_answers(docs: DataFrame, roots: Roots, order: int = ORDER) -> DataFrame:
+    """(chunk, shard, log10 binary): the logarithms of each chunk's distinct strings, those of
+    one shard in turned order.  ``docs`` has text and held_out."""
+    held = docs.sparkSession.sparkContext.broadcast(roots)
+    chunk_bytes = CHUNK_BYTES
+
+    def pieces(batches):
+        roots = held.value
+
+        def sent(chunk, runs):
+            value, n = runs.all()
+            shard = roots.shard_of(_unturned(value))
+            by_shard = np.argsort(shard, kind="stable")
+            shard, value, n = shard[by_shard], value[by_shard], n[by_shard]
+            bounds = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1], [True])))
+            cuts = list(zip(bounds, bounds[1:]))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(cuts), chunk)), pa.array(shard[bounds[:-1]]),
+                 pa.array([_packed(value[a:b]) for a, b in cuts], pa.binary()),
+                 pa.array([np.ascontiguousarray(n[a:b].astype("<u4").view(np.uint8).reshape(
+                     -1, 4).T).tobytes() for a, b in cuts], pa.binary())],
+                ["chunk", "shard", "grams", "counts"])
+
+        now, runs = None, _Runs()
+        for chunk, batch in _by_chunk(batches, chunk_bytes):
+            if chunk != now and now is not None:
+                yield sent(now, runs)
+                runs = _Runs()
+                release_memory()
+            now = chunk
+            _distinct(runs, strings(batch.column("text")),
+                      ~np.asarray(batch.column("held_out"), bool), order)
+        if now is not None:
+            yield sent(now, runs)
+        release_memory()
+
+    def answer(table: pa.Table) -> pa.Table:
+        runs = _Runs()
+        for grams, counts in zip(table.column("grams"), table.column("counts"), strict=True):
+            n = np.frombuffer(counts.as_py(), np.uint8).reshape(4, -1).T
+            runs.add(_unpacked(grams.as_py(), np.uint64),
+                     np.ascontiguousarray(n).view("<u4").ravel().astype(np.int64))
+        value, n = runs.all()
+        gram = _unturned(value)
+        trie = held.value.trie(gram[n > 0], n[n > 0], order)
+        log10 = np.concatenate([trie.log10(gram[a:a + SCORE_CHUNK])
+                                for a in range(0, len(gram), SCORE_CHUNK)])
+        del trie, gram, runs, n
+        out = [log10[np.searchsorted(value, _unpacked(x.as_py(), np.uint64))].tobytes()
+               for x in table.column("grams")]
+        release_memory()
+        return pa.table({"chunk": table.column("chunk"), "shard": table.column("shard"),
+                         "log10": pa.array(out, pa.binary())})
+
+    sent = docs.select("held_out", "text").mapInArrow(
+        pieces, "chunk long, shard int, grams binary, counts binary")
+    return sent.groupBy("shard").applyInArrow(answer, "chunk long, shard int, log10 binary")
+
+
+def _chunk_scores(texts: pa.Array, learn: np.ndarray, answers: pa.Table, roots: Roots,
+                  order: int) -> np.ndarray:
+    """log10 probability of each text of a chunk."""
+    runs = _Runs()
+    _distinct(runs, texts, learn, order)
+    value, _ = runs.all()
+    del runs
+    by_shard = np.argsort(roots.shard_of(_unturned(value)), kind="stable")
+    parts = answers.sort_by("shard").column("log10").to_pylist()
+    log10 = np.empty(len(value))
+    found = np.frombuffer(b"".join(parts), np.float64)
+    if len(found) != len(value):
+        raise RuntimeError("the documents' scan gave other rows than before")
+    log10[by_shard] = found
+    del parts, found, by_shard
+    total = np.zeros(len(texts))
+    for start, stop in byte_slices(texts):
+        for gram, text in _grams(texts.slice(start, stop - start), order, SCORE_CHUNK):
+            own, at = np.unique(_turned(gram), return_inverse=True)
+            logs = log10[np.searchsorted(value, own)]
+            total += np.bincount(text + start, logs[at], len(texts))
+    return total
 
 
 def adaptive_log10(text: str, order: int = ORDER) -> float:
@@ -409,16 +553,6 @@ def _rare_lists(parts: list[tuple[np.ndarray, pa.Array, np.ndarray]], n: int,
     return pa.ListArray.from_arrays(pa.array(bounds), pairs)
 
 
-def _per_text(text: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-    """(text, string, times) of the distinct pairs."""
-    order = np.lexsort((gram, text))
-    text, gram = text[order], gram[order]
-    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(text)), bool),
-                                           (text[1:] != text[:-1]) | (gram[1:] != gram[:-1]))))
-    times = np.diff(np.append(first, len(text)))
-    return text[first], pa.array(gram[first].view(np.int64)), times
-
-
 def _summed(held: list[pa.Table]) -> list[pa.RecordBatch]:
     if not held:
         return []
@@ -430,65 +564,62 @@ def score(docs: DataFrame, learn: Column, order: int = ORDER) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row."""
     docs = docs.select("doc_id", "text", (~learn).alias("held_out"))
     where = ~F.col("held_out")
-    model = Model(docs, where, order)
+    roots = learn_roots(docs, where, order)
     words = stored(count_words(docs, where), "word-counts")
     n_all, n_distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     common = words.filter(F.col("n") * (1 << WORD_BITS) >= n_all)
     table = common.toArrow()  # at most 2**WORD_BITS rows
-    spark = docs.sparkSession
-    cached, log10 = model.cache()
-    held = spark.sparkContext.broadcast(
-        (Table(cached), log10, table.column("word").combine_chunks().cast(pa.large_string()),
+    held = docs.sparkSession.sparkContext.broadcast(
+        (roots, table.column("word").combine_chunks().cast(pa.large_string()),
          table.column("n").to_numpy()))
     bottom = n_all + 0.1 * (n_distinct + 1)
     kind = docs.schema["doc_id"].dataType.simpleString()
+    chunk_bytes = CHUNK_BYTES
+
+    def number(batches):
+        for chunk, batch in _by_chunk(batches, chunk_bytes):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(batch.num_rows, chunk)), *batch.columns],
+                ["chunk", *batch.schema.names])
 
-    def measure(batches):
-        cached, log10, known, counts = held.value
+    def measure(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        roots, known, counts = held.value
         value = np.log10((np.append(counts, 0) + 0.1) / bottom)
         end = pc.index_in(pa.array([""], pa.large_string()), known).to_pylist()[0]
-        for batch in batches:
-            whole = strings(batch.column("text"))
-            for start, stop in byte_slices(whole):
-                texts = whole.slice(start, stop - start)
-                n = len(texts)
-                total = np.zeros(n)
-                rare_grams: list[tuple[np.ndarray, pa.Array, np.ndarray]] = []
-                for gram, text in _grams(texts, order, SCORE_CHUNK):
-                    at = cached.find(gram)
-                    hit = at >= 0
-                    total += np.bincount(text[hit], log10[at[hit]], n)
-                    rare_grams.append(_per_text(text[~hit], gram[~hit]))
-                tokens = np.ones(n, np.int64)
-                in_table = np.full(n, 0 if end is None else 1, np.int64)
-                base = np.full(n, value[-1 if end is None else end])
-                rare: list[tuple[np.ndarray, pa.Array, np.ndarray]] = []
-                for pieces, owner in text_pieces(texts):
-                    names, number, text = _words(pieces)
-                    row = owner[text]
-                    tokens += np.bincount(row, minlength=n)
-                    at = np.asarray(pc.index_in(names, known).fill_null(-1))[number]
-                    hit = at >= 0
-                    in_table += np.bincount(row[hit], minlength=n)
-                    base += np.bincount(row[hit], value[at[hit]], n)
-                    pair, times = np.unique(row[~hit].astype(np.int64) * len(names)
-                                            + number[~hit], return_counts=True)
-                    rare.append((pair // max(1, len(names)), names.take(pa.array(
-                        pair % max(1, len(names)))).cast(pa.string()), times))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(start, n),
-                     batch.column("held_out").slice(start, n), pa.array(tokens),
-                     pa.array(in_table), pa.array(base), pa.array(total),
-                     _rare_lists(rare, n, "word", pa.string()),
-                     _rare_lists(rare_grams, n, "gram", pa.int64())],
-                    ["doc_id", "held_out", "n_tokens", "n_common", "common_score",
-                     "cached_score", "rare", "rare_grams"])
-            release_memory()
+        texts = strings(rows.column("text").combine_chunks())
+        n = len(texts)
+        total = _chunk_scores(texts, ~np.asarray(rows.column("held_out"), bool), answers, roots,
+                              order)
+        tokens = np.ones(n, np.int64)
+        in_table = np.full(n, 0 if end is None else 1, np.int64)
+        base = np.full(n, value[-1 if end is None else end])
+        rare: list[tuple[np.ndarray, pa.Array, np.ndarray]] = []
+        for pieces, owner in text_pieces(texts):
+            names, word, text = _words(pieces)
+            row = owner[text]
+            tokens += np.bincount(row, minlength=n)
+            at = np.asarray(pc.index_in(names, known).fill_null(-1))[word]
+            hit = at >= 0
+            in_table += np.bincount(row[hit], minlength=n)
+            base += np.bincount(row[hit], value[at[hit]], n)
+            pair, times = np.unique(row[~hit].astype(np.int64) * len(names) + word[~hit],
+                                    return_counts=True)
+            rare.append((pair // max(1, len(names)), names.take(pa.array(
+                pair % max(1, len(names)))).cast(pa.string()), times))
+        out = pa.table({
+            "doc_id": rows.column("doc_id"), "held_out": rows.column("held_out"),
+            "n_tokens": pa.array(tokens), "n_common": pa.array(in_table),
+            "common_score": pa.array(base), "score": pa.array(total),
+            "rare": _rare_lists(rare, n, "word", pa.string())})
+        release_memory()
+        return out
 
-    scored = docs.mapInArrow(
+    numbered = docs.mapInArrow(
+        number, f"chunk long, doc_id {kind}, text string, held_out boolean")
+    scored = numbered.groupBy("chunk").cogroup(
+        string_answers(docs, roots, order).groupBy("chunk")).applyInArrow(
         measure, f"doc_id {kind}, held_out boolean, n_tokens long, n_common long, "
-        "common_score double, cached_score double, rare array<struct<word:string,times:int>>, "
-        "rare_grams array<struct<gram:long,times:int>>")
+        "common_score double, score double, rare array<struct<word:string,times:int>>")
     # written once, so the row numbers hold for both uses below
     scored = stored(scored.withColumn("row", F.monotonically_increasing_id()), "scored-texts")
     others = words.filter(F.col("n") * (1 << WORD_BITS) < n_all)
@@ -497,14 +628,9 @@ def score(docs: DataFrame, learn: Column, order: int = ORDER) -> DataFrame:
     sums = rare.groupBy("row").agg(
         F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("n_rare"),
         F.sum(F.col("times") * F.log10((n + F.lit(0.1)) / F.lit(bottom))).alias("rare_score"))
-    others = scored.select("row", F.inline("rare_grams"))
-    asked = stored(others.select("gram").distinct(), "rare-grams")
-    gram_sums = others.join(model.log10(asked, asked.count()), "gram").groupBy("row").agg(
-        F.sum(F.col("times") * F.col("log10")).alias("gram_score"))
-    return scored.drop("rare", "rare_grams").join(sums, "row", "left") \
-        .join(gram_sums, "row", "left").select(
+    return scored.drop("rare").join(sums, "row", "left").select(
         "doc_id", "held_out", "n_tokens",
         (F.col("n_common") + F.coalesce("n_rare", F.lit(0))).alias("n_known"),
         F.lit(n_all).cast("long").alias("train_tokens"),
         (F.col("common_score") + F.coalesce("rare_score", F.lit(0.0))).alias("base_score"),
-        (F.col("cached_score") + F.coalesce("gram_score", F.lit(0.0))).alias("score"))
+        "score")

@@ -59,26 +59,54 @@ def docs_of(spark, texts):
                                  "doc_id long, text string, n int, word string")
 
 
-@pytest.mark.parametrize("share_bits", [21, 5])
-def test_trie_equals_brute_force(spark, texts, share_bits):
-    trie = ppm.train_trie(docs_of(spark, texts), F.lit(True), 3, share_bits)
+def whole_trie(spark, texts, order, hot_share=None):
+    """The trie that one shard of all strings has."""
+    docs = docs_of(spark, texts)
+    roots = ppm.learn_roots(docs, F.lit(True), order)
+    grams = ppm.count_grams(docs, F.lit(True), order).toArrow()
+    return roots.trie(grams.column("gram").to_numpy().view(np.uint64),
+                      grams.column("n").to_numpy(), order)
+
+
+def test_trie_equals_brute_force(spark, texts):
+    trie = whole_trie(spark, texts, 3)
     counts = brute_counts(texts, 3)
-    least = max(1, math.ceil(sum(counts[b""].values()) / (1 << share_bits)))
-    assert (least > 1) == (share_bits == 5)
     for text in [*texts, "a strange Text with the cat", "zzz", "\x00"]:
         got = sum(trie.log10(g).sum() for g, _ in ppm._grams(strings(pa.array(
             [text], pa.string())), 3))
-        assert got == pytest.approx(brute_log10(text, counts, 3, least), abs=1e-9)
+        assert got == pytest.approx(brute_log10(text, counts, 3, 1), abs=1e-9)
 
 
 def test_probabilities_sum_to_one(spark, texts):
-    trie = ppm.train_trie(docs_of(spark, texts), F.lit(True), 3, 6)
+    trie = whole_trie(spark, texts, 3)
     for context in (b"the", b"t s", b"zzz", b"\xff\xff\xff", b"e c"):
         base = int.from_bytes(context, "big") << 8
         grams = np.asarray([base | s for s in range(256)], np.uint64)
         assert (10 ** trie.log10(grams)).sum() == pytest.approx(1, abs=1e-9)
 
 
+def test_packed_strings_come_back():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 5000):
+        gram = np.unique(rng.integers(0, 1 << 56, n, dtype=np.uint64))
+        turned = np.sort(ppm._turned(gram))
+        assert (ppm._unpacked(ppm._packed(turned), np.uint64) == turned).all()
+        assert (np.sort(ppm._unturned(turned)) == gram).all()
+
+
+def test_runs_add_up():
+    rng = np.random.default_rng(3)
+    runs, want = ppm._Runs(), Counter()
+    for _ in range(40):
+        value, n = np.unique(rng.integers(0, 500, rng.integers(0, 90)).astype(np.uint64),
+                             return_counts=True)
+        runs.add(value, n)
+        want.update(dict(zip(value.tolist(), n.tolist(), strict=True)))
+    value, n = runs.all()
+    assert dict(zip(value.tolist(), n.tolist(), strict=True)) == want
+    assert (np.diff(value.astype(np.int64)) > 0).all()
+
+
 def test_chunks_do_not_matter(texts):
     array = strings(pa.array([*texts, "long text " * 100]))
     whole = [np.concatenate(x) for x in zip(*ppm._grams(array, 4))]

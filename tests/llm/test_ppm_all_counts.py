@@ -42,9 +42,24 @@ def test_rare_strings_count_in_a_large_corpus(spark):
     check(spark, [(MANY * 400, 120), *((t, 1) for t in RARE)], 6)
 
 
-@pytest.mark.parametrize("order", [6, 3, 2, 1])
-@pytest.mark.parametrize("cache", [0, 9, 1 << 22])
-def test_cache_and_shards_change_no_score(spark, monkeypatch, order, cache):
-    monkeypatch.setattr(ppm, "CACHE", cache)
-    monkeypatch.setattr(ppm, "SHARD_ROWS", 20)
+@pytest.mark.parametrize("order", [6, 4, 3, 2, 1])
+@pytest.mark.parametrize("chunk,shard,hot", [(32_000_000, 1 << 23, 1 / 256), (60, 10, 0.02),
+                                             (1, 40, 0.001)])
+def test_chunks_shards_and_hot_contexts_change_no_score(spark, monkeypatch, order, chunk, shard,
+                                                        hot):
+    monkeypatch.setattr(ppm, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(ppm, "SHARD_POSITIONS", shard)
+    monkeypatch.setattr(ppm, "HOT_SHARE", hot)
     check(spark, [(MANY, 3), *((t, 1) for t in RARE)], order)
+
+
+def test_a_scan_that_changes_between_its_reads_is_an_error():
+    import numpy as np
+    import pyarrow as pa
+
+    nothing = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    roots = ppm.Roots([nothing] * 3, [nothing] * 3, nothing[0], nothing, 1)
+    answers = pa.table({"shard": pa.array([0], pa.int32()),
+                        "log10": pa.array([np.zeros(2).tobytes()], pa.binary())})
+    with pytest.raises(RuntimeError, match="other rows"):
+        ppm._chunk_scores(pa.array(["abc"], pa.large_string()), np.array([True]), answers, roots, 6)
