@@ -1,8 +1,8 @@
 """Approximate nearest neighbours (5): a block matrix join with exact results.
 
-Query rows are dealt to blocks of about ``QUERY_BLOCK`` rows by the hash of their id.
-Each block is broadcast (its size is bounded) and meets all candidate rows in one pass,
-tile by tile:
+Query rows are dealt to blocks of about ``QUERY_BLOCK`` rows by the hash of their number.
+One block after the other is broadcast (its size is bounded) and meets all candidate rows in
+one pass, tile by tile; its lists are written before the next block is read:
 
 1. Vectors are quantised to int8 with one scale each.  A tile's inner products of
    int8 values are exact integers; scaled back they differ from the true ones by at
@@ -15,9 +15,10 @@ The tasks' heaps are merged for each query.  Nothing is lost to the quantisation
 recall is 1.
 
 Defined cases: vectors that are null, empty or zero, or hold null or non-finite components, and
-rows with a null id, take no part; an id that repeats counts once, with its smallest
-vector; a query meets candidates of its own dimension only; ties go to the smaller id;
-fewer than k candidates give them all; further columns are ignored.
+rows with a null id, take no part; all rows of an id that repeats are candidates, and each of
+them is a query of its own if the id is one, which leaves out its own row alone; a query meets
+candidates of its own dimension only; ties go to the smaller id; fewer than k candidates give
+them all; further columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from canopy.llm.common import stored
+
 QUERY_BLOCK = 8_192
 TILE = 4_096
 QUERY_TILE = 1_024
@@ -80,16 +83,16 @@ def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class _Best:
     """Heaps of the k best (score, -id) of each query; the k-th score is its threshold."""
 
-    def __init__(self, ids: np.ndarray, queries: _Quantised, k: int):
-        self.ids, self.queries, self.k = ids, queries, k
-        self.heaps: list[list[tuple[float, int]]] = [[] for _ in ids]
-        self.least = np.full(len(ids), -np.inf)
+    def __init__(self, rows: np.ndarray, queries: _Quantised, k: int):
+        self.rows, self.queries, self.k = rows, queries, k
+        self.heaps: list[list[tuple[float, int]]] = [[] for _ in rows]
+        self.least = np.full(len(rows), -np.inf)
 
-    def meet(self, ids: np.ndarray, rows: _Quantised) -> None:
-        for start in range(0, len(self.ids), QUERY_TILE):
+    def meet(self, numbers: np.ndarray, ids: np.ndarray, rows: _Quantised) -> None:
+        for start in range(0, len(self.rows), QUERY_TILE):
             part = slice(start, start + QUERY_TILE)
             product, bound = _tile(self.queries.rows(part), rows)
-            own = self.ids[part][:, None] == ids[None, :]
+            own = self.rows[part][:, None] == numbers[None, :]
             product[own] = -np.inf
             lower = product - bound
             least = self.least[part]
@@ -113,13 +116,13 @@ class _Best:
 
 
 def clean(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id, embedding) rows that take part, one for each id."""
+    """(row, vec_id, embedding) of the rows that take part; stored, so row numbers stay."""
     ok = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double"))
                   & (F.abs(x.cast("double")) < F.lit(float("inf"))))
     some = F.exists("embedding", lambda x: x != 0)
-    return vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("embedding")) \
-        .filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()) \
-        .filter(ok & some).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    kept = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("embedding")) \
+        .filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).filter(ok & some)
+    return stored(kept.withColumn("row", F.monotonically_increasing_id()), "vectors")
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id",
@@ -128,46 +131,54 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     rows = clean(vectors, id_col, vector_col)
     queries = rows.filter(is_query)
     n_blocks = queries.count() // QUERY_BLOCK + 1
-    lists = None
+    lists = []
     for block in range(n_blocks):
-        part = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == block).toArrow()
-        found = _block_join(rows, part, k)
-        lists = found if lists is None else lists.union(found)
+        part = queries.filter(F.pmod(F.xxhash64("row"), F.lit(n_blocks)) == block).toArrow()
+        lists.append(_block_join(rows, part, k))
+    found = lists[0]
+    for more in lists[1:]:
+        found = found.union(more)
     # the limit on the rank reaches the map side of this window
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return lists.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k) \
+    order = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k) \
         .select("query_id", "rank", "vec_id", "score")
 
 
-def _by_dimension(ids: np.ndarray, column: pa.Array):
+def _by_dimension(table) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(dimension, rows, ids, vectors) of a table or batch of vectors."""
+    column = table.column("embedding")
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    numbers, ids = (table.column(c).to_numpy() for c in ("row", "vec_id"))
     sizes = np.asarray(column.value_lengths())
+    out = []
     for width in np.unique(sizes):
         at = np.flatnonzero(sizes == width)
         flat = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False)
-        yield int(width), ids[at], flat.reshape(len(at), int(width))
+        out.append((int(width), numbers[at], ids[at], flat.reshape(len(at), int(width))))
+    return out
 
 
 def _block_join(rows: DataFrame, part: pa.Table, k: int) -> DataFrame:
-    ids = part.column("vec_id").to_numpy()
-    order = np.argsort(ids)
-    table = part.column("embedding").combine_chunks().take(pa.array(order)) \
-        if len(ids) else pa.array([], pa.list_(pa.float64()))
+    """(query, query_id, vec_id, score) of the tasks' heaps for one block; stored."""
     held = rows.sparkSession.sparkContext.broadcast(
-        {w: (i, v) for w, i, v in _by_dimension(ids[order], table)})
+        {w: (n, i, v) for w, n, i, v in _by_dimension(part.sort_by("row"))} if len(part) else {})
 
     def join(batches):
-        best = {w: _Best(i, _Quantised(v), k) for w, (i, v) in held.value.items()}
+        best = {w: _Best(n, _Quantised(v), k) for w, (n, _, v) in held.value.items()}
         for batch in batches:
             for start in range(0, batch.num_rows, TILE):
-                tile = batch.slice(start, TILE)
-                own = tile.column("vec_id").to_numpy()
-                for width, i, v in _by_dimension(own, tile.column("embedding")):
+                for width, n, i, v in _by_dimension(batch.slice(start, TILE)):
                     if width in best:
-                        best[width].meet(i, _Quantised(v))
-        out = [(int(q), -other, s) for b in best.values()
-               for q, heap in zip(b.ids, b.heaps, strict=True) for s, other in heap]
+                        best[width].meet(n, i, _Quantised(v))
+        out = [(int(n), int(q), -other, s) for w, b in best.items()
+               for n, q, heap in zip(b.rows, held.value[w][1], b.heaps, strict=True)
+               for s, other in heap]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()),
-             pa.array([x[2] for x in out], pa.float64())], ["query_id", "vec_id", "score"])
+            [pa.array([x[c] for x in out], pa.float64() if c == 3 else pa.int64())
+             for c in range(4)], ["query", "query_id", "vec_id", "score"])
 
-    return rows.mapInArrow(join, "query_id long, vec_id long, score double")
+    found = stored(rows.mapInArrow(join, "query long, query_id long, vec_id long, score double"),
+                   "nearest-lists")
+    held.unpersist()
+    return found

@@ -40,18 +40,17 @@ FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)"""
 
 ORACLE["op5_nearest_neighbours"] = """
 WITH v AS (
-  SELECT vec_id, min(CAST(embedding AS DOUBLE[])) AS e FROM embeddings
+  SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
-  GROUP BY vec_id),
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 p AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.e, c.e) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+  SELECT q.r, q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.e, c.e) AS score
+  FROM v q JOIN v c ON q.r <> c.r AND len(q.e) = len(c.e)
   WHERE q.vec_id % 20 = 0)
 SELECT query_id, rank, vec_id, score FROM (
   SELECT query_id, vec_id, score, CAST(row_number() OVER (
-    PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
+    PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
 WHERE rank <= 20"""
 
 # the order of first occurrence needs the text hash only among rows that share an id

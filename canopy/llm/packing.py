@@ -1,21 +1,26 @@
-"""Packing (10): cost-balanced training sequences, planned inside each Arrow batch.
+"""Packing (10): cost-balanced training sequences without padding.
 
-A document is its token ids and one closing id.  Whole multiples of the capacity
-leave a long document as full sequences of their own.  The rests of a run of
-documents, T tokens together, go into T // capacity open sequences and into short
-ones whose lengths are the powers of two of T % capacity, so the plan has no
-padding.  Rests are taken in descending length; each enters the sequence of lowest
-cost (linear plus quadratic attention cost of its pieces) that has room for all of
-it.  A rest that fits nowhere is cut at the room of the cheapest open sequence.
+A document is its token ids and one closing id.  Whole multiples of the capacity leave a long
+document as full sequences of their own.  The rests are packed in two steps:
 
-The plan needs only the rows of one run (bounded bytes), so there is no shuffle
-and nothing to collect; sequence ids hold the task's partition and a counter, and
-a repeated task gives the same rows.
+1. Inside a task, runs of documents (``RUN_BYTES`` of text, whatever the Arrow batches): the
+   rests, T tokens together, fill T // capacity sequences.  The T % capacity tokens left over,
+   those of the shortest rests, are passed on.
+2. What all runs pass on is dealt to groups of about ``GROUP_TOKENS`` tokens by row number and
+   packed there.  Only a group's last T % capacity tokens go into short sequences, whose
+   lengths are the powers of two of that number.
+
+In both steps rests are taken in descending length; each enters the sequence of lowest cost
+(linear plus quadratic attention cost of its pieces) that has room for all of it.  A rest that
+fits nowhere is cut at the room of the cheapest open sequence.
+
+A run passes on fewer than ``capacity`` tokens, so the second step shuffles little unless
+partitions are tiny; then it does the packing.  Sequence ids hold the task's partition or the
+group and a counter.
 
 Defined cases: a null text is empty and gives the closing id alone; a null doc_id
 stays null; each input row is packed on its own, repeated rows too; ties in length
-go by position in the batch; further columns are ignored; an empty table gives no
-pieces.
+go by position; further columns are ignored; an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -30,9 +35,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm.common import SLICE_BYTES, byte_slices, release_memory, strings, text_pieces
+from canopy.llm.common import (
+    SLICE_BYTES,
+    byte_slices,
+    release_memory,
+    stored,
+    strings,
+    text_pieces,
+    utf8_parts,
+)
 from canopy.llm.words import encoder
 
+RUN_BYTES = 2 * SLICE_BYTES
+GROUP_TOKENS = 1 << 20
 #: Cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n.
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 
@@ -73,42 +88,106 @@ def plan(lengths: list[int], capacity: int, linear: float = LINEAR,
     return pieces
 
 
+def set_aside(lengths: list[int], capacity: int) -> list[int]:
+    """Tokens that each document passes on, from its end: of the shortest rests, as many as
+    all rests together have above a multiple of the capacity."""
+    rests = sorted((n % capacity, row) for row, n in enumerate(lengths) if n % capacity)
+    spare = sum(n for n, _ in rests) % capacity
+    out = [0] * len(lengths)
+    for n, row in rests:
+        out[row] = min(n, spare)
+        spare -= out[row]
+        if not spare:
+            break
+    return out
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """(doc ids, texts) of consecutive rows of about ``RUN_BYTES``."""
+    ids, texts, held = [], [], 0
+    for batch in batches:
+        whole = strings(batch.column("text"))
+        for start, stop in byte_slices(whole, RUN_BYTES):
+            part = whole.slice(start, stop - start)
+            size = len(utf8_parts(part)[0])
+            if held and held + size > RUN_BYTES:
+                yield pa.concat_arrays(ids), pa.concat_arrays(texts)
+                ids, texts, held = [], [], 0
+            ids.append(batch.column("doc_id").slice(start, stop - start))
+            texts.append(part)
+            held += size
+    if ids:
+        yield pa.concat_arrays(ids), pa.concat_arrays(texts)
+
+
+def _piece_columns(doc_id: pa.Array, starts: np.ndarray, tokens: np.ndarray,
+                   parts: list[np.ndarray], sequence: np.ndarray, offset: np.ndarray) -> dict:
+    return {
+        "doc_id": doc_id, "start": pa.array(starts, pa.int64()),
+        "length": pa.array([len(x) for x in parts], pa.int64()),
+        "ids_crc32": pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in parts], pa.int64()),
+        "doc_tokens": pa.array(tokens, pa.int64()),
+        "sequence_id": pa.array(sequence, pa.int64()), "offset": pa.array(offset, pa.int64())}
+
+
+def _ids_column(parts: list[np.ndarray]) -> pa.Array:
+    return pa.array([x.astype(np.int32) for x in parts], pa.list_(pa.int32()))
+
+
 def pack(docs: DataFrame, tokenizer_json: str, capacity: int = 2048, closing_id: int = 1,
          with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece; ``with_ids`` adds the piece's token ids (array<int>)."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     vocabulary = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    schema = (f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, "
+              "sequence_id long, offset long")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary.value)
         next_id = TaskContext.get().partitionId() << 36
-        for batch in batches:
-            texts = strings(batch.column("text"))
-            for start, stop in byte_slices(texts, 2 * SLICE_BYTES):
-                ids = _document_ids(encode, texts.slice(start, stop - start), closing_id)
-                placed = plan([len(x) for x in ids], capacity)
-                row, begin, length, sequence, offset = np.asarray(placed, np.int64).T
-                parts = [ids[r][b:b + n] for r, b, n, _, _ in placed]
-                columns = [
-                    batch.column("doc_id").take(pa.array(row + start)), pa.array(begin),
-                    pa.array(length),
-                    pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in parts], pa.int64()),
-                    pa.array(np.asarray([len(x) for x in ids], np.int64)[row]),
-                    pa.array(sequence + next_id), pa.array(offset)]
-                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
-                         "offset"]
-                if with_ids:
-                    columns.append(pa.array([x.astype(np.int32) for x in parts],
-                                            pa.list_(pa.int32())))
-                    names.append("ids")
-                next_id += int(sequence.max()) + 1
-                yield pa.RecordBatch.from_arrays(columns, names)
+        for doc_id, texts in _runs(batches):
+            ids = _document_ids(encode, texts, closing_id)
+            lengths = [len(x) for x in ids]
+            passed = set_aside(lengths, capacity)
+            placed = plan([n - k for n, k in zip(lengths, passed, strict=True)], capacity)
+            loose = [(r, lengths[r] - k, k, 0, 0) for r, k in enumerate(passed) if k]
+            row, begin, _, sequence, offset = np.asarray(placed + loose, np.int64).T
+            parts = [ids[r][b:b + n] for r, b, n, _, _ in placed + loose]
+            columns = _piece_columns(doc_id.take(pa.array(row)), begin,
+                                     np.asarray(lengths, np.int64)[row], parts,
+                                     sequence + next_id, offset)
+            keep = [None] * len(placed) if not with_ids else parts[:len(placed)]
+            columns["ids"] = pa.array([None if x is None else x.astype(np.int32) for x in
+                                       keep + parts[len(placed):]], pa.list_(pa.int32()))
+            columns["loose"] = pa.array([False] * len(placed) + [True] * len(loose))
+            next_id += len(placed)
+            yield pa.RecordBatch.from_pydict(columns)
             release_memory()
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(
-        pieces, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, "
-        "sequence_id long, offset long" + ", ids array<int>" * with_ids)
+    def gather(table: pa.Table) -> pa.Table:
+        ids = [np.asarray(x.values) for x in table.column("ids")]
+        placed = plan([len(x) for x in ids], capacity)
+        row, begin, _, sequence, offset = np.asarray(placed, np.int64).T
+        parts = [ids[r][b:b + n] for r, b, n, _, _ in placed]
+        group = table.column("group")[0].as_py()
+        columns = _piece_columns(
+            table.column("doc_id").combine_chunks().take(pa.array(row)),
+            table.column("start").to_numpy()[row] + begin,
+            table.column("doc_tokens").to_numpy()[row], parts,
+            sequence + (1 << 60 | group << 24), offset)
+        if with_ids:
+            columns["ids"] = _ids_column(parts)
+        return pa.table(columns)
+
+    first = stored(rows.mapInArrow(pieces, schema + ", ids array<int>, loose boolean")
+                   .withColumn("number", F.monotonically_increasing_id()), "packed")
+    names = [c.split()[0] for c in schema.split(", ")] + ["ids"] * with_ids
+    loose = first.filter("loose")
+    groups = (loose.agg(F.sum("length")).first()[0] or 0) // GROUP_TOKENS + 1
+    gathered = loose.withColumn("group", F.pmod("number", F.lit(groups))).groupBy("group") \
+        .applyInArrow(gather, schema + ", ids array<int>" * with_ids)
+    return first.filter("NOT loose").select(*names).unionByName(gathered)
 
 
 def _document_ids(encode, texts: pa.Array, closing_id: int) -> list[np.ndarray]:

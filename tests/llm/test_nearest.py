@@ -9,34 +9,37 @@ from canopy.llm import nearest as N
 
 
 def brute(rows, k):
-    best = {}
-    for i, v in rows:
-        ok = i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)
-        if ok:
-            best[i] = min(best.get(i, v), v)
-    out = {}
-    for q, x in best.items():
+    """One list for each query row, over all other rows."""
+    kept = [(i, v) for i, v in rows if i is not None and v
+            and all(x is not None and math.isfinite(x) for x in v) and any(v)]
+    out = []
+    for n, (q, x) in enumerate(kept):
         if q % 20 == 0:
             pairs = sorted((-float(np.dot(np.float64(x), np.float64(y))), i)
-                           for i, y in best.items() if i != q and len(y) == len(x))
-            out[q] = [(i, -s) for s, i in pairs[:k]]
-    return out
+                           for m, (i, y) in enumerate(kept) if m != n and len(y) == len(x))
+            out += [(q, rank, i, round(-s, 9)) for rank, (s, i) in enumerate(pairs[:k], 1)]
+    return sorted(out)
 
 
 def check(spark, rows, k=5):
-    frame = spark.createDataFrame([(i, v, 1.0) for i, v in rows],
-                                  "vec_id long, embedding array<float>, score double")
-    got = {}
-    for r in N.nearest(frame, F.col("vec_id") % 20 == 0, k).orderBy("query_id", "rank").collect():
-        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
-        assert r["rank"] == len(got[r.query_id])
+    frame = spark.createDataFrame([(i, v, 1.0, 2) for i, v in rows],
+                                  "vec_id long, embedding array<float>, score double, row int")
+    got = [(r.query_id, r["rank"], r.vec_id, round(r.score, 9))
+           for r in N.nearest(frame, F.col("vec_id") % 20 == 0, k).collect()]
     want = brute([(i, None if v is None else [None if x is None else float(np.float32(x))
                                               for x in v]) for i, v in rows], k)
-    want = {q: w for q, w in want.items() if w}
-    assert got.keys() == want.keys()
-    for q in want:
-        assert [i for i, _ in got[q]] == [i for i, _ in want[q]]
-        assert np.allclose([s for _, s in got[q]], [s for _, s in want[q]], rtol=1e-12, atol=1e-12)
+    assert [x[:3] for x in sorted(got)] == [x[:3] for x in want]
+    assert np.allclose([x[3] for x in sorted(got)], [x[3] for x in want], rtol=1e-9, atol=1e-8)
+
+
+def test_all_rows_of_a_repeated_id_are_candidates(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.8, 0.0]), (1, [0.5, 0.0]), (1, [0.9, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = N.nearest(frame, F.col("vec_id") % 20 == 0).collect()
+    assert len(got) == 6
+    assert max(r.score for r in got if r.vec_id == 1) == pytest.approx(0.9)
+    assert sorted(round(r.score, 4) for r in got if r.vec_id == 20) == [0.8, 0.8]
+    check(spark, rows)
 
 
 @pytest.mark.parametrize("block,tile", [(8192, 4096), (3, 7)])

@@ -108,6 +108,66 @@ def test_pack_holds_library_ids(spark):
         assert own.offset.tolist() == [0, *own.length.cumsum().tolist()[:-1]]
 
 
+def sequences(spark, docs):
+    got = packing.pack(docs, JSON).toPandas()
+    sums = got.groupby("sequence_id").length.sum()
+    assert ((sums == 2048) | (sums & (sums - 1) == 0)).all()
+    return len(sums), int(got.length.sum())
+
+
+def test_packing_does_not_depend_on_partitions(spark):
+    texts = ["word of a kind. " * 175] * 40
+    docs = frame(spark, texts)
+    one, tokens = sequences(spark, docs.coalesce(1))
+    many, same = sequences(spark, docs.repartition(40))
+    assert tokens == same
+    assert many <= one * 1.1 and one <= tokens // 2048 + 11
+
+
+def test_packing_does_not_depend_on_batches(spark):
+    docs = frame(spark, ["some words here " * (5 + i % 90) for i in range(300)]).coalesce(1)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    whole = sorted(map(tuple, packing.pack(docs, JSON).collect()))
+    spark.conf.set(name, 7)
+    try:
+        assert sorted(map(tuple, packing.pack(docs, JSON).collect())) == whole
+    finally:
+        spark.conf.unset(name)
+
+
+def test_several_groups_of_left_over_tokens(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_TOKENS", 3000)
+    monkeypatch.setattr(packing, "RUN_BYTES", 2000)
+    docs = frame(spark, ["a few words " * (1 + i % 300) for i in range(200)]).repartition(9)
+    got = packing.pack(docs, JSON, with_ids=True).toPandas()
+    for i, own in got.groupby("doc_id"):
+        own = own.sort_values("start")
+        assert own.start.tolist() == [0, *own.length.cumsum().tolist()[:-1]]
+        assert own.length.sum() == own.doc_tokens.iloc[0]
+    for _, own in got.sort_values("offset").groupby("sequence_id"):
+        assert own.offset.tolist() == [0, *own.length.cumsum().tolist()[:-1]]
+    sums = got.groupby("sequence_id").length.sum()
+    assert ((sums == 2048) | (sums & (sums - 1) == 0)).all()
+    # short sequences only at the end of groups: at most 11 of each
+    groups = got.length.sum() // 3000 + 1
+    assert (sums < 2048).sum() <= 11 * groups
+
+
+@pytest.mark.parametrize("capacity", [1, 8, 100])
+def test_what_is_set_aside_leaves_whole_sequences(capacity):
+    rng = random.Random(capacity)
+    for _ in range(50):
+        lengths = [rng.randrange(1, 300) for _ in range(rng.randrange(1, 20))]
+        aside = packing.set_aside(lengths, capacity)
+        left = [n - k for n, k in zip(lengths, aside)]
+        assert all(0 <= k <= n % capacity for n, k in zip(lengths, aside))
+        assert sum(left) % capacity == 0 and sum(aside) < capacity
+        sums = {}
+        for _, _, n, q, _ in packing.plan(left, capacity):
+            sums[q] = sums.get(q, 0) + n
+        assert set(sums.values()) <= {capacity}
+
+
 def test_empty_table(spark):
     docs = frame(spark, ["a"]).limit(0)
     assert token_counts.count_tokens(docs, JSON).count() == 0
