@@ -6,12 +6,14 @@ language, chosen by the hash of their id.  A language's scripts are those that h
 at least ``SCRIPT_SHARE`` of its letters.
 
 Labelling scores every word of a text under every language: the word's script
-narrows the candidates, then its trigrams' log probabilities add up.  Viterbi over
+narrows the candidates strictly (where it is the script of any learned language), then its
+trigrams' log probabilities add up.  Viterbi over
 the words, with a penalty for each switch, labels the spans.  The chain runs in
 blocks of 64 words for all texts of a slice at once: block matrices first (best
 score from each entry to each exit language), then one pass over the blocks of each
-text, then the words inside each block.  Texts over ``SLICE_BYTES`` are labelled in
-pieces cut at white space; a span ends at a piece's edge.
+text, then the words inside each block.  Texts over ``SLICE_BYTES`` are read in pieces cut
+at white space and labelled by one chain over the words of all pieces, so a cut changes no
+result.
 
 A text's language is that of its opening and closing spans where they agree and hold at
 least ``HOST_SHARE`` of the letters (passages in other languages are then quoted inside
@@ -50,6 +52,10 @@ SCRIPT_SHARE = 0.005
 SWITCH_PENALTY = 8.0
 HOST_SHARE = 0.2
 WORD_RANGE = 12.0
+EXCLUDED = 1e4
+#: Scripts that write no spaces: a whole clause is one run of letters there, so the range of
+#: its score grows with its length, by WORD_RANGE for each so many letters.
+UNSPACED, UNSPACED_WORD = ("han", "kana", "thai", "lao", "khmer"), 4
 BLOCK = 64
 
 # First and last code point of the scripts that narrow the candidates.
@@ -170,13 +176,17 @@ def train(docs: DataFrame, where: Column, lang_col: str = "lang",
 
 
 def _word_scores(x: _Letters, model: Model) -> np.ndarray:
-    """Score of each word under each language, 0 for the best and down to -WORD_RANGE."""
+    """Score of each word under each language, 0 for the best and down to -WORD_RANGE, or
+    -EXCLUDED where the word's script is another language's and not this one's."""
     scores = np.add.reduceat(model.weights[x.bucket], x.word, axis=0)
     allowed = model.allowed[x.kind[x.word]]
     none = ~allowed.any(1)
-    scores = np.where(allowed | none[:, None], scores, -1e9)
+    scores = np.where(allowed | none[:, None], scores, -np.inf)
     scores -= scores.max(1, keepdims=True)
-    np.maximum(scores, -WORD_RANGE, out=scores)
+    unspaced = np.isin(x.kind[x.word], [3 + SCRIPT_NAMES.index(s) for s in UNSPACED])
+    least = -WORD_RANGE * np.where(unspaced, np.maximum(1, x.length / UNSPACED_WORD), 1)
+    scores = np.where(np.isneginf(scores), -EXCLUDED,
+                      np.maximum(scores, least[:, None])).astype(np.float32)
     scores[none] = 0
     return scores
 
@@ -243,6 +253,12 @@ def viterbi(scores: np.ndarray, bounds: np.ndarray, penalty: float = SWITCH_PENA
     return out.T[inside]
 
 
+def _whole(chain, row: int, parts: list[tuple]) -> None:
+    """One chain over all pieces of a long text."""
+    scores, letters, begin, end = (np.concatenate(x) for x in zip(*parts, strict=True))
+    chain(np.asarray([row]), np.asarray([0, len(scores)]), scores, letters, begin, end)
+
+
 def label(docs: DataFrame, model: Model, penalty: float = SWITCH_PENALTY) -> DataFrame:
     """(doc_id, lang_pred, score, spans) of each row.
 
@@ -264,25 +280,53 @@ def label(docs: DataFrame, model: Model, penalty: float = SWITCH_PENALTY) -> Dat
             n = batch.num_rows
             weight = np.zeros((n, n_lang + 1))
             spans: list[list[tuple]] = [[] for _ in range(n)]
-            before = np.zeros(n, np.int64)  # characters of earlier pieces
-            for pieces, owner in text_pieces(strings(batch.column("text")), limit):
+
+            def chain(rows, bounds, scores, letters, begin, end, weight=weight, spans=spans):
+                """Label whole texts: ``rows`` with their words' scores and places."""
+                path = viterbi(scores, bounds, penalty)
+                if not len(path):
+                    return
+                own = np.repeat(rows, np.diff(bounds))
+                np.add.at(weight, (own, path), letters)
+                change = np.flatnonzero((np.diff(path, prepend=-1) != 0)
+                                        | (np.diff(own, prepend=-1) != 0))
+                last = np.append(change[1:], len(path)) - 1
+                for row, a, b, label in zip(own[change].tolist(), begin[change].tolist(),
+                                            end[last].tolist(), path[change].tolist(),
+                                            strict=True):
+                    spans[row].append((a, b, model.languages[label]))
+
+            texts = strings(batch.column("text"))
+            sizes = np.diff(utf8_parts(texts)[1])
+            parts: list[tuple] = []  # words of the pieces of a long text, in order
+            before, held_row = 0, -1
+            for pieces, owner in text_pieces(texts, limit):
                 x = _Letters(pieces)
-                if len(x.at) and n_lang:
-                    bounds = np.searchsorted(x.row, np.arange(len(pieces) + 1))
-                    path = viterbi(_word_scores(x, model), bounds, penalty)
-                    letters = np.add.reduceat((x.kind > 1).astype(np.int64), x.word)
-                    np.add.at(weight, (owner[x.row], path), letters)
-                    change = np.flatnonzero(
-                        (np.diff(path, prepend=-1) != 0) | (np.diff(x.row, prepend=-1) != 0))
-                    last = np.append(change[1:], len(path)) - 1
-                    begin = x.at[x.word[change]]
-                    end = x.at[x.word[last] + x.length[last] - 1] + 1
-                    for a, b, w in zip(begin.tolist(), end.tolist(), change.tolist(),
-                                       strict=True):
-                        row, shift = owner[x.row[w]], before[owner[x.row[w]]] - x.off[x.row[w]]
-                        spans[row].append((int(a + shift), int(b + shift),
-                                           model.languages[path[w]]))
-                np.add.at(before, owner, np.diff(x.off))
+                cut = np.diff(utf8_parts(pieces)[1]) != sizes[owner]
+                bounds = np.searchsorted(x.row, np.arange(len(pieces) + 1)) if len(x.at) \
+                    else np.zeros(len(pieces) + 1, np.int64)
+                some = len(x.at) and n_lang
+                scores = _word_scores(x, model) if some else np.zeros((0, max(1, n_lang)))
+                letters = np.add.reduceat((x.kind > 1).astype(np.int64), x.word) if some else None
+                begin = x.at[x.word] - x.off[x.row] if some else None
+                end = begin + x.at[x.word + x.length - 1] + 1 - x.at[x.word] if some else None
+                for k in np.flatnonzero(cut).tolist():
+                    row = int(owner[k])
+                    if row != held_row and parts:
+                        _whole(chain, held_row, parts)
+                        parts = []
+                    before = 0 if row != held_row else before
+                    held_row, w = row, slice(int(bounds[k]), int(bounds[k + 1]))
+                    if some and w.stop > w.start:
+                        parts.append((scores[w], letters[w], begin[w] + before, end[w] + before))
+                    before += int(x.off[k + 1] - x.off[k])
+                if some and not cut.all():
+                    keep = ~np.repeat(cut, np.diff(bounds))
+                    size = np.where(cut, 0, np.diff(bounds))
+                    chain(owner, np.concatenate(([0], np.cumsum(size))), scores[keep],
+                          letters[keep], begin[keep], end[keep])
+            if parts:
+                _whole(chain, held_row, parts)
             total = weight.sum(1)
             best = weight[:, :n_lang].argmax(1) if n_lang else np.zeros(n, np.int64)
             known = total > 0

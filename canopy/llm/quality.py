@@ -19,6 +19,7 @@ columns are ignored; empty tables give no rows.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +55,73 @@ for _c in b".,;:'-":
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _pair_cell(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return ((a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77))
+            * np.uint32(0xC2B2AE3D)) >> np.uint32(32 - 9)
+
+
+@lru_cache(maxsize=1)
+def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
+    inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
+    return tuple(np.concatenate((np.ones(1, np.uint64), np.cumprod(
+        np.full(n - 1, x, np.uint64)))) for x in (_BASE, inverse))
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2**64."""
+    up, down = _power_table(1 << max(20, (n - 1).bit_length()))
+    return up[:n], down[:n]
+
+
+def _word_keys(data: np.ndarray, off: np.ndarray, kind: np.ndarray, low: np.ndarray):
+    """(first byte, size, hash, text) of each word of a slice."""
+    lengths = np.diff(off)
+    word = kind != 1
+    edge = np.zeros(len(data) + 1, bool)
+    edge[off[:-1][lengths > 0]] = True
+    begin = np.flatnonzero(word & (edge[:-1] | ~np.concatenate(([False], word[:-1]))))
+    if not len(begin):
+        return begin, begin, np.zeros(0, np.uint64), begin
+    # bytes weighted by powers of the base, which the word's first power is divided out of
+    up, down = _powers(len(data))
+    value = np.where(word, (low.astype(np.uint64) + np.uint64(1)) * up, np.uint64(0))
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)))
+    stop = np.append(begin[1:], len(data))
+    size = np.add.reduceat(word.astype(np.int64), begin)
+    mix = (total[stop] - total[begin]) * down[begin] + size.astype(np.uint64)
+    mix = (mix ^ mix >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return begin, size, mix, np.searchsorted(off, begin, side="right") - 1
+
+
+class _LongText:
+    """What joins the pieces of a text that is cut: the byte pair and the repeated word over
+    each cut, and the words that further pieces have seen already."""
+
+    def __init__(self):
+        self.seen = np.zeros(0, np.uint64)
+        self.last_byte = self.last_word = None
+
+    def correct(self, piece: pa.Array, sums: np.ndarray, pairs: np.ndarray) -> None:
+        """Make the figures of the next piece those of its part of the whole text."""
+        data, off = utf8_parts(piece)
+        if not len(data):
+            return
+        kind = _CLASS[data]
+        low = np.where(kind == 3, data + 32, data).astype(np.uint32)
+        if self.last_byte is not None:
+            pairs[_pair_cell(self.last_byte, low[:1])[0]] += 1
+        self.last_byte = low[-1:]
+        begin, _, mix, _ = _word_keys(data, off, kind, low)
+        if not len(begin):
+            return
+        # a piece ends after white space, so no word is cut
+        sums[9] += self.last_word is not None and mix[0] == self.last_word
+        self.last_word = mix[-1]
+        before = len(self.seen)
+        self.seen = np.union1d(self.seen, mix >> np.uint64(24))
+        sums[10] = len(self.seen) - before
+
+
 def _sums(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Additive figures and byte-pair counts of each text of a slice."""
     data, off = utf8_parts(texts)
@@ -70,24 +138,12 @@ def _sums(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         return out, pairs
     # adjacent byte pairs, letters folded to one case
     low = np.where(kind == 3, data + 32, data).astype(np.uint32)
-    h = ((low[:-1] * np.uint32(0x9E3779B1) + low[1:] * np.uint32(0x85EBCA77))
-         * np.uint32(0xC2B2AE3D)) >> np.uint32(32 - 9)
+    h = _pair_cell(low[:-1], low[1:])
     same = row[:-1] == row[1:]
     pairs += np.bincount(row[:-1][same].astype(np.int64) * PAIRS + h[same],
                          minlength=n * PAIRS).reshape(n, PAIRS)
-    # words, by a hash of their letters: count, repeats of the word before, distinct ones
-    word = kind != 1
-    edge = np.zeros(len(data) + 1, bool)
-    edge[off[:-1][lengths > 0]] = True
-    begin = np.flatnonzero(word & (edge[:-1] | ~np.concatenate(([False], word[:-1]))))
+    begin, size, mix, owner = _word_keys(data, off, kind, low)
     if len(begin):
-        value = low.astype(np.uint64) + np.uint64(1)
-        value = np.where(word, (value * _BASE) ^ (value << np.uint64(21)), np.uint64(0))
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)))
-        stop = np.append(begin[1:], len(data))
-        size = np.add.reduceat(word.astype(np.int64), begin)
-        mix = (total[stop] - total[begin]) * _BASE + size.astype(np.uint64)
-        owner = row[begin]
         out[:, 8] = np.bincount(owner, minlength=n)
         again = (mix[1:] == mix[:-1]) & (owner[1:] == owner[:-1])
         out[:, 9] = np.bincount(owner[1:][again], minlength=n)
@@ -103,11 +159,16 @@ def _sums(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def features(texts: pa.Array) -> np.ndarray:
-    """One row of features for each text; long texts add up over their pieces."""
+    """One row of features for each text; the pieces of long texts add up to the whole's."""
     n = len(texts)
     sums, pairs = np.zeros((n, SUMS)), np.zeros((n, PAIRS))
+    sizes = np.diff(utf8_parts(texts)[1])
+    long: dict[int, _LongText] = {}
     for pieces, owner in text_pieces(texts, PIECE_BYTES):
         a, b = _sums(pieces)
+        cut = np.diff(utf8_parts(pieces)[1]) != sizes[owner]
+        for k in np.flatnonzero(cut):
+            long.setdefault(int(owner[k]), _LongText()).correct(pieces.slice(int(k), 1), a[k], b[k])
         np.add.at(sums, owner, a)
         np.add.at(pairs, owner, b)
     length = np.maximum(sums[:, :1], 1)
@@ -131,6 +192,21 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -50, 50)))
 
 
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, least: float = 0.1) -> float:
+    """Share of positives in unlabelled text, from scores alone (no labelled negatives).
+
+    Where a share ``p`` of the unlabelled are positives, at least ``p`` times the positives'
+    share of any score range is found among the unlabelled.  So over all thresholds that a
+    share ``least`` of the positives passes, the smallest ratio of the two shares bounds the
+    prior from above, and is close to it where some range holds hardly any negatives."""
+    if not len(positive) or not len(unlabelled):
+        return 0.5
+    at = np.quantile(positive, np.linspace(0, 1 - least, 200))
+    p = 1 - np.searchsorted(np.sort(positive), at, side="left") / len(positive)
+    u = 1 - np.searchsorted(np.sort(unlabelled), at, side="left") / len(unlabelled)
+    return float(min(0.99, max(0.01, (u / p).min())))
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400,
         rate: float = 0.03, decay: float = 1e-3) -> Scorer:
     """Non-negative risk minimisation; where the negative part falls below zero, its
@@ -139,16 +215,19 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     if not len(positive) or not len(unlabelled):
         return Scorer(np.zeros(width), np.ones(width), np.zeros(width), 0.0)
     mean, scale = unlabelled.mean(0), unlabelled.std(0) + 1e-3
-    xp, xu = (positive - mean) / scale, (unlabelled - mean) / scale
+    # single precision halves the time; sums of thousands of rows leave it precise enough
+    xp, xu = (((x - mean) / scale).astype(np.float32) for x in (positive, unlabelled))
     w = np.zeros(width + 1)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
-        zp, zu = xp @ w[:-1] + w[-1], xu @ w[:-1] + w[-1]
+        w32 = w.astype(np.float32)
+        zp = (xp @ w32[:-1] + w32[-1]).astype(np.float64)
+        zu = (xu @ w32[:-1] + w32[-1]).astype(np.float64)
         sp, su = 1 / (1 + np.exp(-np.clip(zp, -50, 50))), 1 / (1 + np.exp(-np.clip(zu, -50, 50)))
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        up = np.append(xu.T @ su, su.sum()) / len(su) \
-            - prior * np.append(xp.T @ sp, sp.sum()) / len(sp)
-        down = prior * np.append(xp.T @ (sp - 1), (sp - 1).sum()) / len(sp)
+        up = np.append(su.astype(np.float32) @ xu, su.sum()) / len(su) \
+            - prior * np.append(sp.astype(np.float32) @ xp, sp.sum()) / len(sp)
+        down = prior * np.append((sp - 1).astype(np.float32) @ xp, (sp - 1).sum()) / len(sp)
         gradient = down + up if negative >= 0 else -up
         gradient[:-1] += decay * w[:-1]
         m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient ** 2

@@ -26,11 +26,72 @@ def test_risk_separates_with_positives_and_mixture():
     assert (scorer.score(bad) < 0.5).mean() > 0.8
 
 
-def test_features_of_long_text_add_up():
-    words = " ".join(f"w{i % 900}" for i in range(5000))
-    x = quality.features(strings(pa.array([words, "", None, "A!! A!! B!!"])))
-    assert np.isfinite(x).all() and x.shape[0] == 4
-    assert (x[1] == x[2]).all()
+def plain_figures(text):
+    """Words, repeats of the word before, distinct words and byte classes, one by one."""
+    data = (text or "").encode()
+    space = b" \t\n\v\f\r"
+    words = bytes(32 if c in space else c + 32 if 65 <= c <= 90 else c for c in data).split()
+    return (len(data), len(words), sum(a == b for a, b in zip(words, words[1:])),
+            len(set(words)), sum(c in space for c in data), sum(48 <= c <= 57 for c in data),
+            sum(65 <= c <= 90 for c in data), sum(c >= 128 for c in data))
+
+
+TEXTS = [" ".join(f"w{i % 900}" for i in range(5000)), "", None, "A!! A!! B!! é1", "a a\na  b",
+         "one " * 400 + "TWO two", "x" * 700, " lead and trail "]
+
+
+def test_figures_equal_a_plain_count():
+    sums, _ = quality._sums(strings(pa.array(TEXTS)))
+    for text, row in zip(TEXTS, sums):
+        got = (row[0], row[8], row[9], row[10], row[1], row[2], row[3], row[5])
+        assert got == plain_figures(text)
+
+
+@pytest.mark.parametrize("size", [40, 333, 5000])
+def test_features_do_not_depend_on_pieces(monkeypatch, size):
+    texts = strings(pa.array(TEXTS))
+    whole = quality.features(texts)
+    assert np.isfinite(whole).all() and (whole[1] == whole[2]).all()
+    monkeypatch.setattr(quality, "PIECE_BYTES", size)
+    assert np.array_equal(quality.features(texts), whole)
+
+
+def test_gradient_of_the_risk():
+    """Steps of the fit follow the risk's numerical gradient, also where the negative part is
+    below zero."""
+    rng = np.random.default_rng(5)
+    p, u = rng.normal(0.5, 1, (40, 3)), rng.normal(-0.5, 1, (60, 3))
+    mean, scale = u.mean(0), u.std(0) + 1e-3
+    xp, xu = (p - mean) / scale, (u - mean) / scale
+
+    def parts(w, prior):
+        zp, zu = xp @ w[:-1] + w[-1], xu @ w[:-1] + w[-1]
+        positive = prior * np.logaddexp(0, -zp).mean()
+        return positive, np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+
+    for prior in (0.2, 0.95):
+        w = np.zeros(4)
+        direction = np.zeros(4)
+        for k in range(4):
+            step = np.zeros(4)
+            step[k] = 1e-6
+            a, b = parts(w + step, prior), parts(w - step, prior)
+            down, up = (a[0] - b[0]) / 2e-6, (a[1] - b[1]) / 2e-6
+            direction[k] = down + up if parts(w, prior)[1] >= 0 else -up
+        first = quality.fit(p, u, prior, steps=1)
+        got = np.append(first.weights, first.bias)
+        # Adam's first step is the rate against the gradient's sign
+        assert np.allclose(got, -0.03 * np.sign(direction), atol=1e-5)
+
+
+@pytest.mark.parametrize("prior", [0.2, 0.5, 0.8])
+def test_prior_from_positives_and_unlabelled(prior):
+    rng = np.random.default_rng(7)
+    positive = rng.normal(3, 1, 8000)
+    n = int(8000 * prior)
+    unlabelled = np.concatenate([rng.normal(3, 1, n), rng.normal(-3, 1, 8000 - n)])
+    assert quality.class_prior(positive, unlabelled) == pytest.approx(prior, abs=0.04)
+    assert quality.class_prior(positive[:0], unlabelled) == 0.5
 
 
 def test_held_out_separation(spark):
