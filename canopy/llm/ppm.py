@@ -83,19 +83,26 @@ def _grams(texts: pa.Array, order: int, chunk: int = COUNT_CHUNK):
     pad = bytes([END]) * order
     raw = [x.as_buffer().to_pybytes() if x.is_valid else b""
            for x in pc.ascii_lower(texts).cast(pa.large_binary())]
-    buffer = np.frombuffer(b"".join(pad + x + b"\xff" for x in raw), np.uint8)
-    sizes = np.diff(utf8_parts(texts)[1]) + 1
-    ends = np.cumsum(sizes + order)
-    for at in range(0, len(buffer), chunk):
-        stop = min(len(buffer), at + chunk)
-        position = np.arange(at, stop)
-        text = np.searchsorted(ends, position, side="right")
-        real = position >= ends[text] - sizes[text]
-        position, text = position[real], text[real]
-        gram = np.zeros(len(position), np.uint64)
-        for back in range(order, -1, -1):
-            gram = (gram << np.uint64(8)) | buffer[position - back]
-        yield gram, text
+    # one more padding in front, so every window has the bytes before it
+    buffer = np.frombuffer(pad + b"".join(pad + x + b"\xff" for x in raw), np.uint8)
+    ends = np.cumsum(np.diff(utf8_parts(texts)[1]) + 1 + order)
+    starts = np.concatenate(([0], ends[:-1]))
+    total = int(ends[-1]) if len(ends) else 0
+    for at in range(0, total, chunk):
+        stop = min(total, at + chunk)
+        wide = buffer[at:stop + order].astype(np.uint64)
+        gram = wide[:stop - at].copy()
+        for back in range(1, order + 1):
+            gram <<= np.uint64(8)
+            gram |= wide[back:stop - at + back]
+        first, last = np.searchsorted(ends, [at, stop - 1], side="right")
+        inside = np.arange(first, last + 1)
+        begin = np.maximum(starts[inside], at)
+        text = np.repeat(inside, np.minimum(ends[inside], stop) - begin)
+        real = np.ones(stop - at, bool)
+        padding = (starts[inside][:, None] + np.arange(order)).ravel() - at
+        real[padding[(padding >= 0) & (padding < stop - at)]] = False
+        yield gram[real], text[real]
 
 
 class _Runs:
@@ -135,12 +142,15 @@ def count_grams(docs: DataFrame, where: Column, order: int = ORDER,
     ``contexts`` (sorted) only of strings whose ``order`` bytes before the last are one."""
     def count(batches):
         held = _Runs()
+        if contexts is not None:  # of ROOT bytes
+            wanted = np.zeros(1 << 8 * order, bool)
+            wanted[contexts] = True
         for batch in batches:
             texts = strings(batch.column("text"))
             for start, stop in byte_slices(texts):
                 for gram, _ in _grams(texts.slice(start, stop - start), order):
                     if contexts is not None:
-                        gram = gram[_among(gram >> np.uint64(8), contexts)]
+                        gram = gram[wanted[gram >> np.uint64(8)]]
                     held.add(*np.unique(gram, return_counts=True))
             release_memory()
             if sum(len(v) for v, _ in held.runs) > PENDING:
@@ -396,8 +406,8 @@ def _distinct(runs: _Runs, texts: pa.Array, learn: np.ndarray, order: int) -> No
 
 
 def string_answers(docs: DataFrame, roots: Roots, order: int = ORDER) -> DataFrame:
-    """(chunk, shard, log10 binary): the logarithms of each chunk's distinct strings, those of
-    one shard in turned order.  ``docs`` has text and held_out."""
+    """(chunk, grams, log10), both binary: each chunk's distinct strings and their logarithms.
+    ``docs`` has text and held_out."""
     held = docs.sparkSession.sparkContext.broadcast(roots)
     chunk_bytes = CHUNK_BYTES
 
@@ -446,35 +456,38 @@ def string_answers(docs: DataFrame, roots: Roots, order: int = ORDER) -> DataFra
         out = [log10[np.searchsorted(value, _unpacked(x.as_py(), np.uint64))].tobytes()
                for x in table.column("grams")]
         release_memory()
-        return pa.table({"chunk": table.column("chunk"), "shard": table.column("shard"),
+        return pa.table({"chunk": table.column("chunk"), "grams": table.column("grams"),
                          "log10": pa.array(out, pa.binary())})
 
     sent = docs.select("held_out", "text").mapInArrow(
         pieces, "chunk long, shard int, grams binary, counts binary")
-    return sent.groupBy("shard").applyInArrow(answer, "chunk long, shard int, log10 binary")
+    return sent.groupBy("shard").applyInArrow(answer, "chunk long, grams binary, log10 binary")
 
 
-def _chunk_scores(texts: pa.Array, learn: np.ndarray, answers: pa.Table, roots: Roots,
-                  order: int) -> np.ndarray:
+def _chunk_scores(texts: pa.Array, answers: pa.Table, order: int) -> np.ndarray:
     """log10 probability of each text of a chunk."""
-    runs = _Runs()
-    _distinct(runs, texts, learn, order)
-    value, _ = runs.all()
-    del runs
-    by_shard = np.argsort(roots.shard_of(_unturned(value)), kind="stable")
-    parts = answers.sort_by("shard").column("log10").to_pylist()
-    log10 = np.empty(len(value))
-    found = np.frombuffer(b"".join(parts), np.float64)
-    if len(found) != len(value):
-        raise RuntimeError("the documents' scan gave other rows than before")
-    log10[by_shard] = found
-    del parts, found, by_shard
+    parts = [_unpacked(x.as_py(), np.uint64) for x in answers.column("grams")]
+    value = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    del parts
+    sort = np.argsort(value, kind="stable")  # merges the shards' sorted runs
+    value = value[sort]
+    log10 = np.frombuffer(b"".join(x.as_buffer() for x in answers.column("log10")),
+                          np.float64)[sort]
+    del sort
     total = np.zeros(len(texts))
     for start, stop in byte_slices(texts):
-        for gram, text in _grams(texts.slice(start, stop - start), order, SCORE_CHUNK):
-            own, at = np.unique(_turned(gram), return_inverse=True)
-            logs = log10[np.searchsorted(value, own)]
-            total += np.bincount(text + start, logs[at], len(texts))
+        for gram, text in _grams(texts.slice(start, stop - start), order):
+            turned = _turned(gram)
+            perm = np.argsort(turned)
+            turned = turned[perm]
+            first = np.flatnonzero(np.concatenate((np.ones(min(1, len(turned)), bool),
+                                                   turned[1:] != turned[:-1])))
+            own = turned[first]
+            at = np.searchsorted(value, own)
+            if len(own) and (at[-1] >= len(value) or (value[at] != own).any()):
+                raise RuntimeError("the documents' scan gave other rows than before")
+            logs = np.repeat(log10[at], np.diff(np.append(first, len(turned))))
+            total += np.bincount(text[perm] + start, logs, len(texts))
     return total
 
 
@@ -570,7 +583,7 @@ def score(docs: DataFrame, learn: Column, order: int = ORDER) -> DataFrame:
     common = words.filter(F.col("n") * (1 << WORD_BITS) >= n_all)
     table = common.toArrow()  # at most 2**WORD_BITS rows
     held = docs.sparkSession.sparkContext.broadcast(
-        (roots, table.column("word").combine_chunks().cast(pa.large_string()),
+        (table.column("word").combine_chunks().cast(pa.large_string()),
          table.column("n").to_numpy()))
     bottom = n_all + 0.1 * (n_distinct + 1)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -583,13 +596,13 @@ def score(docs: DataFrame, learn: Column, order: int = ORDER) -> DataFrame:
                 ["chunk", *batch.schema.names])
 
     def measure(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        roots, known, counts = held.value
+        known, counts = held.value
         value = np.log10((np.append(counts, 0) + 0.1) / bottom)
         end = pc.index_in(pa.array([""], pa.large_string()), known).to_pylist()[0]
         texts = strings(rows.column("text").combine_chunks())
         n = len(texts)
-        total = _chunk_scores(texts, ~np.asarray(rows.column("held_out"), bool), answers, roots,
-                              order)
+        total = _chunk_scores(texts, answers, order)
+        release_memory()
         tokens = np.ones(n, np.int64)
         in_table = np.full(n, 0 if end is None else 1, np.int64)
         base = np.full(n, value[-1 if end is None else end])

@@ -53,13 +53,13 @@ def test_chunks_shards_and_hot_contexts_change_no_score(spark, monkeypatch, orde
     check(spark, [(MANY, 3), *((t, 1) for t in RARE)], order)
 
 
-def test_a_scan_that_changes_between_its_reads_is_an_error():
+@pytest.mark.parametrize("known", [[], [b"\xff" * 6 + b"a"]])
+def test_a_scan_that_changes_between_its_reads_is_an_error(known):
     import numpy as np
     import pyarrow as pa
 
-    nothing = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    roots = ppm.Roots([nothing] * 3, [nothing] * 3, nothing[0], nothing, 1)
-    answers = pa.table({"shard": pa.array([0], pa.int32()),
-                        "log10": pa.array([np.zeros(2).tobytes()], pa.binary())})
+    grams = np.sort(ppm._turned(np.asarray([int.from_bytes(x, "big") for x in known], np.uint64)))
+    answers = pa.table({"grams": pa.array([ppm._packed(grams)], pa.binary()),
+                        "log10": pa.array([np.zeros(len(known)).tobytes()], pa.binary())})
     with pytest.raises(RuntimeError, match="other rows"):
-        ppm._chunk_scores(pa.array(["abc"], pa.large_string()), np.array([True]), answers, roots, 6)
+        ppm._chunk_scores(pa.array(["abc"], pa.large_string()), answers, 6)
