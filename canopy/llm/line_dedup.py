@@ -14,7 +14,8 @@ that occur more than once are joined back.
 Defined cases: a null text stays null, with no lines; texts of fewer than ``width``
 lines have no window and stay; rows equal in id and text count as one document and
 are treated alike; a text of which all lines go becomes empty; further columns pass
-through unchanged; an empty table gives no rows.
+through unchanged, but for ``n_lines`` and ``n_removed``, which are replaced; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -49,7 +50,9 @@ def _windows(docs: DataFrame, width: int) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """The rows of ``docs`` with ``text`` cleaned, and n_lines and n_removed added."""
+    """The rows of ``docs`` with ``text`` cleaned, and n_lines and n_removed added (in place of
+    columns of these names, if the documents have any)."""
+    docs = docs.drop("n_lines", "n_removed")
     windows = stored(_windows(docs.select("doc_id", "text"), width), "line-windows")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash",
                      F.col("cover")[0].alias("at"))

@@ -7,8 +7,9 @@ sample (``positives`` trusted rows, ``unlabelled`` web rows, chosen among the di
 
     prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives))
 
-by Adam with full batches; ``prior``, the share of positives in web text, is estimated
-from the training labels.  The score is the scorer's probability.
+by Adam with full batches.  ``prior``, the share of positives in web text, is estimated from
+the two samples alone (``estimated_prior``); labelled negatives are never used.  The score is
+the scorer's probability.
 
 Defined cases: null text counts as empty and is scored like any text; without
 positives every score is 0.5; rows that repeat a doc_id are scored each, and a
@@ -235,14 +236,27 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     return Scorer(mean, scale, w[:-1], float(w[-1]))
 
 
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, rounds: int = 2,
+                    steps: int = 100) -> float:
+    """Class prior from features: halves are scored by a fit on the other half, the scores
+    bound the prior, and the next fit starts from that."""
+    prior = 0.5
+    for _ in range(rounds):
+        scores = [[], []]
+        for half in (0, 1):
+            scorer = fit(positive[half::2], unlabelled[half::2], prior, steps)
+            for k, x in enumerate((positive, unlabelled)):
+                scores[k].append(scorer.score(x[1 - half::2]))
+        prior = class_prior(*(np.concatenate(x) for x in scores))
+    return prior
+
+
 def train(docs: DataFrame, labels: DataFrame, where: Column, positives: int = POSITIVES,
           unlabelled: int = UNLABELLED) -> Scorer:
     """``where`` selects, by doc_id, the rows whose labels may be learned."""
     marks = labels.select("doc_id", "quality").filter(
         where & F.col("doc_id").isNotNull() & F.col("quality").isNotNull()) \
         .groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    known = marks.agg(F.count("*"), F.coalesce(F.sum("quality"), F.lit(0))).first()
-    prior = min(0.99, max(0.01, known[1] / known[0])) if known[0] else 0.5
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     pairs = stored(docs.select("doc_id", "text_hash").distinct(), "id-text-pairs")
     positive = pairs.join(marks.filter(F.col("quality") == 1).select("doc_id"), "doc_id")
@@ -277,7 +291,7 @@ def train(docs: DataFrame, labels: DataFrame, where: Column, positives: int = PO
     order = np.lexsort(x.T[:8])  # the order in which tasks end must not change the fit
     x, is_p, is_u = x[order], got.column("trusted").to_numpy()[order], \
         got.column("web").to_numpy()[order]
-    return fit(x[is_p], x[is_u], prior)
+    return fit(x[is_p], x[is_u], estimated_prior(x[is_p], x[is_u]))
 
 
 def _width() -> int:
@@ -286,8 +300,9 @@ def _width() -> int:
 
 def score(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD,
           keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (doc_id if not given) with score and predicted."""
-    keep = keep or ["doc_id"]
+    """``keep`` columns (doc_id if not given) with score and predicted, which replace kept
+    columns of these names."""
+    keep = [c for c in keep or ["doc_id"] if c not in ("score", "predicted")]
     held = docs.sparkSession.sparkContext.broadcast(scorer)
     rows = docs.select(*keep, *(["text"] if "text" not in keep else []))
 

@@ -208,37 +208,53 @@ BROADCAST_IDS = 1_000_000
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component one row stays, that
-    of the smallest doc_id."""
+    of the smallest doc_id (of several such rows, the one with the smallest values)."""
     rows = stored(with_fingerprints(docs, shingle), "doc-fingerprints")
     busy = group(rows, max_bits).filter("n_rows > 1").select("fp", "root", "component_id")
     # every row of the components of several rows, by id and fingerprint
     members = stored(rows.join(busy, "fp"), "members")
-    ids = members.select(F.col("doc_id").alias("m_id")).distinct()
+    ids = members.select(F.col("doc_id").alias(OWN["id"])).distinct()
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    on = F.expr("doc_id <=> m_id")
+    on = F.col("doc_id").eqNullSafe(F.col(OWN["id"]))
     free = docs.join(ids, on, "left_anti")
-    held = docs.join(ids, on, "left_semi")
     # a repeated id may be busy with one text and free with another: match by fingerprint
-    keep = [c for c in docs.columns]
-    held = _keep_fingerprint(held, shingle)
-    groups = members.select("fp", "root", "component_id").distinct()
-    marked = held.join(groups, "fp", "left")
-    chosen = marked.filter("root is not null and doc_id <=> component_id") \
-        .dropDuplicates(["root"])
-    return free.select(*keep).unionByName(marked.filter("root is null").select(*keep)) \
-        .unionByName(chosen.select(*keep))
+    held = _keep_fingerprint(docs.join(ids, on, "left_semi"), shingle)
+    groups = members.select(F.col("fp").alias(OWN["fp"]), F.col("root").alias(OWN["root"]),
+                            F.col("component_id").alias(OWN["least"])).distinct()
+    keep = docs.columns
+    marked = held.join(groups, OWN["fp"], "left")
+    first = marked.filter(F.col(OWN["root"]).isNotNull()
+                          & F.col("doc_id").eqNullSafe(F.col(OWN["least"])))
+    row = F.struct(*keep)
+    # rows of the smallest id are few but for repeated ids, which combine before the shuffle
+    chosen = first.groupBy(OWN["root"]).agg(F.min_by(row, F.struct(*_orderable(docs))).alias(
+        OWN["row"])).select(F.col(OWN["row"] + ".*"))
+    return free.select(*keep).unionByName(
+        marked.filter(F.col(OWN["root"]).isNull()).select(*keep)).unionByName(
+        chosen.select(*keep))
+
+
+#: Names of working columns, apart from any that the documents may carry.
+OWN = {x: f"__simhash_{x}" for x in ("id", "fp", "root", "least", "row")}
+
+
+def _orderable(docs: DataFrame) -> list[str]:
+    """Columns that rows can be ordered by, the text first."""
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    return ["text", *[c for c, k in kinds.items() if c != "text" and "map<" not in k
+                      and "variant" not in k]]
 
 
 def _keep_fingerprint(docs: DataFrame, shingle: int) -> DataFrame:
-    """All columns and ``fp``."""
+    """All columns and the fingerprint."""
     names = docs.columns
 
     def run(batches):
         for batch in batches:
             fp = fingerprints(strings(batch.column(names.index("text"))), shingle)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(fp.view(np.int64))], [*names, "fp"])
+                [*batch.columns, pa.array(fp.view(np.int64))], [*names, OWN["fp"]])
 
-    fields = [*docs.schema.fields, StructField("fp", LongType())]
+    fields = [*docs.schema.fields, StructField(OWN["fp"], LongType())]
     return docs.mapInArrow(run, StructType(fields))

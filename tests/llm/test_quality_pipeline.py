@@ -94,6 +94,23 @@ def test_prior_from_positives_and_unlabelled(prior):
     assert quality.class_prior(positive[:0], unlabelled) == 0.5
 
 
+def test_estimated_prior_needs_no_negative_labels():
+    rng = np.random.default_rng(8)
+    for prior in (0.3, 0.8):
+        n = int(3000 * prior)
+        web = np.concatenate([rng.normal(1.5, 1, (n, 4)), rng.normal(-1.5, 1, (3000 - n, 4))])
+        got = quality.estimated_prior(rng.normal(1.5, 1, (2000, 4)), rng.permutation(web))
+        assert got == pytest.approx(prior, abs=0.06)
+
+
+def test_negative_labels_do_not_matter(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    where = id_remainder("doc_id", 5) != 0
+    a, b = (quality.train(docs, x, where) for x in (labels, labels.filter("quality = 1")))
+    assert np.allclose(a.weights, b.weights) and a.bias == pytest.approx(b.bias)
+
+
 def test_held_out_separation(spark):
     labels = spark.read.parquet(f"{SF01}/labels.parquet")
     got = queries.op9_quality_classifier(spark, SF01).join(labels, "doc_id").filter(

@@ -11,9 +11,9 @@ def test_quality_sample_with_a_hot_id(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, 1) for i in range(10)], "doc_id long, quality int")
     sizes = []
-    fit = quality.fit
-    monkeypatch.setattr(quality, "fit", lambda p, u, *a: sizes.append((len(p), len(u)))
-                        or fit(p, u, *a))
+    # takes the whole sample before anything is fitted
+    monkeypatch.setattr(quality, "estimated_prior", lambda p, u: sizes.append((len(p), len(u)))
+                        or 0.5)
     quality.train(docs, labels, F.lit(True), positives=60, unlabelled=60)
     quality.train(docs, labels, F.lit(True), positives=5000, unlabelled=5000)
     assert 20 < sizes[0][0] < 120 and 20 < sizes[0][1] < 120
