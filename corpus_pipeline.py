@@ -2,6 +2,15 @@
 
 A stage takes what the one before kept, written as Parquet and read again.  All but the
 last return the columns of ``documents``.
+
+Defined cases, for every stage: an empty table gives no rows.  A null text counts as empty (it
+stays null where its row stays); it has no lines, no words and no benchmark window, and gives
+the closing token alone.  A null doc_id is an id like others, larger than all; it has no label.
+Rows that repeat an id are judged each by their own text; equal rows are near-duplicates of each
+other, so one of them stays after the third stage.  Of a group of near-duplicates the row of the
+smallest id stays, of several such rows the one of the smallest text, then the other columns.
+A score of just the threshold is accepted.  Columns beyond those of ``documents`` are dropped,
+whatever their names.  Texts are taken whole, however long.
 """
 
 from __future__ import annotations
@@ -23,7 +32,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the classifier accepts."""
     scorer = quality.train(docs, read_table(spark, sf_dir, "labels"),
                            id_remainder("doc_id", 5) != 0)
-    return quality.score(docs, scorer, keep=COLUMNS).filter("predicted = 1").select(*COLUMNS)
+    return quality.score(docs.select(*COLUMNS), scorer, keep=COLUMNS).filter("predicted = 1").select(*COLUMNS)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
