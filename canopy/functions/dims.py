@@ -108,12 +108,57 @@ SINGLE_INTENT_PHRASES: list[str] = [
 ]
 EXTRA_INTENT_VERBS: list[str] = ["write", "create", "make", "build", "implement"]
 
-# gate texts
+# gate texts by confidence; {names} stand for the row's values
 LOW_QUESTION = (
     "What type of function is this? "
     "(pure_function / predicate / transformer / aggregator / "
     "side_effect_op / class_method / async_operation)"
 )
+GATE_TEXTS: dict[str, dict[str, str]] = {
+    "MEDIUM": {
+        "unclear_dimension":
+            "Multiple intent types match for verb '{verb}': could be {type} or another type",
+        "clarifying_question": "Is '{text}' intended as a {type}? (yes/no)",
+        "assumed_interpretation": "Assuming {type} based on highest priority match",
+    },
+    "LOW": {
+        "unclear_dimension": "Unrecognised verb or no matching intent type for: '{text}'",
+        "clarifying_question": LOW_QUESTION,
+        "assumed_interpretation": "Assuming PURE_FUNCTION as default for '{text}'",
+    },
+}
+
+# user messages
+CONTRACT_MESSAGE = (
+    "Language target: {language}\nIntent type: {type}\nCanonical noun: {noun}\n"
+    "Type name: {name}\n"
+    "Generate the data contract following the exact template for DATA_CONTRACT.\n"
+    "Define all fields with explicit types. Make the type immutable by default."
+)
+FUNCTION_MESSAGE = (
+    "Language target: {language}\nIntent type: {type}\nCanonical verb: {verb}\n"
+    "Canonical noun: {noun}\nFunction name: {name}\n"
+    "Generate the function following the exact template for {type}."
+)
+
+# errors of project specifications
+PROJECT_ERRORS: dict[str, str] = {
+    "not_a_mapping": "Spec must be a YAML mapping",
+    "no_project": "Missing top-level 'project' key",
+    "project_kind": "'project' must be a mapping",
+    "missing_field": "Missing required field '{key}' in {place}",
+    "empty_field": "'{key}' must be a non-empty string in {place}",
+    "language": "Unsupported language: '{language}'. Supported: {supported}",
+    "contracts_kind": "'data_contracts' must be a list",
+    "modules_kind": "'modules' must be a list",
+    "entry_kind": "{place} must be a mapping",
+    "function_kind": "{place} must be a string or mapping",
+    "repeated_contract": "Duplicate data contract name: '{name}'",
+    "repeated_module": "Duplicate module name: '{name}'",
+    "no_fields": "{place} '{name}' must have non-empty 'fields' mapping",
+    "no_functions": "{place} '{name}' must have non-empty 'functions' list",
+    "empty_project": "Project must have at least one module or data_contract",
+}
 
 # reply sections, in required order; DEPENDENCIES is optional
 REQUIRED_SECTIONS: list[str] = [

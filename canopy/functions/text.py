@@ -150,3 +150,9 @@ def intent_key(verb: Column, noun: Column, language: Column, intent_type: Column
 def hash16(c: Column) -> Column:
     """First 16 hex digits of SHA-256 over the UTF-8 text."""
     return F.substring(F.sha2(c, 256), 1, 16)
+
+
+def fill(template: str, **values: F.Column) -> F.Column:
+    """A fixed text with its {names} replaced by columns (NULL if one of them is)."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[values[p] if i % 2 else F.lit(p) for i, p in enumerate(parts) if p])

@@ -84,21 +84,14 @@ def classify_all(raw: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- #12 ----
 def gate(classified: DataFrame) -> DataFrame:
     """Add ``route`` (passed / quarantine) and the three quarantine texts."""
-    t, v, raw = F.col("intent_type"), F.col("verb"), F.col("text")
-    medium = F.col("confidence") == "MEDIUM"
-    unclear = F.when(medium, F.format_string(
-        "Multiple intent types match for verb '%s': could be %s or another type", v, t)
-    ).otherwise(F.format_string("Unrecognised verb or no matching intent type for: '%s'", raw))
-    question = F.when(medium, F.format_string("Is '%s' intended as a %s? (yes/no)", raw, t)
-                      ).otherwise(F.lit(dims.LOW_QUESTION))
-    assumed = F.when(medium, F.format_string("Assuming %s based on highest priority match", t)
-                     ).otherwise(F.format_string("Assuming PURE_FUNCTION as default for '%s'", raw))
-    high = F.col("confidence") == "HIGH"
-    return (classified
-            .withColumn("route", F.when(high, "passed").otherwise("quarantine"))
-            .withColumn("unclear_dimension", F.when(~high, unclear))
-            .withColumn("clarifying_question", F.when(~high, question))
-            .withColumn("assumed_interpretation", F.when(~high, assumed)))
+    values = {"type": F.col("intent_type"), "verb": F.col("verb"), "text": F.col("text")}
+    high, medium = F.col("confidence") == "HIGH", F.col("confidence") == "MEDIUM"
+    out = classified.withColumn("route", F.when(high, "passed").otherwise("quarantine"))
+    for column, low_text in dims.GATE_TEXTS["LOW"].items():
+        out = out.withColumn(column, F.when(~high, F.when(
+            medium, T.fill(dims.GATE_TEXTS["MEDIUM"][column], **values))
+            .otherwise(T.fill(low_text, **values))))
+    return out
 
 
 def split_gate(gated: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -126,18 +119,9 @@ def collapse_phrasings(passed: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- #14 ----
 def user_message(intent_type, verb, noun, language, name) -> F.Column:
-    contract = F.concat(
-        F.lit("Language target: "), language, F.lit("\nIntent type: "), intent_type,
-        F.lit("\nCanonical noun: "), noun, F.lit("\nType name: "), name,
-        F.lit("\nGenerate the data contract following the exact template for DATA_CONTRACT."
-              "\nDefine all fields with explicit types. Make the type immutable by default."))
-    function = F.concat(
-        F.lit("Language target: "), language, F.lit("\nIntent type: "), intent_type,
-        F.lit("\nCanonical verb: "), verb, F.lit("\nCanonical noun: "), noun,
-        F.lit("\nFunction name: "), name,
-        F.lit("\nGenerate the function following the exact template for "), intent_type,
-        F.lit("."))
-    return F.when(intent_type == "DATA_CONTRACT", contract).otherwise(function)
+    values = {"type": intent_type, "verb": verb, "noun": noun, "language": language, "name": name}
+    return F.when(intent_type == "DATA_CONTRACT", T.fill(dims.CONTRACT_MESSAGE, **values)) \
+        .otherwise(T.fill(dims.FUNCTION_MESSAGE, **values))
 
 
 def bind_prompts(passed: DataFrame) -> DataFrame:

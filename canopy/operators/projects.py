@@ -23,6 +23,7 @@ from canopy.functions.frames import join_on, running_sum, settle
 from canopy.session import discard, ensure_checkpoint_dir, stored
 from canopy.sources.specs import yaml_value
 
+ERRORS = dims.PROJECT_ERRORS
 _SUPPORTED = "[" + ", ".join(f"'{x}'" for x in sorted(dims.PROJECT_LANGUAGES)) + "]"
 
 
@@ -38,11 +39,12 @@ def _kind(v):
             .when(s == "STRING", "STRING").otherwise("OTHER"))
 
 
-def _req_err(val: F.Column, kind: F.Column, key: str) -> F.Column:
-    """Prefix of the 'required non-empty string' error, NULL when the value is fine."""
-    return (F.when(val.isNull(), F.lit(f"Missing required field '{key}' in "))
+def _req_err(val: F.Column, kind: F.Column, key: str, place: F.Column) -> F.Column:
+    """Error of a required text that is absent or empty, NULL when the value is fine."""
+    values = {"key": F.lit(key), "place": place}
+    return (F.when(val.isNull(), T.fill(ERRORS["missing_field"], **values))
             .when((kind != "STRING") | (T.py_strip(_get(val, "$", "string")) == ""),
-                  F.lit(f"'{key}' must be a non-empty string in ")))
+                  T.fill(ERRORS["empty_field"], **values)))
 
 
 def _with_parts(df: DataFrame, src: str, keys: list[str], prefix: str) -> DataFrame:
@@ -100,20 +102,20 @@ def ingest_projects(projects: DataFrame) -> dict[str, DataFrame]:
          .withColumn("proj_k", _kind(F.col("proj"))))
     p = _with_parts(p, "proj", ["name", "language", "data_contracts", "modules"], "p_")
     lang_raw = F.lower(T.py_strip(_get(F.col("p_language"), "$", "string")))
-    name_err = _req_err(F.col("p_name"), F.col("p_name_k"), "name")
-    lang_err = _req_err(F.col("p_language"), F.col("p_language_k"), "language")
+    name_err = _req_err(F.col("p_name"), F.col("p_name_k"), "name", F.lit("project"))
+    lang_err = _req_err(F.col("p_language"), F.col("p_language_k"), "language", F.lit("project"))
     top = (F.when(F.col("spec_error").isNotNull(), F.col("spec_error"))
            .when(F.coalesce(F.col("v_k") != "OBJECT", F.lit(True)),
-                 "Spec must be a YAML mapping")
-           .when(F.col("proj").isNull(), "Missing top-level 'project' key")
-           .when(F.col("proj_k") != "OBJECT", "'project' must be a mapping")
-           .when(name_err.isNotNull(), F.concat(name_err, F.lit("project")))
-           .when(lang_err.isNotNull(), F.concat(lang_err, F.lit("project")))
+                 ERRORS["not_a_mapping"])
+           .when(F.col("proj").isNull(), ERRORS["no_project"])
+           .when(F.col("proj_k") != "OBJECT", ERRORS["project_kind"])
+           .when(name_err.isNotNull(), name_err)
+           .when(lang_err.isNotNull(), lang_err)
            .when(~F.col("language").isin(dims.PROJECT_LANGUAGES),
-                 F.concat(F.lit("Unsupported language: '"), F.col("language"),
-                          F.lit(f"'. Supported: {_SUPPORTED}")))
+                 T.fill(ERRORS["language"], language=F.col("language"),
+                        supported=F.lit(_SUPPORTED)))
            .when(F.col("p_data_contracts").isNotNull() & (F.col("p_data_contracts_k") != "ARRAY"),
-                 "'data_contracts' must be a list"))
+                 ERRORS["contracts_kind"]))
     empty_arr = F.array().cast("array<variant>")
     parsed = (p.withColumn("language", lang_raw)
               .select("project_id", "spec_json", top.alias("top_error"),
@@ -133,15 +135,15 @@ def ingest_projects(projects: DataFrame) -> dict[str, DataFrame]:
     ce = _with_parts(ce, "e", ["name", "fields"], "e_")
     cname = T.py_strip(_get(F.col("e_name"), "$", "string"))
     ctx = F.concat(F.lit("data_contracts["), F.col("c_pos").cast("string"), F.lit("]"))
-    c_name_err = _req_err(F.col("e_name"), F.col("e_name_k"), "name")
-    c_err = (F.when(F.col("e_k") != "OBJECT", F.concat(ctx, F.lit(" must be a mapping")))
-             .when(c_name_err.isNotNull(), F.concat(c_name_err, ctx)))
+    c_name_err = _req_err(F.col("e_name"), F.col("e_name_k"), "name", ctx)
+    c_err = (F.when(F.col("e_k") != "OBJECT", T.fill(ERRORS["entry_kind"], place=ctx))
+             .when(c_name_err.isNotNull(), c_name_err))
     c_late = (F.when((F.col("e_fields_k") != "OBJECT")
                    | (F.size(_get(F.col("e_fields"), "$", "map<string,variant>")) == 0),
-                   F.concat(ctx, F.lit(" '"), cname, F.lit("' must have non-empty 'fields' mapping"))))
+                   T.fill(ERRORS["no_fields"], place=ctx, name=cname)))
     ce = ce.select("project_id", "c_pos", cname.alias("cname"), c_err.alias("early"),
                    c_late.alias("late")).transform(settle)
-    c_errors = _named_once(ce, "cname", "c_pos", "Duplicate data contract name: '").select(
+    c_errors = _named_once(ce, "cname", "c_pos", ERRORS["repeated_contract"]).select(
         "project_id", _order(1, "c_pos").alias("ord"), "error")
 
     # module entries --------------------------------------------------------
@@ -151,15 +153,15 @@ def ingest_projects(projects: DataFrame) -> dict[str, DataFrame]:
     me = _with_parts(me, "e", ["name", "functions"], "e_")
     mname = T.py_strip(_get(F.col("e_name"), "$", "string"))
     mctx = F.concat(F.lit("modules["), F.col("m_pos").cast("string"), F.lit("]"))
-    m_name_err = _req_err(F.col("e_name"), F.col("e_name_k"), "name")
+    m_name_err = _req_err(F.col("e_name"), F.col("e_name_k"), "name", mctx)
     fn_arr = _get(F.col("e_functions"), "$", "array<variant>")
-    m_err = (F.when(F.col("e_k") != "OBJECT", F.concat(mctx, F.lit(" must be a mapping")))
-             .when(m_name_err.isNotNull(), F.concat(m_name_err, mctx)))
+    m_err = (F.when(F.col("e_k") != "OBJECT", T.fill(ERRORS["entry_kind"], place=mctx))
+             .when(m_name_err.isNotNull(), m_name_err))
     m_late = (F.when((F.col("e_functions_k") != "ARRAY") | (F.size(fn_arr) == 0),
-                   F.concat(mctx, F.lit(" '"), mname, F.lit("' must have non-empty 'functions' list"))))
+                   T.fill(ERRORS["no_functions"], place=mctx, name=mname)))
     me = me.select("project_id", "m_pos", mname.alias("module"), m_err.alias("early"),
                    m_late.alias("late"), fn_arr.alias("fns")).transform(settle)
-    me = stored(_named_once(me, "module", "m_pos", "Duplicate module name: '"),
+    me = stored(_named_once(me, "module", "m_pos", ERRORS["repeated_module"]),
                 "project-modules")
     m_errors = me.select("project_id", _order(3, "m_pos").alias("ord"),
                          "error")
@@ -169,10 +171,10 @@ def ingest_projects(projects: DataFrame) -> dict[str, DataFrame]:
     fe = _with_parts(fe, "f", ["intent", "language"], "f_")
     fctx = F.concat(F.lit("modules["), F.col("m_pos").cast("string"), F.lit("].functions["),
                     F.col("f_pos").cast("string"), F.lit("]"))
-    f_intent_err = _req_err(F.col("f_intent"), F.col("f_intent_k"), "intent")
+    f_intent_err = _req_err(F.col("f_intent"), F.col("f_intent_k"), "intent", fctx)
     f_err = (F.when(F.col("f_k") == "OBJECT",
-                    F.when(f_intent_err.isNotNull(), F.concat(f_intent_err, fctx)))
-             .when(F.col("f_k") != "STRING", F.concat(fctx, F.lit(" must be a string or mapping"))))
+                    F.when(f_intent_err.isNotNull(), f_intent_err))
+             .when(F.col("f_k") != "STRING", T.fill(ERRORS["function_kind"], place=fctx)))
     fe = stored(fe.withColumn("error", f_err).transform(settle), "project-functions")
     f_errors = fe.select("project_id", _order(3, "m_pos", "f_pos").alias("ord"), "error")
 
@@ -180,11 +182,11 @@ def ingest_projects(projects: DataFrame) -> dict[str, DataFrame]:
     mods_err = ok_top.select(
         "project_id", _order(2).alias("ord"),
         F.when(F.col("mods_v").isNotNull() & (F.col("mods_k") != "ARRAY"),
-               F.lit("'modules' must be a list")).alias("error"))
+               F.lit(ERRORS["modules_kind"])).alias("error"))
     empty = ok_top.select(
         "project_id", _order(9).alias("ord"),
         F.when((F.size("dcs") == 0) & (F.size("mods") == 0),
-               F.lit("Project must have at least one module or data_contract")).alias("error"))
+               F.lit(ERRORS["empty_project"])).alias("error"))
     tops = parsed.select("project_id", _order(0).alias("ord"), F.col("top_error").alias("error"))
     cand = tops
     for g in (c_errors, mods_err, m_errors, f_errors, empty):
@@ -220,7 +222,7 @@ def _named_once(entries: DataFrame, name: str, pos: str, text: str) -> DataFrame
     same = Window.partitionBy("project_id", name)
     repeated = F.col(pos) > F.min(pos).over(same)
     return entries.withColumn("error", F.coalesce(
-        "early", F.when(repeated, F.concat(F.lit(text), F.col(name), F.lit("'"))), "late")) \
+        "early", F.when(repeated, T.fill(text, name=F.col(name))), "late")) \
         .drop("early", "late")
 
 

@@ -64,18 +64,9 @@ SELECT req_id, language, intent_type, confidence, intent_key,
 
 
 def _gate_sql(src_cte: str) -> str:
-    t, v = "intent_type", "verb"
+    texts = ", ".join(f"{O.gate_text(c)} AS {c}" for c in dims.GATE_TEXTS["LOW"])
     return f"""WITH {O.pipeline(src_cte)}
-SELECT req_id, CASE WHEN confidence = 'HIGH' THEN 'passed' ELSE 'quarantine' END AS route,
-  CASE confidence WHEN 'MEDIUM' THEN 'Multiple intent types match for verb ''' || {v} ||
-       ''': could be ' || {t} || ' or another type'
-    WHEN 'LOW' THEN 'Unrecognised verb or no matching intent type for: ''' || text || '''' END
-    AS unclear_dimension,
-  CASE confidence WHEN 'MEDIUM' THEN 'Is ''' || text || ''' intended as a ' || {t} || '? (yes/no)'
-    WHEN 'LOW' THEN {O.q(dims.LOW_QUESTION)} END AS clarifying_question,
-  CASE confidence WHEN 'MEDIUM' THEN 'Assuming ' || {t} || ' based on highest priority match'
-    WHEN 'LOW' THEN 'Assuming PURE_FUNCTION as default for ''' || text || '''' END
-    AS assumed_interpretation
+SELECT req_id, CASE WHEN confidence = 'HIGH' THEN 'passed' ELSE 'quarantine' END AS route, {texts}
 FROM classified"""
 
 
@@ -113,16 +104,11 @@ GROUP BY intent_key, verb, noun, language, intent_type""")(
 
 
 def _user_message_sql() -> str:
-    fn = O.function_name_sql()
-    return (f"CASE WHEN intent_type = 'DATA_CONTRACT' THEN 'Language target: ' || language || "
-            f"chr(10) || 'Intent type: ' || intent_type || chr(10) || 'Canonical noun: ' || noun || "
-            f"chr(10) || 'Type name: ' || {fn} || chr(10) || "
-            f"'Generate the data contract following the exact template for DATA_CONTRACT.' || "
-            f"chr(10) || 'Define all fields with explicit types. Make the type immutable by default.' "
-            f"ELSE 'Language target: ' || language || chr(10) || 'Intent type: ' || intent_type || "
-            f"chr(10) || 'Canonical verb: ' || verb || chr(10) || 'Canonical noun: ' || noun || "
-            f"chr(10) || 'Function name: ' || {fn} || chr(10) || "
-            f"'Generate the function following the exact template for ' || intent_type || '.' END")
+    values = {"type": "intent_type", "verb": "verb", "noun": "noun", "language": "language",
+              "name": O.function_name_sql()}
+    return (f"CASE WHEN intent_type = 'DATA_CONTRACT' THEN "
+            f"{O.fill(dims.CONTRACT_MESSAGE, **values)} "
+            f"ELSE {O.fill(dims.FUNCTION_MESSAGE, **values)} END")
 
 
 register("prompt_work", f"""WITH {O.pipeline(O.requests_cte())},
@@ -422,15 +408,9 @@ SELECT req_id, status, {_report_sql_expr()} AS report FROM persisted""")(
     .select("req_id", "status", "report"))
 
 register("report_quarantine", f"""WITH {O.pipeline(O.requests_cte())}
-SELECT req_id, 'AMBIGUITY DETECTED' || chr(10) || '  Unclear: ' ||
-  CASE confidence WHEN 'MEDIUM' THEN 'Multiple intent types match for verb ''' || verb ||
-       ''': could be ' || intent_type || ' or another type'
-    ELSE 'Unrecognised verb or no matching intent type for: ''' || text || '''' END ||
-  chr(10) || '  Question: ' ||
-  CASE confidence WHEN 'MEDIUM' THEN 'Is ''' || text || ''' intended as a ' || intent_type || '? (yes/no)'
-    ELSE {O.q(dims.LOW_QUESTION)} END || chr(10) || '  Assumed: ' ||
-  CASE confidence WHEN 'MEDIUM' THEN 'Assuming ' || intent_type || ' based on highest priority match'
-    ELSE 'Assuming PURE_FUNCTION as default for ''' || text || '''' END AS report
+SELECT req_id, 'AMBIGUITY DETECTED' || chr(10) || '  Unclear: ' || {O.gate_text("unclear_dimension")}
+  || chr(10) || '  Question: ' || {O.gate_text("clarifying_question")}
+  || chr(10) || '  Assumed: ' || {O.gate_text("assumed_interpretation")} AS report
 FROM classified WHERE confidence <> 'HIGH'""")(
     lambda spark, d: G.report_text(C.gate(_classified(spark, d)).where(
         F.col("route") == "quarantine").withColumn("implementation", F.lit(None).cast("string"))

@@ -8,6 +8,8 @@ plain SQL (list functions instead of regex look-arounds, which RE2 lacks).
 
 from __future__ import annotations
 
+import re
+
 import unicodedata
 
 from canopy.functions import dims
@@ -24,6 +26,19 @@ def sql_list(vals: list[str]) -> str:
     return "[" + ", ".join(q(v) for v in vals) + "]"
 
 
+def fill(template: str, **values: str) -> str:
+    """A fixed text with its {names} replaced by SQL expressions."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return " || ".join(values[p] if i % 2 else q(p) for i, p in enumerate(parts) if p)
+
+
+def gate_text(column: str, text: str = "text", verb: str = "verb", kind: str = "intent_type") -> str:
+    """A quarantined row's text; NULL for passed rows."""
+    cases = " ".join(f"WHEN {q(c)} THEN {fill(t[column], text=text, verb=verb, type=kind)}"
+                     for c, t in dims.GATE_TEXTS.items())
+    return f"CASE confidence {cases} END"
+
+
 def strip_sql(x: str) -> str:
     return f"regexp_replace(regexp_replace({x}, '^{WS}+', ''), '{WS}+$', '')"
 
@@ -374,15 +389,18 @@ def projects_cte() -> str:
     specs = sql_list([s for s in FX.PROJECT_SPECS if s.startswith(("{", "["))][:16]
                      + PROJECT_SPECS_AS_JSON)[:-1] + ", NULL]"
     st = strip_sql
-    supported = "[" + ", ".join(f"''{x}''" for x in sorted(dims.PROJECT_LANGUAGES)) + "]"
+    supported = "[" + ", ".join(f"'{x}'" for x in sorted(dims.PROJECT_LANGUAGES)) + "]"
+    err = {k: lambda _t=t, **values: fill(_t, **values) for k, t in dims.PROJECT_ERRORS.items()}
     langs = ", ".join(q(x) for x in dims.PROJECT_LANGUAGES)
 
     def req(obj, key, ctx_sql):
         v = f"json_extract({obj}, '$.{key}')"
-        return (f"WHEN {v} IS NULL THEN 'Missing required field ''{key}'' in ' || {ctx_sql} "
+        values = {"key": q(key), "place": ctx_sql}
+        return (f"WHEN {v} IS NULL THEN {err['missing_field'](**values)} "
                 f"WHEN json_type({v}) <> 'VARCHAR' OR {st(f'json_extract_string({obj}, {q(chr(36) + chr(46) + key)})')} = '' "
-                f"THEN '''{key}'' must be a non-empty string in ' || {ctx_sql} ")
+                f"THEN {err['empty_field'](**values)} ")
 
+    e_name = st("json_extract_string(e, '$.name')")
     lang = f"lower({st(chr(106) + 'son_extract_string(proj, ' + q('$.language') + ')')})"
     return f"""pspec AS (
   SELECT s_suppkey AS project_id,
@@ -391,15 +409,15 @@ def projects_cte() -> str:
 pq AS (SELECT project_id, spec, json_extract(spec, '$.project') AS proj FROM pspec),
 ptop AS (SELECT project_id, (0, -1, -1) AS ord, CASE
     WHEN spec IS NULL THEN {q(YAML_ERROR)}
-    WHEN json_type(spec) <> 'OBJECT' THEN 'Spec must be a YAML mapping'
-    WHEN proj IS NULL THEN 'Missing top-level ''project'' key'
-    WHEN json_type(proj) <> 'OBJECT' THEN '''project'' must be a mapping'
+    WHEN json_type(spec) <> 'OBJECT' THEN {q(dims.PROJECT_ERRORS["not_a_mapping"])}
+    WHEN proj IS NULL THEN {err["no_project"]()}
+    WHEN json_type(proj) <> 'OBJECT' THEN {q(dims.PROJECT_ERRORS["project_kind"])}
     {req('proj', 'name', "'project'")}
     {req('proj', 'language', "'project'")}
-    WHEN {lang} NOT IN ({langs}) THEN 'Unsupported language: ''' || {lang} || '''. Supported: {supported}'
+    WHEN {lang} NOT IN ({langs}) THEN {err["language"](language=lang, supported=q(supported))}
     WHEN json_extract(proj, '$.data_contracts') IS NOT NULL
          AND json_type(json_extract(proj, '$.data_contracts')) <> 'ARRAY'
-      THEN '''data_contracts'' must be a list'
+      THEN {q(dims.PROJECT_ERRORS["contracts_kind"])}
   END AS error FROM pq),
 pok AS (SELECT pq.* FROM pq JOIN ptop USING (project_id) WHERE ptop.error IS NULL),
 ce AS (SELECT project_id, proj, unnest(range(json_array_length(json_extract(proj, '$.data_contracts'))::BIGINT))
@@ -408,17 +426,16 @@ ce2 AS (SELECT project_id, c_pos, json_extract(proj, '$.data_contracts[' || c_po
                list_transform(json_extract(proj, '$.data_contracts[*]'),
                  lambda x: {st("json_extract_string(x, '$.name')")}) AS names FROM ce),
 cerr AS (SELECT project_id, (1, c_pos, -1) AS ord, CASE
-    WHEN json_type(e) <> 'OBJECT' THEN 'data_contracts[' || c_pos || '] must be a mapping'
+    WHEN json_type(e) <> 'OBJECT' THEN {err["entry_kind"](place="'data_contracts[' || c_pos || ']'")}
     {req('e', 'name', "'data_contracts[' || c_pos || ']'")}
     WHEN list_position(names, {st("json_extract_string(e, '$.name')")}) < c_pos + 1
-      THEN 'Duplicate data contract name: ''' || {st("json_extract_string(e, '$.name')")} || ''''
+      THEN {err["repeated_contract"](name=e_name)}
     WHEN json_type(json_extract(e, '$.fields')) IS DISTINCT FROM 'OBJECT'
          OR len(json_keys(json_extract(e, '$.fields'))) = 0
-      THEN 'data_contracts[' || c_pos || '] ''' || {st("json_extract_string(e, '$.name')")} ||
-           ''' must have non-empty ''fields'' mapping'
+      THEN {err["no_fields"](place="'data_contracts[' || c_pos || ']'", name=e_name)}
   END AS error FROM ce2),
 merr0 AS (SELECT project_id, (2, -1, -1) AS ord, CASE WHEN json_extract(proj, '$.modules') IS NOT NULL
-    AND json_type(json_extract(proj, '$.modules')) <> 'ARRAY' THEN '''modules'' must be a list' END
+    AND json_type(json_extract(proj, '$.modules')) <> 'ARRAY' THEN {q(dims.PROJECT_ERRORS["modules_kind"])} END
     AS error FROM pok),
 me AS (SELECT project_id, proj, unnest(range(json_array_length(json_extract(proj, '$.modules'))::BIGINT))
          AS m_pos FROM pok WHERE json_type(json_extract(proj, '$.modules')) = 'ARRAY'),
@@ -426,14 +443,13 @@ me2 AS (SELECT project_id, m_pos, json_extract(proj, '$.modules[' || m_pos || ']
                list_transform(json_extract(proj, '$.modules[*]'),
                  lambda x: {st("json_extract_string(x, '$.name')")}) AS names FROM me),
 merr AS (SELECT project_id, m_pos, e, (3, m_pos, -1) AS ord, CASE
-    WHEN json_type(e) <> 'OBJECT' THEN 'modules[' || m_pos || '] must be a mapping'
+    WHEN json_type(e) <> 'OBJECT' THEN {err["entry_kind"](place="'modules[' || m_pos || ']'")}
     {req('e', 'name', "'modules[' || m_pos || ']'")}
     WHEN list_position(names, {st("json_extract_string(e, '$.name')")}) < m_pos + 1
-      THEN 'Duplicate module name: ''' || {st("json_extract_string(e, '$.name')")} || ''''
+      THEN {err["repeated_module"](name=e_name)}
     WHEN json_type(json_extract(e, '$.functions')) IS DISTINCT FROM 'ARRAY'
          OR json_array_length(json_extract(e, '$.functions')) = 0
-      THEN 'modules[' || m_pos || '] ''' || {st("json_extract_string(e, '$.name')")} ||
-           ''' must have non-empty ''functions'' list'
+      THEN {err["no_functions"](place="'modules[' || m_pos || ']'", name=e_name)}
   END AS error FROM me2),
 fe AS (SELECT project_id, m_pos, {st("json_extract_string(e, '$.name')")} AS module, e,
               unnest(range(json_array_length(json_extract(e, '$.functions'))::BIGINT)) AS f_pos
@@ -442,12 +458,12 @@ fe2 AS (SELECT *, json_extract(e, '$.functions[' || f_pos || ']') AS f FROM fe),
 ferr AS (SELECT project_id, (3, m_pos, f_pos) AS ord, CASE
     WHEN json_type(f) = 'OBJECT' THEN CASE
       {req('f', 'intent', "'modules[' || m_pos || '].functions[' || f_pos || ']'")} END
-    WHEN json_type(f) <> 'VARCHAR' THEN 'modules[' || m_pos || '].functions[' || f_pos ||
-      '] must be a string or mapping' END AS error FROM fe2),
+    WHEN json_type(f) <> 'VARCHAR' THEN {err["function_kind"](
+      place="'modules[' || m_pos || '].functions[' || f_pos || ']'")} END AS error FROM fe2),
 pempty AS (SELECT project_id, (9, -1, -1) AS ord, CASE WHEN
     coalesce(json_array_length(json_extract(proj, '$.data_contracts')), 0) = 0 AND
     coalesce(json_array_length(json_extract(proj, '$.modules')), 0) = 0
-    THEN 'Project must have at least one module or data_contract' END AS error FROM pok),
+    THEN {err["empty_project"]()} END AS error FROM pok),
 pcand AS (SELECT project_id, ord, error FROM ptop UNION ALL SELECT project_id, ord, error FROM cerr
           UNION ALL SELECT * FROM merr0 UNION ALL SELECT project_id, ord, error FROM merr
           UNION ALL SELECT * FROM ferr UNION ALL SELECT * FROM pempty),

@@ -54,10 +54,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+#: Folders that ``stored`` has written and nobody has deleted yet.
+_FOLDERS: dict[str, None] = {}
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once into the shared folder and read it back: lineage ends at files that
-    outlive executors, and later steps read the same rows."""
+    outlive executors, and later steps read the same rows.
+
+    The folder stays until ``discard`` or ``discard_all``, as results may still read it."""
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    _FOLDERS[path] = None
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_path = path
@@ -67,9 +74,20 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 def discard(*frames: DataFrame) -> None:
     """Delete the folders of ``stored`` results that nothing reads any more."""
     for df in frames:
+        _FOLDERS.pop(df._stored_path, None)
         delete_folder(df.sparkSession, df._stored_path)
 
 
+def discard_all(spark: SparkSession) -> int:
+    """Delete all folders that this process has stored, once the results that read them are
+    written or collected; the number of folders."""
+    paths = list(_FOLDERS)
+    for path in paths:
+        _FOLDERS.pop(path, None)
+        delete_folder(spark, path)
+    return len(paths)
+
+
 def delete_folder(spark: SparkSession, path: str) -> None:
     """Delete through the Hadoop file system, which all machines share."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -74,24 +74,32 @@ def batch_clock(spark: SparkSession, path: str, epoch: int, latest_us: int | Non
 
 
 # ---------------------------------------------------------------- #34 ----
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Keyed state with maps and timers needs the RocksDB state store.  Its memory is outside the
+#: JVM's heap and grows with the number of state partitions unless it is bounded as a whole.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+}
 FIRSTS = ["batch", "session", "local_no", "key"]
 DRIFT_OUT = "batch long, session string, local_no long, key string, session_no long, expected string"
 
 
 @contextlib.contextmanager
 def rocksdb_state(spark: SparkSession):
-    """Keyed state with maps and timers needs the RocksDB state store."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, ROCKSDB)
+    """The session with ``STATE_CONF``, and as before afterwards."""
+    before = {name: spark.conf.get(name, None) for name in STATE_CONF}
+    for name, value in STATE_CONF.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def _text_key(column: str) -> F.Column:

@@ -117,3 +117,14 @@ def test_stored_sketches_merge_within_the_error_bound(spark):
     for r in D.sketched_variants(sketches).collect():
         assert r.n == 30_000
         assert abs(r.n_hashes - 20_000) / 20_000 < 4 * 1.04 / 64
+
+
+def test_stored_folders_are_deleted_when_told(spark, tmp_path, monkeypatch):
+    from canopy import session
+    monkeypatch.setattr(session, "ensure_checkpoint_dir", lambda spark: str(tmp_path))
+    monkeypatch.setattr(session, "_FOLDERS", {})
+    a, b, c = (session.stored(spark.range(n), "x") for n in (1, 2, 3))
+    session.discard(b)
+    assert len(list(tmp_path.iterdir())) == 2 and a.count() + c.count() == 4
+    assert session.discard_all(spark) == 2
+    assert not list(tmp_path.iterdir()) and session.discard_all(spark) == 0
