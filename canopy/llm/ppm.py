@@ -72,7 +72,7 @@ SHARD_POSITIONS = 1 << 23  # positions for each shard
 MAX_SHARDS = 1 << 18  # a chunk sends no more than so many pieces
 CHUNK_BYTES = 32_000_000  # of text, whose distinct strings a task holds at a time
 WORD_BITS = 19
-COUNT_CHUNK, SCORE_CHUNK = 1_000_000, 250_000  # positions whose work arrays are held at once
+COUNT_CHUNK, SCORE_CHUNK = 500_000, 250_000  # positions whose work arrays are held at once
 END = 0xFF
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -476,7 +476,7 @@ def _chunk_scores(texts: pa.Array, answers: pa.Table, order: int) -> np.ndarray:
     del sort
     total = np.zeros(len(texts))
     for start, stop in byte_slices(texts):
-        for gram, text in _grams(texts.slice(start, stop - start), order):
+        for gram, text in _grams(texts.slice(start, stop - start), order, SCORE_CHUNK):
             turned = _turned(gram)
             perm = np.argsort(turned)
             turned = turned[perm]
