@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -88,6 +89,19 @@ def discard_all(spark: SparkSession) -> int:
     return len(paths)
 
 
+@contextlib.contextmanager
+def temporary(spark: SparkSession):
+    """What is stored inside is deleted at the end: for work that is written out whole, such as
+    a stream's micro-batch."""
+    before = set(_FOLDERS)
+    try:
+        yield
+    finally:
+        for path in [p for p in _FOLDERS if p not in before]:
+            _FOLDERS.pop(path, None)
+            delete_folder(spark, path)
+
+
 def delete_folder(spark: SparkSession, path: str) -> None:
     """Delete through the Hadoop file system, which all machines share."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from canopy.session import ensure_checkpoint_dir
+from canopy.session import ensure_checkpoint_dir, temporary
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -51,8 +51,13 @@ def run_available(df: DataFrame, out: str, fmt: str = "parquet") -> list:
 
 
 def for_each_batch(df: DataFrame, out: str, work) -> None:
-    """Run ``work(batch, epoch)`` on every micro-batch of the available input, then stop."""
-    q = (df.writeStream.foreachBatch(work).option("checkpointLocation", out)
+    """Run ``work(batch, epoch)`` on every micro-batch of the available input, then stop.  What
+    a batch stores between its steps goes when it has written its results."""
+    def one(batch: DataFrame, epoch: int) -> None:
+        with temporary(batch.sparkSession):
+            work(batch, epoch)
+
+    q = (df.writeStream.foreachBatch(one).option("checkpointLocation", out)
          .trigger(availableNow=True).start())
     q.awaitTermination()
 

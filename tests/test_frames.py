@@ -128,3 +128,14 @@ def test_stored_folders_are_deleted_when_told(spark, tmp_path, monkeypatch):
     assert len(list(tmp_path.iterdir())) == 2 and a.count() + c.count() == 4
     assert session.discard_all(spark) == 2
     assert not list(tmp_path.iterdir()) and session.discard_all(spark) == 0
+
+
+def test_what_a_step_stores_goes_with_it(spark, tmp_path, monkeypatch):
+    from canopy import session
+    monkeypatch.setattr(session, "ensure_checkpoint_dir", lambda spark: str(tmp_path))
+    monkeypatch.setattr(session, "_FOLDERS", {})
+    kept = session.stored(spark.range(2), "kept")
+    with session.temporary(spark):
+        session.stored(spark.range(3), "inner").count()
+        assert len(list(tmp_path.iterdir())) == 2
+    assert [f.name.split("-")[0] for f in tmp_path.iterdir()] == ["kept"] and kept.count() == 2
