@@ -94,7 +94,8 @@ def ingest_projects(projects: DataFrame) -> dict[str, DataFrame]:
     Returns dict with ``parsed`` (one row per project: name, language, arrays),
     ``violations`` (project_id, error), ``contracts``, ``modules``, ``functions``
     (only for projects without a violation).  Every variant path is extracted
-    once into its own column, so the checks stay small expressions.
+    once into its own column, so the checks stay small expressions.  The violations alone
+    need two stored tables; function entries and violations are stored for the others.
     """
     p = (specs_as_json(projects).withColumn("v", F.try_parse_json("spec_json"))
          .withColumn("v_k", _kind(F.col("v")))
@@ -175,8 +176,7 @@ def ingest_projects(projects: DataFrame) -> dict[str, DataFrame]:
     f_err = (F.when(F.col("f_k") == "OBJECT",
                     F.when(f_intent_err.isNotNull(), f_intent_err))
              .when(F.col("f_k") != "STRING", T.fill(ERRORS["function_kind"], place=fctx)))
-    fe = stored(fe.withColumn("error", f_err).transform(settle), "project-functions")
-    f_errors = fe.select("project_id", _order(3, "m_pos", "f_pos").alias("ord"), "error")
+    fe = fe.withColumn("error", f_err).transform(settle)
 
     ok_top = parsed.where(F.col("top_error").isNull())
     mods_err = ok_top.select(
@@ -188,32 +188,64 @@ def ingest_projects(projects: DataFrame) -> dict[str, DataFrame]:
         F.when((F.size("dcs") == 0) & (F.size("mods") == 0),
                F.lit(ERRORS["empty_project"])).alias("error"))
     tops = parsed.select("project_id", _order(0).alias("ord"), F.col("top_error").alias("error"))
-    cand = tops
-    for g in (c_errors, mods_err, m_errors, f_errors, empty):
-        cand = cand.unionByName(g)
-    violations = stored(cand.where(F.col("error").isNotNull()).groupBy("project_id")
-                        .agg(F.min_by("error", "ord").alias("error")), "project-violations")
-
-    good = parsed.join(violations.select("project_id"), "project_id", "left_anti")
-    typed = F.from_json("spec_json", "project struct<description string, data_contracts "
-                        "array<struct<name string, description string, fields map<string,string>>>>")
-    contracts = (good.select("project_id", "name", "language",
-                             F.posexplode(typed["project"]["data_contracts"]).alias("c_pos", "c"))
-                 .select("project_id", F.col("name").alias("project"), "language", "c_pos",
-                         T.py_strip(F.col("c.name")).alias("contract"),
-                         F.coalesce(F.col("c.description"), F.lit("")).alias("description"),
-                         F.col("c.fields").alias("fields")))
-    modules = me.join(good.select("project_id"), "project_id", "left_semi").select(
-        "project_id", "m_pos", "module")
-    functions = (fe.join(good.select("project_id", "language"), "project_id")
-                 .select("project_id", F.col("language").alias("project_language"), "m_pos",
-                         "module", "f_pos",
-                         F.coalesce(T.py_strip(_get(F.col("f_intent"), "$", "string")),
-                                    T.py_strip(_get(F.col("f"), "$", "string"))).alias("intent"),
-                         F.lower(T.py_strip(_get(F.col("f_language"), "$", "string")))
-                         .alias("language_override")))
-    return {"parsed": parsed, "violations": violations, "contracts": contracts,
-            "modules": modules, "functions": functions}
+
+    def violations_of(entries: DataFrame) -> DataFrame:
+        cand = tops
+        for g in (c_errors, mods_err, m_errors, entries.select(
+                "project_id", _order(3, "m_pos", "f_pos").alias("ord"), "error"), empty):
+            cand = cand.unionByName(g)
+        return (cand.where(F.col("error").isNotNull()).groupBy("project_id")
+                .agg(F.min_by("error", "ord").alias("error")))
+
+    def accepted() -> tuple[DataFrame, DataFrame]:
+        """(projects without a violation, function entries), each stored once."""
+        if "good" not in tables.held:
+            entries = stored(fe, "project-functions")
+            bad = stored(violations_of(entries), "project-violations")
+            tables.held["good"] = (parsed.join(bad.select("project_id"), "project_id",
+                                               "left_anti"), entries)
+        return tables.held["good"]
+
+    def contracts() -> DataFrame:
+        typed = F.from_json("spec_json", "project struct<description string, data_contracts array"
+                            "<struct<name string, description string, fields map<string,string>>>>")
+        return (accepted()[0].select(
+            "project_id", "name", "language",
+            F.posexplode(typed["project"]["data_contracts"]).alias("c_pos", "c"))
+            .select("project_id", F.col("name").alias("project"), "language", "c_pos",
+                    T.py_strip(F.col("c.name")).alias("contract"),
+                    F.coalesce(F.col("c.description"), F.lit("")).alias("description"),
+                    F.col("c.fields").alias("fields")))
+
+    def modules() -> DataFrame:
+        return me.join(accepted()[0].select("project_id"), "project_id", "left_semi").select(
+            "project_id", "m_pos", "module")
+
+    def functions() -> DataFrame:
+        good, entries = accepted()
+        return (entries.join(good.select("project_id", "language"), "project_id")
+                .select("project_id", F.col("language").alias("project_language"), "m_pos",
+                        "module", "f_pos",
+                        F.coalesce(T.py_strip(_get(F.col("f_intent"), "$", "string")),
+                                   T.py_strip(_get(F.col("f"), "$", "string"))).alias("intent"),
+                        F.lower(T.py_strip(_get(F.col("f_language"), "$", "string")))
+                        .alias("language_override")))
+
+    tables = _Tables({"parsed": lambda: parsed, "violations": lambda: violations_of(fe),
+                      "contracts": contracts, "modules": modules, "functions": functions})
+    return tables
+
+
+class _Tables(dict):
+    """Tables that are planned when they are first asked for."""
+
+    def __init__(self, makers):
+        super().__init__()
+        self.makers, self.held = makers, {}
+
+    def __missing__(self, name: str) -> DataFrame:
+        self[name] = self.makers[name]()
+        return self[name]
 
 
 def _named_once(entries: DataFrame, name: str, pos: str, text: str) -> DataFrame:
