@@ -291,7 +291,12 @@ def train(docs: DataFrame, labels: DataFrame, where: Column, positives: int = PO
     order = np.lexsort(x.T[:8])  # the order in which tasks end must not change the fit
     x, is_p, is_u = x[order], got.column("trusted").to_numpy()[order], \
         got.column("web").to_numpy()[order]
-    return fit(x[is_p], x[is_u], estimated_prior(x[is_p], x[is_u]))
+    positive, web = x[is_p], x[is_u]
+    del got, x
+    scorer = fit(positive, web, estimated_prior(positive, web))
+    del positive, web
+    release_memory()  # the driver goes on with other work
+    return scorer
 
 
 def _width() -> int:
