@@ -87,15 +87,20 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
 }
+#: State partitions at most: they are fixed when a stream first runs, and each is a store of
+#: its own, so a session with thousands of shuffle partitions must not set their number.
+STATE_PARTITIONS = 200
 FIRSTS = ["batch", "session", "local_no", "key"]
 DRIFT_OUT = "batch long, session string, local_no long, key string, session_no long, expected string"
 
 
 @contextlib.contextmanager
 def rocksdb_state(spark: SparkSession):
-    """The session with ``STATE_CONF``, and as before afterwards."""
-    before = {name: spark.conf.get(name, None) for name in STATE_CONF}
-    for name, value in STATE_CONF.items():
+    """The session with ``STATE_CONF`` and few enough partitions, and as before afterwards."""
+    partitions = "spark.sql.shuffle.partitions"
+    wanted = STATE_CONF | {partitions: str(min(STATE_PARTITIONS, int(spark.conf.get(partitions))))}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
         spark.conf.set(name, value)
     try:
         yield
