@@ -72,7 +72,7 @@ SHARD_POSITIONS = 1 << 23  # positions for each shard
 MAX_SHARDS = 1 << 18  # a chunk sends no more than so many pieces
 CHUNK_BYTES = 32_000_000  # of text, whose distinct strings a task holds at a time
 WORD_BITS = 19
-COUNT_CHUNK, SCORE_CHUNK = 500_000, 250_000  # positions whose work arrays are held at once
+COUNT_CHUNK, SCORE_CHUNK = 1_000_000, 250_000  # positions whose work arrays are held at once
 END = 0xFF
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -117,23 +117,27 @@ class _Runs:
             last = self.runs.pop()
             self.runs[-1] = _add(*self.runs[-1], *last)
 
-    def all(self) -> tuple[np.ndarray, np.ndarray]:
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        """All of them as one sorted run; none are left."""
         while len(self.runs) > 1:
             last = self.runs.pop()
             self.runs[-1] = _add(*self.runs[-1], *last)
-        return self.runs[0] if self.runs else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        return self.runs.pop() if self.runs else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
 def _add(value: np.ndarray, n: np.ndarray, new: np.ndarray, times: np.ndarray
          ) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of two sorted sets of strings together."""
-    both = np.concatenate([value, new])
-    order = np.argsort(both, kind="stable")  # merges two sorted runs
-    both, sums = both[order], np.concatenate([n, times])[order]
-    if not len(both):
-        return both, sums
-    first = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1])))
-    return both[first], np.add.reduceat(sums, first)
+    """Counts of two sorted sets of strings together; the arrays given may be changed."""
+    if len(value) < len(new):
+        value, n, new, times = new, times, value, n
+    if not len(new):
+        return value, n
+    at = np.searchsorted(value, new)
+    known = value[np.minimum(at, len(value) - 1)] == new
+    n[at[known]] += times[known]
+    fresh = ~known
+    at = at[fresh]
+    return np.insert(value, at, new[fresh]), np.insert(n, at, times[fresh])
 
 
 def count_grams(docs: DataFrame, where: Column, order: int = ORDER,
@@ -154,9 +158,9 @@ def count_grams(docs: DataFrame, where: Column, order: int = ORDER,
                     held.add(*np.unique(gram, return_counts=True))
             release_memory()
             if sum(len(v) for v, _ in held.runs) > PENDING:
-                yield _counted(*held.all())
+                yield _counted(*held.take())
                 held = _Runs()
-        yield _counted(*held.all())
+        yield _counted(*held.take())
 
     return docs.filter(where).select("text").mapInArrow(count, "gram long, n long") \
         .groupBy("gram").agg(F.sum("n").alias("n"))
@@ -397,10 +401,11 @@ def _by_chunk(batches, chunk_bytes: int):
 
 def _distinct(runs: _Runs, texts: pa.Array, learn: np.ndarray, order: int) -> None:
     """Add the strings of ``texts``, turned; those of texts that are not learned count 0."""
-    for learned in (True, False):
-        own = texts.filter(pa.array(learn == learned))
-        for start, stop in byte_slices(own):
-            for gram, _ in _grams(own.slice(start, stop - start), order):
+    for start, stop in byte_slices(texts):
+        for learned in (True, False):
+            own = texts.slice(start, stop - start).filter(
+                pa.array(learn[start:stop] == learned))
+            for gram, _ in _grams(own, order):
                 value, n = np.unique(_turned(gram), return_counts=True)
                 runs.add(value, n if learned else np.zeros(len(n), np.int64))
 
@@ -415,17 +420,19 @@ def string_answers(docs: DataFrame, roots: Roots, order: int = ORDER) -> DataFra
         roots = held.value
 
         def sent(chunk, runs):
-            value, n = runs.all()
+            value, n = runs.take()
             shard = roots.shard_of(_unturned(value))
             by_shard = np.argsort(shard, kind="stable")
-            shard, value, n = shard[by_shard], value[by_shard], n[by_shard]
+            shard = shard[by_shard]
+            value, n = value[by_shard], n[by_shard].astype("<u4")
+            del by_shard
             bounds = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1], [True])))
             cuts = list(zip(bounds, bounds[1:]))
             return pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(cuts), chunk)), pa.array(shard[bounds[:-1]]),
                  pa.array([_packed(value[a:b]) for a, b in cuts], pa.binary()),
-                 pa.array([np.ascontiguousarray(n[a:b].astype("<u4").view(np.uint8).reshape(
-                     -1, 4).T).tobytes() for a, b in cuts], pa.binary())],
+                 pa.array([np.ascontiguousarray(n[a:b].view(np.uint8).reshape(-1, 4).T).tobytes()
+                           for a, b in cuts], pa.binary())],
                 ["chunk", "shard", "grams", "counts"])
 
         now, runs = None, _Runs()
@@ -447,7 +454,7 @@ def string_answers(docs: DataFrame, roots: Roots, order: int = ORDER) -> DataFra
             n = np.frombuffer(counts.as_py(), np.uint8).reshape(4, -1).T
             runs.add(_unpacked(grams.as_py(), np.uint64),
                      np.ascontiguousarray(n).view("<u4").ravel().astype(np.int64))
-        value, n = runs.all()
+        value, n = runs.take()
         gram = _unturned(value)
         trie = held.value.trie(gram[n > 0], n[n > 0], order)
         log10 = np.concatenate([trie.log10(gram[a:a + SCORE_CHUNK])

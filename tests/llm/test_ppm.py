@@ -100,9 +100,10 @@ def test_runs_add_up():
     for _ in range(40):
         value, n = np.unique(rng.integers(0, 500, rng.integers(0, 90)).astype(np.uint64),
                              return_counts=True)
-        runs.add(value, n)
         want.update(dict(zip(value.tolist(), n.tolist(), strict=True)))
-    value, n = runs.all()
+        runs.add(value, n)  # may change the arrays
+    value, n = runs.take()
+    assert not runs.runs
     assert dict(zip(value.tolist(), n.tolist(), strict=True)) == want
     assert (np.diff(value.astype(np.int64)) > 0).all()
 
