@@ -972,7 +972,8 @@ def _stream_log(spark, d, then=None):
     """Log lines arrive in slices of time; after each the streams go on."""
     base = S.scratch(spark, "log")
     for part in _time_slices(table(spark, d, "events"), "ts"):
-        FX.log_lines(spark, d, part).write.mode("append").text(base + "/src")
+        FX.log_lines(spark, d, part).write.mode("append").option("compression", "gzip").text(
+            base + "/src")
         lines = S.file_stream(spark, base + "/src", "value string", fmt="text").withColumnRenamed(
             "value", "line")
         SC.advance_log(lines, base + "/log")
