@@ -968,12 +968,16 @@ register("stream_call_metrics", """SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS
 FROM events GROUP BY 1, 2""")(_stream_window("tumbling"))
 
 
+LINES_PER_FILE = 250_000  # of the stand-in log, some 60 MB of text
+
+
 def _stream_log(spark, d, then=None):
     """Log lines arrive in slices of time; after each the streams go on."""
     base = S.scratch(spark, "log")
     for part in _time_slices(table(spark, d, "events"), "ts"):
-        FX.log_lines(spark, d, part).write.mode("append").option("compression", "gzip").text(
-            base + "/src")
+        # a compressed file is read by one task, so its lines are bounded
+        FX.log_lines(spark, d, part).write.mode("append").option("compression", "gzip").option(
+            "maxRecordsPerFile", LINES_PER_FILE).text(base + "/src")
         lines = S.file_stream(spark, base + "/src", "value string", fmt="text").withColumnRenamed(
             "value", "line")
         SC.advance_log(lines, base + "/log")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from canopy.functions.frames import settle
+
 LOG_SCHEMA = T.StructType([
     T.StructField("level", T.StringType()),
     T.StructField("timestamp", T.StringType()),
@@ -42,8 +44,10 @@ def ingest_log(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``corrupt`` if it is not a JSON object with an ``event``, holds a value of a wrong
     type, or has a timestamp that is no time.
     """
-    parsed = lines.select("line", F.from_json("line", LOG_SCHEMA, LOG_OPTIONS).alias("r"))
-    parsed = parsed.withColumn("ts", iso_to_ntz(F.col("r.timestamp")))
+    # the filters below read several fields: each line is parsed once (see ``settle``)
+    parsed = settle(lines.select("line", F.from_json("line", LOG_SCHEMA, LOG_OPTIONS).alias("r")),
+                    ["r"])
+    parsed = settle(parsed.withColumn("ts", iso_to_ntz(F.col("r.timestamp"))), ["ts"])
     ok = F.coalesce(F.col("r._corrupt").isNull() & F.col("r.event").isNotNull()
                     & (F.col("ts").isNotNull() | F.col("r.timestamp").isNull()), F.lit(False))
     log = (parsed.where(ok).select("r.*", "ts").drop("_corrupt")

@@ -37,13 +37,10 @@ def advance_log(lines_stream: DataFrame, out: str) -> None:
     """Parse all lines that have arrived into ``out/log`` and ``out/corrupt``."""
 
     def split(batch: DataFrame, epoch: int) -> None:
-        parsed = batch.select("line").persist()  # two sinks, one read of the source
-        try:
-            log, corrupt = ingest_log(parsed)
-            log.write.mode("overwrite").parquet(f"{out}/log/epoch={epoch}")
-            corrupt.write.mode("overwrite").parquet(f"{out}/corrupt/epoch={epoch}")
-        finally:
-            parsed.unpersist()
+        # each sink reads the batch's own files: kept lines would be as large as their text
+        log, corrupt = ingest_log(batch.select("line"))
+        log.write.mode("overwrite").parquet(f"{out}/log/epoch={epoch}")
+        corrupt.write.mode("overwrite").parquet(f"{out}/corrupt/epoch={epoch}")
 
     for_each_batch(lines_stream, out + "/_ingest", split)
 
@@ -59,47 +56,77 @@ OPEN = "call string, record string, has_start boolean, has_done boolean, clock t
 RESOLVED = "call string, start_record string, done_record string"
 
 
+#: Groups that the open calls are dealt to.  One call of the state function serves a group, as
+#: one per call costs far more than the work on it.
+CALL_GROUPS = 1024
+
+
 class OpenCalls(StatefulProcessor):
-    """State per call: the record of its start line and that of its completion (JSON), and
-    the timer that gives it up."""
+    """State per group of calls: of each open call the record of its start line, that of its
+    completion (JSON) and the time (ms) at which it is given up; one timer at the earliest."""
 
     def __init__(self, patience_seconds: float):
         self.patience_ms = round(patience_seconds * 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getValueState("held", "start string, done string, timer long")
+        self.held = handle.getListState("held", "call string, start string, done string, due long")
+        self.timer = handle.getValueState("timer", "due long")
+
+    def _open(self) -> dict:
+        return {c: (s, d, due) for c, s, d, due in self.held.get()} if self.held.exists() else {}
+
+    def _keep(self, calls: dict) -> None:
+        if calls:
+            self.held.put([(c, *v) for c, v in calls.items()])
+        elif self.held.exists():
+            self.held.clear()
+        due = min((v[2] for v in calls.values()), default=None)
+        before = self.timer.get()[0] if self.timer.exists() else None
+        if due == before:
+            return
+        if before is not None:
+            self.handle.deleteTimer(before)
+        if due is None:
+            self.timer.clear()
+        else:
+            self.handle.registerTimer(due)
+            self.timer.update((due,))
 
     def handleInputRows(self, key, rows, timerValues):
-        start, done, timer = self.held.get() if self.held.exists() else (None, None, -1)
-        clock, out = 0, []
+        calls, clocks, out = self._open(), {}, []
         for pdf in rows:
-            clock = max(clock, int(pdf["clock"].max().timestamp() * 1000))
-            for r in pdf.itertuples(index=False):
+            pdf = pdf[pdf["has_start"] | pdf["has_done"]]
+            ms = [int(t.timestamp() * 1000) for t in pdf["clock"]]
+            for call, record, is_start, at in zip(pdf["call"], pdf["record"], pdf["has_start"],
+                                                  ms, strict=True):
+                start, done, due = calls.get(call, (None, None, -1))
+                clocks[call] = max(clocks.get(call, 0), at)
                 # a second line of one kind is passed on; records are merged when read
-                if r.has_start and start is None:
-                    start = r.record
-                elif r.has_done and done is None:
-                    done = r.record
+                if is_start and start is None:
+                    start = record
+                elif not is_start and done is None:
+                    done = record
                 else:
-                    out.append((key[0], r.record if r.has_start else None,
-                                None if r.has_start else r.record))
-        if timer >= 0:
-            self.handle.deleteTimer(timer)
-        if start is not None and done is not None:
-            out.append((key[0], start, done))
-            self.held.clear()
-        else:
-            timer = clock + self.patience_ms
-            self.handle.registerTimer(timer)
-            self.held.update((start, done, timer))
+                    out.append((call, record if is_start else None, None if is_start else record))
+                calls[call] = (start, done, due)
+        for call, clock in clocks.items():
+            start, done, _ = calls[call]
+            if start is not None and done is not None:
+                out.append((call, start, done))
+                del calls[call]
+            else:
+                calls[call] = (start, done, clock + self.patience_ms)
+        self._keep(calls)
         yield pd.DataFrame(out, columns=["call", "start_record", "done_record"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        start, done, _ = self.held.get()
-        self.held.clear()
-        yield pd.DataFrame([(key[0], start, done)],
-                           columns=["call", "start_record", "done_record"])
+        calls = self._open()
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        given_up = [(c, s, d) for c, (s, d, due) in calls.items() if due <= now]
+        self.timer.clear()  # this timer is gone
+        self._keep({c: v for c, v in calls.items() if v[2] > now})
+        yield pd.DataFrame(given_up, columns=["call", "start_record", "done_record"])
 
     def close(self) -> None:
         pass
@@ -138,7 +165,9 @@ def advance_calls(log_stream: DataFrame, out: str, patience_seconds: float = 86_
             F.timestamp_micros(F.lit(ahead)).alias("clock")) \
             .write.mode("overwrite").parquet(f"{out}/open/closing")
     waiting = spark.readStream.schema(OPEN).parquet(out + "/open/*")
-    resolved = waiting.withWatermark("clock", CLOCK_DELAY).groupBy("call") \
+    waiting = waiting.withColumn(
+        "call_group", F.pmod(F.xxhash64("call"), F.lit(CALL_GROUPS)).cast("int"))
+    resolved = waiting.withWatermark("clock", CLOCK_DELAY).groupBy("call_group") \
         .transformWithStateInPandas(OpenCalls(patience_seconds), RESOLVED, "append", "EventTime")
     with rocksdb_state(spark):
         run_available(resolved, out + "/resolved")

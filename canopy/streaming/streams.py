@@ -10,6 +10,7 @@ and writes its result to files; ``run_available`` drives a query with
 from __future__ import annotations
 
 import contextlib
+import json
 import os
 import uuid
 
@@ -88,8 +89,9 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
 }
 #: State partitions at most: they are fixed when a stream first runs, and each is a store of
-#: its own, so a session with thousands of shuffle partitions must not set their number.
-STATE_PARTITIONS = 200
+#: its own with a Python worker per batch (about a second each), so the session's shuffle
+#: partitions must not set their number.
+STATE_PARTITIONS = 24
 FIRSTS = ["batch", "session", "local_no", "key"]
 DRIFT_OUT = "batch long, session string, local_no long, key string, session_no long, expected string"
 
@@ -154,52 +156,82 @@ FIRSTS_SCHEMA = ("batch long, session string, local_no long, key string, first s
                  "from_us long, to_us long, clock timestamp")
 
 
+#: Groups that the sessions are dealt to.  One call of the state function serves a group, as
+#: one per session costs far more than the work on it.
+SESSION_GROUPS = 1024
+
+
 class DriftState(StatefulProcessor):
-    """State per session: its number, the time of its last row, and a map from intent key to
-    the expected hash.  With a timeout a timer at (last row + timeout) empties the map once the
-    watermark has passed it; the number stays."""
+    """State per group of sessions: a map from the session to its number, the time of its last
+    row, the time (ms) at which its expectations end, and the expected hash of each intent key
+    (JSON).  With a timeout a session's expectations end at (last row + timeout) once the
+    watermark has passed it; the number stays.  One timer a group stands at or before the
+    earliest such time."""
 
     def __init__(self, timeout_seconds: float | None = None):
         self.timeout_us = None if timeout_seconds is None else round(timeout_seconds * 1_000_000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.session = handle.getValueState("session", "session_no long, last_us long, timer long")
-        self.expected = handle.getMapState("expected", "key string", "content_hash string")
+        self.sessions = handle.getMapState(
+            "sessions", "session string", "session_no long, last_us long, due long, expected string")
+        self.timer = handle.getValueState("timer", "due long")
 
     def handleInputRows(self, key, rows, timerValues):
         # one row per key of a session and batch
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["batch", "local_no"])
-        no, last, timer = self.session.get() if self.session.exists() else (0, -1, -1)
-        out = []
-        for (batch, local), part in pdf.groupby(["batch", "local_no"], sort=True):
-            start, end = part["from_us"].min(), part["to_us"].max()
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values(
+            ["session", "batch", "local_no"])
+        spans = pdf.groupby(["session", "batch", "local_no"], sort=False).agg(
+            start=("from_us", "min"), end=("to_us", "max"), n=("key", "size"))
+        names, firsts, at, out, dues = list(pdf["key"]), list(pdf["first"]), 0, [], []
+        session, no, last, expected = None, 0, -1, {}
+        for (name, batch, local), start, end, n in zip(
+                spans.index, spans["start"], spans["end"], spans["n"], strict=True):
+            if name != session:
+                if session is not None:
+                    dues.append(self._put(session, no, last, expected))
+                session = name
+                held = self.sessions.getValue((name,)) \
+                    if self.sessions.containsKey((name,)) else (0, -1, -1, "{}")
+                no, last, expected = held[0], held[1], json.loads(held[3])
             paused = (self.timeout_us is not None and local == 0 and last >= 0
                       and start == start and start - last >= self.timeout_us)
             if local > 0 or paused:
                 no += 1
-                self.expected.clear()
+                expected = {}
             if end == end:  # not a session of rows without a time
                 last = max(last, int(end))
-            for name, first in zip(part["key"], part["first"], strict=True):
-                held = self.expected.getValue((name,)) \
-                    if self.expected.containsKey((name,)) else None
-                if held is None and first is not None and first == first:
-                    self.expected.updateValue((name,), (first,))
-                    held = (first,)
-                out.append((batch, key[0], local, name, no, held and held[0]))
-        if self.timeout_us is not None and last >= 0:
-            if timer >= 0:
-                self.handle.deleteTimer(timer)
-            timer = (last + self.timeout_us) // 1000 + 1
-            self.handle.registerTimer(timer)
-        self.session.update((no, last, timer))
+            for k, first in zip(names[at:at + n], firsts[at:at + n], strict=True):
+                if k not in expected and first is not None and first == first:
+                    expected[k] = first
+                out.append((batch, name, local, k, no, expected.get(k)))
+            at += n
+        dues.append(self._put(session, no, last, expected))
+        self._wake(min((d for d in dues if d >= 0), default=None))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in DRIFT_OUT.split(", ")])
 
+    def _put(self, session: str, no: int, last: int, expected: dict) -> int:
+        due = -1 if self.timeout_us is None or last < 0 else (last + self.timeout_us) // 1000 + 1
+        self.sessions.updateValue((session,), (no, last, due, json.dumps(expected)))
+        return due
+
+    def _wake(self, due: int | None) -> None:
+        before = self.timer.get()[0] if self.timer.exists() else None
+        if due is None or (before is not None and before <= due):
+            return
+        if before is not None:
+            self.handle.deleteTimer(before)
+        self.handle.registerTimer(due)
+        self.timer.update((due,))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        no, last, _ = self.session.get()
-        self.expected.clear()
-        self.session.update((no, last, -1))
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        self.timer.clear()  # this timer is gone
+        held = [(k[0], v) for k, v in self.sessions.iterator() if v[2] >= 0]
+        for session, (no, last, due, _) in held:
+            if due <= now:
+                self.sessions.updateValue((session,), (no, last, -1, "{}"))
+        self._wake(min((v[2] for _, v in held if v[2] > now), default=None))
         yield pd.DataFrame([], columns=[c.split()[0] for c in DRIFT_OUT.split(", ")])
 
     def close(self) -> None:
@@ -213,7 +245,9 @@ def stream_drift(firsts_stream: DataFrame, timeout_seconds: float | None = None)
     if timeout_seconds is not None:
         # the batches' clock never goes back, so no row is late and dropped
         s = s.withWatermark("clock", CLOCK_DELAY)
-    return s.groupBy("session").transformWithStateInPandas(
+    s = s.withColumn(
+        "session_group", F.pmod(F.xxhash64("session"), F.lit(SESSION_GROUPS)).cast("int"))
+    return s.groupBy("session_group").transformWithStateInPandas(
         DriftState(timeout_seconds), DRIFT_OUT, "append",
         "None" if timeout_seconds is None else "EventTime")
 

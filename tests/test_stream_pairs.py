@@ -91,3 +91,28 @@ def test_open_calls_wait_in_state_and_resolved_ones_leave_it(spark):
     assert orphans.count() == 0  # seven lines wait, none is given up
     # only lines without a partner in their batch reach the state function
     assert spark.read.schema(C.OPEN).parquet(base + "/calls/open/*").count() == 7
+
+
+def test_calls_of_one_group_share_a_call_of_the_state_function(spark, monkeypatch):
+    for groups, patience in ((1, 60), (3, 86_400)):
+        monkeypatch.setattr(C, "CALL_GROUPS", groups)
+        same_as_batch(spark, run(spark, ARRIVALS, patience), ARRIVALS)
+
+
+def test_stand_in_log_files_hold_a_bounded_number_of_lines(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from canopy.plans import catalog
+    from canopy.sources import fixtures as FX
+    monkeypatch.setattr(catalog, "LINES_PER_FILE", 500)
+    base = catalog._stream_log(spark, "/root/testdata/sf0.001")
+    lines = spark.read.text(base + "/src")
+    assert max(r["count"] for r in lines.groupBy(F.input_file_name()).count().collect()) <= 500
+    assert lines.count() == FX.log_lines(spark, "/root/testdata/sf0.001").count()
+
+
+def test_a_line_is_parsed_once(spark):
+    lines = spark.createDataFrame([(start("a", "08:00:00"),)], "line string")
+    for df in ingest_log(lines):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json") == 1

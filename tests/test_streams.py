@@ -193,3 +193,9 @@ def test_an_unfinished_version_is_not_read(spark, tmp_path):
     assert [r.content_hash for r in t.read().collect()] == ["h1"]
     t.merge(_sections(spark, [(2, 2, "h2")]), 1)
     assert {r.content_hash for r in t.read().collect()} == {"h1", "h2"}
+
+
+def test_sessions_of_one_group_share_a_call_of_the_state_function(spark, monkeypatch):
+    monkeypatch.setattr(S, "SESSION_GROUPS", 1)
+    test_stream_drift_across_restarts_equals_batch(spark)
+    test_stream_drift_sessions_end_by_time(spark)
