@@ -62,7 +62,8 @@ def any_contains(c: Column, needles: list[str]) -> Column:
 def has_word(lowered: Column, words: list[str]) -> Column:
     """True when one of ``words`` is a whitespace-delimited token of the text."""
     alts = "|".join(re.escape(w) for w in words)
-    return lowered.rlike(f"(?:^|{WS})(?:{alts})(?:{WS}|\\z)")
+    # a text without any of the words needs no regular expression
+    return any_contains(lowered, words) & lowered.rlike(f"(?:^|{WS})(?:{alts})(?:{WS}|\\z)")
 
 
 def canonical_verb(lowered: Column, table=dims.VERB_SYNONYMS) -> Column:

@@ -23,8 +23,9 @@ from canopy.sources.ingest import ingest_requests, split_ingested
 def canonicalise(requests: DataFrame, table=dims.VERB_SYNONYMS) -> DataFrame:
     """Add ``verb`` and ``noun`` from the normalised text (``norm_text``)."""
     lowered = F.lower(F.col("norm_text"))
-    return (requests.withColumn("_lowered", lowered)
+    return (settle(requests.withColumn("_lowered", lowered), ["_lowered"])
             .withColumn("verb", T.canonical_verb(F.col("_lowered"), table))
+            .transform(lambda d: settle(d, ["verb"]))
             .withColumn("noun", T.canonical_noun(F.col("_lowered"), F.col("verb"), table))
             .drop("_lowered"))
 
@@ -32,15 +33,18 @@ def canonicalise(requests: DataFrame, table=dims.VERB_SYNONYMS) -> DataFrame:
 # ---------------------------------------------------------------- #11 ----
 def classify(canonical: DataFrame) -> DataFrame:
     """Rule classification on the raw (not normalised) lowered text."""
-    m = T.classifier_matches(F.lower(F.col("text")), F.col("verb"))
     n = F.size("matches")
-    return (canonical.withColumn("matches", m)
+    # the lowered text and the verb are read by many conditions: computed once per row
+    raw = settle(canonical.withColumn("_raw_l", F.lower("text")), ["_raw_l", "verb"])
+    m = T.classifier_matches(F.col("_raw_l"), F.col("verb"))
+    return (settle(raw.withColumn("matches", m), ["matches"])
             .withColumn("intent_type", F.coalesce(F.try_element_at("matches", F.lit(1)),
                                                   F.lit("PURE_FUNCTION")))
             .withColumn("confidence", F.when(n == 1, "HIGH").when(n >= 2, "MEDIUM")
                         .otherwise("LOW"))
             .withColumn("intent_key", T.intent_key(F.col("verb"), F.col("noun"),
                                                    F.col("language"), F.col("intent_type")))
+            .drop("_raw_l")
             .transform(lambda d: settle(d, ["verb", "noun", "matches", "intent_type",
                                             "confidence", "intent_key"])))
 
@@ -233,13 +237,16 @@ def taxonomy_diff(raw: DataFrame, old=dims.VERB_SYNONYMS, new=VERB_SYNONYMS_V2)
     """
     ok, _ = split_ingested(ingest_requests(raw))
     out = (ok.where(F.col("source") == "freetext")
-           .withColumn("_l", F.lower("norm_text")).withColumn("_raw_l", F.lower("text")))
+           .withColumn("_l", F.lower("norm_text")).withColumn("_raw_l", F.lower("text"))
+           .transform(lambda d: settle(d, ["_l", "_raw_l"])))
     derived = []
     for tag, tbl in (("old", old), ("new", new)):
         m = f"_{tag}_m"
-        out = (out.withColumn(f"{tag}_verb", T.canonical_verb(F.col("_l"), tbl))
-               .withColumn(f"{tag}_noun", T.canonical_noun(F.col("_l"), F.col(f"{tag}_verb"), tbl))
+        out = settle(out.withColumn(f"{tag}_verb", T.canonical_verb(F.col("_l"), tbl)),
+                     [f"{tag}_verb"])
+        out = (out.withColumn(f"{tag}_noun", T.canonical_noun(F.col("_l"), F.col(f"{tag}_verb"), tbl))
                .withColumn(m, T.classifier_matches(F.col("_raw_l"), F.col(f"{tag}_verb")))
+               .transform(lambda d, m=m: settle(d, [m]))
                .withColumn(f"{tag}_type", F.coalesce(F.try_element_at(m, F.lit(1)),
                                                      F.lit("PURE_FUNCTION")))
                .withColumn(f"{tag}_confidence", F.when(F.size(m) == 1, "HIGH")
@@ -261,13 +268,17 @@ def taxonomy_transitions(changed: DataFrame) -> DataFrame:
 # ----------------------------------------------------------------- #9 ----
 def split_requests(requests: DataFrame) -> DataFrame:
     """One row per sub-intent: (req_id, pos, text)."""
-    text = T.py_strip(F.col("text"))
-    lowered = F.lower(text)
+    # what many conditions read is computed once per row (see ``settle``)
+    rows = settle(requests.select("req_id", T.py_strip(F.col("text")).alias("_text")), ["_text"])
+    rows = settle(rows.withColumn("_lowered", F.lower("_text")), ["_lowered"])
+    rows = settle(rows.withColumn("_padded", F.concat(F.lit(" "), F.col("_lowered"), F.lit(" "))),
+                  ["_padded"])
+    text, lowered, padded = F.col("_text"), F.col("_lowered"), F.col("_padded")
     syns = dims.all_synonyms() + [v for v in dims.EXTRA_INTENT_VERBS
                                   if v not in dims.all_synonyms()]
-    padded = F.concat(F.lit(" "), lowered, F.lit(" "))
     verb_count = sum(F.when(padded.contains(f" {s} "), 1).otherwise(0) for s in syns)
-    multi = verb_count >= 2
+    rows = settle(rows.withColumn("_multi", verb_count >= 2), ["_multi"])
+    multi = F.col("_multi")
 
     def clean(arr):
         return F.filter(F.transform(arr, lambda p: T.py_strip(p)), lambda p: p != "")
@@ -281,4 +292,4 @@ def split_requests(requests: DataFrame) -> DataFrame:
              .when(text.contains(",") & multi & (F.size(commas) >= 2), commas)
              .when((F.size(ands) >= 2) & multi & (F.size(clean(ands)) >= 2), clean(ands))
              .otherwise(F.array(text)))
-    return requests.select("req_id", F.posexplode(parts).alias("pos", "sub_text"))
+    return rows.select("req_id", F.posexplode(parts).alias("pos", "sub_text"))

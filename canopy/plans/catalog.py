@@ -430,21 +430,22 @@ def _sub_results(spark, d):
                        F.lit(None).cast("timestamp").alias("ts"),
                        F.col("sub_text").alias("text"), F.lit("javascript").alias("alias"))
     ing = ingest_requests(raw)
-    cls = C.classify(C.canonicalise(ing.where((F.col("status") == "ok")
-                                              & (F.col("source") == "freetext"))))
-    done = cls.select("req_id", F.when(F.col("confidence") == "HIGH", "passed")
-                      .otherwise("ambiguity").alias("status"),
-                      F.when(F.col("confidence") == "HIGH", F.col("intent_key"))
-                      .otherwise(F.col("confidence")).alias("detail"))
-    failed = ing.where(F.col("status") != "ok").select(
-        "req_id", F.lit("failed").alias("status"), F.col("status").alias("detail"))
+    # free text and rejects in one pass; only spec rows need another
+    cls = C.classify(C.canonicalise(ing.where((F.col("status") != "ok")
+                                              | (F.col("source") == "freetext"))))
+    ok, high = F.col("status") == "ok", F.col("confidence") == "HIGH"
+    done = cls.select("req_id", F.when(~ok, "failed").when(high, "passed")
+                      .otherwise("ambiguity").alias("result"),
+                      F.when(~ok, F.col("status")).when(high, F.col("intent_key"))
+                      .otherwise(F.col("confidence")).alias("detail")) \
+        .withColumnRenamed("result", "status")
     spec_rows = ing.where((F.col("status") == "ok") & (F.col("source") == "yaml_spec")).select(
         F.to_json("req_id").alias("spec_id"), F.col("norm_text").alias("body"))
     specs = ingest_specs(spec_rows).select(
         F.from_json("spec_id", ing.schema["req_id"].dataType).alias("req_id"),
         F.when(F.col("error").isNull(), "passed").otherwise("failed").alias("status"),
         F.coalesce("error", "intent_type").alias("detail"))
-    out = done.unionByName(failed).unionByName(specs).select("req_id.req_id", "req_id.pos",
+    out = done.unionByName(specs).select("req_id.req_id", "req_id.pos",
                                                              "status", "detail")
     return A.collect_sub_results(out)
 

@@ -15,11 +15,10 @@ from canopy.functions.frames import settle
 
 
 def language_of(alias: F.Column, aliases=dims.LANGUAGE_ALIASES) -> F.Column:
-    """Resolve a language alias (lower + strip); NULL when unsupported."""
-    key = T.py_strip(F.lower(alias))
+    """Language of an alias (lowered and stripped); NULL when unsupported."""
     expr = None
     for a, lang in aliases:
-        expr = F.when(key == a, lang) if expr is None else expr.when(key == a, lang)
+        expr = F.when(alias == a, lang) if expr is None else expr.when(alias == a, lang)
     return expr
 
 
@@ -31,11 +30,17 @@ def ingest_requests(raw: DataFrame, aliases=dims.LANGUAGE_ALIASES) -> DataFrame:
     alias is an unsupported language and a null text is too short, so every row has
     a status.
     """
-    norm = T.nfkc(T.py_strip(F.col("text")))
-    lowered = F.lower(F.col("norm_text"))
+    # texts that many conditions read are computed once per row (see ``settle``)
+    lowered = F.col("_lowered")
     return (
-        raw.withColumn("language", language_of(F.col("alias"), aliases))
-        .withColumn("norm_text", norm)
+        raw.withColumn("_text", T.py_strip(F.col("text")))
+        .withColumn("_alias", T.py_strip(F.lower("alias")))
+        .transform(lambda d: settle(d, ["_text", "_alias"]))
+        .withColumn("language", language_of(F.col("_alias"), aliases))
+        .withColumn("norm_text", T.nfkc("_text"))
+        .transform(lambda d: settle(d, ["norm_text", "language"]))
+        .withColumn("_lowered", F.lower("norm_text"))
+        .transform(lambda d: settle(d, ["_lowered"]))
         .withColumn("source", F.when(T.any_contains(lowered, dims.SPEC_MARKERS), "yaml_spec")
                     .otherwise("freetext"))
         .withColumn("status",
@@ -44,7 +49,9 @@ def ingest_requests(raw: DataFrame, aliases=dims.LANGUAGE_ALIASES) -> DataFrame:
                                     F.coalesce("alias", F.lit("None"))))
                     .when(F.coalesce(F.length("norm_text"), F.lit(0)) < 3, "Intent too short")
                     .otherwise("ok"))
-        .transform(lambda d: settle(d, ["language", "norm_text", "source", "status"]))
+        .transform(lambda d: settle(d.select(*raw.columns, "language", "norm_text", "source",
+                                             "status"),
+                                    ["language", "norm_text", "source", "status"]))
     )
 
 
