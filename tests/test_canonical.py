@@ -82,3 +82,19 @@ def test_python_snake_case(spark):
 def test_gate_texts(spark, classified):
     r = classified[1]
     assert r.confidence == "MEDIUM"
+
+
+def test_shared_texts_are_computed_once_per_row(spark):
+    from canopy.operators.canonical import split_requests
+    from canopy.sources.ingest import ingest_requests
+    rows = spark.createDataFrame([(1, " Add a, Check b ", " JS ")],
+                                 "req_id long, text string, alias string")
+
+    def plan(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+
+    assert plan(split_requests(rows)).count("lower(") == 1
+    assert plan(ingest_requests(rows)).count("lower(") == 2  # of the alias and of the text
+    assert [r.sub_text for r in split_requests(rows).orderBy("pos").collect()] == \
+        ["Add a", "Check b"]
+    assert ingest_requests(rows).first().language == "javascript"

@@ -101,3 +101,17 @@ def test_yaml_project(spark):
 def test_all_parameter_lists_are_read(spark):
     df = spark.createDataFrame([("f = (userId) => ((x, y) => ({a, b}) => 1)",)], "t string")
     assert df.select(R.parameter_names(F.col("t"))).first()[0] == ["userId", "x", "y", "a", "b"]
+
+
+def test_config_lock_counts_only_known_prompt_hashes_in_one_aggregate(spark):
+    from canopy.operators.logs import config_lock_audit
+    from canopy.functions import dims
+    pins = (dims.PINNED_TEMPERATURE, dims.PINNED_MODEL, dims.PINNED_MAX_TOKENS)
+    rows = [(s, f"{s}{i}", float(pins[0]), *pins[1:], h) for s, hs in (
+        ("one", ["a", None]), ("two", ["a", "b", None]), ("none", [None])) for i, h in enumerate(hs)]
+    out = config_lock_audit(spark.createDataFrame(
+        rows, "session_id string, span_id string, temperature double, model string, "
+              "max_tokens long, system_prompt_hash string"))
+    assert [tuple(r) for r in out.collect()] == [("two", None, "system_prompt")]
+    plan = out.select("*")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
