@@ -36,6 +36,14 @@ def hash_share(column: Column, share: float) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(1 << 20)) < F.lit(round(share * (1 << 20)))
 
 
+def join_side(df: DataFrame, few: bool) -> DataFrame:
+    """``df`` as a side of a join: broadcast if it has few rows, else joined by shuffle.
+
+    ``few`` comes from a count or a bound.  Spark's own choice goes by the size of files, which
+    compressed or exploded rows exceed many times over."""
+    return F.broadcast(df) if few else df.hint("merge")
+
+
 def strings(column: pa.Array) -> pa.Array:
     """Column of a batch as a 64-bit-offset string array without nulls (null becomes '')."""
     column = column.cast(pa.large_string())

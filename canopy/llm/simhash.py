@@ -32,13 +32,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from canopy.llm.common import byte_slices, release_memory, stored, strings, utf8_parts
+from canopy.llm.common import (
+    byte_slices,
+    join_side,
+    release_memory,
+    stored,
+    strings,
+    utf8_parts,
+)
 
 SHINGLE = 3
 MAX_BITS = 3
 SEED = 42
 STEP = 200_000  # shingles unpacked at a time
 SPLIT = 512  # bucket size above which members are keyed again
+#: Up to this many rows of a few longs (some 30 MB) are broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 100_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
@@ -135,17 +144,19 @@ def link_pairs(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
             F.count("*").alias("n"), F.min(side).alias("s0"), F.max(side).alias("s1")) \
             .filter((F.col("n") > 1) & ((F.col("wild") == 0) | (F.col("s0") != F.col("s1")))) \
             .select(*BUCKET, "n")
-        members = stored(level.join(buckets, BUCKET), "simhash-buckets")
+        # exploded 66 times: by the size of ``fps`` Spark would broadcast it
+        members = stored(level.join(join_side(buckets, few=False), BUCKET), "simhash-buckets")
+        n, large = members.agg(F.count("*"), F.count_if(F.col("n") > SPLIT)).first()
         small = members.filter(F.col("n") <= SPLIT)
         a = small.select(*BUCKET, F.col("fp").alias("a"))
         b = small.select(*BUCKET, F.col("fp").alias("b"))
         differ = F.col("a").bitwiseXOR(F.col("b"))
-        found.append(a.join(b, BUCKET).filter(
+        found.append(a.join(join_side(b, n - large <= BROADCAST_ROWS), BUCKET).filter(
             (F.col("a") < F.col("b")) & (differ.bitwiseAND(F.col("wild")) == F.col("wild"))
             & (F.bit_count(differ) <= max_bits)).select("a", "b"))
-        level = members.filter(F.col("n") > SPLIT)
-        if level.isEmpty():
+        if not large:
             break
+        level = members.filter(F.col("n") > SPLIT)
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.union(more)
@@ -161,14 +172,15 @@ def components(links: DataFrame) -> DataFrame:
     edges = stored(links.select("a", "b"), "links")
     before = state(edges)
     while before[0]:
+        few = 2 * before[0] <= BROADCAST_ROWS  # a link has two ends
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         # large star: greater neighbours hang on the smallest node around
-        edges = both.filter("b > a").join(least, "a").select(
+        edges = both.filter("b > a").join(join_side(least, few), "a").select(
             F.col("m").alias("a"), "b").filter("a != b").distinct()
         # small star: smaller neighbours and the node itself do
         least = edges.groupBy("b").agg(F.min("a").alias("m"))
-        edges = stored(edges.join(least, "b").select(
+        edges = stored(edges.join(join_side(least, few), "b").select(
             F.explode(F.array(F.struct("m", F.col("a").alias("x")),
                               F.struct("m", F.col("b").alias("x")))).alias("e")).select(
             F.col("e.m").alias("a"), F.col("e.x").alias("b")).filter("a != b").distinct(),
@@ -186,10 +198,11 @@ def group(rows: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     classes = stored(rows.groupBy("fp").agg(
         F.min("doc_id").alias("least"), F.count("*").alias("n")), "fingerprints")
     roots = components(link_pairs(classes.select("fp"), max_bits))
+    roots = join_side(roots, roots.count() <= BROADCAST_ROWS)
     rooted = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     whole = rooted.groupBy("root").agg(
         F.min("least").alias("component_id"), F.sum("n").alias("n_rows"))
-    return rooted.select("fp", "root").join(whole, "root")
+    return rooted.select("fp", "root").join(join_side(whole, few=False), "root")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS
@@ -197,7 +210,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     """(doc_id, fingerprint, component_id) of each row."""
     rows = stored(with_fingerprints(docs, shingle), "doc-fingerprints")
     groups = group(rows, max_bits).select("fp", "component_id")
-    return rows.join(groups, "fp").select(
+    return rows.join(join_side(groups, few=False), "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

@@ -106,3 +106,37 @@ def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert S.near_duplicates(docs).count() == 0
     assert S.one_of_each(docs).count() == 0
+
+
+def plans(monkeypatch, module, label=""):
+    """Plans of what ``module`` stores from now on, of one label or all."""
+    found, real = [], module.stored
+
+    def watched(df, name):
+        if label in name:
+            found.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, name)
+
+    monkeypatch.setattr(module, "stored", watched)
+    return found
+
+
+def test_exploded_variants_are_never_broadcast(spark, monkeypatch):
+    # Spark sizes the 66 variants of a fingerprint as little more than the fingerprint
+    found = plans(monkeypatch, S, "simhash-buckets")
+    frame = S.stored(spark.createDataFrame([(x,) for x in (0, 1, 3, 1 << 40, 5 << 50)], "fp long"), "f")
+    assert {tuple(r) for r in S.link_pairs(frame).collect()} == {
+        (0, 1), (0, 3), (1, 3), (0, 1 << 40), (1, 1 << 40), (3, 1 << 40), (0, 5 << 50), (1, 5 << 50),
+        (1 << 40, 5 << 50)}
+    assert found and not [p for p in found if "Broadcast" in p]
+
+
+def test_groups_are_the_same_by_broadcast_and_by_shuffle(spark, monkeypatch):
+    docs = spark.createDataFrame(rows_of(), "doc_id long, text string")
+    want = sorted(map(str, S.near_duplicates(docs).collect()))
+    monkeypatch.setattr(S, "BROADCAST_ROWS", 0)
+    found = plans(monkeypatch, S)
+    got = S.near_duplicates(docs)
+    assert sorted(map(str, got.collect())) == want
+    found.append(got._jdf.queryExecution().executedPlan().toString())
+    assert not [p for p in found if "Broadcast" in p]
