@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from canopy.llm.common import (
     byte_slices,
+    join_side,
     release_memory,
     runs,
     stored,
@@ -43,7 +44,7 @@ from canopy.llm.common import (
 
 WIDTH = 10
 BLOCK_WORDS = 2_000_000
-#: Candidate sets up to this many documents are broadcast to select texts (24 MB of keys);
+#: Candidate sets up to this many documents are broadcast to select texts (some 120 MB);
 #: larger ones are joined by shuffle.
 BROADCAST_DOCS = 1_000_000
 
@@ -282,7 +283,8 @@ def _verify(docs: DataFrame, candidates: DataFrame, items: list[dict], slop: int
                              "found")
     if few:  # only the keys are broadcast: the candidates may hold many starts
         texts = texts.join(F.broadcast(keys.drop("found")), on, "left_semi")
-    rows = texts.join(keys, on).select("doc_id", "text_hash", "text", "found")
+    rows = texts.join(join_side(keys, few=False), on).select(
+        "doc_id", "text_hash", "text", "found")
     held = docs.sparkSession.sparkContext.broadcast(items)
 
     def compare(batches):
@@ -387,7 +389,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) ->
             F.greatest(acc["to"], x["start"] + x["n_words"]).alias("to")), lambda acc: acc["hit"])
     hits = hits.select(F.col("doc_id").alias("h_doc"), F.col("text_hash").alias("h_hash"),
                        "items", covered.alias("hit"))
-    joined = counts.join(hits, F.expr("doc_id <=> h_doc and text_hash = h_hash"), "left")
+    # where only texts with hits are asked for, Spark would broadcast all word counts
+    joined = counts.join(join_side(hits, few=False),
+                         F.expr("doc_id <=> h_doc and text_hash = h_hash"), "left")
     items = F.coalesce("items", F.array().cast("array<string>"))
     return joined.select(
         "doc_id", "text_hash", "n_words", F.coalesce("hit", F.lit(0)).cast("long").alias("n_hit"),

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm.common import stored
+from canopy.llm.common import join_side, stored
 
 WIDTH = 3
 # names of working columns, apart from any that the documents may carry
@@ -58,7 +58,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                      F.col("cover")[0].alias("at"))
     firsts = windows.groupBy("k1", "k2").agg(
         F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1").drop("n")
-    later = windows.join(firsts, ["k1", "k2"]).filter(~place.eqNullSafe(F.col("first")))
+    later = windows.join(join_side(firsts, few=False), ["k1", "k2"]).filter(
+        ~place.eqNullSafe(F.col("first")))
     gone = later.groupBy("doc_id", "text_hash").agg(
         F.array_distinct(F.flatten(F.collect_list("cover"))).alias(GONE)).select(
         F.col("doc_id").alias(ID), F.col("text_hash").alias(HASH), GONE)

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from canopy.llm.common import (
     hash_share,
+    join_side,
     release_memory,
     stored,
     strings,
@@ -259,7 +260,8 @@ def train(docs: DataFrame, labels: DataFrame, where: Column, positives: int = PO
         .groupBy("doc_id").agg(F.max("quality").alias("quality"))
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     pairs = stored(docs.select("doc_id", "text_hash").distinct(), "id-text-pairs")
-    positive = pairs.join(marks.filter(F.col("quality") == 1).select("doc_id"), "doc_id")
+    positive = pairs.join(join_side(marks.filter(F.col("quality") == 1).select("doc_id"),
+                                    few=False), "doc_id")
     trusted = positive.filter(hash_share(F.struct("doc_id", "text_hash"),
                                          min(1.0, positives / max(1, positive.count()))))
     web = pairs.filter(F.coalesce(where, F.lit(False)) & hash_share(

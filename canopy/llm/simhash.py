@@ -214,8 +214,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Up to this many ids (16 MB) are broadcast to find the rows of groups; beyond, a join by
-#: shuffle does the same.
+#: Up to this many ids (some 100 MB) are broadcast to find the rows of groups; beyond, a join
+#: by shuffle does the same.
 BROADCAST_IDS = 1_000_000
 
 
@@ -225,16 +225,16 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BIT
     rows = stored(with_fingerprints(docs, shingle), "doc-fingerprints")
     busy = group(rows, max_bits).filter("n_rows > 1").select("fp", "root", "component_id")
     # every row of the components of several rows, by id and fingerprint
-    members = stored(rows.join(busy, "fp"), "members")
+    members = stored(rows.join(join_side(busy, few=False), "fp"), "members")
     ids = members.select(F.col("doc_id").alias(OWN["id"])).distinct()
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+    ids = join_side(ids, ids.count() <= BROADCAST_IDS)
     on = F.col("doc_id").eqNullSafe(F.col(OWN["id"]))
     free = docs.join(ids, on, "left_anti")
     # a repeated id may be busy with one text and free with another: match by fingerprint
     held = _keep_fingerprint(docs.join(ids, on, "left_semi"), shingle)
     groups = members.select(F.col("fp").alias(OWN["fp"]), F.col("root").alias(OWN["root"]),
                             F.col("component_id").alias(OWN["least"])).distinct()
+    groups = join_side(groups, groups.count() <= BROADCAST_ROWS)
     keep = docs.columns
     marked = held.join(groups, OWN["fp"], "left")
     first = marked.filter(F.col(OWN["root"]).isNotNull()

@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canopy.llm import decontaminate, line_dedup, packing, quality, simhash
-from canopy.llm.common import id_remainder, read_table, stored
+from canopy.llm.common import id_remainder, join_side, read_table, stored
 from canopy.llm.queries import tokenizer_json
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Contaminated documents up to this many (16 MB of keys) are broadcast; more are joined by
+#: Contaminated documents up to this many (some 120 MB) are broadcast; more are joined by
 #: shuffle.
 BROADCAST_DOCS = 1_000_000
 
@@ -53,8 +53,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     bad = stored(found.filter("contaminated").select(
         F.col("doc_id").alias("b_id"), F.col("text_hash").alias("b_hash")).distinct(),
         "contaminated")
-    if bad.count() <= BROADCAST_DOCS:
-        bad = F.broadcast(bad)
+    bad = join_side(bad, bad.count() <= BROADCAST_DOCS)
     return docs.select(*COLUMNS).withColumn("_hash", F.xxhash64("text")).join(
         bad, F.expr("doc_id <=> b_id and _hash = b_hash"), "left_anti").select(*COLUMNS)
 

@@ -79,3 +79,41 @@ def test_whole_run_keeps_or_drops_each_document_once(spark):
     ids = {r.doc_id for r in pieces.select("doc_id").distinct().collect()}
     docs = {r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()}
     assert ids <= docs and len(ids) > len(docs) / 3
+
+
+def joins(df):
+    """The join operators of the plan that ``df`` starts with."""
+    return [x for x in df._jdf.queryExecution().executedPlan().toString().split("\n")
+            if "Join" in x]
+
+
+def test_near_duplicates_beyond_the_limits_are_joined_by_shuffle(spark, monkeypatch):
+    docs = frame(spark, rows())
+    want = sorted(map(str, simhash.one_of_each(docs).collect()))
+    monkeypatch.setattr(simhash, "BROADCAST_IDS", -1)
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", -1)
+    found, real = [], simhash.stored
+    monkeypatch.setattr(simhash, "stored", lambda df, x: found.extend(joins(df)) or real(df, x))
+    got = simhash.one_of_each(docs)
+    assert sorted(map(str, got.collect())) == want
+    found += joins(got)
+    assert found and not [x for x in found if "Broadcast" in x]
+
+
+def test_tables_as_large_as_the_corpus_are_not_broadcast_by_estimate(spark, monkeypatch):
+    # Spark's estimates of these few rows would broadcast any table
+    docs = frame(spark, [(i, " ".join(f"w{k}" for k in range(i % 3, 30)), "en", "s", 1)
+                         for i in range(12)])
+    found, real = [], P.stored
+    monkeypatch.setattr(P, "stored", lambda df, x: found.extend(joins(df)) or real(df, x))
+    tables = {"benchmark": spark.createDataFrame(
+        [("a", " ".join(f"w{k}" for k in range(10)))], "item_id string, text string")}
+    monkeypatch.setattr(P, "read_table", lambda spark, sf_dir, name: tables[name])
+    kept = P.decontamination_stage(spark, docs, "").collect()
+    assert sorted(r.doc_id for r in kept) == [i for i in range(12) if i % 3]
+    counts = [x for x in found if "h_doc" in x]
+    assert counts and not [x for x in counts if "Broadcast" in x]
+    candidates = [x for x in found if "c_doc" in x and "Broadcast" in x]
+    assert candidates and all("LeftSemi" in x for x in candidates)
+    lines = joins(line_dedup.remove_repeats(docs))
+    assert [x for x in lines if "SortMergeJoin [k1" in x]
